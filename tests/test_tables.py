@@ -1,0 +1,117 @@
+import pytest
+
+from smelter.operators.upsert import DuplicateKeys
+from smelter.sources import tables as tb
+
+COLUMNS = "id string, v int, year int"
+
+
+@pytest.fixture
+def schema(spark):
+    tb.ensure_schema(spark, "lab")
+    return "lab"
+
+
+def fresh(spark, schema, name, parts=("year",), tmp_path=None):
+    full = f"{schema}.{name}"
+    spark.sql(f"DROP TABLE IF EXISTS {full}")
+    tb.ensure_table(spark, full, COLUMNS, parts, str(tmp_path / name) if tmp_path else None)
+    return full
+
+
+def rows(spark, name):
+    return {tuple(r) for r in spark.table(name).select("id", "v", "year").collect()}
+
+
+def frame(spark, data):
+    return spark.createDataFrame(data, COLUMNS)
+
+
+@pytest.mark.parametrize("parts", [("year",), ()])
+@pytest.mark.parametrize("external", [True, False])
+def test_lifecycle(spark, schema, tmp_path, parts, external):
+    name = fresh(spark, schema, f"life_{len(parts)}_{external}", parts, tmp_path if external else None)
+    assert tb.table_exists(spark, name) and not tb.table_exists(spark, "lab.nowhere")
+    assert rows(spark, name) == set()
+    first = [("a", 1, 2023), ("b", 2, 2024), ("n", 3, None)]
+    tb.overwrite_table(frame(spark, first), name)
+    assert rows(spark, name) == set(first)
+    tb.ensure_table(spark, name, COLUMNS, parts)
+    assert rows(spark, name) == set(first)
+    tb.overwrite_table(frame(spark, [("c", 9, 2024)]).select("year", "v", "id"), name)
+    assert rows(spark, name) == {("c", 9, 2024)}
+    tb.truncate_table(spark, name)
+    assert rows(spark, name) == set()
+
+
+@pytest.mark.parametrize("parts", [("year",), ()])
+@pytest.mark.parametrize("small", [True, False, None])
+def test_upsert_table_moves_partitions_and_counts(spark, schema, tmp_path, parts, small):
+    name = fresh(spark, schema, f"up_{len(parts)}_{small}", parts, tmp_path)
+    tb.overwrite_table(
+        frame(spark, [("a", 1, 2023), ("b", 2, 2024), ("c", 3, 2022), ("z", 0, None)]), name
+    )
+    done = tb.upsert_table(
+        name, frame(spark, [("a", 5, 2024), ("d", 6, None)]), ["id"], small_source=small
+    )
+    expected = {("a", 5, 2024), ("b", 2, 2024), ("c", 3, 2022), ("z", 0, None), ("d", 6, None)}
+    assert rows(spark, name) == expected
+    assert (done["n_inserted"], done["n_updated"]) == (1, 1)
+    # Partition 2022 holds nothing of the source and is not read again.
+    assert done["n_unchanged"] == (2 if parts else 3)
+    if parts:
+        held = {r["partition"] for r in spark.sql(f"SHOW PARTITIONS {name}").collect()}
+        assert held == {"year=2024", "year=2022", "year=__HIVE_DEFAULT_PARTITION__"}
+    again = tb.upsert_table(name, frame(spark, [("a", 5, 2024), ("d", 6, None)]), ["id"])
+    assert again["n_inserted"] == 0 and rows(spark, name) == expected
+
+
+def test_upsert_table_is_its_own_source(spark, schema, tmp_path):
+    name = fresh(spark, schema, "self", ("year",), tmp_path)
+    tb.overwrite_table(frame(spark, [("a", 1, 2023), ("b", 2, 2024)]), name)
+    tb.upsert_table(name, spark.table(name).selectExpr("id", "v + 1 v", "year"), ["id"])
+    assert rows(spark, name) == {("a", 2, 2023), ("b", 3, 2024)}
+
+
+def test_duplicate_source_key_is_an_error(spark, schema, tmp_path):
+    name = fresh(spark, schema, "dups", ("year",), tmp_path)
+    twice = frame(spark, [("a", 1, 2023), ("a", 2, 2023)])
+    with pytest.raises(DuplicateKeys):
+        tb.upsert_table(name, twice, ["id"])
+    tb.upsert_table(name, twice, ["id"], on_duplicates="latest", latest_by=["v"])
+    assert rows(spark, name) == {("a", 2, 2023)}
+
+
+def test_partition_pruning_reads_only_touched_folders(spark, schema, tmp_path):
+    name = fresh(spark, schema, "prune", ("year",), tmp_path)
+    tb.overwrite_table(frame(spark, [("a", 1, 2022), ("b", 2, 2023), ("c", 3, 2024)]), name)
+    target = spark.table(name)
+    pruned = target.filter(tb._in_folders(target, ["year"], {"year=2023"}))
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+    assert [r["id"] for r in pruned.collect()] == ["b"]
+
+
+def test_odd_partition_values_are_refused(spark, schema, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS lab.odd")
+    tb.ensure_table(spark, "lab.odd", "id string, p string", ["p"], str(tmp_path / "odd"))
+    with pytest.raises(Exception, match="plain partition value"):
+        tb.overwrite_table(spark.createDataFrame([("a", "x/y")], "id string, p string"), "lab.odd")
+
+
+def test_merge_statement_parses(spark):
+    text = tb.merge_statement("lab.t", "upsert_source", ["id"], "s.u > t.u")
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
+    assert "MergeIntoTable" in plan
+
+
+def test_scan_takes_names_views_and_frames(spark):
+    df = frame(spark, [("a", 1, 2023)])
+    df.createOrReplaceGlobalTempView("lab_view")
+    assert tb.scan(spark, "global_temp.lab_view").count() == 1
+    assert tb.scan(spark, df) is df
+
+
+def test_catalog_selection(spark):
+    tb.use_catalog(spark, "spark_catalog")
+    assert spark.catalog.currentCatalog() == "spark_catalog"
