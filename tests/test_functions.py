@@ -16,8 +16,8 @@ def cleaned(spark, lists):
 
 def one_code(text):
     """Clean-up of one code by the letter of the rules; brute force for the column form."""
-    text = re.sub(r"[ \t\n\x0b\f\r]-[^\n\r\u0085  ]*", "", text)
-    text = re.sub(r"[ \t\n\x0b\f\r]*\([^\n\r\u0085  ]*\)", "", text)
+    text = re.sub(r"[ \t\n\x0b\f\r]-[^\n\r\x85\u2028\u2029]*", "", text)
+    text = re.sub(r"[ \t\n\x0b\f\r]*\([^\n\r\x85\u2028\u2029]*\)", "", text)
     text = text.strip(" ").lower()
     return text if "." in text else text + ".gen"
 
@@ -45,7 +45,7 @@ def test_dirty_categories(spark):
     st.lists(
         st.one_of(
             st.none(),
-            st.lists(st.one_of(st.none(), st.text(alphabet="aB.,- ()\t\n\r$\\", max_size=14))),
+            st.lists(st.one_of(st.none(), st.text(alphabet="aB.,- ()\t\n\r$\\\x85\u2028", max_size=14))),
         ),
         min_size=20,
         max_size=60,
@@ -64,7 +64,7 @@ def test_last_segment(spark, path, segment):
 
 
 def test_strip_is_python_strip(spark):
-    texts = [" a ", "\t\n a b \r", " x　", "\xa0\x1fy\x85", "​z", "", "  ", None]
+    texts = [" a ", "\t\n a b \r", " x　", "\xa0\x1fy\x85", "\u200bz", "", "  ", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(strip(F.col("t"))).collect()]
     assert got == [t.strip() if t is not None else None for t in texts]
