@@ -121,7 +121,8 @@ def test_malformed_pages_are_rejected_not_lost(spark):
 def land(tmp_path, category, start, payload):
     folder = tmp_path / "landed" / f"category={category}" / f"start={start}"
     folder.mkdir(parents=True)
-    (folder / "page.xml").write_text(payload, encoding="utf-8")
+    lines = payload.replace("<entry", "\n <entry").replace("<author", "\n<author")
+    (folder / "page.xml").write_text(lines, encoding="utf-8")
 
 
 def test_landed_files(spark, tmp_path):
@@ -150,7 +151,7 @@ def test_budget_counts_copies_but_only_valid_rows(spark):
     first = feed(entry(id="x/1"), entry(id="x/1"), entry(id="x/bad", title="", summary="z" * 9999))
     pages = page_frame(spark, first, feed(entry(id="x/2")), feed(entry(id="x/3")))
     entries = fetched_entries(pages)
-    size = len("1A Great PaperAbout it.http://x/pdf/1GuidocS.SE".encode()) + 16
+    size = len("1A Great PaperAbout it.http://x/pdf/1Guidocs.SE".encode()) + 16
 
     def ids(budget):
         return sorted(r["id"] for r in accepted_articles(entries, budget).collect())

@@ -1,0 +1,60 @@
+"""Every registered query against its SQL, as the driver compares them."""
+
+import os
+
+import pytest
+
+import __spark_entry__ as driver
+
+duckdb = pytest.importorskip("duckdb")
+
+FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables to read")
+
+
+@pytest.fixture(scope="module")
+def sql():
+    connection = duckdb.connect()
+    for name in TABLES:
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
+    return connection
+
+
+DUCK_TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+    "boolean": "BOOLEAN",
+}
+
+
+def canonical(rows):
+    return sorted(rows, key=lambda row: [(v is None, str(v)) for v in row])
+
+
+@pytest.mark.parametrize("name", driver.queries())
+def test_query_equals_sql(spark, sql, name):
+    got = driver.queries()[name](spark, FOLDER)
+    columns = sorted(got.columns)
+    want = sql.sql(driver.oracle_sql()[name])
+    kinds = dict(zip(want.columns, map(str, want.types)))
+    assert sorted(kinds) == columns
+    assert {c: DUCK_TYPES[t] for c, t in got.dtypes} == kinds
+    chosen = ", ".join(f'"{c}"' for c in columns)
+    expected = sql.sql(f"SELECT {chosen} FROM ({driver.oracle_sql()[name]})").fetchall()
+    rows = canonical([tuple(r) for r in got.select(*columns).collect()])
+    assert len(rows) == len(expected)
+    for ours, theirs in zip(rows, canonical(expected)):
+        assert ours == theirs
+    assert rows, "an empty result proves nothing"
+
+
+def test_entry(spark):
+    assert driver.entry(spark).count() > 0
+
+
+def test_every_query_has_sql():
+    assert set(driver.queries()) == set(driver.oracle_sql())
