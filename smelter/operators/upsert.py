@@ -79,14 +79,29 @@ def upsert_actions(
     return keyed.unionByName(kept).unionByName(added)
 
 
+def _same_keys(keys: Sequence[str]) -> Column:
+    return reduce(Column.__and__, (F.col(f"t.{key}") == F.col(f"s.{key}") for key in keys))
+
+
+def _wins(when_matched: str | None) -> Column:
+    return F.lit(True) if when_matched is None else F.coalesce(F.expr(when_matched), F.lit(False))
+
+
+def matched_rows(
+    target: DataFrame, source: DataFrame, keys: Sequence[str], when_matched: str | None = None
+) -> DataFrame:
+    """Pairs of a stored row ``t`` and a source row ``s`` of one key, and whether ``s`` wins."""
+    pairs = target.alias("t").join(source.alias("s"), _same_keys(keys))
+    return pairs.withColumn("wins", _wins(when_matched))
+
+
 def _joined(target, source, keys, how, when_matched, columns) -> DataFrame:
     t = target.withColumn("_in_target", F.lit(True)).alias("t")
     s = source.withColumn("_in_source", F.lit(True)).alias("s")
-    on = reduce(Column.__and__, (F.col(f"t.{key}") == F.col(f"s.{key}") for key in keys))
-    wins = F.lit(True) if when_matched is None else F.coalesce(F.expr(when_matched), F.lit(False))
+    on = _same_keys(keys)
     action = (
         F.when(F.col("t._in_target").isNull(), INSERT)
-        .when(F.col("s._in_source").isNotNull() & wins, UPDATE)
+        .when(F.col("s._in_source").isNotNull() & _wins(when_matched), UPDATE)
         .otherwise(KEEP)
     )
     take_source = F.col(ACTION) != KEEP

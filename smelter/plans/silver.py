@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from smelter.functions.categories import normalize_categories
 from smelter.functions.text import as_date
-from smelter.schemas import BRONZE_COLUMNS, SILVER, SILVER_COLUMNS
+from smelter.schemas import SILVER, SILVER_COLUMNS
 from smelter.sources.tables import ensure_table, upsert_table
 
 
@@ -17,18 +17,21 @@ def silver_papers(articles: DataFrame) -> DataFrame:
     One narrow stage: a row in is at most one row out, nothing is shuffled.
     """
     published = as_date(F.col("published_date"))
-    return (
-        articles.select(BRONZE_COLUMNS)
-        .withColumns(
-            {
-                "categories": normalize_categories(F.col("categories")),
-                "publication_year": F.year(published),
-                "published_date": published,
-                "updated_date": as_date(F.col("updated_date")),
-            }
-        )
-        .filter(F.size("categories") > 0)
-        .select(SILVER_COLUMNS)
+    nothing = F.array().cast("array<string>")
+    codes = F.coalesce(normalize_categories(F.col("categories")), nothing)
+    # Dropping rows by exploding none or one list, not by a filter on its size: a filter
+    # would be pushed below the projection and clean every list a second time.
+    kept = F.explode(F.array_remove(F.array(codes), nothing))
+    return articles.select(
+        "id",
+        "title",
+        "summary",
+        "authors",
+        kept.alias("categories"),
+        published.alias("published_date"),
+        as_date(F.col("updated_date")).alias("updated_date"),
+        "pdf_url",
+        F.year(published).alias("publication_year"),
     )
 
 

@@ -14,10 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from smelter.operators.bounds import bounded_broadcast, is_small
-from smelter.operators.upsert import ACTION, INSERT, KEEP, UPDATE, prepare_source, upsert_actions
+from smelter.operators.bounds import is_small
+from smelter.operators.upsert import (
+    ACTION, INSERT, KEEP, UPDATE, matched_rows, new_rows, prepare_source, upsert_actions,
+)
 
-_ROOT_PROPERTY = "smelter.root"
+# Table properties: where snapshots go, and the partition columns.
+_ROOT, _PARTS = "smelter.root", "smelter.partitions"
 _NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -54,22 +57,25 @@ def ensure_table(
     at = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING {using}{parts}{at}")
     if using == "parquet":
-        root = _detail(spark, name, "Location")
-        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{_ROOT_PROPERTY}' = '{root}')")
+        described = spark.sql(f"DESCRIBE TABLE EXTENDED {name}")
+        root = described.filter("col_name = 'Location'").first()["data_type"]
+        spark.sql(
+            f"ALTER TABLE {name} SET TBLPROPERTIES "
+            f"('{_ROOT}' = '{root.rstrip('/')}', '{_PARTS}' = '{','.join(partition_by)}')"
+        )
 
 
-def _detail(spark: SparkSession, name: str, field: str) -> str:
-    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter(F.col("col_name") == field)
-    return rows.first()["data_type"]
+def _properties(spark: SparkSession, name: str) -> dict[str, str]:
+    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
 
 
 def partition_columns(spark: SparkSession, name: str) -> list[str]:
-    return [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    """Partition columns of a table made by :func:`ensure_table`."""
+    return [part for part in _properties(spark, name)[_PARTS].split(",") if part]
 
 
 def _new_snapshot(spark: SparkSession, name: str) -> str:
-    found = spark.sql(f"SHOW TBLPROPERTIES {name} ('{_ROOT_PROPERTY}')").first()["value"]
-    return f"{found.rstrip('/')}/_snapshots/{uuid.uuid4().hex}"
+    return f"{_properties(spark, name)[_ROOT]}/_snapshots/{uuid.uuid4().hex}"
 
 
 def _publish(df: DataFrame, name: str, parts: Sequence[str], replaced: set[str], *metrics) -> dict:
@@ -91,12 +97,14 @@ def _publish(df: DataFrame, name: str, parts: Sequence[str], replaced: set[str],
         seen = _write(df.hint("rebalance", *parts), columns, path, parts, [*metrics, folders])
         written = set(seen.pop("folders"))
         held = _held_folders(spark, name)
-        for folder in sorted(written):
-            spec, at = _spec(folder), f"LOCATION '{path}/{folder}'"
-            change = f"{spec} SET {at}" if folder in held else f"ADD {spec} {at}"
-            spark.sql(f"ALTER TABLE {name} {change}")
-        for folder in sorted((replaced & held) - written):
-            spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {_spec(folder)}")
+        for folder in sorted(written & held):
+            spark.sql(f"ALTER TABLE {name} {_spec(folder)} SET LOCATION '{path}/{folder}'")
+        added = [f"{_spec(f)} LOCATION '{path}/{f}'" for f in sorted(written - held)]
+        if added:
+            spark.sql(f"ALTER TABLE {name} ADD {' '.join(added)}")
+        emptied = [_spec(f) for f in sorted((replaced & held) - written)]
+        if emptied:
+            spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {', '.join(emptied)}")
     spark.catalog.refreshTable(name)
     return seen
 
@@ -191,14 +199,15 @@ def upsert_table(
 ) -> dict[str, int]:
     """Upsert into a table and report the rows inserted, updated and left in place.
 
-    Of a partitioned table only the partitions that hold a source row, before or after,
-    are read and rewritten; finding them reads the key and partition columns alone.
-    Rows left in place are counted in those partitions. Running it again after a failure
-    gives the same table. A source measured to be small is broadcast, which spares the
-    target its shuffle; pass ``small_source`` to skip the measuring.
+    Of a partitioned table only the partitions that lose or gain a row are rewritten;
+    finding them reads the key and partition columns and those of the condition. Rows
+    left in place are counted in those partitions. A batch that changes nothing writes
+    nothing, so running one again is cheap and harmless. A source measured to be small
+    is broadcast, which spares the target its shuffle; pass ``small_source`` to skip
+    the measuring.
     """
     spark = source.sparkSession
-    if _detail(spark, name, "Provider") != "parquet":
+    if _ROOT not in _properties(spark, name):
         source.createOrReplaceTempView("upsert_source")
         spark.sql(merge_statement(name, "upsert_source", keys, when_matched))
         return {}
@@ -209,7 +218,9 @@ def upsert_table(
         small_source = is_small(source)
     touched = set()
     if parts:
-        touched = _touched_folders(target, source, keys, parts)
+        source, touched = _changes(target, source, keys, when_matched, parts, small_source)
+        if not touched:
+            return {"n_inserted": 0, "n_updated": 0, "n_unchanged": 0}
         target = target.filter(_in_folders(target, parts, touched))
     merged = upsert_actions(
         target, source, keys, when_matched, on_duplicates="trusted", small_source=small_source
@@ -226,11 +237,17 @@ def upsert_table(
     )
 
 
-def _touched_folders(target, source, keys, parts) -> set[str]:
-    """Partitions of source rows and of the target rows they match: names only, no rows."""
-    matched = target.select(*keys, *parts).join(
-        bounded_broadcast(source.select(*keys)), list(keys), "left_semi"
-    )
-    folders = matched.select(*parts).unionByName(source.select(*parts))
-    names = folders.groupBy(_folder(parts).alias("folder")).count()
-    return {row["folder"] for row in names.collect()}
+def _changes(target, source, keys, when_matched, parts, small) -> tuple[DataFrame, set[str]]:
+    """Source rows that change the table, and the partitions they change (names only).
+
+    A source row that loses to a stored one is left out here already, or it would look
+    new once the partition of its match is not read.
+    """
+    hits = matched_rows(target, F.broadcast(source) if small else source, keys, when_matched)
+    if when_matched is not None:
+        lost = hits.filter("NOT wins").select("s.*").select(*keys)
+        # At most one per source row, so as small as the source.
+        source = new_rows(F.broadcast(lost) if small else lost, source, keys)
+    left = hits.filter("wins").select("t.*").select(_folder(parts).alias("folder"))
+    names = left.unionByName(source.select(_folder(parts).alias("folder"))).groupBy("folder")
+    return source, {row["folder"] for row in names.count().collect()}

@@ -66,6 +66,33 @@ def test_upsert_table_moves_partitions_and_counts(spark, schema, tmp_path, parts
     assert again["n_inserted"] == 0 and rows(spark, name) == expected
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_only_changed_partitions_are_rewritten(spark, schema, tmp_path, small):
+    name = fresh(spark, schema, f"changed_{small}", ("year",), tmp_path)
+    stored = [("a", 5, 2022), ("b", 5, 2023), ("c", 5, 2024), ("k", 5, 2024)]
+    tb.overwrite_table(frame(spark, stored), name)
+
+    def folders():
+        return {f.rpartition("/")[0] for f in spark.table(name).inputFiles()}
+
+    def merge(*rows):
+        return tb.upsert_table(
+            name, frame(spark, list(rows)), ["id"], "s.v > t.v", small_source=small
+        )
+
+    before = folders()
+    lost = [("a", 4, 2024), ("b", 5, 2030)]
+    assert merge(*lost) == {"n_inserted": 0, "n_updated": 0, "n_unchanged": 0}
+    assert folders() == before
+    done = merge(*lost, ("c", 6, 2025), ("new", 1, 2026), (None, 1, 2026))
+    assert done == {"n_inserted": 2, "n_updated": 1, "n_unchanged": 1}
+    assert rows(spark, name) == {
+        *stored[:2], ("k", 5, 2024), ("c", 6, 2025), ("new", 1, 2026), (None, 1, 2026),
+    }
+    kept = {f for f in before if f.endswith("2022") or f.endswith("2023")}
+    assert kept < folders() and len(folders()) == 5
+
+
 def test_upsert_table_is_its_own_source(spark, schema, tmp_path):
     name = fresh(spark, schema, "self", ("year",), tmp_path)
     tb.overwrite_table(frame(spark, [("a", 1, 2023), ("b", 2, 2024)]), name)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from smelter.functions.categories import normalize_categories
 from smelter.schemas import CATEGORY_CODES
 
 # Categories under which documents are landed as feed pages, in fetch order.
@@ -88,10 +89,13 @@ def defective_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One article per order line, filed under the type and brand of its part."""
+    """One article per order line, filed under the type and brand of its part.
+
+    Categories are cleaned on the part side, once per part instead of once per line.
+    """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate")
     parts = table(spark, sf_dir, "part").select(
-        "p_partkey", F.array(*part_categories()).alias("categories")
+        "p_partkey", normalize_categories(F.array(*part_categories())).alias("categories")
     )
     return lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).select(
         F.col("l_orderkey").cast("string").alias("id"),

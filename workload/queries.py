@@ -65,9 +65,7 @@ def trends(spark, sf_dir):
 
 
 def part_type_trends(spark, sf_dir):
-    lines = part_articles(spark, sf_dir)
-    papers = lines.withColumn("categories", normalize_categories(F.col("categories")))
-    return trend_counts(papers, part_dim(spark, sf_dir))
+    return trend_counts(part_articles(spark, sf_dir), part_dim(spark, sf_dir))
 
 
 def part_dim(spark, sf_dir):
