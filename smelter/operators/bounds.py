@@ -31,11 +31,14 @@ def _field_bytes(field: T.StructField) -> Column:
 def is_small(
     df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
 ) -> bool:
-    """Whether a frame stays within both bounds, by one aggregate over all its rows."""
-    measured = df.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum(row_bytes(df)).alias("n_bytes")
-    ).first()
-    return measured["n_rows"] <= max_rows and (measured["n_bytes"] or 0) <= max_bytes
+    """Whether a frame stays within both bounds.
+
+    Rows are counted first, which reads no column of a stored table; only a frame with
+    few rows is read for its bytes.
+    """
+    if df.count() > max_rows:
+        return False
+    return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= max_bytes
 
 
 def bounded_broadcast(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from smelter.operators.bounds import MAX_BROADCAST_ROWS
 from smelter.operators.numbering import number_rows
 
 # Up to here a top-k heap per task is cheap; deeper pages number the rows instead.
@@ -18,26 +19,40 @@ def in_category(code: str) -> Column:
     return F.array_contains("categories", code)
 
 
-def newest_first() -> list[Column]:
-    """Latest submission first; the id decides ties, so pages never overlap."""
-    return [F.col("published_date").desc(), F.col("id").asc()]
+# Latest submission first; the id decides ties, so pages never overlap.
+NEWEST_FIRST = ("-published_date", "id")
+
+
+def sort_columns(order: Sequence[str]) -> list[Column]:
+    """Sort keys from names; a leading minus sorts downwards."""
+    return [F.desc(name[1:]) if name.startswith("-") else F.asc(name) for name in order]
 
 
 def page(
-    df: DataFrame, predicate: Column, order_by: Sequence[Column], start: int, max_results: int
+    df: DataFrame,
+    predicate: Column,
+    start: int,
+    max_results: int,
+    order: Sequence[str] = NEWEST_FIRST,
+    key: str = "id",
 ) -> DataFrame:
     """Rows ``start`` up to ``start + max_results`` of the filtered, ordered articles.
 
-    A deep offset would pull all skipped rows into one task, so beyond a bound the rows
-    get numbers from a distributed sort and the page is a range of numbers.
+    A deep offset would pull all skipped rows into one task. Beyond a bound the sort
+    keys alone are numbered by a distributed sort, and the rows of the page are fetched
+    by ``key``, which has to be unique.
     """
     found = df.filter(predicate)
+    keys = sort_columns(order)
     if start + max_results <= TOP_K_ROWS:
-        return found.orderBy(*order_by).offset(start).limit(max_results)
+        return found.orderBy(*keys).offset(start).limit(max_results)
     number = F.col("_number")
-    return (
-        number_rows(found, order_by, "_number")
+    narrow = found.select(*dict.fromkeys([key, *(name.lstrip("-") for name in order)]))
+    wanted = (
+        number_rows(narrow, keys, "_number")
         .filter((number > start) & (number <= start + max_results))
-        .orderBy(number)
-        .drop("_number")
+        .select(key, "_number")
     )
+    if max_results <= MAX_BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    return found.join(wanted, key).orderBy(number).select(found.columns)

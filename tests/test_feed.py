@@ -16,8 +16,8 @@ def feed(*entries, head=f'<feed xmlns="{ATOM}">', tail="</feed>"):
 
 
 def entry(
-    id="http://x/abs/2401.12345v1", title="A Great Paper", summary="About it.",
-    authors=("Guido",), terms=("cs.SE",), published="2024-01-01T12:00:00Z",
+    id="http://x/abs/2404.00042v1", title="On Rivers", summary="Water flows.",
+    authors=("Mary",), terms=("cs.SE",), published="2024-01-01T12:00:00Z",
     updated="2024-01-02T15:00:00Z", links='<link title="pdf" href="http://x/pdf/1"/>',
 ):
     tag = lambda name, text: "" if text is None else f"<{name}>{text}</{name}>"
@@ -41,9 +41,9 @@ def parse_one(spark, xml):
 
 
 def test_entry_is_mapped(spark):
-    row = parse_one(spark, entry(authors=("Guido", "Ada"), terms=(" cs.SE ", "", None, "cs.AI\n")))
-    assert (row["id"], row["title"], row["summary"]) == ("2401.12345v1", "A Great Paper", "About it.")
-    assert row["authors"] == ["Guido", "Ada"] and row["categories"] == ["cs.SE", "cs.AI"]
+    row = parse_one(spark, entry(authors=("Mary", "Ada"), terms=(" cs.SE ", "", None, "cs.AI\n")))
+    assert (row["id"], row["title"], row["summary"]) == ("2404.00042v1", "On Rivers", "Water flows.")
+    assert row["authors"] == ["Mary", "Ada"] and row["categories"] == ["cs.SE", "cs.AI"]
     assert str(row["published_date"]) == "2024-01-01 12:00:00"
     assert row["pdf_url"] == "http://x/pdf/1"
 
@@ -135,7 +135,7 @@ def test_landed_files(spark, tmp_path):
     assert ranked == {"cs.AI": 1, "cs.CL": 2}
     got = accepted_articles(fetched_entries(pages)).orderBy("id").collect()
     assert [(r["id"], r["title"]) for r in got] == [
-        ("1", "A Great Paper"), ("2", "A Great Paper"), ("3", "A Great Paper"),
+        ("1", "On Rivers"), ("2", "On Rivers"), ("3", "On Rivers"),
     ]
     swapped = accepted_articles(fetched_entries(pages, ["cs.CL", "cs.AI"])).filter("id = '2'")
     assert swapped.first()["title"] == "other copy"
@@ -151,7 +151,7 @@ def test_budget_counts_copies_but_only_valid_rows(spark):
     first = feed(entry(id="x/1"), entry(id="x/1"), entry(id="x/bad", title="", summary="z" * 9999))
     pages = page_frame(spark, first, feed(entry(id="x/2")), feed(entry(id="x/3")))
     entries = fetched_entries(pages)
-    size = len("1A Great PaperAbout it.http://x/pdf/1Guidocs.SE".encode()) + 16
+    size = len("1On RiversWater flows.http://x/pdf/1Marycs.SE".encode()) + 16
 
     def ids(budget):
         return sorted(r["id"] for r in accepted_articles(entries, budget).collect())

@@ -17,7 +17,7 @@ from smelter.operators.upsert import (
 )
 from smelter.schemas import BRONZE
 from smelter.sources import paging
-from smelter.sources.paging import in_category, newest_first, page
+from smelter.sources.paging import in_category, page
 
 NEWER = "s.u > t.u"
 
@@ -195,7 +195,7 @@ def test_pages_near_and_deep_agree(spark, monkeypatch):
     want = [r[0] for r in sorted(want, key=lambda r: r[2], reverse=True)]
 
     def fetch(start, n):
-        return [r["id"] for r in page(df, in_category("x"), newest_first(), start, n).collect()]
+        return [r["id"] for r in page(df, in_category("x"), start, n).collect()]
 
     cases = [(0, 10), (10, 10), (60, 30), (200, 5)]
     near = [fetch(*case) for case in cases]

@@ -147,7 +147,7 @@ def test_all_layers(spark, tmp_path):
     assert all(r["passed"] for r in report.collect()) and report.count() == 7
     qa.assert_quality(report)
     assert {r["id"]: r["title"] for r in spark.table(where.bronze).collect()} == {
-        "1v1": "A Great Paper", "3v1": "A Great Paper",
+        "1v1": "On Rivers", "3v1": "On Rivers",
     }
     assert spark.table(where.rejects).count() == 2
     got = {(r["publication_year"], r["category_name"]): r["paper_count"] for r in spark.table(where.fact).collect()}
@@ -161,7 +161,7 @@ def test_all_layers(spark, tmp_path):
     assert load_bronze(page_frame(spark, newer), where)["n_updated"] == 1
     load_silver(spark, where)
     assert {(r["id"], r["title"], r["publication_year"]) for r in spark.table(where.silver).collect()} == {
-        ("1v1", "new", 2025), ("3v1", "A Great Paper", 2024),
+        ("1v1", "new", 2025), ("3v1", "On Rivers", 2024),
     }
     # Nothing valid: the target stays as it is.
     assert load_bronze(page_frame(spark, feed()), where)["n_inserted"] == 0
@@ -202,7 +202,7 @@ def test_stream_equals_batch_and_survives_replay(spark, tmp_path):
         rows = spark.table("streamed.bronze").select("id", "title").collect()
         return len(batches), sorted(tuple(r) for r in rows)
 
-    want = [("1", "A Great Paper"), ("2", "A Great Paper"), ("3", "A Great Paper")]
+    want = [("1", "On Rivers"), ("2", "On Rivers"), ("3", "On Rivers")]
     assert run("c1") == (2, want)
     land(tmp_path, "cs.CL", 0, feed(entry(id="x/2", title="new", updated="2025-01-01T00:00:00Z")))
     want[1] = ("2", "new")

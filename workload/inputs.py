@@ -121,7 +121,7 @@ def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     page collects more than ``PAGE_DOCUMENTS`` entries.
     """
     key = F.col("doc_id")
-    start = F.floor(key / PAGE_DOCUMENTS) * PAGE_DOCUMENTS
+    start = key - F.pmod(key, F.lit(PAGE_DOCUMENTS))
     entries = (
         table(spark, sf_dir, "documents")
         .withColumn("category", F.explode(F.array(F.col("lang"), F.lit("mixed"))))

@@ -257,7 +257,7 @@ ORACLES = {
             CAST(count(l_orderkey) AS BIGINT) AS paper_count
         FROM listed l LEFT JOIN {_PART_NAME} n ON n.code = lower(l.code) GROUP BY ALL""",
     "silver_transform": f"WITH {_SILVER} SELECT {_SILVER_SHOWN} FROM silver",
-    "silver_transform_merged": f"""WITH {_SILVER},
+    "silver_transform_grouped": f"""WITH {_SILVER},
         doubled AS (SELECT * REPLACE (list_sort(list_concat(categories, categories)) AS categories)
             FROM silver)
         SELECT {_SILVER_SHOWN} FROM doubled""",
@@ -320,7 +320,7 @@ ORACLES = {
     "contract_valid": f"WITH {_DEFECTIVE} SELECT {_ARTICLE_SHOWN} FROM defective WHERE {_VALID}",
     "contract_rejects": f"""WITH {_DEFECTIVE}
         SELECT title, pdf_url, {_BROKEN} AS violations FROM defective WHERE NOT ({_VALID})""",
-    "contract_reject_counts": f"WITH {_DEFECTIVE} {_rule_counts('defective', _RULES)}",
+    "reject_counts": f"WITH {_DEFECTIVE} {_rule_counts('defective', _RULES)}",
     "page_bytes": f"WITH {_PAGED} SELECT * FROM sized",
     "pages_within_budget": f"""WITH {_PAGED}
         SELECT category_ordinal, page_start, page_bytes, bytes_before FROM running
@@ -332,6 +332,9 @@ ORACLES = {
         SELECT {_ARTICLE_SHOWN} FROM (
             SELECT * FROM articles WHERE list_contains(categories, 'cs.AI')
             ORDER BY published_date DESC, id LIMIT 100 OFFSET 25)""",
+    "page_beyond_top_k": f"""WITH {_ARTICLES}
+        SELECT {_ARTICLE_SHOWN} FROM (
+            SELECT * FROM articles ORDER BY published_date, id DESC LIMIT 500)""",
     "page_order_numbers": f"""WITH {_ARTICLES}
         SELECT id, {_time("published_date")},
             row_number() OVER (ORDER BY articles.published_date DESC, id) AS position

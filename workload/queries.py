@@ -28,7 +28,9 @@ from smelter.session import scratch_path, shared_folder
 from smelter.sources.feed import (
     parse_pages, read_page_stream, read_page_table, read_pages, scan_entries,
 )
-from smelter.sources.paging import in_category, newest_first, page
+from smelter.sources.paging import (
+    NEWEST_FIRST, TOP_K_ROWS, in_category, page, sort_columns,
+)
 from smelter.sources.tables import (
     ensure_schema, ensure_table, overwrite_table, scan, truncate_table, upsert_table,
 )
@@ -81,7 +83,7 @@ def silver_transform(spark, sf_dir):
     return shown(silver_papers(order_articles(spark, sf_dir)))
 
 
-def silver_transform_merged(spark, sf_dir):
+def silver_transform_grouped(spark, sf_dir):
     articles = order_articles(spark, sf_dir)
     merged = silver_papers_merged(articles.unionByName(articles))
     return shown(merged.withColumn("categories", F.sort_array("categories")))
@@ -226,7 +228,7 @@ def paged_documents(spark, sf_dir):
     ordinal = F.array_position(F.array(*[F.lit(c) for c in FEED_CODES]), F.col("lang"))
     return table(spark, sf_dir, "documents").select(
         ordinal.cast("int").alias("category_ordinal"),
-        (F.floor(F.col("doc_id") / 50) * 50).alias("page_start"),
+        (F.col("doc_id") - F.pmod("doc_id", F.lit(50))).alias("page_start"),
         "doc_id",
         text_bytes("text").alias("n_bytes"),
     )
@@ -246,13 +248,19 @@ def admit_by_budget(spark, sf_dir):
 
 
 def page_by_category(spark, sf_dir):
-    found = page(order_articles(spark, sf_dir), in_category("cs.AI"), newest_first(), 25, 100)
-    return shown(found)
+    return shown(page(order_articles(spark, sf_dir), in_category("cs.AI"), 25, 100))
+
+
+def page_beyond_top_k(spark, sf_dir):
+    """A page so deep that the sort keys are numbered: the last articles of all."""
+    articles = order_articles(spark, sf_dir)
+    last = articles.count()
+    return shown(page(articles, F.lit(True), last - 500, TOP_K_ROWS))
 
 
 def page_order_numbers(spark, sf_dir):
     articles = order_articles(spark, sf_dir).select("id", "published_date")
-    return shown(number_rows(articles, newest_first(), "position"))
+    return shown(number_rows(articles, sort_columns(NEWEST_FIRST), "position"))
 
 
 # Text
@@ -419,7 +427,7 @@ QUERIES = {
     "publication_trends": trends,
     "part_type_trends": part_type_trends,
     "silver_transform": silver_transform,
-    "silver_transform_merged": silver_transform_merged,
+    "silver_transform_grouped": silver_transform_grouped,
     "category_normalize": category_normalize,
     "category_dim": category_dimension,
     "left_join_fallback": left_join_fallback,
@@ -436,11 +444,12 @@ QUERIES = {
     "keep_last_by_key": keep_last_by_key,
     "contract_valid": contract_valid,
     "contract_rejects": contract_rejects,
-    "contract_reject_counts": contract_reject_counts,
+    "reject_counts": contract_reject_counts,
     "page_bytes": page_bytes,
     "pages_within_budget": pages_within_budget,
     "admit_by_budget": admit_by_budget,
     "page_by_category": page_by_category,
+    "page_beyond_top_k": page_beyond_top_k,
     "page_order_numbers": page_order_numbers,
     "latest_path_segment": latest_path_segment,
     "strip_text": strip_text,
