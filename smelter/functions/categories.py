@@ -29,7 +29,10 @@ def normalize_categories(categories: Column) -> Column:
     joined = F.array_join(categories, ",")
     cut = F.regexp_replace(F.regexp_replace(joined, DASH_NOTE, ""), PARENTHETICAL, "")
     trimmed = F.trim(F.regexp_replace(cut, " *, *", ","))
+    # Most lists are clean: without these characters there is nothing to cut or trim.
+    messy = joined.contains("-") | joined.contains("(") | joined.contains(" ")
+    tidy = F.when(messy, trimmed).otherwise(joined)
     completed = F.regexp_replace(
-        F.lower(trimmed), "(^|,)([^,.]+)(?=,|\\z)", "$1$2" + GENERIC_SUFFIX
+        F.lower(tidy), "(^|,)([^,.]+)(?=,|\\z)", "$1$2" + GENERIC_SUFFIX
     )
     return F.array_remove(F.array_remove(F.split(completed, ","), ""), GENERIC_SUFFIX)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from smelter.functions.categories import normalize_categories
@@ -11,12 +11,16 @@ from smelter.schemas import SILVER, SILVER_COLUMNS
 from smelter.sources.tables import ensure_table, upsert_table
 
 
+def publication_year() -> Column:
+    """Year a paper is filed under, from its publication time or date."""
+    return F.year(as_date(F.col("published_date")))
+
+
 def silver_papers(articles: DataFrame) -> DataFrame:
     """Dates, publication year and clean categories; papers left without any vanish.
 
     One narrow stage: a row in is at most one row out, nothing is shuffled.
     """
-    published = as_date(F.col("published_date"))
     nothing = F.array().cast("array<string>")
     codes = F.coalesce(normalize_categories(F.col("categories")), nothing)
     # Dropping rows by exploding none or one list, not by a filter on its size: a filter
@@ -28,10 +32,10 @@ def silver_papers(articles: DataFrame) -> DataFrame:
         "summary",
         "authors",
         kept.alias("categories"),
-        published.alias("published_date"),
+        as_date(F.col("published_date")).alias("published_date"),
         as_date(F.col("updated_date")).alias("updated_date"),
         "pdf_url",
-        F.year(published).alias("publication_year"),
+        publication_year().alias("publication_year"),
     )
 
 
@@ -60,6 +64,6 @@ def ensure_silver(spark, name: str, location: str | None = None, using: str = "p
     ensure_table(spark, name, SILVER, ["publication_year"], location, using)
 
 
-def upsert_silver(papers: DataFrame, name: str) -> dict[str, int]:
+def upsert_silver(papers: DataFrame, name: str, small_source: bool = False) -> dict[str, int]:
     """Replace stored papers by id. The papers come from a table with unique ids."""
-    return upsert_table(name, papers, ["id"], on_duplicates="trusted", small_source=False)
+    return upsert_table(name, papers, ["id"], on_duplicates="trusted", small_source=small_source)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,11 @@ def _properties(spark: SparkSession, name: str) -> dict[str, str]:
     return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
 
 
+def _is_ours(spark: SparkSession, name: str) -> bool:
+    """Whether the table is kept as snapshots, not by a format with transactions of its own."""
+    return _ROOT in _properties(spark, name)
+
+
 def partition_columns(spark: SparkSession, name: str) -> list[str]:
     """Partition columns of a table made by :func:`ensure_table`."""
     return [part for part in _properties(spark, name)[_PARTS].split(",") if part]
@@ -92,7 +98,7 @@ def _publish(df: DataFrame, name: str, parts: Sequence[str], replaced: set[str],
         seen = _write(df, columns, path, parts, metrics)
         spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
     else:
-        folders = F.collect_set(_folder(parts)).alias("folders")
+        folders = F.collect_set(partition_folder(parts)).alias("folders")
         # Files of even size: small partitions are gathered, a hot one is split.
         seen = _write(df.hint("rebalance", *parts), columns, path, parts, [*metrics, folders])
         written = set(seen.pop("folders"))
@@ -117,7 +123,7 @@ def _write(df: DataFrame, columns, path: str, parts, metrics) -> dict:
     return seen.get if metrics else {}
 
 
-def _folder(parts: Sequence[str]) -> Column:
+def partition_folder(parts: Sequence[str]) -> Column:
     """Folder of a row's partition, as the writer names it.
 
     Only plain values are taken, so that no name has to be escaped.
@@ -136,8 +142,12 @@ def _folder(parts: Sequence[str]) -> Column:
     return F.concat_ws("/", *pieces)
 
 
-def _in_folders(df: DataFrame, parts: Sequence[str], folders: set[str]) -> Column:
-    """Plain comparisons on the partition columns, so the catalog prunes by them."""
+def _part_names(folders: set[str]) -> list[str]:
+    return [piece.partition("=")[0] for folder in list(folders)[:1] for piece in folder.split("/")]
+
+
+def in_partitions(df: DataFrame, parts: Sequence[str], folders: set[str]) -> Column:
+    """Rows of the named partitions, as plain comparisons by which the catalog prunes."""
     values = [dict(piece.split("=", 1) for piece in folder.split("/")) for folder in folders]
     inside = F.lit(bool(folders))
     for part in parts:
@@ -165,9 +175,21 @@ def _spec(folder: str) -> str:
 
 def overwrite_table(df: DataFrame, name: str) -> None:
     """Replace the whole content; columns are matched by name."""
-    parts = partition_columns(df.sparkSession, name)
-    held = _held_folders(df.sparkSession, name) if parts else set()
-    _publish(df, name, parts, held)
+    spark = df.sparkSession
+    if not _is_ours(spark, name):
+        df.writeTo(name).overwrite(F.lit(True))
+        return
+    parts = partition_columns(spark, name)
+    _publish(df, name, parts, _held_folders(spark, name) if parts else set())
+
+
+def replace_partitions(df: DataFrame, name: str, folders: set[str]) -> None:
+    """Replace the content of some partitions by the frame, which holds rows of no others."""
+    spark = df.sparkSession
+    if not _is_ours(spark, name):
+        df.writeTo(name).overwrite(in_partitions(spark.table(name), _part_names(folders), folders))
+        return
+    _publish(df, name, partition_columns(spark, name), folders)
 
 
 def truncate_table(spark: SparkSession, name: str) -> None:
@@ -207,7 +229,7 @@ def upsert_table(
     the measuring.
     """
     spark = source.sparkSession
-    if _ROOT not in _properties(spark, name):
+    if not _is_ours(spark, name):
         source.createOrReplaceTempView("upsert_source")
         spark.sql(merge_statement(name, "upsert_source", keys, when_matched))
         return {}
@@ -221,7 +243,7 @@ def upsert_table(
         source, touched = _changes(target, source, keys, when_matched, parts, small_source)
         if not touched:
             return {"n_inserted": 0, "n_updated": 0, "n_unchanged": 0}
-        target = target.filter(_in_folders(target, parts, touched))
+        target = target.filter(in_partitions(target, parts, touched))
     merged = upsert_actions(
         target, source, keys, when_matched, on_duplicates="trusted", small_source=small_source
     )
@@ -248,6 +270,12 @@ def _changes(target, source, keys, when_matched, parts, small) -> tuple[DataFram
         lost = hits.filter("NOT wins").select("s.*").select(*keys)
         # At most one per source row, so as small as the source.
         source = new_rows(F.broadcast(lost) if small else lost, source, keys)
-    left = hits.filter("wins").select("t.*").select(_folder(parts).alias("folder"))
-    names = left.unionByName(source.select(_folder(parts).alias("folder"))).groupBy("folder")
-    return source, {row["folder"] for row in names.count().collect()}
+    left = hits.filter("wins").select("t.*")
+    return source, folder_names(parts, left, source)
+
+
+def folder_names(parts: Sequence[str], *frames: DataFrame) -> set[str]:
+    """Names of all partitions the frames have rows in: one per partition, never rows."""
+    named = [df.select(partition_folder(parts).alias("folder")) for df in frames]
+    names = reduce(DataFrame.unionByName, named).groupBy("folder").count()
+    return {row["folder"] for row in names.collect()}

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from smelter.plans import quality as qa
 from smelter.plans.gold import category_dim, named_codes, publication_trends, trend_counts
-from smelter.plans.medallion import Layout, load_bronze, load_silver, run_medallion
+from smelter.plans.medallion import (
+    NOTHING_DONE, Layout, ensure_layers, load_bronze, load_increment, load_silver, run_medallion,
+)
 from smelter.plans.silver import silver_papers, silver_papers_merged
 from smelter.schemas import BRONZE, CATEGORY_CODES, DIM, FACT, SILVER_COLUMNS
 from smelter.session import get_session, shared_folder, staged
@@ -168,6 +170,63 @@ def test_all_layers(spark, tmp_path):
     assert spark.table(where.bronze).count() == 2
 
 
+def test_increments_equal_full_runs(spark, tmp_path):
+    rng = random.Random(11)
+    full, steps = layout(tmp_path / "a", "full"), layout(tmp_path / "b", "steps")
+    terms = ["cs.AI", "cs.SE (x)", "ml", "math.CO - y", "cs.CL,cs.DB", " (junk)"]
+
+    def batch(n):
+        picked = [
+            entry(
+                id=f"x/{rng.randrange(12)}",
+                title=f"T{rng.randrange(99)}" if rng.random() > 0.1 else "",
+                terms=rng.sample(terms, rng.choice([1, 1, 2])),
+                published=f"{rng.choice([2021, 2022, 2023])}-0{rng.randrange(1, 9)}-01T00:00:00Z",
+                updated=f"2024-0{rng.randrange(1, 9)}-01T00:00:00Z",
+            )
+            for _ in range(n)
+        ]
+        return page_frame(spark, feed(*picked[:n // 2]), feed(*picked[n // 2:]))
+
+    def state(where):
+        shape = lambda name, *cols: sorted(str(r) for r in spark.table(name).select(*cols).collect())
+        return (
+            shape(where.bronze, "id", "title", "updated_date", "published_month"),
+            shape(where.silver, "id", "title", "categories", "publication_year"),
+            shape(where.fact, "publication_year", "category_name", "paper_count"),
+            shape(where.dim, "category_code", "category_name"),
+            spark.table(where.rejects).count(),
+        )
+
+    ensure_layers(spark, steps)
+    for n in (8, 6, 1, 5):
+        pages = batch(n)
+        run_medallion(pages, full)
+        load_increment(pages, steps)
+        assert state(steps) == state(full)
+    assert load_increment(pages, steps) == NOTHING_DONE and state(steps) == state(full)
+
+
+def test_a_broken_increment_can_be_repeated(spark, tmp_path, monkeypatch):
+    from smelter.plans import medallion
+
+    where = layout(tmp_path, "broken")
+    ensure_layers(spark, where)
+    load_increment(page_frame(spark, feed(entry(id="x/1"), entry(id="x/2"))), where)
+    moved = page_frame(spark, feed(
+        entry(id="x/1", published="2030-01-01T00:00:00Z", updated="2031-01-01T00:00:00Z"),
+        entry(id="x/2", published="2030-01-01T00:00:00Z", updated="2031-01-01T00:00:00Z"),
+    ))
+    for step in ("refresh_gold", "upsert_bronze"):
+        with monkeypatch.context() as broken:
+            broken.setattr(medallion, step, lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError):
+                load_increment(moved, where)
+    assert load_increment(moved, where)["n_updated"] == 2
+    got = [tuple(r) for r in spark.table(where.fact).select("publication_year", "paper_count").collect()]
+    assert got == [(2030, 2)]
+
+
 def test_silver_keeps_papers_bronze_lost_unless_truncated(spark, tmp_path):
     where = layout(tmp_path, "trunc")
     run_medallion(page_frame(spark, feed(entry(id="x/1"), entry(id="x/2"))), where)

@@ -113,7 +113,7 @@ def test_partition_pruning_reads_only_touched_folders(spark, schema, tmp_path):
     name = fresh(spark, schema, "prune", ("year",), tmp_path)
     tb.overwrite_table(frame(spark, [("a", 1, 2022), ("b", 2, 2023), ("c", 3, 2024)]), name)
     target = spark.table(name)
-    pruned = target.filter(tb._in_folders(target, ["year"], {"year=2023"}))
+    pruned = target.filter(tb.in_partitions(target, ["year"], {"year=2023"}))
     plan = pruned._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
     assert [r["id"] for r in pruned.collect()] == ["b"]

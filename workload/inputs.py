@@ -114,9 +114,11 @@ def part_categories() -> list[Column]:
     ]
 
 
-def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feed_pages(spark: SparkSession, sf_dir: str, days_later: int = 0) -> DataFrame:
     """Documents as Atom pages: each document under its language and under ``mixed``.
 
+    ``days_later`` moves all times, as in a later fetch of newer versions.
+
     A page holds a fixed range of document ids, so however large a category is, no
     page collects more than ``PAGE_DOCUMENTS`` entries.
     """
@@ -125,7 +127,7 @@ def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = (
         table(spark, sf_dir, "documents")
         .withColumn("category", F.explode(F.array(F.col("lang"), F.lit("mixed"))))
-        .select("category", start.alias("start"), "doc_id", _entry(key).alias("entry"))
+        .select("category", start.alias("start"), "doc_id", _entry(key, days_later).alias("entry"))
     )
     head = '<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom">'
     body = F.array_join(F.transform("entries", lambda e: e["entry"]), "")
@@ -140,12 +142,14 @@ def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _entry(key: Column) -> Column:
+def _entry(key: Column, days_later: int) -> Column:
     """One entry, well formed but with a broken field in some documents."""
     text = key.cast("string")
     case = F.pmod(key, F.lit(50))
     stamp = F.timestamp_add(
-        "DAY", F.pmod(key, F.lit(3650)).cast("int"), F.lit("2015-01-01").cast("timestamp_ntz")
+        "DAY",
+        (F.pmod(key, F.lit(3650)) + days_later).cast("int"),
+        F.lit("2015-01-01").cast("timestamp_ntz"),
     )
     iso = F.concat(F.date_format(stamp, "yyyy-MM-dd"), F.lit("T06:30:00Z"))
     later = F.concat(F.date_format(stamp, "yyyy-MM-dd"), F.lit("T18:30:00+01:00"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from smelter.functions.text import WHITESPACE
 from smelter.schemas import CATEGORY_NAMES
 from workload.inputs import FEED_CODES, NOT_XML
-from workload.queries import BUDGET
+from workload.queries import BUDGET, LATER
 
 
 def _list(values) -> str:
@@ -377,6 +377,8 @@ ORACLES = {
     "stream_upsert": f"WITH {_ACCEPTED} SELECT {_ARTICLE_SHOWN} FROM accepted",
     "layers_fact": f"""WITH {_LAYER_FACT}
         SELECT publication_year, category_name, paper_count FROM fact""",
+    "layers_increment": f"""WITH {_LAYER_FACT.replace("2015-01-01' +", f"2015-01-01' + to_days({LATER}) +")}
+        SELECT publication_year, category_name, paper_count FROM fact""",
     "layers_silver": f"WITH {_LAYER_SILVER} SELECT {_SILVER_SHOWN} FROM silver",
     "layers_quality": f"WITH {_LAYER_FACT} {_CHECKS}",
 }
