@@ -51,19 +51,22 @@ def ensure_table(
     location: str | None = None,
     using: str = "parquet",
 ) -> None:
-    """Create the table unless it exists."""
+    """Create the table unless it exists, by default below the folder of its schema.
+
+    A parquet table always gets a location of its own, so that the catalog never deletes
+    files when a partition or the table is dropped.
+    """
     if table_exists(spark, name):
         return
+    kept = ""
+    if using == "parquet":
+        schema, _, table = name.rpartition(".")
+        home = spark.catalog.getDatabase(schema or spark.catalog.currentDatabase()).locationUri
+        location = (location or f"{home}/{table}").rstrip("/")
+        kept = f" TBLPROPERTIES ('{_ROOT}' = '{location}', '{_PARTS}' = '{','.join(partition_by)}')"
     parts = f" PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
     at = f" LOCATION '{location}'" if location else ""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING {using}{parts}{at}")
-    if using == "parquet":
-        described = spark.sql(f"DESCRIBE TABLE EXTENDED {name}")
-        root = described.filter("col_name = 'Location'").first()["data_type"]
-        spark.sql(
-            f"ALTER TABLE {name} SET TBLPROPERTIES "
-            f"('{_ROOT}' = '{root.rstrip('/')}', '{_PARTS}' = '{','.join(partition_by)}')"
-        )
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING {using}{parts}{at}{kept}")
 
 
 def _properties(spark: SparkSession, name: str) -> dict[str, str]:
@@ -108,9 +111,7 @@ def _publish(df: DataFrame, name: str, parts: Sequence[str], replaced: set[str],
         added = [f"{_spec(f)} LOCATION '{path}/{f}'" for f in sorted(written - held)]
         if added:
             spark.sql(f"ALTER TABLE {name} ADD {' '.join(added)}")
-        emptied = [_spec(f) for f in sorted((replaced & held) - written)]
-        if emptied:
-            spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {', '.join(emptied)}")
+        _drop_folders(spark, name, (replaced & held) - written)
     spark.catalog.refreshTable(name)
     return seen
 
@@ -165,6 +166,12 @@ def _held_folders(spark: SparkSession, name: str) -> set[str]:
     return {row["partition"] for row in spark.sql(f"SHOW PARTITIONS {name}").collect()}
 
 
+def _drop_folders(spark: SparkSession, name: str, folders: set[str]) -> None:
+    if folders:
+        specs = ", ".join(_spec(folder) for folder in sorted(folders))
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {specs}")
+
+
 def _spec(folder: str) -> str:
     pairs = []
     for piece in folder.split("/"):
@@ -194,7 +201,12 @@ def replace_partitions(df: DataFrame, name: str, folders: set[str]) -> None:
 
 def truncate_table(spark: SparkSession, name: str) -> None:
     """Empty the table. It keeps its definition; files being read are left alone."""
-    overwrite_table(spark.table(name).limit(0), name)
+    if not _is_ours(spark, name):
+        spark.sql(f"TRUNCATE TABLE {name}")
+    elif partition_columns(spark, name):
+        _drop_folders(spark, name, _held_folders(spark, name))
+    else:
+        overwrite_table(spark.table(name).limit(0), name)
 
 
 def merge_statement(

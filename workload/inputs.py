@@ -124,11 +124,12 @@ def feed_pages(spark: SparkSession, sf_dir: str, days_later: int = 0) -> DataFra
     """
     key = F.col("doc_id")
     start = key - F.pmod(key, F.lit(PAGE_DOCUMENTS))
-    entries = (
-        table(spark, sf_dir, "documents")
-        .withColumn("category", F.explode(F.array(F.col("lang"), F.lit("mixed"))))
-        .select("category", start.alias("start"), "doc_id", _entry(key, days_later).alias("entry"))
+    documents = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", _escaped(F.col("source")).alias("source"), _escaped(F.col("text")).alias("text")
     )
+    entries = documents.withColumn(
+        "category", F.explode(F.array(F.col("lang"), F.lit("mixed")))
+    ).select("category", start.alias("start"), "doc_id", _entry(key, days_later).alias("entry"))
     head = '<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom">'
     body = F.array_join(F.transform("entries", lambda e: e["entry"]), "")
     return (
@@ -160,11 +161,11 @@ def _entry(key: Column, days_later: int) -> Column:
             F.concat(F.lit("<title> Document "), text, F.lit(" via "), "category", F.lit("</title>"))
         ),
         F.lit("<summary>\n  "),
-        F.when(case == 17, " ").otherwise(_escaped(F.col("text"))),
+        F.when(case == 17, " ").otherwise(F.col("text")),
         F.lit(" \n</summary>"),
         F.when(case == 7, "").otherwise(
             F.concat(
-                F.lit("<author><name>"), _escaped(F.col("source")),
+                F.lit("<author><name>"), "source",
                 F.lit("</name></author><author><name>A &amp; B</name></author>"),
             )
         ),
