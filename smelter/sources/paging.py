@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from smelter.operators.bounds import MAX_BROADCAST_ROWS
 from smelter.operators.numbering import number_rows
 
-# Up to here a top-k heap per task is cheap; deeper pages number the rows instead.
-TOP_K_ROWS = 100_000
+# Up to here a page comes from a top-k heap of sort keys in every task, merged in one.
+TOP_K_ROWS = 2_000
 
 
 def in_category(code: str) -> Column:
@@ -38,21 +38,24 @@ def page(
 ) -> DataFrame:
     """Rows ``start`` up to ``start + max_results`` of the filtered, ordered articles.
 
-    A deep offset would pull all skipped rows into one task. Beyond a bound the sort
-    keys alone are numbered by a distributed sort, and the rows of the page are fetched
-    by ``key``, which has to be unique.
+    The page is found on the sort keys alone; its rows are then fetched by ``key``, which
+    has to be unique. Every task of a top-k sends all rows up to the end of the page to a
+    single one, so that serves pages near the top; the sort keys of deeper pages are
+    numbered by a distributed sort.
     """
     found = df.filter(predicate)
     keys = sort_columns(order)
-    if start + max_results <= TOP_K_ROWS:
-        return found.orderBy(*keys).offset(start).limit(max_results)
-    number = F.col("_number")
     narrow = found.select(*dict.fromkeys([key, *(name.lstrip("-") for name in order)]))
-    wanted = (
-        number_rows(narrow, keys, "_number")
-        .filter((number > start) & (number <= start + max_results))
-        .select(key, "_number")
-    )
-    if max_results <= MAX_BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    return found.join(wanted, key).orderBy(number).select(found.columns)
+    if start + max_results <= TOP_K_ROWS:
+        wanted = narrow.orderBy(*keys).offset(start).limit(max_results)
+    else:
+        number = F.col("_number")
+        inside = (number > start) & (number <= start + max_results)
+        wanted = number_rows(narrow, keys, "_number").filter(inside)
+    wanted = wanted.select(key)
+    if max_results > MAX_BROADCAST_ROWS:
+        return found.join(wanted, key, "left_semi").orderBy(*keys)
+    # The limit removes nothing; it spares a small page the sampling of a global sort,
+    # which would read the articles once more.
+    rows = found.join(F.broadcast(wanted), key, "left_semi")
+    return rows.orderBy(*keys).limit(max_results)

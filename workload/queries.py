@@ -258,7 +258,7 @@ def page_beyond_top_k(spark, sf_dir):
     """A page so deep that the sort keys are numbered: the last articles of all."""
     articles = order_articles(spark, sf_dir)
     last = articles.count()
-    return shown(page(articles, F.lit(True), last - 500, TOP_K_ROWS))
+    return shown(page(articles, F.lit(True), last - 500, TOP_K_ROWS + 1))
 
 
 def page_order_numbers(spark, sf_dir):
