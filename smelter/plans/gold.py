@@ -22,7 +22,8 @@ def category_dim(
     names: Mapping[str, str] = CATEGORY_NAMES,
 ) -> DataFrame:
     """The category dimension for a list of codes."""
-    return named_codes(spark.createDataFrame([(c,) for c in codes], "category_code string"), names)
+    listed = F.explode(F.array(*[F.lit(code) for code in codes]))
+    return named_codes(spark.range(0, 1, 1, 1).select(listed.alias("category_code")), names)
 
 
 def trend_counts(papers: DataFrame, dim: DataFrame) -> DataFrame:

@@ -79,6 +79,18 @@ def test_prefixed_and_cdata_feeds(spark):
     assert (row["id"], row["title"]) == ("7", "a < b")
 
 
+def test_attributes_foreign_elements_and_byte_order_marks(spark):
+    rich = (
+        '<entry xmlns:f="http://f"><id>x/1</id><title type="html">T</title><summary>S</summary>'
+        "<author><name>A</name><f:affiliation>U</f:affiliation></author><f:comment>c</f:comment>"
+        '<f:primary_category term="cs.XX"/><category term="cs.AI" scheme="s"/></entry>'
+    )
+    for payload in (feed(rich), "\ufeff" + feed(rich), feed(rich) + "\n"):
+        row = parse_pages(page_frame(spark, payload)).first()
+        assert (row["id"], row["title"], row["summary"]) == ("1", "T", "S")
+        assert (row["authors"], row["categories"]) == (["A"], ["cs.AI"])
+
+
 def test_positions_pages_and_empty_feeds(spark):
     two = feed(entry(id="x/1"), entry(id="x/2"))
     rows = parse_pages(page_frame(spark, two, feed(), two)).collect()
