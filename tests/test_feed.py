@@ -159,6 +159,26 @@ def test_landed_files(spark, tmp_path):
     assert accepted_articles(fetched_entries(table)).count() == 3
 
 
+def test_a_huge_dump_is_read_by_many_tasks(spark, tmp_path):
+    dump = tmp_path / "dump.xml"
+    entries = [entry(id=f"x/{i}", summary="line\n" * 500 + str(i)) for i in range(400)]
+    entries[7] = "<entry><id>x/7</id><title>cut off</entry>"
+    dump.write_text(feed("\n".join(entries)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+    try:
+        scanned = scan_entries(spark, str(dump))
+        assert scanned.select(F.spark_partition_id()).distinct().count() > 4
+        ids = sorted(int(r["id"]) for r in valid_rows(scanned, feed_rules()).collect())
+        assert ids == [i for i in range(400) if i != 7]
+        assert [r[VIOLATIONS][0] for r in rejected_rows(scanned, feed_rules()).collect()] == [
+            "page_well_formed"
+        ]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    dump.write_text(feed(entry(id="x/1")).replace("<entry>", "<a:entry>").replace("</entry>", "</a:entry>"))
+    assert [r["id"] for r in scan_entries(spark, str(dump), "a:entry").collect()] == ["1"]
+
+
 def test_budget_counts_copies_but_only_valid_rows(spark):
     first = feed(entry(id="x/1"), entry(id="x/1"), entry(id="x/bad", title="", summary="z" * 9999))
     pages = page_frame(spark, first, feed(entry(id="x/2")), feed(entry(id="x/3")))

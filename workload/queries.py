@@ -373,7 +373,8 @@ def atom_feed_parse(spark, sf_dir):
 
 
 def atom_entry_scan(spark, sf_dir):
-    return shown(scan_entries(spark, f"{landed_feed(spark, sf_dir)}/*/*/*.txt"))
+    entries = scan_entries(spark, f"{landed_feed(spark, sf_dir)}/*/*/*.txt")
+    return shown(entries.drop("_malformed_page"))
 
 
 def feed_reject_counts(spark, sf_dir):
