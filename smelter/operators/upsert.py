@@ -87,6 +87,24 @@ def _wins(when_matched: str | None) -> Column:
     return F.lit(True) if when_matched is None else F.coalesce(F.expr(when_matched), F.lit(False))
 
 
+def within_key_range(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Target rows whose keys lie between the least and the greatest of the source.
+
+    No other row can match. The bounds reach the scan as plain comparisons, so of files
+    kept in key order only the row groups near the source are read.
+    """
+    bounds = source.agg(
+        *[F.min(key).alias(f"min_{key}") for key in keys],
+        *[F.max(key).alias(f"max_{key}") for key in keys],
+    ).first()
+    inside = F.lit(True)
+    for key in keys:
+        kind = target.schema[key].dataType
+        low, high = (F.lit(bounds[f"{end}_{key}"]).cast(kind) for end in ("min", "max"))
+        inside = inside & F.col(key).between(low, high)
+    return target.filter(inside)
+
+
 def matched_rows(
     target: DataFrame, source: DataFrame, keys: Sequence[str], when_matched: str | None = None
 ) -> DataFrame:

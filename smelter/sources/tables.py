@@ -18,10 +18,14 @@ from pyspark.sql import functions as F
 from smelter.operators.bounds import is_small
 from smelter.operators.upsert import (
     ACTION, INSERT, KEEP, UPDATE, matched_rows, new_rows, prepare_source, upsert_actions,
+    within_key_range,
 )
 
 # Table properties: where snapshots go, and the partition columns.
 _ROOT, _PARTS = "smelter.root", "smelter.partitions"
+# Partitions named in one catalog statement.
+_PER_STATEMENT = 200
+
 _NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -87,38 +91,49 @@ def _new_snapshot(spark: SparkSession, name: str) -> str:
     return f"{_properties(spark, name)[_ROOT]}/_snapshots/{uuid.uuid4().hex}"
 
 
-def _publish(df: DataFrame, name: str, parts: Sequence[str], replaced: set[str], *metrics) -> dict:
+def _publish(
+    df: DataFrame,
+    name: str,
+    parts: Sequence[str],
+    replaced: set[str],
+    metrics: Sequence[Column] = (),
+    keys: Sequence[str] = (),
+) -> dict:
     """Write a new snapshot and point the table, or its partitions, at it.
 
     ``replaced`` names the partition folders whose old content ends here; those without
     a row in the new snapshot are dropped. Partitions outside of it are not touched.
     Metrics are observed in the writing stage, whose tasks count once even if run twice.
+    Files are kept in the order of ``keys``, so that later scans can skip by them.
     """
     spark = df.sparkSession
     path = _new_snapshot(spark, name)
     columns = spark.table(name).columns
     if not parts:
-        seen = _write(df, columns, path, parts, metrics)
+        seen = _write(df, columns, path, parts, metrics, keys)
         spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
     else:
         folders = F.collect_set(partition_folder(parts)).alias("folders")
         # Files of even size: small partitions are gathered, a hot one is split.
-        seen = _write(df.hint("rebalance", *parts), columns, path, parts, [*metrics, folders])
+        even = df.hint("rebalance", *parts)
+        seen = _write(even, columns, path, parts, [*metrics, folders], keys)
         written = set(seen.pop("folders"))
         held = _held_folders(spark, name)
         for folder in sorted(written & held):
             spark.sql(f"ALTER TABLE {name} {_spec(folder)} SET LOCATION '{path}/{folder}'")
         added = [f"{_spec(f)} LOCATION '{path}/{f}'" for f in sorted(written - held)]
-        if added:
-            spark.sql(f"ALTER TABLE {name} ADD {' '.join(added)}")
+        for at in range(0, len(added), _PER_STATEMENT):
+            spark.sql(f"ALTER TABLE {name} ADD {' '.join(added[at:at + _PER_STATEMENT])}")
         _drop_folders(spark, name, (replaced & held) - written)
     spark.catalog.refreshTable(name)
     return seen
 
 
-def _write(df: DataFrame, columns, path: str, parts, metrics) -> dict:
+def _write(df: DataFrame, columns, path: str, parts, metrics, keys) -> dict:
     seen = Observation()
     df = df.observe(seen, *metrics) if metrics else df
+    # The writer sorts by partition anyway; adding the keys makes it one sort for both.
+    df = df.sortWithinPartitions(*parts, *keys) if keys else df
     writer = df.select(columns).write
     (writer.partitionBy(*parts) if parts else writer).parquet(path)
     return seen.get if metrics else {}
@@ -167,9 +182,9 @@ def _held_folders(spark: SparkSession, name: str) -> set[str]:
 
 
 def _drop_folders(spark: SparkSession, name: str, folders: set[str]) -> None:
-    if folders:
-        specs = ", ".join(_spec(folder) for folder in sorted(folders))
-        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {specs}")
+    specs = [_spec(folder) for folder in sorted(folders)]
+    for at in range(0, len(specs), _PER_STATEMENT):
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS {', '.join(specs[at:at + _PER_STATEMENT])}")
 
 
 def _spec(folder: str) -> str:
@@ -265,9 +280,12 @@ def upsert_table(
         name,
         parts,
         touched,
-        F.count_if(action == INSERT).alias("n_inserted"),
-        F.count_if(action == UPDATE).alias("n_updated"),
-        F.count_if(action == KEEP).alias("n_unchanged"),
+        [
+            F.count_if(action == INSERT).alias("n_inserted"),
+            F.count_if(action == UPDATE).alias("n_updated"),
+            F.count_if(action == KEEP).alias("n_unchanged"),
+        ],
+        keys,
     )
 
 
@@ -277,7 +295,8 @@ def _changes(target, source, keys, when_matched, parts, small) -> tuple[DataFram
     A source row that loses to a stored one is left out here already, or it would look
     new once the partition of its match is not read.
     """
-    hits = matched_rows(target, F.broadcast(source) if small else source, keys, when_matched)
+    near = within_key_range(target, source, keys)
+    hits = matched_rows(near, F.broadcast(source) if small else source, keys, when_matched)
     if when_matched is not None:
         lost = hits.filter("NOT wins").select("s.*").select(*keys)
         # At most one per source row, so as small as the source.

@@ -1,14 +1,15 @@
-"""Landing folder to bronze as a stream of bounded micro-batches."""
+"""Landing folder to bronze, or to all layers, as a stream of bounded micro-batches."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from smelter.plans.bronze import accepted_articles, ensure_bronze, fetched_entries, upsert_bronze
-from smelter.schemas import CATEGORY_CODES
+from smelter.plans.medallion import Layout, ensure_layers, load_increment
+from smelter.schemas import CATEGORY_CODES, CATEGORY_NAMES
 from smelter.session import staged
 
 
@@ -34,8 +35,31 @@ def ingest_stream(
             if not ready.isEmpty():
                 upsert_bronze(ready, table)
 
+    return _available_now(pages, checkpoint, merge)
+
+
+def layers_stream(
+    pages: DataFrame,
+    layout: Layout,
+    checkpoint: str,
+    codes: Sequence[str] = CATEGORY_CODES,
+    names: Mapping[str, str] = CATEGORY_NAMES,
+) -> StreamingQuery:
+    """Bring all pages landed so far through all layers, then stop.
+
+    Each micro-batch is one increment; like it, a batch can be repeated after a failure.
+    """
+    ensure_layers(pages.sparkSession, layout)
+
+    def advance(batch: DataFrame, batch_id: int) -> None:
+        load_increment(batch, layout, codes, names, budget_bytes=None)
+
+    return _available_now(pages, checkpoint, advance)
+
+
+def _available_now(pages: DataFrame, checkpoint: str, each_batch) -> StreamingQuery:
     return (
-        pages.writeStream.foreachBatch(merge)
+        pages.writeStream.foreachBatch(each_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

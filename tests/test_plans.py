@@ -13,7 +13,7 @@ from smelter.plans.silver import silver_papers, silver_papers_merged
 from smelter.schemas import BRONZE, CATEGORY_CODES, DIM, FACT, SILVER_COLUMNS
 from smelter.session import get_session, shared_folder, staged
 from smelter.sources.feed import read_page_stream
-from smelter.streaming.ingest import ingest_stream
+from smelter.streaming.ingest import ingest_stream, layers_stream
 from tests.test_feed import entry, feed, land, page_frame
 
 
@@ -269,6 +269,18 @@ def test_stream_equals_batch_and_survives_replay(spark, tmp_path):
     assert run("c2") == (3, want)  # everything once more, as after a lost checkpoint
 
 
+def test_streamed_layers(spark, tmp_path):
+    land(tmp_path, "cs.AI", 0, feed(entry(id="x/1"), entry(id="x/2", title="")))
+    land(tmp_path, "cs.CL", 0, feed(entry(id="x/1", published="2020-01-01T00:00:00Z",
+                                          updated="2025-01-01T00:00:00Z"), entry(id="x/3")))
+    where = layout(tmp_path / "tables", "stream_layers")
+    pages = read_page_stream(spark, str(tmp_path / "landed"), max_files=1)
+    layers_stream(pages, where, str(tmp_path / "state")).awaitTermination()
+    got = [tuple(r) for r in spark.table(where.fact).select("publication_year", "paper_count").collect()]
+    assert sorted(got) == [(2020, 1), (2024, 1)]
+    qa.assert_quality(qa.table_quality(spark, where.dim, where.silver, where.fact))
+
+
 def test_session_and_shared_folder(spark):
     assert get_session() is spark
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")

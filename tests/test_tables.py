@@ -1,6 +1,6 @@
 import pytest
 
-from smelter.operators.upsert import DuplicateKeys
+from smelter.operators.upsert import DuplicateKeys, within_key_range
 from smelter.sources import tables as tb
 
 COLUMNS = "id string, v int, year int"
@@ -119,6 +119,20 @@ def test_partition_pruning_reads_only_touched_folders(spark, schema, tmp_path):
     assert [r["id"] for r in pruned.collect()] == ["b"]
 
 
+def test_finding_matches_skips_files_by_key(spark, schema, tmp_path):
+    name = fresh(spark, schema, "near", ("year",), tmp_path)
+    tb.upsert_table(name, frame(spark, [(f"{i:03}", i, 2020 + i % 2) for i in range(100)]), ["id"])
+    for file in spark.table(name).inputFiles():
+        ids = [r["id"] for r in spark.read.parquet(file).collect()]
+        assert ids == sorted(ids)
+    source = frame(spark, [("040", 1, 2020), ("052", 1, 2020), (None, 1, 2020)])
+    near = within_key_range(spark.table(name), source, ["id"])
+    assert near.count() == 13
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,040), LessThanOrEqual(id,052)" in plan
+    assert within_key_range(spark.table(name), source.filter("id IS NULL"), ["id"]).isEmpty()
+
+
 def test_odd_partition_values_are_refused(spark, schema, tmp_path):
     spark.sql("DROP TABLE IF EXISTS lab.odd")
     tb.ensure_table(spark, "lab.odd", "id string, p string", ["p"], str(tmp_path / "odd"))
