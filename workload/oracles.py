@@ -138,7 +138,7 @@ _STORED = """
 _INCOMING = """
     s AS (SELECT CASE WHEN o_orderkey % 43 <> 0 THEN o_orderkey + 1000 END AS id,
             o_totalprice + 1 AS amount, o_orderdate AS updated_date FROM orders)"""
-_UPSERT_SHOWN = f"id, amount, {_time('updated_date')}"
+_UPSERT_SHOWN = f"CAST(id AS VARCHAR) AS id, amount, {_time('updated_date')}"
 
 
 def _merged(condition: str, columns: str) -> str:
