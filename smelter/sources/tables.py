@@ -108,15 +108,15 @@ def _publish(
     """
     spark = df.sparkSession
     path = _new_snapshot(spark, name)
-    columns = spark.table(name).columns
+    df = _conform(df, spark.table(name), ACTION if metrics else None)
     if not parts:
-        seen = _write(df, columns, path, parts, metrics, keys)
+        seen = _write(df, path, parts, metrics, keys)
         spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
     else:
         folders = F.collect_set(partition_folder(parts)).alias("folders")
         # Files of even size: small partitions are gathered, a hot one is split.
         even = df.hint("rebalance", *parts)
-        seen = _write(even, columns, path, parts, [*metrics, folders], keys)
+        seen = _write(even, path, parts, [*metrics, folders], keys)
         written = set(seen.pop("folders"))
         held = _held_folders(spark, name)
         for folder in sorted(written & held):
@@ -129,12 +129,18 @@ def _publish(
     return seen
 
 
-def _write(df: DataFrame, columns, path: str, parts, metrics, keys) -> dict:
+def _conform(df: DataFrame, table: DataFrame, *others: str | None) -> DataFrame:
+    """The columns of a table, matched by name and cast to its types."""
+    columns = [F.col(field.name).cast(field.dataType).alias(field.name) for field in table.schema]
+    return df.select(*columns, *filter(None, others))
+
+
+def _write(df: DataFrame, path: str, parts, metrics, keys) -> dict:
     seen = Observation()
     df = df.observe(seen, *metrics) if metrics else df
     # The writer sorts by partition anyway; adding the keys makes it one sort for both.
     df = df.sortWithinPartitions(*parts, *keys) if keys else df
-    writer = df.select(columns).write
+    writer = df.drop(ACTION).write
     (writer.partitionBy(*parts) if parts else writer).parquet(path)
     return seen.get if metrics else {}
 
@@ -256,13 +262,14 @@ def upsert_table(
     the measuring.
     """
     spark = source.sparkSession
+    source = prepare_source(source, keys, on_duplicates, latest_by)
     if not _is_ours(spark, name):
         source.createOrReplaceTempView("upsert_source")
         spark.sql(merge_statement(name, "upsert_source", keys, when_matched))
         return {}
     target = spark.table(name)
     parts = partition_columns(spark, name)
-    source = prepare_source(source, keys, on_duplicates, latest_by).select(target.columns)
+    source = _conform(source, target)
     if small_source is None:
         small_source = is_small(source)
     touched = set()

@@ -93,6 +93,13 @@ def test_only_changed_partitions_are_rewritten(spark, schema, tmp_path, small):
     assert kept < folders() and len(folders()) == 5
 
 
+def test_rows_are_cast_to_the_types_of_the_table(spark, schema, tmp_path):
+    name = fresh(spark, schema, "cast", ("year",), tmp_path)
+    tb.overwrite_table(spark.sql("SELECT 1 id, '7' v, 2020L year"), name)
+    tb.upsert_table(name, spark.sql("SELECT 2 id, 8L v, '2021' year"), ["id"])
+    assert rows(spark, name) == {("1", 7, 2020), ("2", 8, 2021)}
+
+
 def test_upsert_table_is_its_own_source(spark, schema, tmp_path):
     name = fresh(spark, schema, "self", ("year",), tmp_path)
     tb.overwrite_table(frame(spark, [("a", 1, 2023), ("b", 2, 2024)]), name)
