@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -291,6 +292,28 @@ def test_session_and_shared_folder(spark):
         spark.read.parquet(path.rpartition("/")[0]).count()
 
 
+@pytest.mark.parametrize("master", ["local[2]", "yarn"])
+def test_without_a_shared_folder_only_local_mode_goes_on(master):
+    class Context:
+        folder = None
+
+        def __init__(self):
+            self.master = master
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    session = SimpleNamespace(conf={}, sparkContext=Context())
+    if master == "yarn":
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(session)
+    else:
+        assert shared_folder(session) == shared_folder(session) == session.sparkContext.folder
+
+
 def test_timestamps_are_utc_whatever_the_offset(spark):
     page = feed(entry(published="2023-12-31T23:30:00-05:00"))
     from smelter.sources.feed import parse_pages
