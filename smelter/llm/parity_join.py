@@ -5,8 +5,9 @@ document's sketch, so two sketches differ in no more bits than their sets do in
 Sets that are similar enough differ in at most d elements, where d follows from their
 sizes. Sketches of a size band have d + 1 blocks of bits and some to spare; of similar
 sets at least one block is equal that is not empty in either (a document with more empty
-blocks than are to spare also offers these). Blocks are the keys of an equality join, what
-meets there is verified on the sets, and links are closed into components.
+blocks than are to spare also offers these). Blocks are the keys of an equality join. What
+meets there is ruled out by dense sketches or verified on the sets; links are closed into
+components.
 
 No group is expanded into its pairs. Equal sets are one class from the start. In a group of
 equal blocks every class meets the first one and its neighbour; links are closed; only
@@ -37,7 +38,7 @@ SHINGLE, PERCENT = 4, 85
 #: Growth of size bands; smallest set that a different set can resemble (by 85 %).
 BAND_GROWTH, SMALLEST = 1.5, 6
 #: In a group of more classes than this, rare shingles choose the pairs to compare.
-SPLIT_ABOVE = 48
+SPLIT_ABOVE = 256
 #: 64-bit words of the dense sketch that rules pairs out.
 SKETCH_WORDS = 16
 
@@ -142,8 +143,8 @@ def _named(values: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63) if len(values) else None
 
 
-def sets_of(docs: DataFrame, with_sets: bool, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, name of the set (null if empty), its size, and signatures, or the set and a dense sketch."""
+def sketches_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, name of the set (null if empty), its size n, signatures (values) and dense sketch (bits)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -152,12 +153,36 @@ def sets_of(docs: DataFrame, with_sets: bool, doc_id: str = "doc_id", text: str
                 "doc_id": batch["doc_id"].astype("Int64"),
                 "name": pd.array([_named(s) for s in sets], "Int64"),
                 "n": np.array([len(s) for s in sets], np.int64),
-                "values": [(s if with_sets else signatures(s)).view(np.int64) for s in sets],
-                "bits": [dense_sketch(s) if with_sets else None for s in sets],
+                "values": [signatures(s).view(np.int64) for s in sets],
+                "bits": [dense_sketch(s) for s in sets],
             })
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("_text"))
-    return narrow.mapInPandas(read, "doc_id long, name long, n long, values array<long>, bits array<long>")
+    return _narrow(docs, doc_id, text).mapInPandas(read, "doc_id long, name long, n long, values array<long>, bits array<long>")
+
+
+def sets_of(docs: DataFrame, members: DataFrame, names: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """name, n and values of the named sets, each read from one of the documents that have it."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingles(t) for t in batch["_text"]]
+            yield pd.DataFrame({
+                "name": pd.array([_named(s) for s in sets], "Int64"),
+                "n": np.array([len(s) for s in sets], np.int64),
+                "values": [s.view(np.int64) for s in sets],
+            })
+
+    asked = small_side(written(names.distinct(), "names"))
+    holders = members.join(asked, "name").groupBy("name").agg(F.min("doc_id").alias("_holder"))
+    held = small_side(written(holders.select("_holder").distinct(), "holders"))
+    texts = _narrow(docs, doc_id, text).join(held, F.col("doc_id").eqNullSafe(F.col("_holder")), "left_semi")
+    found = texts.mapInPandas(read, "name long, n long, values array<long>")
+    # Rows that share an id may have other texts.
+    return written(found.join(asked, "name", "left_semi").dropDuplicates(["name"]), "sets")
+
+
+def _narrow(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
 
 def met(keys: DataFrame) -> DataFrame:
@@ -175,23 +200,35 @@ def met(keys: DataFrame) -> DataFrame:
     return seen.filter("before IS NOT NULL OR after IS NOT NULL").drop("after")
 
 
-def pairs_of(met_rows: DataFrame) -> DataFrame:
-    """Each class with the first of its groups and with the one before it; sizes must fit."""
+def distance() -> Column:
+    """Bits in which two dense sketches differ."""
+    return reduce(Column.__add__, (
+        F.bit_count(F.col("a_bits")[i].bitwiseXOR(F.col("b_bits")[i])) for i in range(SKETCH_WORDS)
+    ))
+
+
+def possible() -> Column:
+    """Whether sizes and sketches allow a link: more differing bits than similar sets have elements rule it out."""
+    small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    return (small * 100 >= large * PERCENT) & (
+        distance() * (100 + PERCENT) <= (F.col("a_n") + F.col("b_n")) * (100 - PERCENT)
+    )
+
+
+def pairs_of(met_rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """Each class with the first of its groups and with the one before it, if a link is possible."""
     stars = met_rows.filter("before IS NOT NULL").select(
         F.explode(F.array(
             F.struct(F.col("first").alias("a"), F.col("first_n").alias("a_n")),
             F.struct(F.col("before").alias("a"), F.col("before_n").alias("a_n")),
         )).alias("s"), F.col("name").alias("b"), F.col("n").alias("b_n"),
     ).select("s.*", "b", "b_n")
-    return fitting(stars)
-
-
-def fitting(pairs: DataFrame) -> DataFrame:
-    """Pairs in one direction, once, whose sizes allow a link."""
     small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    return pairs.filter(small * 100 >= large * PERCENT).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    ).distinct()
+    once = stars.filter(small * 100 >= large * PERCENT).distinct()
+    both = once.join(bits.select(F.col("name").alias("a"), F.col("bits").alias("a_bits")), "a").join(
+        bits.select(F.col("name").alias("b"), F.col("bits").alias("b_bits")), "b"
+    )
+    return both.filter(possible()).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -243,26 +280,20 @@ def open_groups(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return labelled.join(groups.filter("_lo <> _hi").select(F.col("key").alias("_key"), "size"), F.col("key") == F.col("_key")).drop("_key")
 
 
-def cross_pairs(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of a group whose components differ, whose sizes fit and whose sketches allow a link.
+def cross_pairs(groups: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs of a group whose components differ, if a link is possible.
 
-    A sketch that differs in more bits than two similar sets have elements rules a link out.
     The test stands in the join, so that pairs it rules out are never rows.
     """
-    mine = groups.join(sets.select("name", "bits"), "name")
-    other = mine.select(F.col("key").alias("key2"), F.col("name").alias("name2"), F.col("n").alias("n2"),
-                        F.col("root").alias("root2"), F.col("bits").alias("bits2"))
-    distance = reduce(Column.__add__, (
-        F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(SKETCH_WORDS)
-    ))
-    small, large = F.least("n", "n2"), F.greatest("n", "n2")
+    mine = groups.join(bits, "name").select("key", F.col("name").alias("a"), F.col("n").alias("a_n"),
+                                            F.col("root").alias("a_root"), F.col("bits").alias("a_bits"))
+    other = mine.select(F.col("key").alias("key2"), F.col("a").alias("b"), F.col("a_n").alias("b_n"),
+                        F.col("a_root").alias("b_root"), F.col("a_bits").alias("b_bits"))
     met_ = mine.join(
         other,
-        (F.col("key") == F.col("key2")) & (F.col("name") < F.col("name2")) & (F.col("root") != F.col("root2"))
-        & (small * 100 >= large * PERCENT)
-        & (distance * (100 + PERCENT) <= (F.col("n") + F.col("n2")) * (100 - PERCENT)),
+        (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & possible(),
     )
-    return met_.select(F.col("name").alias("a"), F.col("name2").alias("b")).distinct()
+    return met_.select("a", "b").distinct()
 
 
 def by_key(sets: DataFrame) -> DataFrame:
@@ -277,9 +308,8 @@ def rare_keys(sets: DataFrame) -> DataFrame:
     n - 85 % of n + 1 in whatever order all keep. Rare ones first, so that what sets of a
     crowd have in common comes last; those that no other set has lead nowhere.
     """
-    rows = by_key(sets)
-    shared = rows.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1")
-    ranked = rows.join(shared, "key")
+    often = F.count("*").over(Window.partitionBy("key"))
+    ranked = by_key(sets).withColumn("often", often).filter("often > 1")
     mine = Window.partitionBy("name")
     lonely = F.col("n") - F.count("*").over(mine)
     need = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
@@ -294,39 +324,36 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[D
     A link is recorded where it is needed to close a component; pairs inside one component
     are not all compared.
     """
-    read = written(sets_of(docs, False, doc_id, text), "sketches")
+    read = written(sketches_of(docs, doc_id, text), "sketches")
     members = read.select("doc_id", "name", "n")
     rows = written(met(by_key(read)), "met")
-    # Sets are needed of classes that met another one, each once.
     wanted = written(rows.select("name").distinct(), "met-names")
-    holders = members.join(wanted, "name").groupBy("name").agg(F.min("doc_id").alias("_holder"))
-    held = small_side(written(holders, "holders"))
-    texts = docs.join(held.select("_holder", F.col("name").alias("_name")), docs[doc_id].eqNullSafe(F.col("_holder"))).select(
-        F.col(doc_id).alias("doc_id"), F.col(text).alias("text")
-    )
-    sets = written(sets_of(texts, True).join(small_side(wanted), "name", "left_semi").dropDuplicates(["name"]), "sets")
-    done = written(pairs_of(rows), "pairs")
-    links = written(verified(done, sets), "links")
+    bits = written(read.select("name", "bits").join(small_side(wanted), "name", "left_semi").dropDuplicates(["name"]), "bits")
+
+    def links_among(pairs: DataFrame) -> DataFrame:
+        names = pairs.select(F.explode(F.array("a", "b")).alias("name"))
+        return written(verified(pairs, sets_of(docs, members, names, doc_id, text)), "links")
+
+    done = written(pairs_of(rows, bits), "pairs")
+    links = links_among(done)
     roots = rooted(links)
     left = written(open_groups(rows, roots), "open")
     many = left.filter(F.col("size") > SPLIT_ABOVE)
-    more = cross_pairs(left.filter(F.col("size") <= SPLIT_ABOVE), sets)
+    more = cross_pairs(left.filter(F.col("size") <= SPLIT_ABOVE), bits)
     rare = None
     if not many.isEmpty():
-        crowd = many.select("name").distinct()
-        rare = written(met(rare_keys(sets.join(crowd, "name", "left_semi"))), "rare")
-        more = more.unionByName(pairs_of(rare)).distinct()
+        crowd = sets_of(docs, members, many.select("name"), doc_id, text)
+        rare = written(met(rare_keys(crowd)), "rare")
+        more = more.unionByName(pairs_of(rare, bits)).distinct()
     more = written(more.join(done, ["a", "b"], "left_anti"), "pairs")
-    found = written(verified(more, sets), "links")
-    if not found.isEmpty():
-        links = written(links.unionByName(found), "links")
+    if not more.isEmpty():
+        links = written(links.unionByName(links_among(more)), "links")
         roots = rooted(links)
     if rare is not None:
-        last = cross_pairs(open_groups(rare, roots), sets)
+        last = cross_pairs(open_groups(rare, roots), bits)
         last = written(last.join(done.unionByName(more), ["a", "b"], "left_anti"), "pairs")
-        found = written(verified(last, sets), "links")
-        if not found.isEmpty():
-            links = written(links.unionByName(found), "links")
+        if not last.isEmpty():
+            links = written(links.unionByName(links_among(last)), "links")
             roots = rooted(links)
     return members, links, roots if roots is not None else wanted.limit(0).withColumn("root", F.col("name"))
 
