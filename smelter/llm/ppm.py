@@ -251,10 +251,12 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", head_word
     n, v = counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
     n, v = n or 0, v or 0
     costs = written(word_costs(counts), "word-costs")
-    common = costs.filter((F.col("c") > 0) & (F.length("word") <= HEAD_BYTES)).orderBy(F.desc("c"), "word").limit(head_words)
+    sound = costs.filter((F.col("c") > 0) & (F.length("word") <= HEAD_BYTES))
+    # Every text has an end, so its cost always goes along.
+    common = sound.orderBy((F.length("word") > 0), F.desc("c"), "word").limit(head_words + 1)
     over = n + 0.5 * (v + 1)
     head = {bytes(r["word"]): (r["cost"], math.log10((r["c"] + 0.5) / over)) for r in common.collect()}
-    # The end of text is common if anything is; without training it has a cost all the same.
+    # Without training the end has a cost all the same.
     end = head.pop(b"", (-math.log10(256), math.log10(0.5 / over)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,0 +1,45 @@
+"""Registered queries against their SQL, and the pipeline against its parts."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from smelter.llm.oracles import ORACLES
+from smelter.llm.queries import QUERIES
+from tests.test_workload import FOLDER, canonical, sql  # noqa: F401
+
+
+@pytest.mark.parametrize("name", ORACLES)
+def test_query_equals_sql(spark, sql, name):  # noqa: F811
+    got = QUERIES[name](spark, FOLDER)
+    columns = sorted(got.columns)
+    expected = sql.sql(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
+    rows = canonical([tuple(r) for r in got.select(*columns).collect()])
+    assert rows == canonical(expected) and rows
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, kept, FOLDER).cache()
+        assert after.columns == docs.columns and after.count() > 0
+        if name.startswith("mixing"):
+            assert after.groupBy(*docs.columns).count().filter("count > 2").isEmpty()
+        else:
+            assert after.exceptAll(kept).isEmpty()
+        kept = after
+    final = corpus_pipeline.run(spark, FOLDER)
+    assert final.count() == kept.count()
+    counts = [r["count"] for r in final.groupBy("shard").count().collect()]
+    assert max(counts) - min(counts) <= 1
+    assert not final.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("s")).filter("n <> s").count()
+
+
+def test_pipeline_on_odd_rows(spark, odd):
+    kept = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, FOLDER)
+        assert kept.columns == odd.columns
+        kept.count()
+        assert stage(spark, odd.limit(0), FOLDER).count() == 0
