@@ -52,10 +52,9 @@ def page(
         number = F.col("_number")
         inside = (number > start) & (number <= start + max_results)
         wanted = number_rows(narrow, keys, "_number").filter(inside)
-    wanted = wanted.select(key)
-    if max_results > MAX_BROADCAST_ROWS:
-        return found.join(wanted, key, "left_semi").orderBy(*keys)
-    # The limit removes nothing; it spares a small page the sampling of a global sort,
-    # which would read the articles once more.
-    rows = found.join(F.broadcast(wanted), key, "left_semi")
+    wanted = wanted.select(F.col(key).alias("_key"))
+    small = F.broadcast(wanted) if max_results <= MAX_BROADCAST_ROWS else wanted
+    # A null key is a key. The limit removes nothing where keys are unique; it spares a small
+    # page the sampling of a global sort, which would read the articles once more.
+    rows = found.join(small, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
     return rows.orderBy(*keys).limit(max_results)

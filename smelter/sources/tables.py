@@ -179,7 +179,18 @@ def in_partitions(df: DataFrame, parts: Sequence[str], folders: set[str]) -> Col
             F.col(part).isin([F.lit(value).cast(kind) for value in named])
             | (F.col(part).isNull() & F.lit(any(v[part] == _NULL_FOLDER for v in values)))
         )
-    return inside
+    if len(parts) < 2 or not folders:
+        return inside
+    # Values of each column alone would also name combinations that nobody asked for.
+    def one(value: dict[str, str]) -> Column:
+        same = [
+            F.col(p).isNull() if value[p] == _NULL_FOLDER
+            else F.col(p) == F.lit(value[p]).cast(df.schema[p].dataType)
+            for p in parts
+        ]
+        return reduce(Column.__and__, same)
+
+    return inside & reduce(Column.__or__, map(one, values))
 
 
 def _held_folders(spark: SparkSession, name: str) -> set[str]:
@@ -202,11 +213,15 @@ def _spec(folder: str) -> str:
 
 
 def overwrite_table(df: DataFrame, name: str) -> None:
-    """Replace the whole content; columns are matched by name."""
+    """Replace the whole content; columns are matched by name, new ones are added to the table."""
     spark = df.sparkSession
     if not _is_ours(spark, name):
-        df.writeTo(name).overwrite(F.lit(True))
+        df.writeTo(name).option("mergeSchema", "true").overwrite(F.lit(True))
         return
+    stored = set(spark.table(name).columns)
+    added = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in stored]
+    if added:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(added)})")
     parts = partition_columns(spark, name)
     _publish(df, name, parts, _held_folders(spark, name) if parts else set())
 

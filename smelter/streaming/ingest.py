@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from smelter.plans.bronze import accepted_articles, ensure_bronze, fetched_entries, upsert_bronze
-from smelter.plans.medallion import Layout, ensure_layers, load_increment
+from smelter.plans.medallion import (
+    Layout, ensure_layers, ensure_rejects, load_increment, store_rejects,
+)
 from smelter.schemas import CATEGORY_CODES, CATEGORY_NAMES
 from smelter.session import staged
 
@@ -19,21 +21,28 @@ def ingest_stream(
     checkpoint: str,
     codes: Sequence[str] = CATEGORY_CODES,
     location: str | None = None,
+    rejects: str | None = None,
 ) -> StreamingQuery:
     """Upsert all pages landed so far into bronze, then stop.
 
+    Rejects go to the table named by ``rejects``, by page, if there is one.
+
     Each micro-batch, bounded by the limits of the page stream, is parsed, validated and
     deduped once, and merged newer-wins. A batch repeated after a failure changes
     nothing, and a late older version never replaces a newer one, whatever the order
     in which the files arrive.
     """
     ensure_bronze(pages.sparkSession, table, location)
+    if rejects:
+        ensure_rejects(pages.sparkSession, rejects)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        articles = accepted_articles(fetched_entries(batch, codes))
-        with staged(articles, f"batch-{batch_id}") as ready:
-            if not ready.isEmpty():
-                upsert_bronze(ready, table)
+        with staged(fetched_entries(batch, codes), f"entries-{batch_id}") as entries:
+            if rejects:
+                store_rejects(entries, rejects)
+            with staged(accepted_articles(entries), f"batch-{batch_id}") as ready:
+                if not ready.isEmpty():
+                    upsert_bronze(ready, table)
 
     return _available_now(pages, checkpoint, merge)
 

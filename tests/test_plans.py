@@ -321,3 +321,16 @@ def test_timestamps_are_utc_whatever_the_offset(spark):
     row = parse_pages(page_frame(spark, page)).select(F.col("published_date").cast("string")).first()
     assert row[0] == "2024-01-01 04:30:00"
     assert dt.datetime.fromisoformat(row[0]).year == 2024
+
+
+def test_rejects_of_earlier_batches_stay(spark, tmp_path):
+    where = layout(tmp_path, "rej")
+    ensure_layers(spark, where)
+    first = page_frame(spark, feed(entry(id="x/1v1", title="")))
+    other = page_frame(spark, feed(entry(id="x/2v1"))).withColumn("page_start", F.lit(500).cast("bigint"))
+    load_increment(first, where)
+    assert spark.table(where.rejects).count() == 1
+    load_increment(other, where)
+    assert spark.table(where.rejects).count() == 1
+    load_increment(first, where)
+    assert spark.table(where.rejects).count() == 1

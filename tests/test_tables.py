@@ -163,3 +163,28 @@ def test_scan_takes_names_views_and_frames(spark):
 def test_catalog_selection(spark):
     tb.use_catalog(spark, "spark_catalog")
     assert spark.catalog.currentCatalog() == "spark_catalog"
+
+
+def test_partitions_are_named_as_combinations(spark):
+    rows = spark.createDataFrame(
+        [(2023, 1), (2023, 12), (2024, 1), (2024, 12), (None, 1)], "year int, month int")
+    named = rows.filter(tb.in_partitions(rows, ["year", "month"], {
+        "year=2023/month=12", "year=2024/month=1", "year=__HIVE_DEFAULT_PARTITION__/month=1"}))
+    assert sorted(map(str, named.collect())) == sorted(
+        map(str, spark.createDataFrame([(2023, 12), (2024, 1), (None, 1)], rows.schema).collect()))
+
+
+def test_overwrite_takes_new_columns(spark, tmp_path):
+    tb.ensure_table(spark, "default.grows", "k bigint, v string", (), str(tmp_path / "grows"))
+    tb.overwrite_table(spark.createDataFrame([(1, "a")], "k long, v string"), "default.grows")
+    tb.overwrite_table(spark.createDataFrame([(2, "b", 3)], "k long, v string, w int"), "default.grows")
+    assert [tuple(r) for r in spark.table("default.grows").collect()] == [(2, "b", 3)]
+    spark.sql("DROP TABLE default.grows")
+
+
+def test_page_keeps_null_keys(spark):
+    from smelter.sources.paging import page
+
+    rows = spark.createDataFrame([(None, 3), ("a", 2), ("b", 1)], "id string, day int")
+    got = page(rows, tb.F.lit(True), 0, 3, ["-day"])
+    assert [r["day"] for r in got.collect()] == [3, 2, 1]
