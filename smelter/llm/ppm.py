@@ -2,17 +2,25 @@
 
 A text is its lower-cased words, each spelled byte by byte and closed by a space, and one end
 of text. A byte is predicted from the word so far, which is a node of a trie of all training
-words; where the trie has not seen it there, the model escapes to the last two bytes, to
-the last one, to none, and to all bytes alike. An escape costs its estimate: in the trie by
-the successors that were seen once, in short contexts by the distinct ones. What the longer
-context could have said is excluded from the shorter ones. Contexts end where a word begins, so a word always
-costs the same, and is spelled once for the whole corpus rather than at every occurrence.
+words; where the trie has not seen it there, the model escapes to the last four bytes, three,
+two, one, none, and to all bytes alike. Short contexts count every distinct word once, since
+they are asked where a word is new; the first three bytes are counted as often as they
+occur. An escape costs its estimate: in the trie by the successors that were seen once, in
+short contexts by the distinct ones. What the longer context could have said is excluded
+from the shorter ones. These contexts end where a word begins, so a word is spelled once for
+the whole corpus rather than at every occurrence.
+
+The longest context is the whole word before (the start of text counts as one). Where it is
+left for the spelling by its escape, the words that it knows are excluded. Pairs are counted
+over all training texts between the ``PAIR_WORDS`` most frequent words; of these, as many
+levels of frequency as ``HEAD_PAIRS`` have room for are kept.
 
 Word counts are summed over all training documents. The trie lies on the executors, by first
-three bytes; a task holds the words of one such beginning. Two tables go to every task:
-successors of two bytes, and of the first two of a word; neither can pass 257 * 257 * 256
-entries. The ``HEAD_WORDS`` most frequent words (of at most 64 bytes) go along as a cache
-with their costs, so only rare words are shuffled by document.
+three bytes; a task holds the words of one such beginning. Tables of successors go to every
+task: after two bytes and after the beginning of a word, which cannot pass 257 * 257 * 256
+entries, and after three and four bytes, the most frequent ``HEAD_CONTEXTS`` of each. The
+``HEAD_WORDS`` most frequent words (of at most 64 bytes) go along as a cache with their
+costs, so only rare words are shuffled by document; so do the kept pairs.
 
 Defined cases: null or empty texts are one end of text; a null id counts as training;
 repeated rows each count and each get their row; without training documents every byte
@@ -24,6 +32,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +44,19 @@ from smelter.llm.common import written
 #: Folds of the ids, and the one that is held out.
 FOLDS, HELD_OUT = 5, 1
 HEAD_WORDS, HEAD_BYTES = 100_000, 64
+#: Words between which pairs are counted, and pairs kept; taken off every count of a kept one.
+PAIR_WORDS, HEAD_PAIRS, DISCOUNT = 100_000, 2_000_000, 0.7
+#: Entries kept of the tables after three and after four bytes.
+HEAD_CONTEXTS = 300_000
 #: Beginning of a word as a context; the byte that ends a word, the one that ends a text.
 START, SPACE, END = 256, 0x20, 0x0A
 ANCHOR = 3
+#: A context is a number in base 257; these are four bytes before a word, and the first beyond all of four.
+UNBEGUN, LONGEST = sum(START * 257 ** i for i in range(4)), 257 ** 4
 #: Distinct words kept before counts are handed on.
 FLUSH = 1_000_000
+#: Pairs in a row held before they are counted.
+PAIR_FLUSH = 4_000_000
 
 
 def texts_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -84,31 +101,64 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def successors(counts: DataFrame) -> tuple[dict, dict]:
-    """Counts of bytes after two bytes, and after the first two bytes of a word."""
+def successors(counts: DataFrame) -> tuple[dict, dict, list[dict]]:
+    """Counts of bytes after two bytes, after the beginning of a word, and after four and three bytes."""
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free: Counter = Counter()
         first: Counter = Counter()
+
+        def out():
+            for anchored, found in ((False, free), (True, first)):
+                yield pa.record_batch({
+                    "anchored": pa.array([anchored] * len(found), pa.bool_()), "k": pa.array(list(found), pa.int64()),
+                    "c": pa.array(list(found.values()), pa.int64()),
+                })
+                found.clear()
+
         for batch in batches:
             for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
+                symbols = (*word, SPACE) if word else (END,)
+                context = UNBEGUN
+                for s in symbols:
+                    free[context * 256 + s] += 1
+                    context = context * 257 % LONGEST + s
                 a = b = START
-                for s in (*word, SPACE) if word else (END,):
-                    free[(a * 257 + b) * 256 + s] += c
+                for s in symbols[:ANCHOR]:
+                    first[(a * 257 + b) * 256 + s] += c
                     a, b = b, s
-                if len(word) >= 2:
-                    first[(word[0] * 257 + word[1]) * 256 + (word[2] if len(word) > 2 else SPACE)] += c
-        for anchored, found in ((False, free), (True, first)):
-            yield pa.record_batch({
-                "anchored": pa.array([anchored] * len(found), pa.bool_()), "k": pa.array(list(found), pa.int64()),
-                "c": pa.array(list(found.values()), pa.int64()),
-            })
+            if len(free) > FLUSH:
+                yield from out()
+        yield from out()
 
     rows = counts.filter("c > 0").mapInArrow(table, "anchored boolean, k long, c long")
-    tables: tuple[dict, dict] = ({}, {})
-    for r in rows.groupBy("anchored", "k").agg(F.sum("c").alias("c")).collect():
-        tables[r["anchored"]].setdefault(r["k"] >> 8, {})[r["k"] & 255] = r["c"]
-    return tables
+    rows = written(rows.groupBy("anchored", "k").agg(F.sum("c").alias("c")), "byte-contexts")
+
+    def after(keys, found) -> dict[int, dict[int, int]]:
+        found_after: dict[int, dict[int, int]] = {}
+        for k, c in zip(keys.tolist(), found.tolist()):
+            found_after.setdefault(k >> 8, {})[k & 255] = c
+        return found_after
+
+    def of_length(n: int) -> DataFrame:
+        return rows.filter("NOT anchored").groupBy((F.col("k") % (257 ** n * 256)).alias("k")).agg(F.sum("c").alias("c"))
+
+    whole = [df.select("k", "c").toArrow() for df in (of_length(2), rows.filter("anchored"))]
+    two, first = (after(t["k"].to_numpy(), t["c"].to_numpy()) for t in whole)
+    return two, first, [after(*most_frequent(of_length(n), "k", HEAD_CONTEXTS)) for n in (4, 3)]
+
+
+def most_frequent(table: DataFrame, key: str, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent keys and their counts ``c``: whole levels of frequency, as far as there is room."""
+    level, least = F.floor(F.log2("c") * 16), None
+    for r in sorted(table.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        if r["n"] > room:
+            break
+        room, least = room - r["n"], r["level"]
+    if least is None:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    found = table.filter(level >= least).select(key, "c").toArrow()
+    return found[key].to_numpy(), found["c"].to_numpy()
 
 
 def escape(total: int, once: int) -> float:
@@ -117,10 +167,11 @@ def escape(total: int, once: int) -> float:
 
 
 class Spelling:
-    """Costs in natural logarithms, from the two tables."""
+    """Costs in natural logarithms, from the tables."""
 
-    def __init__(self, free: dict, first: dict):
+    def __init__(self, free: dict, first: dict, longer: list[dict] | None = None):
         self.two, self.anchored = free, first
+        self.four, self.three = longer or ({}, {})
         self.one: dict[int, dict[int, int]] = {}
         self.none: dict[int, int] = {}
         for context, after in free.items():
@@ -137,9 +188,10 @@ class Spelling:
             left = {k: c for k, c in after.items() if k not in excluded} if excluded else after
             if not left:
                 continue
-            total = sum(left.values()) + len(left)
+            # Every distinct successor hands half a count to the escape.
+            total = 2 * sum(left.values())
             if s in left:
-                return cost + math.log(left[s] / total)
+                return cost + math.log((2 * left[s] - 1) / total)
             cost += math.log(len(left) / total)
             excluded = excluded | left.keys() if excluded else frozenset(left)
         return cost - math.log(256 - len(excluded))
@@ -156,21 +208,30 @@ class Spelling:
             return [self.one.get(START, {}), self.none]
         return [self.two.get(a * 257 + b, {}), self.one.get(b, {}), self.none]
 
+    def before(self, spelled: bytes, i: int) -> list[dict]:
+        """Contexts of the byte at a place in a word, from four bytes to none."""
+        a, b, c, d = spelled[i - 4:i] if i >= 4 else (*(START,) * (4 - i), *spelled[:i])
+        three = (b * 257 + c) * 257 + d
+        four = a * 257 ** 3 + three
+        return [self.four.get(four, {}), self.three.get(three, {}), *self.contexts(c, d)]
+
+    def at(self, spelled: bytes, i: int) -> float:
+        """Cost of the byte at a place in a word without the trie."""
+        key = (spelled[max(0, i - 4):i + 1], i < 4)
+        if key not in self.known:
+            self.known[key] = self.chain(self.before(spelled, i), spelled[i])
+        return self.known[key]
+
     def opening(self, word: bytes) -> float:
         """Cost of the first ``ANCHOR`` bytes of a word, its end included."""
-        if not word:
-            return self.short(START, START, END)
-        symbols = [*word, SPACE][:ANCHOR]
-        cost = self.short(START, START, symbols[0])
-        if len(symbols) > 1:
-            cost += self.short(START, symbols[0], symbols[1])
-        if len(symbols) > 2:
-            a, b = symbols[:2]
-            key = (a, b, symbols[2], True)
+        symbols = [*word, SPACE][:ANCHOR] if word else [END]
+        cost, a, b = 0.0, START, START
+        for s in symbols:
+            key = (a, b, s, True)
             if key not in self.known:
-                longest = self.anchored.get(a * 257 + b, {})
-                self.known[key] = self.chain([longest, *self.contexts(a, b)], symbols[2])
+                self.known[key] = self.chain([self.anchored.get(a * 257 + b, {}), *self.contexts(a, b)], s)
             cost += self.known[key]
+            a, b = b, s
         return cost
 
     def group(self, words: list[bytes], counts: list[int]) -> list[float]:
@@ -208,10 +269,10 @@ class Spelling:
                             steps[node] = step
                         elif parent in through:
                             step = math.log(away[parent]) + self.chain(
-                                self.contexts(spelled[i - 2], spelled[i - 1]), s, frozenset(after[parent])
+                                self.before(spelled, i), s, frozenset(after[parent])
                             )
                         else:
-                            step = self.short(spelled[i - 2], spelled[i - 1], s)
+                            step = self.at(spelled, i)
                     cost += step
             costs.append(cost)
         return costs
@@ -219,10 +280,10 @@ class Spelling:
 
 def word_costs(counts: DataFrame) -> DataFrame:
     """word, c and cost: the log10 probability of its spelling."""
-    free, first = successors(counts)
+    free, first, longer = successors(counts)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, current, words, cs = Spelling(free, first), None, [], []
+        model, current, words, cs = Spelling(free, first, longer), None, [], []
 
         def out():
             costs = np.array(model.group(words, cs)) / math.log(10)
@@ -244,7 +305,80 @@ def word_costs(counts: DataFrame) -> DataFrame:
     return placed.mapInArrow(spell, "word binary, c long, cost double")
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
+def line_of(texts: list[list[bytes]], ids: dict[bytes, int]) -> np.ndarray:
+    """Numbers of the words of all texts in a row, 0 at both ends of each, -1 for other words."""
+    line = [0]
+    for words in texts:
+        line.extend(ids.get(word, -1) for word in words)
+        line.append(0)
+    return np.array(line, np.int64)
+
+
+def pair_counts(texts: DataFrame, ids: dict[bytes, int]) -> DataFrame:
+    """pair (number of a word times all numbers, plus that of the next) and c, over all training texts."""
+    size = len(ids)
+
+    def counted(lines: list[np.ndarray]) -> pa.RecordBatch:
+        pairs, c = np.unique(np.concatenate(lines), return_counts=True)
+        return pa.record_batch({"pair": pa.array(pairs, pa.int64()), "c": pa.array(c, pa.int64())})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines, held = [], 0
+        for batch in batches:
+            line = line_of([_words(text) for text in batch.column("text").to_pylist()], ids)
+            known = (line[:-1] >= 0) & (line[1:] >= 0)
+            lines.append(line[:-1][known] * size + line[1:][known])
+            held += len(lines[-1])
+            if held > PAIR_FLUSH:
+                yield counted(lines)
+                lines, held = [], 0
+        if held:
+            yield counted(lines)
+
+    parts = texts.filter("NOT held_out").select("text").mapInArrow(count, "pair long, c long")
+    return parts.groupBy("pair").agg(F.sum("c").alias("c"))
+
+
+class Following(NamedTuple):
+    """What the word before changes in the cost of a word, in log10."""
+
+    size: int
+    pairs: np.ndarray
+    #: Added for a kept pair, on top of what every word adds after its context.
+    gain: np.ndarray
+    #: Of each context: escape, less what its known words held of the shorter one. The last is for words without a number.
+    leave: np.ndarray
+
+    @classmethod
+    def of(cls, pairs: np.ndarray, c: np.ndarray, counts: np.ndarray, costs: np.ndarray) -> Following:
+        """From pairs and their counts, and counts and costs of words by number."""
+        size = len(counts)
+        order = np.argsort(pairs)
+        pairs, c = pairs[order], c[order] - DISCOUNT
+        before, after = np.divmod(pairs, size)
+        # Every word is followed by another or by the end, so its count is that of its pairs.
+        held = np.bincount(before, c, size)
+        excluded = np.bincount(before, 10 ** costs[after], size)
+        some = held > 0
+        leave = np.zeros(size + 1)
+        leave[:-1][some] = np.log10(1 - held[some] / counts[some]) - np.log10(np.maximum(1 - excluded[some], 1e-9))
+        return cls(size, pairs, np.log10(c / counts[before]) - costs[after] - leave[before], leave)
+
+    def changes(self, line: np.ndarray) -> np.ndarray:
+        """For every word of a line but the first."""
+        before, after = line[:-1], line[1:]
+        added = self.leave[before]
+        if len(self.pairs):
+            wanted = np.where((before >= 0) & (after >= 0), before * self.size + after, -1)
+            at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+            added = added + np.where(self.pairs[at] == wanted, self.gain[at], 0.0)
+        return added
+
+
+def score(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", head_words: int = HEAD_WORDS,
+    pair_words: int = PAIR_WORDS, head_pairs: int = HEAD_PAIRS,
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     texts = texts_of(docs, doc_id, text)
     counts = written(word_counts(texts), "word-counts")
@@ -253,18 +387,29 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", head_word
     costs = written(word_costs(counts), "word-costs")
     sound = costs.filter((F.col("c") > 0) & (F.length("word") <= HEAD_BYTES))
     # Every text has an end, so its cost always goes along.
-    common = sound.orderBy((F.length("word") > 0), F.desc("c"), "word").limit(head_words + 1)
+    common = sound.orderBy((F.length("word") > 0), F.desc("c"), "word").limit(max(head_words, pair_words) + 1)
     over = n + 0.5 * (v + 1)
-    head = {bytes(r["word"]): (r["cost"], math.log10((r["c"] + 0.5) / over)) for r in common.collect()}
+    rows = common.collect()
+    head = {bytes(r["word"]): (r["cost"], math.log10((r["c"] + 0.5) / over)) for r in rows[:head_words + 1]}
     # Without training the end has a cost all the same.
     end = head.pop(b"", (-math.log10(256), math.log10(0.5 / over)))
+    # The end of one text is numbered 0 and stands before the next.
+    ids = {bytes(r["word"]): i for i, r in enumerate(rows[:pair_words + 1])}
+    counted = most_frequent(written(pair_counts(texts, ids), "pair-counts"), "pair", head_pairs) if ids and head_pairs else None
+    if counted is None:
+        counted = np.empty(0, np.int64), np.empty(0, np.int64)
+    following = Following.of(*counted, *(np.array([r[k] for r in rows[:pair_words + 1]], float) for k in ("c", "cost")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             columns: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "cost", "words", "times")}
-            for text in batch.column("text").to_pylist():
-                words = _words(text)
-                known, cost, base, rare, times = 1 if n else 0, end[0], end[1], [], []
+            spelled = [_words(text) for text in batch.column("text").to_pylist()]
+            begins = np.cumsum([0, *(len(words) + 1 for words in spelled[:-1])])
+            changes = np.add.reduceat(following.changes(line_of(spelled, ids)), begins)
+            for words, change in zip(spelled, changes.tolist()):
+                known, cost, base, rare, times = 1 if n else 0, end[0] + change, end[1], [], []
                 for word, k in Counter(words).items():
                     hit = head.get(word)
                     if hit is None:

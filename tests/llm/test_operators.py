@@ -189,6 +189,42 @@ def test_ppm_cache_changes_nothing(docs):
         assert r["n_known"] == b[d]["n_known"] and r["score"] == pytest.approx(b[d]["score"], rel=1e-9)
 
 
+def test_ppm_takes_the_word_before_into_account(spark, docs):
+    texts = ppm.texts_of(docs)
+    lines = [(r["held_out"], r["doc_id"], [b"", *r["text"].encode().lower().split(), b""]) for r in texts.collect()]
+    table = {bytes(r["word"]): r for r in ppm.word_costs(ppm.word_counts(texts)).collect()}
+    cost = {w: r["cost"] for w, r in table.items()}
+    pairs = Counter(p for held, _, line in lines if not held for p in zip(line, line[1:]))
+    pairs = {p: c for p, c in pairs.items() if max(map(len, p)) <= ppm.HEAD_BYTES}
+    known = defaultdict(list)
+    for (a, b), c in pairs.items():
+        known[a].append((b, c))
+    with_pairs = {r["doc_id"]: r["score"] for r in ppm.score(docs).collect()}
+    for _, doc, line in lines:
+        total = 0.0
+        for a, b in zip(line, line[1:]):
+            c = pairs.get((a, b))
+            if c:
+                total += math.log10((c - ppm.DISCOUNT) / table[a]["c"])
+                continue
+            total += cost[b]
+            if known[a]:
+                away = 1 - sum(c - ppm.DISCOUNT for _, c in known[a]) / table[a]["c"]
+                total += math.log10(away / (1 - sum(10 ** cost[w] for w, _ in known[a])))
+        assert with_pairs[doc] == pytest.approx(total, rel=1e-9)
+    # Without pairs the spelling alone is left.
+    plain = {r["doc_id"]: r["score"] for r in ppm.score(docs, head_pairs=0).collect()}
+    for _, doc, line in lines:
+        assert plain[doc] == pytest.approx(sum(cost[w] for w in line[1:]), rel=1e-9)
+
+
+def test_ppm_beats_its_base_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = ppm.score(docs).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    plain = ppm.score(docs, head_pairs=0).filter("held_out").agg(F.sum("score")).first()
+    assert held[0] > held[1] and held[0] > plain[0]
+
+
 # Mixing
 
 def test_mixing(docs, odd, none):
