@@ -32,6 +32,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -307,15 +308,18 @@ def word_costs(counts: DataFrame) -> DataFrame:
 
 def line_of(texts: list[list[bytes]], ids: dict[bytes, int]) -> np.ndarray:
     """Numbers of the words of all texts in a row, 0 at both ends of each, -1 for other words."""
-    line = [0]
+    flat = [b""]
     for words in texts:
-        line.extend(ids.get(word, -1) for word in words)
-        line.append(0)
-    return np.array(line, np.int64)
+        flat += words
+        flat.append(b"")
+    line = np.fromiter(map(ids.get, flat, repeat(-1)), np.int64, len(flat))
+    # The ends have their number even if there is no training text.
+    line[np.cumsum([0, *(len(words) + 1 for words in texts)])] = 0
+    return line
 
 
 def pair_counts(texts: DataFrame, ids: dict[bytes, int]) -> DataFrame:
-    """pair (number of a word times all numbers, plus that of the next) and c, over all training texts."""
+    """before and after (numbers of a word and the next) and c, over all training texts."""
     size = len(ids)
 
     def counted(lines: list[np.ndarray]) -> pa.RecordBatch:
@@ -336,7 +340,11 @@ def pair_counts(texts: DataFrame, ids: dict[bytes, int]) -> DataFrame:
             yield counted(lines)
 
     parts = texts.filter("NOT held_out").select("text").mapInArrow(count, "pair long, c long")
-    return parts.groupBy("pair").agg(F.sum("c").alias("c"))
+    pairs = parts.groupBy("pair").agg(F.sum("c").alias("c"))
+    # Two small numbers take half the room of one large one.
+    return pairs.select(
+        F.expr(f"int(pair div {size}L)").alias("before"), (F.col("pair") % size).cast("int").alias("after"), "c"
+    )
 
 
 class Following(NamedTuple):
@@ -368,10 +376,15 @@ class Following(NamedTuple):
         """For every word of a line but the first."""
         before, after = line[:-1], line[1:]
         added = self.leave[before]
-        if len(self.pairs):
-            wanted = np.where((before >= 0) & (after >= 0), before * self.size + after, -1)
+        numbered = np.flatnonzero((before >= 0) & (after >= 0))
+        if len(self.pairs) and len(numbered):
+            wanted = before[numbered] * self.size + after[numbered]
+            # In order the search stays within the caches of the processor.
+            order = np.argsort(wanted)
+            numbered, wanted = numbered[order], wanted[order]
             at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
-            added = added + np.where(self.pairs[at] == wanted, self.gain[at], 0.0)
+            found = self.pairs[at] == wanted
+            added[numbered[found]] += self.gain[at[found]]
         return added
 
 
@@ -390,42 +403,51 @@ def score(
     common = sound.orderBy((F.length("word") > 0), F.desc("c"), "word").limit(max(head_words, pair_words) + 1)
     over = n + 0.5 * (v + 1)
     rows = common.collect()
-    head = {bytes(r["word"]): (r["cost"], math.log10((r["c"] + 0.5) / over)) for r in rows[:head_words + 1]}
-    # Without training the end has a cost all the same.
-    end = head.pop(b"", (-math.log10(256), math.log10(0.5 / over)))
     # The end of one text is numbered 0 and stands before the next.
-    ids = {bytes(r["word"]): i for i, r in enumerate(rows[:pair_words + 1])}
-    counted = most_frequent(written(pair_counts(texts, ids), "pair-counts"), "pair", head_pairs) if ids and head_pairs else None
-    if counted is None:
-        counted = np.empty(0, np.int64), np.empty(0, np.int64)
-    following = Following.of(*counted, *(np.array([r[k] for r in rows[:pair_words + 1]], float) for k in ("c", "cost")))
+    ids = {bytes(r["word"]): i for i, r in enumerate(rows)}
+    counted = np.empty(0, np.int64), np.empty(0, np.int64)
+    if ids and head_pairs:
+        paired = {word: i for word, i in ids.items() if i <= pair_words}
+        kept = written(pair_counts(texts, paired), "pair-counts").withColumn(
+            "pair", F.col("before") * F.lit(len(ids)).cast("long") + F.col("after")
+        )
+        counted = most_frequent(kept, "pair", head_pairs)
+    # Without training the end has a cost all the same.
+    known = [(r["c"], r["cost"]) for r in rows] or [(0, -math.log10(256))]
+    c, cost = (np.array(column, float) for column in zip(*known))
+    following = Following.of(*counted, c, cost)
+    # The last place is for words that do not go along.
+    cached = min(head_words + 1, len(known))
+    cost = np.append(np.where(np.arange(len(cost)) < cached, cost, 0.0), 0.0)
+    base = np.append(np.log10((c + 0.5) / over), 0.0)
+    base[cached:] = 0.0
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "cost", "words", "times")}
-            spelled = [_words(text) for text in batch.column("text").to_pylist()]
-            begins = np.cumsum([0, *(len(words) + 1 for words in spelled[:-1])])
-            changes = np.add.reduceat(following.changes(line_of(spelled, ids)), begins)
-            for words, change in zip(spelled, changes.tolist()):
-                known, cost, base, rare, times = 1 if n else 0, end[0] + change, end[1], [], []
-                for word, k in Counter(words).items():
-                    hit = head.get(word)
-                    if hit is None:
-                        rare.append(word)
-                        times.append(k)
-                    else:
-                        known += k
-                        cost += k * hit[0]
-                        base += k * hit[1]
-                for name, value in zip(columns, (len(words) + 1, known, base, cost, rare, times)):
-                    columns[name].append(value)
+            texts = [_words(text) for text in batch.column("text").to_pylist()]
+            line = line_of(texts, ids)
+            sizes = np.array([len(words) + 1 for words in texts])
+            begins = np.cumsum(sizes) - sizes
+            # A word belongs to the text it stands in, an end to the text that it ends.
+            each = line[1:]
+            here = (each >= 0) & (each < cached)
+            rare, times = [], []
+            absent = np.flatnonzero(~here)
+            cuts = np.searchsorted(absent, np.append(begins, len(each))).tolist()
+            absent = absent.tolist()
+            for words, begin, low, high in zip(texts, begins.tolist(), cuts, cuts[1:]):
+                seen = Counter([words[at - begin] for at in absent[low:high]])
+                rare.append(list(seen))
+                times.append(list(seen.values()))
+            known = here if n else np.zeros(len(each), bool)
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
-                "n_tokens": pa.array(columns["n_tokens"], pa.int64()), "n_known": pa.array(columns["n_known"], pa.int64()),
-                "base": pa.array(columns["base"], pa.float64()), "cost": pa.array(columns["cost"], pa.float64()),
-                "words": pa.array(columns["words"], pa.list_(pa.binary())), "times": pa.array(columns["times"], pa.list_(pa.int64())),
+                "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(np.add.reduceat(known, begins, dtype=np.int64)),
+                "base": pa.array(np.add.reduceat(base[each], begins)),
+                "cost": pa.array(np.add.reduceat(cost[each] + following.changes(line), begins)),
+                "words": pa.array(rare, pa.list_(pa.binary())), "times": pa.array(times, pa.list_(pa.int64())),
             })
 
     kinds = ("doc_id long, held_out boolean, n_tokens long, n_known long, base double, cost double, "
