@@ -26,6 +26,11 @@ def feed_rules() -> list[Rule]:
     return [Rule("page_well_formed", ~F.col(MALFORMED)), *article_rules()]
 
 
+def page_rules() -> list[Rule]:
+    """The same for landed pages, whose place in fetch order has to be known."""
+    return [Rule("page_start_present", F.col("page_start").isNotNull()), *feed_rules()]
+
+
 def fetched_entries(pages: DataFrame, codes: Sequence[str] = CATEGORY_CODES) -> DataFrame:
     """All entries of the pages of the listed categories, not yet validated."""
     return parse_pages(with_ordinal(pages, codes))
@@ -33,7 +38,7 @@ def fetched_entries(pages: DataFrame, codes: Sequence[str] = CATEGORY_CODES) ->
 
 def accepted_articles(entries: DataFrame, budget_bytes: int | None = None) -> DataFrame:
     """Valid articles of the pages within the budget, one per id, earliest fetched first."""
-    admitted = admit(valid_rows(entries, feed_rules()), budget_bytes, article_bytes())
+    admitted = admit(valid_rows(entries, page_rules()), budget_bytes, article_bytes())
     narrow = admitted.select(*BRONZE_COLUMNS, *FETCH_ORDER)
     return keep_first(narrow, ["id"], FETCH_ORDER).select(BRONZE_COLUMNS)
 

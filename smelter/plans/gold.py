@@ -26,6 +26,15 @@ def category_dim(
     return named_codes(spark.range(0, 1, 1, 1).select(listed.alias("category_code")), names)
 
 
+def check_codes(codes: Sequence[str] | Mapping[str, str]) -> None:
+    """Raise on codes that are equal but for case: facts would fan out over them."""
+    listed = list(codes)
+    lowered = [code.lower() for code in listed]
+    equal = sorted({code for code, low in zip(listed, lowered) if lowered.count(low) > 1})
+    if equal:
+        raise ValueError(f"codes that differ by case alone: {equal}")
+
+
 def trend_counts(papers: DataFrame, dim: DataFrame) -> DataFrame:
     """Category occurrences per year and category name, in no order.
 

@@ -2,10 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from smelter.operators.contract import VIOLATIONS, rejected_rows, valid_rows
-from smelter.plans.bronze import accepted_articles, feed_rules, fetched_entries
+from smelter.plans.bronze import accepted_articles, feed_rules, fetched_entries, page_rules
 from smelter.schemas import PAGE
 from smelter.sources.feed import (
-    parse_pages, read_page_table, read_pages, scan_entries, with_ordinal,
+    MALFORMED, parse_pages, read_page_table, read_pages, scan_entries, with_ordinal,
 )
 
 ATOM = "http://www.w3.org/2005/Atom"
@@ -197,3 +197,37 @@ def test_page_table_reads_only_what_is_asked(spark, tmp_path):
     page_frame(spark, feed(entry())).write.parquet(str(tmp_path / "p"))
     plan = read_page_table(spark, str(tmp_path / "p")).select(F.col("category"))
     assert "payload" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_entries_of_a_piece_are_all_read(spark, tmp_path):
+    one, two, three = (entry(id=str(i)) for i in (1, 2, 3))
+    spaced = one.replace("</entry>", "</entry >")
+    last = three.replace("</entry>", "</entry\n>")
+    for name, entries in (("a", (spaced, two, three)), ("b", (one, two, last)), ("c", (spaced, two.replace("</entry>", "</entry >"), last))):
+        path = tmp_path / f"{name}.xml"
+        path.write_text(feed(*entries))
+        rows = scan_entries(spark, str(path)).collect()
+        assert sorted(r["id"] for r in rows) == ["1", "2", "3"] and not any(r[MALFORMED] for r in rows)
+
+
+def test_a_closing_tag_in_text_is_flagged(spark, tmp_path):
+    path = tmp_path / "d.xml"
+    path.write_text(feed(entry(id="1", title="<![CDATA[a </entry> b]]>"), entry(id="2")))
+    rows = scan_entries(spark, str(path)).collect()
+    assert sorted((r["id"] or "", r[MALFORMED]) for r in rows) == [("", True), ("2", False)]
+
+
+def test_pages_are_parsed_once(spark, tmp_path):
+    (tmp_path / "e.xml").write_text(feed(entry()))
+    both = parse_pages(page_frame(spark, feed(entry()))), scan_entries(spark, str(tmp_path / "e.xml"))
+    for rows in both:
+        for checked in (valid_rows(rows, feed_rules()), rejected_rows(rows, feed_rules())):
+            plan = checked._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("from_xml") == 1
+
+
+def test_pages_without_a_start_are_rejected(spark):
+    pages = spark.createDataFrame([("cs.SE", None, feed(entry(id="1"))), ("cs.SE", 0, feed(entry(id="2")))], PAGE)
+    entries = fetched_entries(pages)
+    assert [r["id"] for r in accepted_articles(entries, 1 << 30).collect()] == ["2"]
+    assert [r[VIOLATIONS] for r in rejected_rows(entries, page_rules()).collect()] == [["page_start_present"]]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from smelter.plans import quality as qa
-from smelter.plans.gold import category_dim, named_codes, publication_trends, trend_counts
+from smelter.plans.gold import category_dim, check_codes, named_codes, publication_trends, trend_counts
 from smelter.plans.medallion import (
     NOTHING_DONE, Layout, ensure_layers, load_bronze, load_increment, load_silver, run_medallion,
 )
@@ -334,3 +334,9 @@ def test_rejects_of_earlier_batches_stay(spark, tmp_path):
     assert spark.table(where.rejects).count() == 1
     load_increment(first, where)
     assert spark.table(where.rejects).count() == 1
+
+
+def test_codes_that_differ_by_case_are_refused():
+    check_codes(["cs.AI", "cs.CL"])
+    with pytest.raises(ValueError, match="cs.AI"):
+        check_codes({"cs.AI": "a", "CS.ai": "b"})
