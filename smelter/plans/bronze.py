@@ -17,6 +17,14 @@ from smelter.sources.tables import ensure_table, upsert_table
 # A newer version of a stored article replaces it; an older or undated one never does.
 NEWER_WINS = "s.updated_date > t.updated_date"
 
+# The same where one fetch arrives in several micro-batches: of copies of one date, the one
+# fetched first stays, whichever batch it came with.
+FIRST_FETCHED_WINS = f"{NEWER_WINS} OR (s.updated_date = t.updated_date AND s.fetched < t.fetched)"
+
+# Layout column of the bronze table: place in fetch order.
+FETCHED = "fetched"
+FETCHED_TYPE = "struct<category_ordinal: int, page_start: bigint, entry_pos: int>"
+
 # Layout column of the bronze table: an upsert rewrites only the months it touches.
 MONTH = "published_month"
 
@@ -37,17 +45,26 @@ def fetched_entries(pages: DataFrame, codes: Sequence[str] = CATEGORY_CODES) ->
 
 
 def accepted_articles(entries: DataFrame, budget_bytes: int | None = None) -> DataFrame:
-    """Valid articles of the pages within the budget, one per id, earliest fetched first."""
+    """Valid articles of the pages within the budget, one per id, earliest fetched first.
+
+    Their place in fetch order stands in ``fetched``.
+    """
     admitted = admit(valid_rows(entries, page_rules()), budget_bytes, article_bytes())
     narrow = admitted.select(*BRONZE_COLUMNS, *FETCH_ORDER)
-    return keep_first(narrow, ["id"], FETCH_ORDER).select(BRONZE_COLUMNS)
+    first = keep_first(narrow, ["id"], FETCH_ORDER)
+    return first.select(*BRONZE_COLUMNS, F.struct(*FETCH_ORDER).cast(FETCHED_TYPE).alias(FETCHED))
 
 
 def ensure_bronze(spark, name: str, location: str | None = None, using: str = "parquet") -> None:
-    ensure_table(spark, name, f"{BRONZE}, {MONTH} string", [MONTH], location, using)
+    columns = f"{BRONZE}, {FETCHED} {FETCHED_TYPE}, {MONTH} string"
+    ensure_table(spark, name, columns, [MONTH], location, using)
+    if FETCHED not in spark.table(name).columns:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({FETCHED} {FETCHED_TYPE})")
 
 
-def upsert_bronze(articles: DataFrame, name: str) -> dict[str, int]:
-    """Newer-wins upsert of articles with unique ids."""
+def upsert_bronze(articles: DataFrame, name: str, wins: str = NEWER_WINS) -> dict[str, int]:
+    """Newer-wins upsert of articles with unique ids; ``fetched`` may be absent."""
     source = articles.withColumn(MONTH, F.date_format("published_date", "yyyy-MM"))
-    return upsert_table(name, source, ["id"], NEWER_WINS, on_duplicates="trusted")
+    if FETCHED not in source.columns:
+        source = source.withColumn(FETCHED, F.lit(None).cast(FETCHED_TYPE))
+    return upsert_table(name, source, ["id"], wins, on_duplicates="trusted")

@@ -98,6 +98,7 @@ def _publish(
     replaced: set[str],
     metrics: Sequence[Column] = (),
     keys: Sequence[str] = (),
+    redefine: bool = False,
 ) -> dict:
     """Write a new snapshot and point the table, or its partitions, at it.
 
@@ -105,12 +106,16 @@ def _publish(
     a row in the new snapshot are dropped. Partitions outside of it are not touched.
     Metrics are observed in the writing stage, whose tasks count once even if run twice.
     Files are kept in the order of ``keys``, so that later scans can skip by them.
+    ``redefine`` gives the table the columns of the frame, once these are written.
     """
     spark = df.sparkSession
     path = _new_snapshot(spark, name)
-    df = _conform(df, spark.table(name), ACTION if metrics else None)
+    if not redefine:
+        df = _conform(df, spark.table(name), ACTION if metrics else None)
     if not parts:
         seen = _write(df, path, parts, metrics, keys)
+        if redefine:
+            _redefine(df, name, parts)
         spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
     else:
         folders = F.collect_set(partition_folder(parts)).alias("folders")
@@ -118,6 +123,8 @@ def _publish(
         even = df.hint("rebalance", *parts)
         seen = _write(even, path, parts, [*metrics, folders], keys)
         written = set(seen.pop("folders"))
+        if redefine:
+            _redefine(df, name, parts)
         held = _held_folders(spark, name)
         for folder in sorted(written & held):
             spark.sql(f"ALTER TABLE {name} {_spec(folder)} SET LOCATION '{path}/{folder}'")
@@ -129,6 +136,15 @@ def _publish(
     return seen
 
 
+def _redefine(df: DataFrame, name: str, parts: Sequence[str]) -> None:
+    """Define the table anew with the columns of a frame; no file is deleted."""
+    spark = df.sparkSession
+    root = _properties(spark, name)[_ROOT]
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    spark.sql(f"DROP TABLE {name}")
+    ensure_table(spark, name, columns, parts, root)
+
+
 def _conform(df: DataFrame, table: DataFrame, *others: str | None) -> DataFrame:
     """The columns of a table, matched by name and cast to its types."""
     columns = [F.col(field.name).cast(field.dataType).alias(field.name) for field in table.schema]
@@ -212,11 +228,24 @@ def _spec(folder: str) -> str:
     return f"PARTITION ({', '.join(pairs)})"
 
 
-def overwrite_table(df: DataFrame, name: str) -> None:
-    """Replace the whole content; columns are matched by name, new ones are added to the table."""
+def overwrite_table(df: DataFrame, name: str, replace_schema: bool = False) -> None:
+    """Replace the whole content; columns are matched by name, new ones are added to the table.
+
+    With ``replace_schema`` the table takes the columns and types of the frame if they
+    differ from its own; without it, values are cast to the stored types.
+    """
     spark = df.sparkSession
     if not _is_ours(spark, name):
-        df.writeTo(name).option("mergeSchema", "true").overwrite(F.lit(True))
+        if replace_schema:
+            parts = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+            writer = df.write.format(_provider(spark, name)).mode("overwrite")
+            writer = writer.option("overwriteSchema", "true")
+            (writer.partitionBy(*parts) if parts else writer).saveAsTable(name)
+        else:
+            df.writeTo(name).option("mergeSchema", "true").overwrite(F.lit(True))
+        return
+    if replace_schema and _types(df) != _types(spark.table(name)):
+        _publish(df, name, partition_columns(spark, name), set(), redefine=True)
         return
     stored = set(spark.table(name).columns)
     added = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in stored]
@@ -226,6 +255,15 @@ def overwrite_table(df: DataFrame, name: str) -> None:
     _publish(df, name, parts, _held_folders(spark, name) if parts else set())
 
 
+def _types(df: DataFrame) -> dict[str, str]:
+    return {f.name: f.dataType.simpleString() for f in df.schema}
+
+
+def _provider(spark: SparkSession, name: str) -> str:
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").filter("col_name = 'Provider'")
+    return rows.first()["data_type"]
+
+
 def replace_partitions(df: DataFrame, name: str, folders: set[str]) -> None:
     """Replace the content of some partitions by the frame, which holds rows of no others."""
     spark = df.sparkSession
@@ -270,9 +308,11 @@ def upsert_table(
     """Upsert into a table and report the rows inserted, updated and left in place.
 
     Of a partitioned table only the partitions that lose or gain a row are rewritten;
-    finding them reads the key and partition columns and those of the condition. Rows
-    left in place are counted in those partitions. A batch that changes nothing writes
-    nothing, so running one again is cheap and harmless. A source measured to be small
+    finding them reads the key and partition columns and those of the condition, or all
+    columns within the key range of the source if there is none: a source row equal to the
+    stored one changes nothing. Rows left in place are counted in those partitions. A batch
+    that changes nothing writes nothing, so running one again is cheap and harmless. A format
+    with MERGE reports what it counts itself. A source measured to be small
     is broadcast, which spares the target its shuffle; pass ``small_source`` to skip
     the measuring.
     """
@@ -280,19 +320,19 @@ def upsert_table(
     source = prepare_source(source, keys, on_duplicates, latest_by)
     if not _is_ours(spark, name):
         source.createOrReplaceTempView("upsert_source")
-        spark.sql(merge_statement(name, "upsert_source", keys, when_matched))
-        return {}
+        return merge_counts(spark.sql(merge_statement(name, "upsert_source", keys, when_matched)))
     target = spark.table(name)
     parts = partition_columns(spark, name)
     source = _conform(source, target)
     if small_source is None:
         small_source = is_small(source)
     touched = set()
+    source, left = _changes(target, source, keys, when_matched, small_source)
     if parts:
-        source, touched = _changes(target, source, keys, when_matched, parts, small_source)
-        if not touched:
-            return {"n_inserted": 0, "n_updated": 0, "n_unchanged": 0}
+        touched = folder_names(parts, left, source)
         target = target.filter(in_partitions(target, parts, touched))
+    if not touched if parts else source.isEmpty():
+        return {"n_inserted": 0, "n_updated": 0, "n_unchanged": 0}
     merged = upsert_actions(
         target, source, keys, when_matched, on_duplicates="trusted", small_source=small_source
     )
@@ -311,20 +351,28 @@ def upsert_table(
     )
 
 
-def _changes(target, source, keys, when_matched, parts, small) -> tuple[DataFrame, set[str]]:
-    """Source rows that change the table, and the partitions they change (names only).
+def merge_counts(result: DataFrame) -> dict[str, int]:
+    """The row counts that a MERGE returns, as far as its format returns any."""
+    names = {"num_inserted_rows": "n_inserted", "num_updated_rows": "n_updated"}
+    row = result.select(*[c for c in result.columns if c in names]).first()
+    return {names[c]: n for c, n in row.asDict().items()} if row else {}
+
+
+def _changes(target, source, keys, when_matched, small) -> tuple[DataFrame, DataFrame]:
+    """Source rows that change the table, and the stored rows they replace.
 
     A source row that loses to a stored one is left out here already, or it would look
     new once the partition of its match is not read.
     """
     near = within_key_range(target, source, keys)
     hits = matched_rows(near, F.broadcast(source) if small else source, keys, when_matched)
-    if when_matched is not None:
-        lost = hits.filter("NOT wins").select("s.*").select(*keys)
-        # At most one per source row, so as small as the source.
-        source = new_rows(F.broadcast(lost) if small else lost, source, keys)
-    left = hits.filter("wins").select("t.*")
-    return source, folder_names(parts, left, source)
+    if when_matched is None:
+        same = [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in target.columns]
+        hits = hits.withColumn("wins", ~reduce(Column.__and__, same))
+    lost = hits.filter("NOT wins").select("s.*").select(*keys)
+    # At most one per source row, so as small as the source.
+    changed = new_rows(F.broadcast(lost) if small else lost, source, keys)
+    return changed, hits.filter("wins").select("t.*")
 
 
 def folder_names(parts: Sequence[str], *frames: DataFrame) -> set[str]:

@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from smelter.plans.bronze import accepted_articles, ensure_bronze, fetched_entries, upsert_bronze
+from smelter.plans.bronze import (
+    FIRST_FETCHED_WINS, accepted_articles, ensure_bronze, fetched_entries, upsert_bronze,
+)
 from smelter.plans.medallion import (
     Layout, ensure_layers, ensure_rejects, load_increment, store_rejects,
 )
@@ -30,7 +32,8 @@ def ingest_stream(
     Each micro-batch, bounded by the limits of the page stream, is parsed, validated and
     deduped once, and merged newer-wins. A batch repeated after a failure changes
     nothing, and a late older version never replaces a newer one, whatever the order
-    in which the files arrive.
+    in which the files arrive. Of copies with one date the first in fetch order stays, so
+    the limits do not decide what is stored.
     """
     ensure_bronze(pages.sparkSession, table, location)
     if rejects:
@@ -42,7 +45,7 @@ def ingest_stream(
                 store_rejects(entries, rejects)
             with staged(accepted_articles(entries), f"batch-{batch_id}") as ready:
                 if not ready.isEmpty():
-                    upsert_bronze(ready, table)
+                    upsert_bronze(ready, table, FIRST_FETCHED_WINS)
 
     return _available_now(pages, checkpoint, merge)
 
@@ -61,7 +64,7 @@ def layers_stream(
     ensure_layers(pages.sparkSession, layout)
 
     def advance(batch: DataFrame, batch_id: int) -> None:
-        load_increment(batch, layout, codes, names, budget_bytes=None)
+        load_increment(batch, layout, codes, names, wins=FIRST_FETCHED_WINS)
 
     return _available_now(pages, checkpoint, advance)
 

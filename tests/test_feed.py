@@ -231,3 +231,33 @@ def test_pages_without_a_start_are_rejected(spark):
     entries = fetched_entries(pages)
     assert [r["id"] for r in accepted_articles(entries, 1 << 30).collect()] == ["2"]
     assert [r[VIOLATIONS] for r in rejected_rows(entries, page_rules()).collect()] == [["page_start_present"]]
+
+
+def test_elements_of_other_vocabularies_are_not_atom(spark, tmp_path):
+    inner = (
+        '<m:title>foreign</m:title><m:id>x/9</m:id><m:link title="pdf" href="foreign"/>'
+        '<link m:title="pdf" href="other"/>'
+    )
+    mixed = entry(id="x/1").replace("<entry>", f'<entry xmlns:m="http://m">{inner}')
+    prefixed = f'<a:feed xmlns:m="http://m" xmlns:a="{ATOM}"><a:entry>{inner}<a:id>x/2</a:id><a:title>T</a:title></a:entry></a:feed>'
+    rows = parse_pages(page_frame(spark, feed(mixed), prefixed)).collect()
+    assert [(r["id"], r["title"], r["pdf_url"]) for r in rows] == [("1", "On Rivers", "http://x/pdf/1"), ("2", "T", "")]
+    (tmp_path / "f.xml").write_text(feed(mixed, entry(id="x/2")))
+    scanned = scan_entries(spark, str(tmp_path / "f.xml")).collect()
+    assert sorted((r["id"], r["title"]) for r in scanned) == [("1", "On Rivers"), ("2", "On Rivers")]
+
+
+def test_declared_encodings(spark, tmp_path):
+    cases = {0: "UTF-8", 1000: "ISO-8859-1", 2000: "KOI8-R", 3000: "UTF-16"}
+    for start, name in cases.items():
+        folder = tmp_path / "landed" / "category=cs.AI" / f"start={start}"
+        folder.mkdir(parents=True)
+        text = feed(entry(id=f"x/{start}", title="café")).replace("UTF-8", name)
+        (folder / "page.xml").write_bytes(text.encode("utf-8" if name == "KOI8-R" else name))
+    broken = tmp_path / "landed" / "category=cs.AI" / "start=4000"
+    broken.mkdir()
+    (broken / "page.xml").write_bytes(feed(entry(title="café")).encode("latin-1"))
+    entries = fetched_entries(read_pages(spark, str(tmp_path / "landed")))
+    good = accepted_articles(entries).orderBy("id").collect()
+    assert [(r["id"], r["title"]) for r in good] == [("0", "café"), ("1000", "café")]
+    assert sorted(r["page_start"] for r in rejected_rows(entries, page_rules()).collect()) == [2000, 3000, 4000]

@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 import random
 from types import SimpleNamespace
 
@@ -270,6 +271,29 @@ def test_stream_equals_batch_and_survives_replay(spark, tmp_path):
     assert run("c2") == (3, want)  # everything once more, as after a lost checkpoint
 
 
+@pytest.mark.parametrize("layers", [False, True])
+def test_limits_of_a_stream_do_not_choose_the_copy(spark, tmp_path, layers):
+    # Files are read in the order they were landed, here against the order of fetching.
+    land(tmp_path, "cs.CL", 0, feed(entry(id="x/1", title="CL"), entry(id="x/2", title="CL")))
+    land(tmp_path, "cs.AI", 1000, feed(entry(id="x/1", title="AI second page")))
+    land(tmp_path, "cs.AI", 0, feed(entry(id="x/1", title="AI")))
+    for i, place in enumerate(("CL/start=0", "AI/start=1000", "AI/start=0")):
+        os.utime(tmp_path / f"landed/category=cs.{place}/page.xml", (1e9 + i, 1e9 + i))
+    pages = read_page_stream(spark, str(tmp_path / "landed"), max_files=1)
+    state = str(tmp_path / "state")
+    if layers:
+        where = layout(tmp_path / "tables", "copies")
+        layers_stream(pages, where, state).awaitTermination()
+        names = [where.bronze, where.silver]
+    else:
+        spark.sql("CREATE SCHEMA IF NOT EXISTS streamed")
+        names = ["streamed.copies"]
+        ingest_stream(pages, names[0], state, location=str(tmp_path / "t")).awaitTermination()
+    for name in names:
+        rows = spark.table(name).select("id", "title").collect()
+        assert sorted(map(tuple, rows)) == [("1", "AI"), ("2", "CL")]
+
+
 def test_streamed_layers(spark, tmp_path):
     land(tmp_path, "cs.AI", 0, feed(entry(id="x/1"), entry(id="x/2", title="")))
     land(tmp_path, "cs.CL", 0, feed(entry(id="x/1", published="2020-01-01T00:00:00Z",

@@ -188,3 +188,40 @@ def test_page_keeps_null_keys(spark):
     rows = spark.createDataFrame([(None, 3), ("a", 2), ("b", 1)], "id string, day int")
     got = page(rows, tb.F.lit(True), 0, 3, ["-day"])
     assert [r["day"] for r in got.collect()] == [3, 2, 1]
+
+
+@pytest.mark.parametrize("parts", [("year",), ()])
+@pytest.mark.parametrize("small", [True, False])
+def test_a_repeated_upsert_writes_nothing(spark, schema, tmp_path, parts, small):
+    name = fresh(spark, schema, f"again_{len(parts)}_{small}", parts, tmp_path)
+    stored = [("a", 1, 2023), ("b", None, 2023), ("c", 3, 2024)]
+    tb.overwrite_table(frame(spark, stored), name)
+    before = set(spark.table(name).inputFiles())
+    nothing = {"n_inserted": 0, "n_updated": 0, "n_unchanged": 0}
+    assert tb.upsert_table(name, frame(spark, stored[:2]), ["id"], small_source=small) == nothing
+    assert set(spark.table(name).inputFiles()) == before
+    done = tb.upsert_table(name, frame(spark, [*stored[:2], ("c", 4, 2024)]), ["id"], small_source=small)
+    assert (done["n_inserted"], done["n_updated"]) == (0, 1)
+    assert rows(spark, name) == {*stored[:2], ("c", 4, 2024)}
+    kept = {f for f in before if "year=2023" in f}
+    assert kept <= set(spark.table(name).inputFiles())
+
+
+@pytest.mark.parametrize("parts", [("year",), ()])
+def test_overwrite_replaces_the_schema_if_asked(spark, schema, tmp_path, parts):
+    name = fresh(spark, schema, f"schema_{len(parts)}", parts, tmp_path)
+    tb.overwrite_table(frame(spark, [("a", 1, 2023), ("b", 1, 2024)]), name)
+    wide = spark.createDataFrame([("c", 10**12, 1.5, 2024)], "id string, v bigint, w double, year int")
+    tb.overwrite_table(wide, name, replace_schema=True)
+    assert [tuple(r) for r in spark.table(name).select("id", "v", "w", "year").collect()] == [("c", 10**12, 1.5, 2024)]
+    tb.overwrite_table(spark.table(name).select("id", "year"), name, replace_schema=True)
+    assert sorted(spark.table(name).columns) == ["id", "year"]
+    assert tb.partition_columns(spark, name) == list(parts)
+    tb.upsert_table(name, spark.createDataFrame([("d", 2025)], "id string, year int"), ["id"])
+    assert spark.table(name).count() == 2
+
+
+def test_merge_reports_what_its_format_counts(spark):
+    result = spark.sql("SELECT 5L num_affected_rows, 3L num_updated_rows, 0L num_deleted_rows, 2L num_inserted_rows")
+    assert tb.merge_counts(result) == {"n_updated": 3, "n_inserted": 2}
+    assert tb.merge_counts(spark.range(0).select()) == {}

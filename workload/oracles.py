@@ -375,6 +375,14 @@ ORACLES = {
         FROM entries WHERE {_VALID} GROUP BY ALL""",
     "bronze_batch": f"WITH {_ACCEPTED} SELECT {_ARTICLE_SHOWN} FROM accepted",
     "stream_upsert": f"WITH {_ACCEPTED} SELECT {_ARTICLE_SHOWN} FROM accepted",
+    "stream_upsert_many_batches": f"WITH {_ACCEPTED} SELECT {_ARTICLE_SHOWN} FROM accepted",
+    "overwrite_new_schema": """SELECT o_orderkey + 10000000000 AS k, 'o' AS kind,
+        CAST(year(o_orderdate) AS INTEGER) AS year FROM orders""",
+    "upsert_noop_counts": """SELECT CAST(0 AS INTEGER) AS run,
+            count(*) FILTER (WHERE o_orderkey % 2 <> 0) AS n_inserted,
+            count(*) FILTER (WHERE o_orderkey % 4 = 0) AS n_updated,
+            count(*) FILTER (WHERE o_orderkey % 4 = 2) AS n_unchanged
+        FROM orders UNION ALL SELECT 1, 0, 0, 0""",
     "layers_fact": f"""WITH {_LAYER_FACT}
         SELECT publication_year, category_name, paper_count FROM fact""",
     "layers_increment": f"""WITH {_LAYER_FACT.replace("2015-01-01' +", f"2015-01-01' + to_days({LATER}) +")}

@@ -23,7 +23,7 @@ from smelter.plans.gold import category_dim, named_codes, publication_trends, tr
 from smelter.plans.medallion import Layout, load_increment, run_medallion
 from smelter.plans.quality import fact_profile, null_rate, quality_report, year_totals
 from smelter.plans.silver import silver_papers, silver_papers_merged
-from smelter.schemas import CATEGORY_NAMES, SILVER_COLUMNS
+from smelter.schemas import BRONZE_COLUMNS, CATEGORY_NAMES, SILVER_COLUMNS
 from smelter.session import scratch_path, shared_folder
 from smelter.sources.feed import (
     parse_pages, read_page_stream, read_page_table, read_pages, scan_entries,
@@ -395,16 +395,49 @@ def bronze_batch(spark, sf_dir):
     path = scratch_path(spark, "pages")
     feed_pages(spark, sf_dir).write.parquet(path)
     entries = fetched_entries(read_page_table(spark, path), FEED_CODES)
-    return shown(accepted_articles(entries))
+    return shown(accepted_articles(entries).select(BRONZE_COLUMNS))
 
 
-def stream_upsert(spark, sf_dir):
+def stream_upsert(spark, sf_dir, **limits):
     source = landed_feed(spark, sf_dir)
     name = f"{scratch_schema(spark)}.streamed_{uuid.uuid4().hex}"
-    pages = read_page_stream(spark, source, max_bytes=1024**3)
+    pages = read_page_stream(spark, source, **(limits or {"max_bytes": 1024**3}))
     state, location = scratch_path(spark, "stream-state"), scratch_path(spark, "streamed")
     ingest_stream(pages, name, state, FEED_CODES, location).awaitTermination()
-    return shown(spark.table(name).drop("published_month"))
+    return shown(spark.table(name).select(BRONZE_COLUMNS))
+
+
+def stream_upsert_many_batches(spark, sf_dir):
+    """The same stream in small batches: the limit must not decide which copies stay."""
+    return stream_upsert(spark, sf_dir, max_files=12)
+
+
+def overwrite_new_schema(spark, sf_dir):
+    """A table of years overwritten by a frame with a wider type and a column more."""
+    orders = table(spark, sf_dir, "orders")
+    name = f"{scratch_schema(spark)}.widened_{uuid.uuid4().hex}"
+    ensure_table(spark, name, "k int, year int", ["year"], scratch_path(spark, "widened"))
+    keyed = orders.select(F.col("o_orderkey").alias("k"), F.year("o_orderdate").alias("year"))
+    overwrite_table(keyed, name)
+    wider = keyed.select((F.col("k") + F.lit(10**10)).alias("k"), F.lit("o").alias("kind"), "year")
+    overwrite_table(wider, name, replace_schema=True)
+    return spark.table(name).select("k", "kind", "year")
+
+
+def upsert_noop_counts(spark, sf_dir):
+    """What a table reports for an upsert, and for the same one again."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"), F.year("o_orderdate").alias("year")
+    )
+    name = f"{scratch_schema(spark)}.again_{uuid.uuid4().hex}"
+    ensure_table(spark, name, "k bigint, price double, year int", ["year"], scratch_path(spark, "again"))
+    upsert_table(name, orders.filter("k % 2 = 0"), ["k"])
+    changes = orders.withColumn("price", F.col("price") + F.expr("CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END"))
+    rows = [upsert_table(name, changes, ["k"]) for _ in range(2)]
+    return spark.createDataFrame(
+        [(i, r["n_inserted"], r["n_updated"], r["n_unchanged"]) for i, r in enumerate(rows)],
+        "run int, n_inserted bigint, n_updated bigint, n_unchanged bigint",
+    )
 
 
 def all_layers(spark, sf_dir):
@@ -484,6 +517,9 @@ QUERIES = {
     "bronze_batch": bronze_batch,
     "stream_upsert": stream_upsert,
     "layers_fact": layers_fact,
+    "stream_upsert_many_batches": stream_upsert_many_batches,
+    "overwrite_new_schema": overwrite_new_schema,
+    "upsert_noop_counts": upsert_noop_counts,
     "layers_increment": layers_increment,
     "layers_silver": layers_silver,
     "layers_quality": layers_quality,
