@@ -15,12 +15,13 @@ left for the spelling by its escape, the words that it knows are excluded. Pairs
 over all training texts between the ``PAIR_WORDS`` most frequent words; of these, as many
 levels of frequency as ``HEAD_PAIRS`` have room for are kept.
 
-Word counts are summed over all training documents. The trie lies on the executors, by first
-three bytes; a task holds the words of one such beginning. Tables of successors go to every
-task: after two bytes and after the beginning of a word, which cannot pass 257 * 257 * 256
-entries, and after three and four bytes, the most frequent ``HEAD_CONTEXTS`` of each. The
-``HEAD_WORDS`` most frequent words (of at most 64 bytes) go along as a cache with their
-costs, so only rare words are shuffled by document; so do the kept pairs.
+Word counts are summed over all training documents. The trie is a table: a row for each node
+and byte after it, summed from all words; a node is named by a 64-bit hash of its bytes, a word
+likewise. Steps join back to the words, so no task holds a branch of the trie. Where
+a word leaves the trie, the successors of the last four and three bytes are joined to that step.
+Tables that go to every task are those after two bytes and after the beginning of a word, which
+cannot pass 257 * 257 * 256 entries, the ``HEAD_WORDS`` most frequent words (of at most 64
+bytes) as a cache with their costs, and the kept pairs. Rare words are shuffled by document.
 
 Defined cases: null or empty texts are one end of text; a null id counts as training;
 repeated rows each count and each get their row; without training documents every byte
@@ -37,25 +38,27 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from smelter.llm.common import written
+from smelter.llm.parity_join import mixed
 
 #: Folds of the ids, and the one that is held out.
 FOLDS, HELD_OUT = 5, 1
 HEAD_WORDS, HEAD_BYTES = 100_000, 64
 #: Words between which pairs are counted, and pairs kept; taken off every count of a kept one.
 PAIR_WORDS, HEAD_PAIRS, DISCOUNT = 100_000, 2_000_000, 0.7
-#: Entries kept of the tables after three and after four bytes.
-HEAD_CONTEXTS = 300_000
 #: Beginning of a word as a context; the byte that ends a word, the one that ends a text.
 START, SPACE, END = 256, 0x20, 0x0A
 ANCHOR = 3
+#: Spreads the byte that leads from a node to the next.
+STEP = np.uint64(0x9E3779B97F4A7C15)
 #: A context is a number in base 257; these are four bytes before a word, and the first beyond all of four.
 UNBEGUN, LONGEST = sum(START * 257 ** i for i in range(4)), 257 ** 4
-#: Distinct words kept before counts are handed on.
-FLUSH = 1_000_000
+#: Distinct words kept before counts are handed on, and bytes of words spelled at once.
+FLUSH, PIECE = 1_000_000, 1 << 18
 #: Pairs in a row held before they are counted.
 PAIR_FLUSH = 4_000_000
 
@@ -102,8 +105,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def successors(counts: DataFrame) -> tuple[dict, dict, list[dict]]:
-    """Counts of bytes after two bytes, after the beginning of a word, and after four and three bytes."""
+def successors(counts: DataFrame) -> tuple[dict, dict, DataFrame]:
+    """Counts of bytes after two bytes and after the beginning of a word; context, s and c after four bytes."""
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free: Counter = Counter()
@@ -128,8 +131,8 @@ def successors(counts: DataFrame) -> tuple[dict, dict, list[dict]]:
                 for s in symbols[:ANCHOR]:
                     first[(a * 257 + b) * 256 + s] += c
                     a, b = b, s
-            if len(free) > FLUSH:
-                yield from out()
+                if len(free) > FLUSH:
+                    yield from out()
         yield from out()
 
     rows = counts.filter("c > 0").mapInArrow(table, "anchored boolean, k long, c long")
@@ -141,12 +144,17 @@ def successors(counts: DataFrame) -> tuple[dict, dict, list[dict]]:
             found_after.setdefault(k >> 8, {})[k & 255] = c
         return found_after
 
-    def of_length(n: int) -> DataFrame:
-        return rows.filter("NOT anchored").groupBy((F.col("k") % (257 ** n * 256)).alias("k")).agg(F.sum("c").alias("c"))
+    free = rows.filter("NOT anchored")
+    two = free.groupBy((F.col("k") % (257 ** 2 * 256)).alias("k")).agg(F.sum("c").alias("c"))
+    two, first = (after(t["k"].to_numpy(), t["c"].to_numpy()) for t in (
+        df.select("k", "c").toArrow() for df in (two, rows.filter("anchored"))
+    ))
+    return two, first, free.select(F.shiftright("k", 8).alias("context"), (F.col("k") % 256).alias("s"), "c")
 
-    whole = [df.select("k", "c").toArrow() for df in (of_length(2), rows.filter("anchored"))]
-    two, first = (after(t["k"].to_numpy(), t["c"].to_numpy()) for t in whole)
-    return two, first, [after(*most_frequent(of_length(n), "k", HEAD_CONTEXTS)) for n in (4, 3)]
+
+def names_of(words: list[bytes]) -> np.ndarray:
+    """64-bit names of words."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def most_frequent(table: DataFrame, key: str, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +244,7 @@ class Spelling:
         return cost
 
     def group(self, words: list[bytes], counts: list[int]) -> list[float]:
-        """Costs of words with the same first bytes, given all of them."""
+        """Costs of words with the same first bytes, given all of them: what ``word_costs`` does by joins, in one place."""
         through: dict[bytes, int] = {}
         after: dict[bytes, bytearray] = {}
         for word, c in zip(words, counts):
@@ -279,31 +287,127 @@ class Spelling:
         return costs
 
 
-def word_costs(counts: DataFrame) -> DataFrame:
-    """word, c and cost: the log10 probability of its spelling."""
-    free, first, longer = successors(counts)
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, current, words, cs = Spelling(free, first, longer), None, [], []
-
-        def out():
-            costs = np.array(model.group(words, cs)) / math.log(10)
-            return pa.record_batch({"word": pa.array(words, pa.binary()), "c": pa.array(cs, pa.int64()), "cost": pa.array(costs)})
+def steps_of(counts: DataFrame) -> DataFrame:
+    """name of a word, c, node (the word so far), the byte s after it, and the four bytes before.
+
+    A row for every byte of a word after its first ``ANCHOR``, its end included.
+    """
+
+    def spelled(words: list[bytes], cs: list[int]) -> pa.RecordBatch:
+        sizes = np.array([len(word) + 1 for word in words])
+        text = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+        begins = np.cumsum(sizes) - sizes
+        nodes, sofar = np.zeros(len(text), np.uint64), np.zeros(len(words), np.uint64)
+        order = np.argsort(-sizes, kind="stable")
+        # Words by falling length: those that have a byte at a place come first.
+        ends = np.searchsorted(-sizes[order], -np.arange(sizes.max()), "left")
+        for i, live in enumerate(ends.tolist()):
+            at = begins[order[:live]] + i
+            nodes[at] = sofar[:live]
+            sofar[:live] = mixed(sofar[:live] + (text[at].astype(np.uint64) + np.uint64(1)) * STEP)
+        place = np.arange(len(text)) - np.repeat(begins, sizes)
+        four = np.zeros(len(text), np.int64)
+        for k in range(4, 0, -1):
+            # Only places behind the fourth byte look that far, or the word has not begun there.
+            four = four * 257 + np.where(place >= k, text[np.arange(len(text)) - k], START)
+        late = place >= ANCHOR
+        of = np.repeat(np.arange(len(words)), sizes)[late]
+        return pa.record_batch({
+            "name": pa.array(names_of(words)[of]), "c": pa.array(np.array(cs, np.int64)[of]),
+            "node": pa.array(nodes.view(np.int64)[late]), "s": pa.array(text[late].astype(np.int16)), "four": pa.array(four[late]),
+        })
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            words, cs, held = [], [], 0
             for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-                if word[:ANCHOR] != current:
-                    if words:
-                        yield out()
-                    current, words, cs = word[:ANCHOR], [], []
                 words.append(word)
                 cs.append(c)
-        if words:
-            yield out()
+                held += len(word)
+                if held > PIECE:
+                    yield spelled(words, cs)
+                    words, cs, held = [], [], 0
+            if words:
+                yield spelled(words, cs)
+
+    long = counts.filter(F.length("word") >= ANCHOR).select("word", "c")
+    return long.mapInArrow(read, "name long, c long, node long, s short, four long")
+
+
+def word_costs(counts: DataFrame) -> DataFrame:
+    """word, its name, c and cost: the log10 probability of its spelling."""
+    two, first, longer = successors(counts)
+    # Each node with each byte after it; no node has more than 256.
+    trie = written(
+        steps_of(counts.filter("c > 0")).groupBy("node", "s").agg(F.sum("c").alias("c")), "trie"
+    )
+    total, once = F.sum("c"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0))
+    away = F.when(F.col("total") > 1, (F.col("once") + 0.3) / (F.col("total") + F.col("once") + 1)).otherwise(0.2)
+    w = Window.partitionBy("node")
+    steps = trie.select("node", "s", "c", total.over(w).alias("total"), once.over(w).alias("once")).select(
+        F.col("node").alias("_node"), F.col("s").alias("_s"), F.log(F.col("c") / F.col("total") * (1 - away)).alias("step")
+    )
+    on = (F.col("node") == F.col("_node")) & (F.col("s") == F.col("_s"))
+    seen = steps_of(counts.filter("c > 0")).select("name", "node", "s").join(steps, on).select("name", "step")
+    new = written(
+        steps_of(counts.filter("c = 0")).drop("c").join(steps, on, "left").drop("_node", "_s"), "new-steps"
+    )
+    # Where a word leaves the trie: the node is known, the byte after it is not.
+    left = new.filter("step IS NULL").select("name", "node", "s", "four")
+    asked = left.select("node").distinct()
+    nodes = written(trie.join(asked, "node").groupBy("node").agg(
+        total.alias("total"), once.alias("once"), F.collect_list("s").alias("excluded")
+    ).select(F.col("node").alias("known"), F.log(away).alias("away"), "excluded"), "left-nodes")
+    left = written(left.join(nodes.select("known"), F.col("node") == F.col("known"), "left").drop("node"), "left-steps")
+    kinds = left.select("known", "four", "s").distinct()
+
+    def after(n: int, name: str) -> DataFrame:
+        """Successors of the last n bytes, where they are asked for."""
+        wanted = left.select((F.col("four") % 257 ** n).alias(f"_{name}")).distinct()
+        table = longer.groupBy((F.col("context") % 257 ** n).alias(f"_{name}"), "s").agg(F.sum("c").alias("c"))
+        return table.join(wanted, f"_{name}").groupBy(f"_{name}").agg(
+            F.collect_list((F.col("c") * 256 + F.col("s")).cast("long")).alias(name)
+        )
+
+    kinds = kinds.join(after(3, "after_three"), F.col("four") % 257 ** 3 == F.col("_after_three"), "left")
+    kinds = kinds.join(after(4, "after_four"), F.col("four") == F.col("_after_four"), "left")
+    kinds = kinds.join(nodes.withColumnRenamed("known", "_known"), F.col("known") == F.col("_known"), "left").select(
+        "known", "four", "s", "after_three", "after_four", "away", "excluded"
+    )
+
+    def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Spelling(two, first)
+        for batch in batches:
+            cost = []
+            for r in batch.to_pylist():
+                four, three = r["four"], r["four"] % 257 ** 3
+                tables = [{k & 255: k >> 8 for k in r[name] or ()} for name in ("after_four", "after_three")]
+                contexts = [*tables, *model.contexts(three // 257 % 257, four % 257)]
+                cost.append((r["away"] or 0.0) + model.chain(contexts, r["s"], frozenset(r["excluded"] or ())))
+            yield pa.record_batch({**{k: batch.column(k) for k in ("known", "four", "s")}, "step": pa.array(cost, pa.float64())})
+
+    priced = written(kinds.mapInArrow(leave, "known long, four long, s short, step double"), "left-costs").select(
+        F.col("known").alias("_known"), F.col("four").alias("_four"), F.col("s").alias("_s"), "step"
+    )
+    away_steps = left.join(
+        priced, F.col("known").eqNullSafe(F.col("_known")) & (F.col("four") == F.col("_four")) & (F.col("s") == F.col("_s"))
+    ).select("name", "step")
+    each = seen.unionByName(new.filter("step IS NOT NULL").select("name", "step")).unionByName(away_steps)
+    spelled = each.groupBy(F.col("name").alias("_name")).agg(F.sum("step").alias("steps"))
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Spelling(two, first)
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            yield pa.record_batch({
+                "word": batch.column("word"), "name": pa.array(names_of(words), pa.int64()), "c": batch.column("c"),
+                "cost": pa.array([model.opening(word) for word in words], pa.float64()),
+            })
 
-    begins = F.substring("word", 1, ANCHOR)
-    placed = counts.select("word", "c").repartition(begins).sortWithinPartitions(F.substring("word", 1, ANCHOR))
-    return placed.mapInArrow(spell, "word binary, c long, cost double")
+    opened = counts.select("word", "c").mapInArrow(begin, "word binary, name long, c long, cost double")
+    return opened.join(spelled, F.col("name") == F.col("_name"), "left").select(
+        "word", "name", "c", ((F.col("cost") + F.coalesce("steps", F.lit(0.0))) / math.log(10)).alias("cost")
+    )
 
 
 def line_of(texts: list[list[bytes]], ids: dict[bytes, int]) -> np.ndarray:

@@ -218,6 +218,35 @@ def test_ppm_takes_the_word_before_into_account(spark, docs):
         assert plain[doc] == pytest.approx(sum(cost[w] for w in line[1:]), rel=1e-9)
 
 
+def test_ppm_spells_by_joins_as_in_one_place(spark):
+    counts = {b"": 4, b"abcdef": 3, b"abcdxx": 1, b"abc": 2, b"abd": 1, b"zz": 5, b"abcdezzz": 0, b"abqrs": 0, b"abcdeg": 0,
+              b"xyzzyabc": 0, bytes([200, 201, 202, 203, 204]): 1, b"abc" * 20_000: 1}
+    table = spark.createDataFrame([(bytearray(w), c) for w, c in counts.items()], "word binary, c long")
+    got = {bytes(r["word"]): r["cost"] for r in ppm.word_costs(table).collect()}
+    two, first, four = {}, {}, {}
+    for word, c in counts.items():
+        if c:
+            context, a, b = ppm.UNBEGUN, ppm.START, ppm.START
+            for i, s in enumerate((*word, ppm.SPACE) if word else (ppm.END,)):
+                four.setdefault(context, Counter())[s] += 1
+                two.setdefault(a * 257 + b, Counter())[s] += 1
+                if i < ppm.ANCHOR:
+                    first.setdefault(a * 257 + b, Counter())[s] += c
+                context, a, b = context * 257 % ppm.LONGEST + s, b, s
+    three = defaultdict(Counter)
+    for context, after in four.items():
+        three[context % 257 ** 3].update(after)
+    model = ppm.Spelling(two, first, [four, dict(three)])
+    short = [w for w in counts if len(w) < 100]
+    begun = [w for w in short if w[:3] == b"abc"]
+    # The long word goes on with a, b and c after "abc"; in one place a cut of it has the same nodes there.
+    expected = dict(zip([*begun, b"cut"], model.group([*begun, b"abc" * 5], [counts[w] for w in begun] + [1])))
+    expected |= {w: model.group([w], [counts[w]])[0] for w in short if w[:3] not in (b"abc",)}
+    for word in short:
+        assert got[word] == pytest.approx(expected[word] / math.log(10), rel=1e-9)
+    assert got[b"abc" * 20_000] < -5_000
+
+
 def test_ppm_beats_its_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = ppm.score(docs).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
