@@ -11,17 +11,17 @@ from the shorter ones. These contexts end where a word begins, so a word is spel
 the whole corpus rather than at every occurrence.
 
 The longest context is the whole word before (the start of text counts as one). Where it is
-left for the spelling by its escape, the words that it knows are excluded. Pairs are counted
-over all training texts between the ``PAIR_WORDS`` most frequent words; of these, as many
-levels of frequency as ``HEAD_PAIRS`` have room for are kept.
+left for the spelling by its escape, the words that it knows are excluded. All pairs of a word
+and the next are counted over all training texts.
 
 Word counts are summed over all training documents. The trie is a table: a row for each node
 and byte after it, summed from all words; a node is named by a 64-bit hash of its bytes, a word
-likewise. Steps join back to the words, so no task holds a branch of the trie. Where
+and a pair likewise. Steps join back to the words, so no task holds a branch of the trie. Where
 a word leaves the trie, the successors of the last four and three bytes are joined to that step.
 Tables that go to every task are those after two bytes and after the beginning of a word, which
-cannot pass 257 * 257 * 256 entries, the ``HEAD_WORDS`` most frequent words (of at most 64
-bytes) as a cache with their costs, and the kept pairs. Rare words are shuffled by document.
+cannot pass 257 * 257 * 256 entries, and two caches: the ``HEAD_WORDS`` most frequent words (of
+at most 64 bytes) and the most frequent pairs, as many levels of frequency as ``HEAD_PAIRS`` has
+room for. Words and pairs beyond the caches are joined by document.
 
 Defined cases: null or empty texts are one end of text; a null id counts as training;
 repeated rows each count and each get their row; without training documents every byte
@@ -34,12 +34,11 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from smelter.llm.common import written
@@ -48,8 +47,8 @@ from smelter.llm.parity_join import mixed
 #: Folds of the ids, and the one that is held out.
 FOLDS, HELD_OUT = 5, 1
 HEAD_WORDS, HEAD_BYTES = 100_000, 64
-#: Words between which pairs are counted, and pairs kept; taken off every count of a kept one.
-PAIR_WORDS, HEAD_PAIRS, DISCOUNT = 100_000, 2_000_000, 0.7
+#: Pairs kept in the cache; taken off every count of a pair.
+HEAD_PAIRS, DISCOUNT = 2_000_000, 0.7
 #: Beginning of a word as a context; the byte that ends a word, the one that ends a text.
 START, SPACE, END = 256, 0x20, 0x0A
 ANCHOR = 3
@@ -157,17 +156,24 @@ def names_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
-def most_frequent(table: DataFrame, key: str, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent keys and their counts ``c``: whole levels of frequency, as far as there is room."""
+def turned(x: np.ndarray) -> np.ndarray:
+    """Names of words as the later part of a pair; a pair is named by both, joined by exclusive or."""
+    return (x << 1) | ((x >> 63) & 1)
+
+
+def pair_name() -> Column:
+    after = F.col("after")
+    return F.col("before").bitwiseXOR(F.shiftleft(after, 1).bitwiseOR(F.shiftrightunsigned(after, 63)))
+
+
+def most_frequent(table: DataFrame, room: int) -> tuple[DataFrame, bool]:
+    """The rows of highest ``c``, whole levels of it as far as there is room, and whether these are all."""
     level, least = F.floor(F.log2("c") * 16), None
     for r in sorted(table.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
         if r["n"] > room:
-            break
+            return table.filter(level >= least) if least is not None else table.limit(0), False
         room, least = room - r["n"], r["level"]
-    if least is None:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    found = table.filter(level >= least).select(key, "c").toArrow()
-    return found[key].to_numpy(), found["c"].to_numpy()
+    return table, True
 
 
 def escape(total: int, once: int) -> float:
@@ -410,133 +416,109 @@ def word_costs(counts: DataFrame) -> DataFrame:
     )
 
 
-def line_of(texts: list[list[bytes]], ids: dict[bytes, int]) -> np.ndarray:
-    """Numbers of the words of all texts in a row, 0 at both ends of each, -1 for other words."""
+def line_of(texts: list[list[bytes]]) -> list[bytes]:
+    """The words of all texts in a row, an end before and after each text."""
     flat = [b""]
     for words in texts:
         flat += words
         flat.append(b"")
-    line = np.fromiter(map(ids.get, flat, repeat(-1)), np.int64, len(flat))
-    # The ends have their number even if there is no training text.
-    line[np.cumsum([0, *(len(words) + 1 for words in texts)])] = 0
-    return line
+    return flat
 
 
-def pair_counts(texts: DataFrame, ids: dict[bytes, int]) -> DataFrame:
-    """before and after (numbers of a word and the next) and c, over all training texts."""
-    size = len(ids)
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """before and after (names of a word and the next) and c, over all training texts."""
 
-    def counted(lines: list[np.ndarray]) -> pa.RecordBatch:
-        pairs, c = np.unique(np.concatenate(lines), return_counts=True)
-        return pa.record_batch({"pair": pa.array(pairs, pa.int64()), "c": pa.array(c, pa.int64())})
+    def counted(befores: list[np.ndarray], afters: list[np.ndarray]) -> pa.RecordBatch:
+        before, after = np.concatenate(befores), np.concatenate(afters)
+        _, at, c = np.unique(before ^ turned(after), return_index=True, return_counts=True)
+        return pa.record_batch({"before": pa.array(before[at]), "after": pa.array(after[at]), "c": pa.array(c, pa.int64())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines, held = [], 0
+        befores, afters, held = [], [], 0
         for batch in batches:
-            line = line_of([_words(text) for text in batch.column("text").to_pylist()], ids)
-            known = (line[:-1] >= 0) & (line[1:] >= 0)
-            lines.append(line[:-1][known] * size + line[1:][known])
-            held += len(lines[-1])
+            line = names_of(line_of([_words(text) for text in batch.column("text").to_pylist()]))
+            befores.append(line[:-1])
+            afters.append(line[1:])
+            held += len(line)
             if held > PAIR_FLUSH:
-                yield counted(lines)
-                lines, held = [], 0
+                yield counted(befores, afters)
+                befores, afters, held = [], [], 0
         if held:
-            yield counted(lines)
+            yield counted(befores, afters)
+
+    parts = texts.filter("NOT held_out").select("text").mapInArrow(count, "before long, after long, c long")
+    return parts.groupBy("before", "after").agg(F.sum("c").alias("c"))
 
-    parts = texts.filter("NOT held_out").select("text").mapInArrow(count, "pair long, c long")
-    pairs = parts.groupBy("pair").agg(F.sum("c").alias("c"))
-    # Two small numbers take half the room of one large one.
-    return pairs.select(
-        F.expr(f"int(pair div {size}L)").alias("before"), (F.col("pair") % size).cast("int").alias("after"), "c"
-    )
 
+def following(texts: DataFrame, costs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the word before changes, in log10: the costs with leave, and pair, c and gain.
 
-class Following(NamedTuple):
-    """What the word before changes in the cost of a word, in log10."""
-
-    size: int
-    pairs: np.ndarray
-    #: Added for a kept pair, on top of what every word adds after its context.
-    gain: np.ndarray
-    #: Of each context: escape, less what its known words held of the shorter one. The last is for words without a number.
-    leave: np.ndarray
-
-    @classmethod
-    def of(cls, pairs: np.ndarray, c: np.ndarray, counts: np.ndarray, costs: np.ndarray) -> Following:
-        """From pairs and their counts, and counts and costs of words by number."""
-        size = len(counts)
-        order = np.argsort(pairs)
-        pairs, c = pairs[order], c[order] - DISCOUNT
-        before, after = np.divmod(pairs, size)
-        # Every word is followed by another or by the end, so its count is that of its pairs.
-        held = np.bincount(before, c, size)
-        excluded = np.bincount(before, 10 ** costs[after], size)
-        some = held > 0
-        leave = np.zeros(size + 1)
-        leave[:-1][some] = np.log10(1 - held[some] / counts[some]) - np.log10(np.maximum(1 - excluded[some], 1e-9))
-        return cls(size, pairs, np.log10(c / counts[before]) - costs[after] - leave[before], leave)
-
-    def changes(self, line: np.ndarray) -> np.ndarray:
-        """For every word of a line but the first."""
-        before, after = line[:-1], line[1:]
-        added = self.leave[before]
-        numbered = np.flatnonzero((before >= 0) & (after >= 0))
-        if len(self.pairs) and len(numbered):
-            wanted = before[numbered] * self.size + after[numbered]
-            # In order the search stays within the caches of the processor.
-            order = np.argsort(wanted)
-            numbered, wanted = numbered[order], wanted[order]
-            at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
-            found = self.pairs[at] == wanted
-            added[numbered[found]] += self.gain[at[found]]
-        return added
+    ``leave`` is what any word adds after this one: its escape, less what its known words held
+    of the spelling. ``gain`` is added on top for a pair that was seen.
+    """
+    known = costs.filter("c > 0")
+    after = known.select(F.col("name").alias("after"), F.col("cost").alias("_cost"))
+    pairs = written(pair_counts(texts).join(after, "after"), "pair-counts")
+    parts = pairs.groupBy(F.col("before").alias("_before")).agg(
+        F.count("*").alias("_kinds"), F.sum(F.pow(F.lit(10.0), F.col("_cost"))).alias("_excluded")
+    )
+    # Every word is followed by another or by the end, so its count is that of its pairs.
+    leave = F.log10(F.lit(DISCOUNT) * F.col("_kinds") / F.col("c")) - F.log10(F.greatest(1 - F.col("_excluded"), F.lit(1e-9)))
+    costs = written(costs.join(parts, F.col("name") == F.col("_before"), "left").select(
+        "word", "name", "c", "cost", F.coalesce(leave, F.lit(0.0)).alias("leave")
+    ), "word-leaves")
+    before = costs.filter("c > 0").select(F.col("name").alias("before"), F.col("c").alias("_c"), "leave")
+    gain = F.log10((F.col("c") - DISCOUNT) / F.col("_c")) - F.col("_cost") - F.col("leave")
+    return costs, written(pairs.join(before, "before").select(pair_name().alias("pair"), "c", gain.alias("gain")), "pair-gains")
 
 
 def score(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", head_words: int = HEAD_WORDS,
-    pair_words: int = PAIR_WORDS, head_pairs: int = HEAD_PAIRS,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", head_words: int = HEAD_WORDS, head_pairs: int = HEAD_PAIRS,
 ) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
+
+    ``head_pairs`` is the room of the cache; 0 leaves the word before out of account.
+    """
     texts = texts_of(docs, doc_id, text)
     counts = written(word_counts(texts), "word-counts")
     n, v = counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
     n, v = n or 0, v or 0
     costs = written(word_costs(counts), "word-costs")
+    pairs, whole = None, True
+    if head_pairs:
+        costs, pairs = following(texts, costs)
+        head, whole = most_frequent(pairs, head_pairs)
+        head = head.select("pair", "gain").toArrow()
+        order = np.argsort(head["pair"].to_numpy())
+        head, gain = head["pair"].to_numpy()[order], head["gain"].to_numpy()[order]
+    else:
+        costs = costs.withColumn("leave", F.lit(0.0))
+        head, gain = np.empty(0, np.int64), np.empty(0)
     sound = costs.filter((F.col("c") > 0) & (F.length("word") <= HEAD_BYTES))
     # Every text has an end, so its cost always goes along.
-    common = sound.orderBy((F.length("word") > 0), F.desc("c"), "word").limit(max(head_words, pair_words) + 1)
+    common = sound.orderBy((F.length("word") > 0), F.desc("c"), "word").limit(head_words + 1)
     over = n + 0.5 * (v + 1)
     rows = common.collect()
-    # The end of one text is numbered 0 and stands before the next.
-    ids = {bytes(r["word"]): i for i, r in enumerate(rows)}
-    counted = np.empty(0, np.int64), np.empty(0, np.int64)
-    if ids and head_pairs:
-        paired = {word: i for word, i in ids.items() if i <= pair_words}
-        kept = written(pair_counts(texts, paired), "pair-counts").withColumn(
-            "pair", F.col("before") * F.lit(len(ids)).cast("long") + F.col("after")
-        )
-        counted = most_frequent(kept, "pair", head_pairs)
-    # Without training the end has a cost all the same.
-    known = [(r["c"], r["cost"]) for r in rows] or [(0, -math.log10(256))]
-    c, cost = (np.array(column, float) for column in zip(*known))
-    following = Following.of(*counted, c, cost)
+    # The end of one text is numbered 0 and stands before the next; without training it has a cost all the same.
+    ids = {bytes(r["word"]): i for i, r in enumerate(rows)} or {b"": 0}
+    known = [(r["c"], r["cost"], r["leave"]) for r in rows] or [(0, -math.log10(256), 0.0)]
+    c, cost, leave = (np.array(column, float) for column in zip(*known))
     # The last place is for words that do not go along.
-    cached = min(head_words + 1, len(known))
-    cost = np.append(np.where(np.arange(len(cost)) < cached, cost, 0.0), 0.0)
     base = np.append(np.log10((c + 0.5) / over), 0.0)
-    base[cached:] = 0.0
+    cost, leave = np.append(cost, 0.0), np.append(leave, 0.0)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             texts = [_words(text) for text in batch.column("text").to_pylist()]
-            line = line_of(texts, ids)
+            flat = line_of(texts)
+            line = np.fromiter(map(ids.get, flat, repeat(-1)), np.int64, len(flat))
             sizes = np.array([len(words) + 1 for words in texts])
             begins = np.cumsum(sizes) - sizes
             # A word belongs to the text it stands in, an end to the text that it ends.
-            each = line[1:]
-            here = (each >= 0) & (each < cached)
+            each, change = line[1:], leave[line[:-1]]
+            here = each >= 0
             rare, times = [], []
             absent = np.flatnonzero(~here)
             cuts = np.searchsorted(absent, np.append(begins, len(each))).tolist()
@@ -545,25 +527,48 @@ def score(
                 seen = Counter([words[at - begin] for at in absent[low:high]])
                 rare.append(list(seen))
                 times.append(list(seen.values()))
+            unpaired = wanted = np.empty(0, np.int64)
+            if pairs_counted:
+                names = names_of(flat)
+                wanted = names[:-1] ^ turned(names[1:])
+                # In order the search stays within the caches of the processor.
+                order = np.argsort(wanted)
+                at = np.minimum(np.searchsorted(head, wanted[order]), max(len(head) - 1, 0))
+                found = head[at] == wanted[order] if len(head) else np.zeros(len(order), bool)
+                change[order[found]] += gain[at[found]]
+                if not whole:
+                    unpaired = np.sort(order[~found])
+            open_pairs = np.searchsorted(unpaired, np.append(begins, len(each)))
             known = here if n else np.zeros(len(each), bool)
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
                 "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(np.add.reduceat(known, begins, dtype=np.int64)),
                 "base": pa.array(np.add.reduceat(base[each], begins)),
-                "cost": pa.array(np.add.reduceat(cost[each] + following.changes(line), begins)),
+                "cost": pa.array(np.add.reduceat(cost[each] + change, begins)),
                 "words": pa.array(rare, pa.list_(pa.binary())), "times": pa.array(times, pa.list_(pa.int64())),
+                "pairs": pa.ListArray.from_arrays(pa.array(open_pairs, pa.int32()), pa.array(wanted[unpaired], pa.int64())),
             })
 
+    pairs_counted = pairs is not None
     kinds = ("doc_id long, held_out boolean, n_tokens long, n_known long, base double, cost double, "
-             "words array<binary>, times array<long>")
+             "words array<binary>, times array<long>, pairs array<long>")
     parts = written(texts.mapInArrow(read, kinds).withColumn("_row", F.monotonically_increasing_id()), "common-part")
     rare = parts.select("_row", F.explode(F.arrays_zip("words", "times")).alias("t")).select("_row", "t.words", "t.times")
-    base = F.log10((F.col("c") + 0.5) / F.lit(over))
-    joined = rare.join(costs, F.col("words") == F.col("word")).groupBy(F.col("_row").alias("_of")).agg(
-        F.sum(F.col("times") * F.col("cost")).alias("_cost"), F.sum(F.col("times") * base).alias("_base"),
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("_known"),
+    base_cost = F.log10((F.col("c") + 0.5) / F.lit(over))
+    # A word is the context of the next one as often as it stands in the text.
+    late = rare.join(costs, F.col("words") == F.col("word")).select(
+        F.col("_row").alias("_of"), (F.col("times") * (F.col("cost") + F.col("leave"))).alias("cost"),
+        (F.col("times") * base_cost).alias("base"), F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("known"),
+    )
+    if not whole:
+        paired = parts.select("_row", F.explode("pairs").alias("_pair")).join(pairs, F.col("_pair") == F.col("pair"))
+        late = late.unionByName(paired.select(
+            F.col("_row").alias("_of"), F.col("gain").alias("cost"), F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known")
+        ))
+    joined = late.groupBy("_of").agg(
+        F.sum("cost").alias("_cost"), F.sum("base").alias("_base"), F.sum("known").alias("_known")
     )
-    return parts.drop("words", "times").join(joined, F.col("_row") == F.col("_of"), "left").select(
+    return parts.drop("words", "times", "pairs").join(joined, F.col("_row") == F.col("_of"), "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),

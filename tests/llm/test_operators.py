@@ -218,6 +218,13 @@ def test_ppm_takes_the_word_before_into_account(spark, docs):
         assert plain[doc] == pytest.approx(sum(cost[w] for w in line[1:]), rel=1e-9)
 
 
+def test_ppm_pairs_beyond_the_cache_are_looked_up(docs):
+    whole = {r["doc_id"]: r["score"] for r in ppm.score(docs).collect()}
+    for room in (1, 500):
+        few = {r["doc_id"]: r["score"] for r in ppm.score(docs, head_words=20, head_pairs=room).collect()}
+        assert few == pytest.approx(whole, rel=1e-9)
+
+
 def test_ppm_spells_by_joins_as_in_one_place(spark):
     counts = {b"": 4, b"abcdef": 3, b"abcdxx": 1, b"abc": 2, b"abd": 1, b"zz": 5, b"abcdezzz": 0, b"abqrs": 0, b"abcdeg": 0,
               b"xyzzyabc": 0, bytes([200, 201, 202, 203, 204]): 1, b"abc" * 20_000: 1}
