@@ -3,13 +3,13 @@
 A list is a log of dated entries: from a day on, a host, a domain or a path prefix is
 listed or no longer listed. Entries of one pattern become validity intervals; intervals are cut
 at the borders of time blocks. Every capture asks for its own few patterns (its host, the
-domains above it, its path prefixes), and an as-of join finds the intervals that held when
+domains above it, its path prefixes down to the deepest of the list), and an as-of join finds the intervals that held when
 it was fetched: an equality join on pattern and block, with the time as a condition, which
 adaptive execution can split where one host holds a third of all rows.
 
 Defined cases: null or empty URLs and null times match nothing and pass; entries without
 pattern, date or action are ignored; of entries of one pattern and time the one that lists
-wins; hosts are compared in lower case without port; repeated captures each get their row;
+wins; hosts are compared in lower case, those of captures without port; paths as they are; repeated captures each get their row;
 without entries every capture passes; an empty table gives an empty result; other
 columns play no part.
 """
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from smelter.llm.common import small_side, written
 
-#: Length of a time block in days, and path segments that a pattern may have.
-BLOCK_DAYS, SEGMENTS = 32, 2
+#: Length of a time block in days.
+BLOCK_DAYS = 32
 
 
 def host_of(url: Column | str) -> Column:
@@ -33,16 +33,30 @@ def path_of(url: Column | str) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def patterns_of(url: Column | str) -> Column:
-    """What a list may name to mean a URL: its host, each domain above, host and path prefixes."""
+def segments_in(pattern: Column | str) -> Column:
+    """Path segments of a pattern of a list."""
+    return F.size(F.filter(F.split(pattern, "/"), lambda s: s != "")) - 1
+
+
+def with_lower_host(pattern: Column) -> Column:
+    """A pattern with its host, which ends at the first slash, in lower case; its path is kept as it is."""
+    return F.concat(F.lower(F.substring_index(pattern, "/", 1)), F.regexp_extract(pattern, r"(?s)^[^/]*(/.*)$", 1))
+
+
+def patterns_of(url: Column | str, deepest: int) -> Column:
+    """What a list may name to mean a URL: its host, each domain above, host and path prefixes.
+
+    Prefixes go down to ``deepest`` segments, the most that any pattern of the list has.
+    """
     host, segments = host_of(url), F.filter(F.split(path_of(url), "/"), lambda s: s != "")
     labels = F.split(host, r"\.")
     domains = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
+    depth = F.least(F.size(segments), F.lit(deepest))
     prefixes = F.transform(
-        F.filter(F.array(*[F.lit(k) for k in range(1, SEGMENTS + 1)]), lambda k: k <= F.size(segments)),
+        F.when(depth > 0, F.sequence(F.lit(1), F.greatest(depth, F.lit(1)))).otherwise(F.array().cast("array<int>")),
         lambda k: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, 1, k), "/")),
     )
     return F.when(host != "", F.array_distinct(F.concat(domains, prefixes))).otherwise(F.array().cast("array<string>"))
@@ -55,6 +69,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     by a window, which holds no more of them than there are days.
     """
     sound = entries.filter("pattern IS NOT NULL AND day IS NOT NULL AND label IS NOT NULL AND listed IS NOT NULL")
+    sound = sound.withColumn("pattern", with_lower_host(F.col("pattern")))
     daily = sound.groupBy("pattern", "label", "day").agg(F.max("listed").alias("listed"))
     w = Window.partitionBy("pattern", "label").orderBy("day")
     return (
@@ -75,7 +90,8 @@ def active(captures: DataFrame, entries: DataFrame, last_day: int) -> DataFrame:
     cut = held.filter("since < until").withColumn(
         "_block", F.explode(F.sequence(block("since"), F.floor((F.col("until") - 1) / F.lit(BLOCK_DAYS))))
     )
-    asked = captures.select("capture", "day", F.explode(patterns_of("url")).alias("_pattern")).withColumn("_at", block("day"))
+    deepest = entries.agg(F.max(segments_in("pattern"))).first()[0] or 0
+    asked = captures.select("capture", "day", F.explode(patterns_of("url", deepest)).alias("_pattern")).withColumn("_at", block("day"))
     return asked.join(
         small_side(written(cut, "intervals")),
         (F.col("_pattern") == F.col("pattern")) & (F.col("_at") == F.col("_block"))

@@ -73,6 +73,17 @@ def test_url_lists(spark):
     assert all(r["passes"] for r in url_lists.judge(captures, entries.limit(0)).collect())
 
 
+def test_url_lists_take_deep_paths_and_hosts_in_any_case(spark):
+    entries = spark.createDataFrame(
+        [("h.org/a/b/c/d", 1, "deep", True), ("H.org/A", 1, "case", True), ("H.ORG", 2, "host", True),
+         ("h.org", 4, "host", False)], "pattern string, day int, label string, listed boolean")
+    captures = spark.createDataFrame(
+        [(1, "http://h.org/a/b/c/d/e", 1), (2, "http://h.org/a/b/c", 1), (3, "http://h.org/A/x", 1), (4, "http://h.org/", 3),
+         (5, "http://h.org/", 4), (6, "http://h.org", 1)], "capture int, url string, day int")
+    got = sorted((r["capture"], r["labels"], r["passes"]) for r in url_lists.judge(captures, entries).collect())
+    assert got == [(1, "deep", False), (2, "", True), (3, "case", False), (4, "host", False), (5, "", True), (6, "", True)]
+
+
 # Quality
 
 def test_classifier_learns_and_shrinks(spark):
