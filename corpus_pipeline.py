@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from smelter.llm import decontam, mixing, parity_join, quality_eb, sharding
 from smelter.llm.common import read_table, small_side, written
 
+#: Words of a shingle, and percent of shingles in common from which documents are near copies.
+SHINGLE, PERCENT = 5, 80
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the hierarchical classifier keeps."""
@@ -21,7 +24,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of rows that share that id, one stays. Documents with a null id have no group to stand
     for and stay.
     """
-    groups = parity_join.join(docs.select("doc_id", "text"))
+    groups = parity_join.join(docs.select("doc_id", "text"), shingle=SHINGLE, percent=PERCENT)
     gone = written(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
     kept = docs.join(small_side(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
     nameless = kept.filter("doc_id IS NULL")

@@ -1,6 +1,7 @@
 """N-gram Jaccard join with parity sketches.
 
-A document's set is its distinct four-word shingles. Every shingle flips one bit of the
+A document's set is its distinct shingles (``shingle`` words each, four unless told otherwise);
+sets are similar from ``percent`` on (85 unless told otherwise). Every shingle flips one bit of the
 document's sketch, so two sketches differ in no more bits than their sets do in elements.
 Sets that are similar enough differ in at most d elements, where d follows from their
 sizes. Sketches of a size band have d + 1 blocks of bits and some to spare; of similar
@@ -16,7 +17,7 @@ In large groups (a crowd of copies that are almost similar enough) even these ar
 there classes meet again under their rarest shingles only, which is exact, too.
 
 Defined cases: without words or text the set is empty and links with nothing, its component
-is its own id; fewer than four words make one shingle; repeated rows are one class; a null
+is its own id; fewer words than a shingle has make one shingle; repeated rows are one class; a null
 id takes part but is never a component's name, unless all ids of it are null; an empty
 table gives an empty result; other columns play no part. Sets are named by 64-bit hashes.
 """
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from smelter.llm.common import small_side, written
 
 SHINGLE, PERCENT = 4, 85
-#: Growth of size bands; smallest set that a different set can resemble (by 85 %).
-BAND_GROWTH, SMALLEST = 1.5, 6
+#: Growth of size bands.
+BAND_GROWTH = 1.5
 #: In a group of more classes than this, rare shingles choose the pairs to compare.
 SPLIT_ABOVE = 256
 #: 64-bit words of the dense sketch that rules pairs out.
@@ -53,51 +54,62 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str) -> np.ndarray:
+def _place(i: int) -> np.uint64:
+    """Number of a place in a shingle."""
+    return _WORD[i] if i < len(_WORD) else mixed(np.array([i], np.uint64) * _WORD[0])[0]
+
+
+def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
     """The sorted set of a text, as 64-bit hashes."""
     # bytes.lower and bytes.split know ASCII alone, as the words demand.
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64)
     h = np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
-    if len(h) < SHINGLE:
+    if len(h) < shingle:
         whole = np.array([len(h)], np.uint64)
         for value in h:
             whole = mixed(whole * _WORD[0] + value)
         return whole
-    n = len(h) - SHINGLE + 1
+    n = len(h) - shingle + 1
     total = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
-        total += mixed(h[i:i + n] + _WORD[i])  # the place of a word counts
+    for i in range(shingle):
+        total += mixed(h[i:i + n] + _place(i))  # the place of a word counts
     return np.unique(mixed(total))
 
 
-def band_edges(up_to: int) -> list[int]:
-    edges = [SMALLEST]
+def smallest(percent: int) -> int:
+    """The smallest set that a different set can resemble: n of n + 1 elements."""
+    return max(1, -(-percent // (100 - percent)))
+
+
+def band_edges(up_to: int, percent: int = PERCENT) -> list[int]:
+    edges = [smallest(percent)]
     while edges[-1] <= up_to:
         edges.append(max(edges[-1] + 1, int(edges[-1] * BAND_GROWTH)))
     return edges
 
 
-def blocks_of(band: int, edges: list[int]) -> tuple[int, int]:
+def blocks_of(band: int, edges: list[int], percent: int = PERCENT) -> tuple[int, int]:
     """Blocks of a band's sketches, and how many may be empty.
 
-    The smaller set has up to ``a`` elements, the larger up to 100 a / 85. From
-    100 * both >= 85 * either follows that 185 * difference <= 15 * (sum of sizes).
+    The smaller set has up to ``a`` elements, the larger up to 100 a / percent. From
+    100 * both >= percent * either follows that
+    (100 + percent) * difference <= (100 - percent) * (sum of sizes).
     """
     a = edges[band + 1] - 1
-    differ = (100 - PERCENT) * (a + 100 * a // PERCENT) // (100 + PERCENT)
+    differ = (100 - percent) * (a + 100 * a // percent) // (100 + percent)
     spare = 2 + differ // 16
     return differ + 1 + spare, spare
 
 
-def bands_for(n: int, edges: list[int]) -> list[int]:
+def bands_for(n: int, edges: list[int], percent: int = PERCENT) -> list[int]:
     """Bands in which a set of ``n`` may be the smaller or the larger of a pair."""
-    if n < SMALLEST:
+    if n < smallest(percent):
         return []
     own = int(np.searchsorted(edges, n, "right")) - 1
-    least = -(-PERCENT * n // 100)
-    first = max(0, int(np.searchsorted(edges, max(least, SMALLEST), "right")) - 1)
+    least = -(-percent * n // 100)
+    first = max(0, int(np.searchsorted(edges, max(least, smallest(percent)), "right")) - 1)
     return list(range(first, own + 1))
 
 
@@ -117,14 +129,14 @@ def sketch(values: np.ndarray, blocks: int) -> np.ndarray:
     return words
 
 
-def signatures(values: np.ndarray) -> np.ndarray:
+def signatures(values: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Keys under which a set can meet all sets similar to it."""
     found = []
-    edges = band_edges(len(values))
-    for band in bands_for(len(values), edges):
+    edges = band_edges(len(values), percent)
+    for band in bands_for(len(values), edges, percent):
         if band + 1 >= len(edges):
-            edges = band_edges(edges[-1])
-        blocks, spare = blocks_of(band, edges)
+            edges = band_edges(edges[-1], percent)
+        blocks, spare = blocks_of(band, edges, percent)
         words = sketch(values, blocks)
         filled = words != 0
         keep = np.flatnonzero(filled) if blocks - filled.sum() <= spare else np.arange(blocks)
@@ -143,29 +155,33 @@ def _named(values: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63) if len(values) else None
 
 
-def sketches_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sketches_of(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
     """doc_id, name of the set (null if empty), its size n, signatures (values) and dense sketch (bits)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingles(t) for t in batch["_text"]]
+            sets = [shingles(t, shingle) for t in batch["_text"]]
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].astype("Int64"),
                 "name": pd.array([_named(s) for s in sets], "Int64"),
                 "n": np.array([len(s) for s in sets], np.int64),
-                "values": [signatures(s).view(np.int64) for s in sets],
+                "values": [signatures(s, percent).view(np.int64) for s in sets],
                 "bits": [dense_sketch(s) for s in sets],
             })
 
     return _narrow(docs, doc_id, text).mapInPandas(read, "doc_id long, name long, n long, values array<long>, bits array<long>")
 
 
-def sets_of(docs: DataFrame, members: DataFrame, names: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sets_of(
+    docs: DataFrame, members: DataFrame, names: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE
+) -> DataFrame:
     """name, n and values of the named sets, each read from one of the documents that have it."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingles(t) for t in batch["_text"]]
+            sets = [shingles(t, shingle) for t in batch["_text"]]
             yield pd.DataFrame({
                 "name": pd.array([_named(s) for s in sets], "Int64"),
                 "n": np.array([len(s) for s in sets], np.int64),
@@ -207,15 +223,15 @@ def distance() -> Column:
     ))
 
 
-def possible() -> Column:
+def possible(percent: int = PERCENT) -> Column:
     """Whether sizes and sketches allow a link: more differing bits than similar sets have elements rule it out."""
     small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    return (small * 100 >= large * PERCENT) & (
-        distance() * (100 + PERCENT) <= (F.col("a_n") + F.col("b_n")) * (100 - PERCENT)
+    return (small * 100 >= large * percent) & (
+        distance() * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)
     )
 
 
-def pairs_of(met_rows: DataFrame, bits: DataFrame) -> DataFrame:
+def pairs_of(met_rows: DataFrame, bits: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Each class with the first of its groups and with the one before it, if a link is possible."""
     stars = met_rows.filter("before IS NOT NULL").select(
         F.explode(F.array(
@@ -224,21 +240,21 @@ def pairs_of(met_rows: DataFrame, bits: DataFrame) -> DataFrame:
         )).alias("s"), F.col("name").alias("b"), F.col("n").alias("b_n"),
     ).select("s.*", "b", "b_n")
     small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    once = stars.filter(small * 100 >= large * PERCENT).distinct()
+    once = stars.filter(small * 100 >= large * percent).distinct()
     both = once.join(bits.select(F.col("name").alias("a"), F.col("bits").alias("a_bits")), "a").join(
         bits.select(F.col("name").alias("b"), F.col("bits").alias("b_bits")), "b"
     )
-    return both.filter(possible()).select("a", "b")
+    return both.filter(possible(percent)).select("a", "b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar: 100 * common >= 85 * all."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose sets are similar: 100 * common >= percent * all."""
     a = sets.select(F.col("name").alias("a"), F.col("values").alias("a_values"))
     b = sets.select(F.col("name").alias("b"), F.col("values").alias("b_values"))
     common = F.size(F.array_intersect("a_values", "b_values"))
     both = pairs.join(a, "a").join(b, "b").withColumn("_common", common)
     either = F.size("a_values") + F.size("b_values") - F.col("_common")
-    return both.filter(F.col("_common") * 100 >= either * PERCENT).select("a", "b")
+    return both.filter(F.col("_common") * 100 >= either * percent).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -280,7 +296,7 @@ def open_groups(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return labelled.join(groups.filter("_lo <> _hi").select(F.col("key").alias("_key"), "size"), F.col("key") == F.col("_key")).drop("_key")
 
 
-def cross_pairs(groups: DataFrame, bits: DataFrame) -> DataFrame:
+def cross_pairs(groups: DataFrame, bits: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of a group whose components differ, if a link is possible.
 
     The test stands in the join, so that pairs it rules out are never rows.
@@ -291,7 +307,7 @@ def cross_pairs(groups: DataFrame, bits: DataFrame) -> DataFrame:
                         F.col("a_root").alias("b_root"), F.col("a_bits").alias("b_bits"))
     met_ = mine.join(
         other,
-        (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & possible(),
+        (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & possible(percent),
     )
     return met_.select("a", "b").distinct()
 
@@ -301,30 +317,32 @@ def by_key(sets: DataFrame) -> DataFrame:
     return sets.select(F.explode("values").alias("key"), "name", "n")
 
 
-def rare_keys(sets: DataFrame) -> DataFrame:
+def rare_keys(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Classes under their rarest shingles: as many as any similar set must share one of.
 
     Of sets that are similar, one shares an element with the other among the first
-    n - 85 % of n + 1 in whatever order all keep. Rare ones first, so that what sets of a
+    n - percent of n + 1 in whatever order all keep. Rare ones first, so that what sets of a
     crowd have in common comes last; those that no other set has lead nowhere.
     """
     often = F.count("*").over(Window.partitionBy("key"))
     ranked = by_key(sets).withColumn("often", often).filter("often > 1")
     mine = Window.partitionBy("name")
     lonely = F.col("n") - F.count("*").over(mine)
-    need = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     return ranked.withColumn("_place", F.row_number().over(mine.orderBy("often", "key"))).withColumn(
         "_lonely", lonely
     ).filter(F.col("_place") + F.col("_lonely") <= need).select("key", "name", "n")
 
 
-def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def link(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (doc_id, name, n), links between names (a, b) and roots of linked names.
 
     A link is recorded where it is needed to close a component; pairs inside one component
     are not all compared.
     """
-    read = written(sketches_of(docs, doc_id, text), "sketches")
+    read = written(sketches_of(docs, doc_id, text, shingle, percent), "sketches")
     members = read.select("doc_id", "name", "n")
     rows = written(met(by_key(read)), "met")
     wanted = written(rows.select("name").distinct(), "met-names")
@@ -332,25 +350,25 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[D
 
     def links_among(pairs: DataFrame) -> DataFrame:
         names = pairs.select(F.explode(F.array("a", "b")).alias("name"))
-        return written(verified(pairs, sets_of(docs, members, names, doc_id, text)), "links")
+        return written(verified(pairs, sets_of(docs, members, names, doc_id, text, shingle), percent), "links")
 
-    done = written(pairs_of(rows, bits), "pairs")
+    done = written(pairs_of(rows, bits, percent), "pairs")
     links = links_among(done)
     roots = rooted(links)
     left = written(open_groups(rows, roots), "open")
     many = left.filter(F.col("size") > SPLIT_ABOVE)
-    more = cross_pairs(left.filter(F.col("size") <= SPLIT_ABOVE), bits)
+    more = cross_pairs(left.filter(F.col("size") <= SPLIT_ABOVE), bits, percent)
     rare = None
     if not many.isEmpty():
-        crowd = sets_of(docs, members, many.select("name"), doc_id, text)
-        rare = written(met(rare_keys(crowd)), "rare")
-        more = more.unionByName(pairs_of(rare, bits)).distinct()
+        crowd = sets_of(docs, members, many.select("name"), doc_id, text, shingle)
+        rare = written(met(rare_keys(crowd, percent)), "rare")
+        more = more.unionByName(pairs_of(rare, bits, percent)).distinct()
     more = written(more.join(done, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         links = written(links.unionByName(links_among(more)), "links")
         roots = rooted(links)
     if rare is not None:
-        last = cross_pairs(open_groups(rare, roots), bits)
+        last = cross_pairs(open_groups(rare, roots), bits, percent)
         last = written(last.join(done.unionByName(more), ["a", "b"], "left_anti"), "pairs")
         if not last.isEmpty():
             links = written(links.unionByName(links_among(last)), "links")
@@ -362,9 +380,11 @@ def rooted(links: DataFrame) -> DataFrame | None:
     return None if links.isEmpty() else written(components(links), "roots")
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def join(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    members, _, roots = link(docs, doc_id, text)
+    members, _, roots = link(docs, doc_id, text, shingle, percent)
     tops = roots.withColumnRenamed("name", "_name")
     placed = members.join(tops, F.col("name") == F.col("_name"), "left").withColumn("root", F.coalesce("root", "name"))
     placed = written(placed.select("doc_id", "n", "root"), "placed")

@@ -1,5 +1,7 @@
 """Registered queries against their SQL, and the pipeline against its parts."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,3 +45,34 @@ def test_pipeline_on_odd_rows(spark, odd):
         assert kept.columns == odd.columns
         kept.count()
         assert stage(spark, odd.limit(0), FOLDER).count() == 0
+
+
+def test_pipeline_drops_copies_of_five_words_and_four_fifths(spark):
+    base = [f"w{i}" for i in range(60)]
+    made = {1: base, 2: base + [f"x{i}" for i in range(13)], 3: base + [f"y{i}" for i in range(18)], 4: base[:30]}
+    texts = {i: " ".join(words) for i, words in made.items()}
+    # Small sets: one of four shingles more.
+    texts |= {5: "a b c d e f g h", 6: "a b c d e f g h i", 7: "p q r s t u v", 8: "p q r s t u v w"}
+    stored = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").limit(150).collect()}
+    texts |= {1000 + i: t for i, t in stored.items()}
+
+    def shingles(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
+        return {tuple(words[i:i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+    sets, root = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in texts:
+        for b in texts:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, FOLDER).collect()}
+    assert kept == {i for i in texts if top(i) == i}
+    assert 2 not in kept and {1, 3, 4, 5, 7, 8} <= kept and 6 not in kept
