@@ -11,7 +11,8 @@ and reader comments put around and into it, with text of other pages, so that th
 knows these by their marks and not by their words.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as far as it
-goes; repeated rows each get their row; without a page to learn from, nothing is main
+goes (an unclosed head ends before what cannot stand in it, of other unclosed containers only
+the tag is dropped, an unclosed script, style or comment lasts to the end); repeated rows each get their row; without a page to learn from, nothing is main
 text; an empty table gives an empty result; other columns play no part.
 """
 
@@ -31,10 +32,16 @@ FIT_PAGES, FIT_CHARS, FIT_BLOCKS = 300, 100_000, 80
 
 _PART = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|head)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+>",
     re.S | re.I,
 )
+#: Elements that are dropped whole if they are closed; if not, their tag alone is.
+_CLOSING = {t: re.compile(rf"</{t}\s*>", re.I) for t in "noscript template svg iframe textarea select".split()}
+#: What may stand in a head. Without an end tag, it ends before anything else.
+IN_HEAD = frozenset("title meta link base basefont bgsound noscript template noframes".split())
+_TITLE = re.compile(r"</title\s*>", re.I)
+_SELECT = re.compile(r"<select(?=[\s/>])", re.I)
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -80,12 +87,36 @@ def families_of(attributes: str) -> frozenset[str]:
     return frozenset(_FAMILY[w] for w in _WORD.findall(names) if w in _FAMILY)
 
 
+def head_end(page: str, begin: int) -> int:
+    """Where a head ends whose tag ends at ``begin``: after its end tag, else before what cannot stand in it."""
+    at, end = begin, None
+    while m := _PART.search(page, at):
+        if end is None and page[at:m.start()].strip():
+            end = at
+        at, tag = m.end(), (m.group(3) or "").lower()
+        if not tag:
+            continue
+        if tag == "head" and m.group(2):
+            return at
+        if tag == "body":
+            return m.start() if end is None else end
+        if not m.group(2) and tag in ("title", *_CLOSING):
+            closed = (_TITLE if tag == "title" else _CLOSING[tag]).search(page, at)
+            at = closed.end() if closed else at
+        if end is None and tag not in IN_HEAD:
+            end = m.start()
+    if end is None and page[at:].strip():
+        end = at
+    return len(page) if end is None else end
+
+
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks with text, in page order."""
     blocks: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
     pieces: list[str] = []
     in_link, linked, at = 0, 0, 0
+    headed, unclosed = False, set()
 
     def close():
         nonlocal linked
@@ -98,7 +129,7 @@ def blocks_of(page: str) -> list[Block]:
             ))
         linked = 0
 
-    for m in _PART.finditer(page):
+    while m := _PART.search(page, at):
         if m.start() > at:
             pieces.append(page[at:m.start()])
             if in_link:
@@ -110,6 +141,21 @@ def blocks_of(page: str) -> list[Block]:
                 close()
             continue
         ending = m.group(2)
+        if tag == "head":
+            close()
+            if not ending and not headed:
+                headed, at = True, head_end(page, at)
+            continue
+        if tag in _CLOSING:
+            close()
+            if not ending and tag not in unclosed and not (tag == "svg" and m.group(4).endswith("/")):
+                closed = _CLOSING[tag].search(page, at)
+                if not closed:
+                    unclosed.add(tag)
+                # A select cannot stand in another: the first one was left open.
+                elif tag != "select" or not _SELECT.search(page, at, closed.start()):
+                    at = closed.end()
+            continue
         if tag in INLINE:
             if tag == "a":
                 in_link = 0 if ending else 1

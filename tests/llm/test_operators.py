@@ -348,6 +348,25 @@ def test_viterbi_finds_the_best_chain():
     assert value(html_crf.viterbi(field, blocks)) == pytest.approx(value(best))
 
 
+def test_main_text_survives_unclosed_containers():
+    article = "<article><p>One two.</p><p>Three four.</p></article>"
+
+    def texts(page):
+        return [b.text for b in html_crf.blocks_of(page)]
+
+    both = ["One two.", "Three four."]
+    head = "<head><title>T <b></title><meta charset=x><script>'<p>no</p></head>'</script><style>p{}</style>"
+    for page in (
+        f"<html>{head}</head><body>{article}", f"<html>{head}<body>{article}", f"<html>{head}{article}",
+        f"{head}<!-- </head> -->{article}", f"<svg/>{article}", f"<svg class='x' />{article}<svg><text>no</text></svg>",
+        f"<select>{article}", f"<select>{article}<select><option>no</option></select>", f"<textarea>{article}",
+        f"<noscript>{article}", f"<template>{article}", f"<iframe src=x>{article}", f"<select><option>no</select>{article}",
+        f"<noscript>no</noscript><textarea>no</textarea>{article}<script>no", f"{article}<!-- no", f"{article}<style>no",
+    ):
+        assert texts(page) == both, page
+    assert texts(f"{head}plain{article}") == ["plain", *both]
+
+
 # Decontamination
 
 def test_decontamination(spark, odd, none):
