@@ -5,7 +5,11 @@ of its ancestors (tags, and families of class and id names) and of its text. The
 the chain of blocks as article or not; Viterbi finds the best labels of a whole page.
 
 It is trained on at most ``FIT_PAGES`` pages of at most ``FIT_CHARS`` characters, picked by the
-hash of their id and labelled by their containers. Each is learned as it is and in a
+hash of their id and labelled by their containers; if all are longer, on the shortest ones, up
+to ``FIT_TOTAL`` characters but one at least. If none of these has an article or a main element,
+it learns from pages that stand here instead. Long chains are cut into pieces of ``FIT_BLOCKS``
+blocks, the inside of long runs of one label left out; their first, last and then other pieces are
+learned, ``FIT_PIECES`` in all or one of every chain. Each page is learned as it is and in a
 changed form: other containers for the article, and sidebars, menus, notices, forms, adverts
 and reader comments put around and into it, with text of other pages, so that the field
 knows these by their marks and not by their words.
@@ -29,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIT_PAGES, FIT_CHARS, FIT_BLOCKS = 300, 100_000, 80
+#: Characters of pages where all are longer; pieces of chains; blocks kept at each end of a long run.
+FIT_TOTAL, FIT_PIECES, FIT_RUN = 10_000_000, 1_200, 20
 
 _PART = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
@@ -231,7 +237,24 @@ CONTAINERS = ("<article>%s</article>", "<main>%s</main>", '<div class="content">
               '<main><header><h1>%s</h1></header>%s</main>')
 
 
-def changed(page: str, others: list[str], number: int) -> list[tuple[Block, int]]:
+#: Pages to learn from where a sample has no article.
+KNOWN_PAGES = tuple(
+    f"<body><article><h1>{title}</h1>{''.join(f'<p>{text}</p>' for text in texts)}</article></body>"
+    for title, *texts in (
+        ("On rivers", "Rivers carry sand, silt and gravel towards the sea, and they drop them where they slow down.",
+         "In spring the water rises.", "Where two of them meet, towns were founded early, since goods could be moved there."),
+        ("How bread is made", "Flour, water and salt are mixed and left to rest for an hour before the dough is shaped.", "Then it rises again.",
+         "An oven that is hot from below gives a firm crust, which many people like best of all."),
+        ("Notes from a walk", "We left before dawn and followed the old road, which climbs slowly through the woods.",
+         "Nobody was there.", "From the top one sees three valleys, a lake and, on clear days, the coast."),
+    )
+)
+#: Text of what stands around them.
+KNOWN_OTHERS = ("Home", "Sign up now", "Read more", "All rights reserved.", "We use cookies to make this site better, and to count visits.",
+                "Great post, thank you for writing it!", "Search", "You may also like these stories, picked for you every day.")
+
+
+def changed(page: str, others: list[str], number: int, containers: tuple[str, ...] = CONTAINERS) -> list[tuple[Block, int]]:
     """The page's article in another container, between decoys; labels follow from that."""
     rows = labelled(page)
     own = [b.text for b, label in rows if label]
@@ -243,7 +266,7 @@ def changed(page: str, others: list[str], number: int) -> list[tuple[Block, int]
         if (number + k) % 3:
             n = decoy.count("%s")
             parts[place].append(decoy % tuple(html.escape(pick(k + i)) for i in range(n)))
-    container = CONTAINERS[number % len(CONTAINERS)]
+    container = containers[number % len(containers)]
     paragraphs = [f"<p>{html.escape(t)}</p>" for t in own]
     middle = len(paragraphs) // 2
     inside = "".join([*paragraphs[:middle], *parts[1], *paragraphs[middle:]])
@@ -264,9 +287,27 @@ class Field(NamedTuple):
     first: float
 
 
+def pieces_of(chain: list[tuple[Block, int]]) -> list[list[tuple[Block, int]]]:
+    """A chain in pieces to learn from: the first, the last, then the others; short chains as they are."""
+    if len(chain) <= FIT_BLOCKS:
+        return [chain]
+    kept, begin = [], 0
+    for i in range(1, len(chain) + 1):
+        if i == len(chain) or chain[i][1] != chain[begin][1]:
+            run = chain[begin:i]
+            kept += run if len(run) <= 2 * FIT_RUN else run[:FIT_RUN] + run[-FIT_RUN:]
+            begin = i
+    cut = [kept[i:i + FIT_BLOCKS] for i in range(0, len(kept), FIT_BLOCKS)]
+    return [cut[0], *cut[:0:-1][:1], *cut[1:-1]]
+
+
 def train(chains: list[list[tuple[Block, int]]], rounds: int = 250, ridge: float = 1e-3) -> Field:
     """Maximum likelihood by gradient ascent; forward and backward over all chains at once."""
-    chains = [c[:FIT_BLOCKS] for c in chains if c]
+    pieces = [pieces_of(c) for c in chains if c]
+    order = sorted((k, i) for i, cut in enumerate(pieces) for k in range(len(cut)))[:max(FIT_PIECES, len(pieces))]
+    chains = [pieces[i][k] for k, i in order]
+    # Only the first piece of a chain has the first label of a page.
+    begins = np.array([k == 0 for k, _ in order], float)
     names = sorted({f for c in chains for b, _ in c for f in features(b)})
     place = {f: i for i, f in enumerate(names)}
     if not chains:
@@ -288,7 +329,7 @@ def train(chains: list[list[tuple[Block, int]]], rounds: int = 250, ridge: float
     for step in range(1, rounds + 1):
         state = np.zeros((s, t, 2))
         state[:, :, 1] = x @ w
-        state[:, 0, 1] += first
+        state[:, 0, 1] += first * begins
         forward = np.zeros((s, t, 2))
         forward[:, 0] = state[:, 0]
         for j in range(1, t):
@@ -305,7 +346,7 @@ def train(chains: list[list[tuple[Block, int]]], rounds: int = 250, ridge: float
             steps += (np.exp(np.minimum(pair, 0)) * on[:, :, None]).sum(0)
         p = np.exp(np.minimum(forward[:, :, 1] + backward[:, :, 1] - total[:, None], 0)) * live
         gradient = np.concatenate([
-            seen - np.einsum("stf,st->f", x, p), (seen_steps - steps).ravel(), [(y[:, 0] - p[:, 0]).sum()],
+            seen - np.einsum("stf,st->f", x, p), (seen_steps - steps).ravel(), [((y[:, 0] - p[:, 0]) * begins).sum()],
         ]) / blocks - ridge * np.concatenate([w, a.ravel(), [first]])
         moment[0] = 0.9 * moment[0] + 0.1 * gradient
         moment[1] = 0.99 * moment[1] + 0.01 * gradient**2
@@ -343,15 +384,21 @@ def main_text(field: Field, page: str) -> str:
 
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES, page_id: str = "page_id", page: str = "html") -> Field:
     """A field trained on a bounded sample of pages, labelled by their containers."""
-    chosen = (
-        pages.select(F.col(page).alias("html"), F.xxhash64(F.col(page_id), F.length(page)).alias("_h"))
-        .filter((F.length("html") > 0) & (F.length("html") <= FIT_CHARS))
-        .orderBy("_h", "html").limit(fit_pages)
-    )
+    full = pages.select(F.col(page).alias("html"), F.xxhash64(F.col(page_id), F.length(page)).alias("_h")).filter(F.length("html") > 0)
+    chosen = full.filter(F.length("html") <= FIT_CHARS).orderBy("_h", "html").limit(fit_pages)
     sample = [r["html"] for r in chosen.select("html").collect()]
+    if not sample:
+        sizes = [r["n"] for r in full.select(F.length("html").alias("n")).orderBy("n").limit(fit_pages).collect()]
+        room = max(1, int(np.searchsorted(np.cumsum(sizes), FIT_TOTAL, "right")))
+        sample = [r["html"] for r in full.orderBy(F.length("html"), "_h", "html").limit(room).select("html").collect()]
     others = [b.text for p in sample for b in blocks_of(p)] or [""]
-    chains = [labelled(p) for p in sample] + [changed(p, others, i) for i, p in enumerate(sample)]
-    return train(chains)
+    own = [labelled(p) for p in sample]
+    if sample and not any(label for chain in own for _, label in chain):
+        # Without labels the sample says nothing of its own; the last container is none at all.
+        return train([
+            changed(KNOWN_PAGES[i % len(KNOWN_PAGES)], list(KNOWN_OTHERS), i, (*CONTAINERS, "%s")) for i in range(84)
+        ])
+    return train(own + [changed(p, others, i) for i, p in enumerate(sample)])
 
 
 def extract(pages: DataFrame, field: Field | None = None, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -348,6 +348,22 @@ def test_viterbi_finds_the_best_chain():
     assert value(html_crf.viterbi(field, blocks)) == pytest.approx(value(best))
 
 
+def test_main_text_learns_from_any_pages(spark):
+    body = "".join(f"<p>Sentence number {i}, which is long enough to be read.</p>" for i in range(2_500))
+    around = '<div class="menu"><a href="/">Home</a></div>%s<div id="footer"><p>Some small print.</p></div>'
+    long = around % f"<article>{body}</article>"
+    bare = around % '<div class="content"><p>First of two, a sentence.</p><p>Then the second one, as long.</p></div>'
+    assert len(long) > html_crf.FIT_CHARS
+    kind = "page_id long, url string, html string"
+    [row] = html_crf.extract(spark.createDataFrame([(1, "u", long)], kind)).collect()
+    assert row["text"].startswith("Sentence number 0,") and row["text"].endswith("to be read.")
+    assert "Home" not in row["text"] and "small print" not in row["text"]
+    [row] = html_crf.extract(spark.createDataFrame([(1, "u", bare)], kind)).collect()
+    assert row["text"] == "First of two, a sentence. Then the second one, as long."
+    cut = html_crf.pieces_of(html_crf.labelled(long))
+    assert cut[0][0][0].text == "Home" and any(b.text == "Some small print." for c in cut for b, _ in c)
+
+
 def test_main_text_survives_unclosed_containers():
     article = "<article><p>One two.</p><p>Three four.</p></article>"
 
