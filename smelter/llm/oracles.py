@@ -150,7 +150,27 @@ reach AS (SELECT doc_id, doc_id AS seen FROM sizes UNION SELECT r.doc_id, l.b FR
 SELECT s.doc_id, s.n::BIGINT AS n_shingles, min(r.seen) AS component_id
 FROM sizes s JOIN reach r USING (doc_id) GROUP BY s.doc_id, s.n"""
 
+_OP11 = """
+WITH vectors AS (
+  SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (
+  SELECT a.n AS anchor, a.vec_id AS anchor_id, x.n, x.vec_id, a.label = x.label AS same,
+    list_dot_product(a.q, x.q)::BIGINT AS score
+  FROM vectors a JOIN vectors x ON a.vec_id % 50 = 0 AND a.n <> x.n),
+positives AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, n) <= 5),
+windowed AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, x.vec_id AS negative_id, p.score AS positive_score, x.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.n ORDER BY x.score DESC, x.vec_id, x.n)::INTEGER AS rank
+  FROM positives p JOIN scored x ON p.anchor = x.anchor AND NOT x.same
+    AND 50 * p.score <= 100 * x.score AND 100 * x.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM windowed WHERE rank <= 3"""
+
 ORACLES = {
     "op1_prefix_targets": _OP1, "op2_url_lists": _OP2, "op8_decontaminate": _OP8, "op9_feistel": _OP9,
-    "op10_parity_join": _OP10,
+    "op10_parity_join": _OP10, "op11_anchor_tree": _OP11,
 }

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from smelter.llm import (
-    chat, decontam, html_crf, mixing, parity_join, ppm, quality_eb, rules, sharding, url_lists,
+    anchor_bounds, chat, decontam, html_crf, mixing, parity_join, ppm, prefix_bpe, quality_eb, rules, sharding,
+    spectrum, url_lists,
 )
 from smelter.llm.common import read_table
 
@@ -71,6 +72,33 @@ def op10_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.join(read_table(spark, sf_dir, "documents"))
 
 
+def op11_anchor_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", shifted.alias("label"))
+    return anchor_bounds.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes by the ranks of a public vocabulary file, then decodes what was encoded."""
+    import public_tokenizers
+
+    ranks = prefix_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = docs.select("doc_id", prefix_bpe.encode(docs, ranks, public_tokenizers.PATTERN).alias("ids"))
+    decoded = encoded.select("doc_id", "ids", prefix_bpe.decode(encoded, ranks).alias("bytes"))
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    fits, scaled = anchor_bounds.whole_vectors(vectors, "embedding", 64)
+    return spectrum.whiten(vectors.filter(fits).select("vec_id", F.transform(scaled, lambda c: c + 1_000_000).alias("x")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +109,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_prefix_targets, op2_url_lists, op3_quality_eb, op4_decision_list, op5_ppm, op6_mix, op7_main_text,
-        op8_decontaminate, op9_feistel, op10_parity_join, pipeline,
+        op8_decontaminate, op9_feistel, op10_parity_join, op11_anchor_tree, op12_prefix_bpe, op13_spectrum,
+        pipeline,
     )
 }
