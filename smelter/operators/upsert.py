@@ -79,6 +79,21 @@ def upsert_actions(
     return keyed.unionByName(kept).unionByName(added)
 
 
+LANE = "_lane"
+# Ways that rows without a key take through a join.
+LANES = 4096
+
+
+def in_lanes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add a join column that spreads rows with a null key over many tasks.
+
+    They match nothing wherever they go, but by their keys alone would all go to one task. Rows
+    with a key share one lane, so among them the column changes nothing.
+    """
+    apart = 1 + F.pmod(F.monotonically_increasing_id(), F.lit(LANES))
+    return df.withColumn(LANE, F.when(_any_null(keys), apart).otherwise(F.lit(0).cast("bigint")))
+
+
 def _same_keys(keys: Sequence[str]) -> Column:
     return reduce(Column.__and__, (F.col(f"t.{key}") == F.col(f"s.{key}") for key in keys))
 
@@ -93,16 +108,20 @@ def within_key_range(target: DataFrame, source: DataFrame, keys: Sequence[str])
     No other row can match. The bounds reach the scan as plain comparisons, so of files
     kept in key order only the row groups near the source are read.
     """
-    bounds = source.agg(
-        *[F.min(key).alias(f"min_{key}") for key in keys],
-        *[F.max(key).alias(f"max_{key}") for key in keys],
-    ).first()
+    return target.filter(in_bounds(target, keys, source.agg(*key_bounds(keys)).first().asDict()))
+
+
+def key_bounds(keys: Sequence[str]) -> list[Column]:
+    return [end(key).alias(f"{name}_{key}") for key in keys for name, end in (("min", F.min), ("max", F.max))]
+
+
+def in_bounds(target: DataFrame, keys: Sequence[str], known: dict) -> Column:
     inside = F.lit(True)
     for key in keys:
         kind = target.schema[key].dataType
-        low, high = (F.lit(bounds[f"{end}_{key}"]).cast(kind) for end in ("min", "max"))
+        low, high = (F.lit(known[f"{end}_{key}"]).cast(kind) for end in ("min", "max"))
         inside = inside & F.col(key).between(low, high)
-    return target.filter(inside)
+    return inside
 
 
 def matched_rows(

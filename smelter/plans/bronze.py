@@ -12,7 +12,7 @@ from smelter.operators.contract import Rule, article_rules, valid_rows
 from smelter.operators.dedupe import keep_first
 from smelter.schemas import BRONZE, BRONZE_COLUMNS, CATEGORY_CODES
 from smelter.sources.feed import FETCH_ORDER, MALFORMED, parse_pages, with_ordinal
-from smelter.sources.tables import ensure_table, upsert_table
+from smelter.sources.tables import Changes, ensure_table, upsert_table, write_changes
 
 # A newer version of a stored article replaces it; an older or undated one never does.
 NEWER_WINS = "s.updated_date > t.updated_date"
@@ -55,16 +55,27 @@ def accepted_articles(entries: DataFrame, budget_bytes: int | None = None) -> Da
     return first.select(*BRONZE_COLUMNS, F.struct(*FETCH_ORDER).cast(FETCHED_TYPE).alias(FETCHED))
 
 
-def ensure_bronze(spark, name: str, location: str | None = None, using: str = "parquet") -> None:
+def ensure_bronze(
+    spark, name: str, location: str | None = None, using: str = "parquet", buckets: int = 0
+) -> None:
     columns = f"{BRONZE}, {FETCHED} {FETCHED_TYPE}, {MONTH} string"
-    ensure_table(spark, name, columns, [MONTH], location, using)
+    ensure_table(spark, name, columns, [MONTH], location, using, buckets, ["id"])
     if FETCHED not in spark.table(name).columns:
         spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({FETCHED} {FETCHED_TYPE})")
 
 
-def upsert_bronze(articles: DataFrame, name: str, wins: str = NEWER_WINS) -> dict[str, int]:
-    """Newer-wins upsert of articles with unique ids; ``fetched`` may be absent."""
-    source = articles.withColumn(MONTH, F.date_format("published_date", "yyyy-MM"))
-    if FETCHED not in source.columns:
-        source = source.withColumn(FETCHED, F.lit(None).cast(FETCHED_TYPE))
-    return upsert_table(name, source, ["id"], wins, on_duplicates="trusted")
+def bronze_rows(articles: DataFrame) -> DataFrame:
+    """Articles with the layout columns of the table; ``fetched`` may be absent."""
+    rows = articles.withColumn(MONTH, F.date_format("published_date", "yyyy-MM"))
+    return rows if FETCHED in rows.columns else rows.withColumn(FETCHED, F.lit(None).cast(FETCHED_TYPE))
+
+
+def upsert_bronze(
+    articles: DataFrame, name: str, wins: str = NEWER_WINS, stored: bool = False, changes: Changes | None = None
+) -> dict[str, int]:
+    """Newer-wins upsert of articles with unique ids; what it changes may be known already."""
+    if changes is not None:
+        return write_changes(changes)
+    return upsert_table(
+        name, bronze_rows(articles), ["id"], wins, on_duplicates="trusted", stored_source=stored
+    )

@@ -60,10 +60,12 @@ def silver_papers_merged(articles: DataFrame) -> DataFrame:
     return merged.withColumn("categories", F.flatten(repeated)).select(SILVER_COLUMNS)
 
 
-def ensure_silver(spark, name: str, location: str | None = None, using: str = "parquet") -> None:
-    ensure_table(spark, name, SILVER, ["publication_year"], location, using)
+def ensure_silver(
+    spark, name: str, location: str | None = None, using: str = "parquet", buckets: int = 0
+) -> None:
+    ensure_table(spark, name, SILVER, ["publication_year"], location, using, buckets, ["id"])
 
 
-def upsert_silver(papers: DataFrame, name: str, small_source: bool = False) -> dict[str, int]:
-    """Replace stored papers by id. The papers come from a table with unique ids."""
-    return upsert_table(name, papers, ["id"], on_duplicates="trusted", small_source=small_source)
+def upsert_silver(papers: DataFrame, name: str, stored: bool = False) -> dict[str, int]:
+    """Replace stored papers by id. The papers come from a table with unique ids, or are one."""
+    return upsert_table(name, papers, ["id"], on_duplicates="trusted", stored_source=stored)

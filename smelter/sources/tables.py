@@ -4,28 +4,41 @@ A table keeps its data in snapshot folders below its own location. A write fills
 folder first and then points the catalog at it: the whole table, or just the partitions
 that changed. Readers of the old files are undisturbed, and a write that fails half way
 has changed nothing. Old folders stay until they are removed by the owner of the table.
+
+A table that takes small upserts into large partitions is cut further by a hash of its key
+(``buckets``). The bucket is a partition column like the others, so an upsert reads and rewrites
+just the buckets its keys fall into, and the files of a bucketed table carry Bloom filters on
+the key, by which a scan for a few keys skips row groups.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager, nullcontext
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from smelter.operators.bounds import is_small
+from smelter.operators.bounds import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, row_bytes
 from smelter.operators.upsert import (
-    ACTION, INSERT, KEEP, UPDATE, matched_rows, new_rows, prepare_source, upsert_actions,
-    within_key_range,
+    ACTION, INSERT, KEEP, LANE, in_bounds, in_lanes, key_bounds, matched_rows, new_rows, prepare_source,
 )
+from smelter.session import staged
 
-# Table properties: where snapshots go, and the partition columns.
-_ROOT, _PARTS = "smelter.root", "smelter.partitions"
+# Table properties: where snapshots go, the partition columns, the number of buckets and their keys.
+_ROOT, _PARTS, _BUCKETS = "smelter.root", "smelter.partitions", "smelter.buckets"
 # Partitions named in one catalog statement.
 _PER_STATEMENT = 200
 
+# Partition column of a bucketed table.
+KEY_BUCKET = "key_bucket"
+
+# Up to so many keys are looked for one by one, which lets Bloom filters rule row groups out.
+POINT_KEYS = 64
+
 _NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -54,20 +67,30 @@ def ensure_table(
     partition_by: Sequence[str] = (),
     location: str | None = None,
     using: str = "parquet",
+    buckets: int = 0,
+    bucket_by: Sequence[str] = (),
 ) -> None:
     """Create the table unless it exists, by default below the folder of its schema.
 
     A parquet table always gets a location of its own, so that the catalog never deletes
-    files when a partition or the table is dropped.
+    files when a partition or the table is dropped. ``buckets`` cuts every partition of a parquet
+    table by a hash of the columns ``bucket_by``, in a last partition column that writes
+    fill in. Choose so many that a bucket is a file or a few; formats with a
+    MERGE of their own keep their files by other means and take none.
     """
     if table_exists(spark, name):
         return
     kept = ""
+    if buckets and using == "parquet":
+        columns, partition_by = f"{columns}, {KEY_BUCKET} int", [*partition_by, KEY_BUCKET]
     if using == "parquet":
         schema, _, table = name.rpartition(".")
         home = spark.catalog.getDatabase(schema or spark.catalog.currentDatabase()).locationUri
         location = (location or f"{home}/{table}").rstrip("/")
-        kept = f" TBLPROPERTIES ('{_ROOT}' = '{location}', '{_PARTS}' = '{','.join(partition_by)}')"
+        held = {_ROOT: location, _PARTS: ",".join(partition_by)}
+        if buckets:
+            held[_BUCKETS] = f"{buckets}:{','.join(bucket_by)}"
+        kept = f" TBLPROPERTIES ({', '.join(f"'{k}' = '{v}'" for k, v in held.items())})"
     parts = f" PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
     at = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING {using}{parts}{at}{kept}")
@@ -77,6 +100,10 @@ def _properties(spark: SparkSession, name: str) -> dict[str, str]:
     return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
 
 
+def table_property(spark: SparkSession, name: str, key: str) -> str | None:
+    return _properties(spark, name).get(key)
+
+
 def _is_ours(spark: SparkSession, name: str) -> bool:
     """Whether the table is kept as snapshots, not by a format with transactions of its own."""
     return _ROOT in _properties(spark, name)
@@ -87,6 +114,12 @@ def partition_columns(spark: SparkSession, name: str) -> list[str]:
     return [part for part in _properties(spark, name)[_PARTS].split(",") if part]
 
 
+def _bucketing(spark: SparkSession, name: str) -> tuple[int, list[str]]:
+    """Number of buckets and their key columns; none for a table without."""
+    number, _, keys = _properties(spark, name).get(_BUCKETS, "0:").partition(":")
+    return int(number), [key for key in keys.split(",") if key]
+
+
 def _new_snapshot(spark: SparkSession, name: str) -> str:
     return f"{_properties(spark, name)[_ROOT]}/_snapshots/{uuid.uuid4().hex}"
 
@@ -111,11 +144,11 @@ def _publish(
     spark = df.sparkSession
     path = _new_snapshot(spark, name)
     if not redefine:
-        df = _conform(df, spark.table(name), ACTION if metrics else None)
+        df = _conform(df, name, ACTION if metrics else None)
     if not parts:
         seen = _write(df, path, parts, metrics, keys)
         if redefine:
-            _redefine(df, name, parts)
+            _redefine(df, name)
         spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
     else:
         folders = F.collect_set(partition_folder(parts)).alias("folders")
@@ -124,7 +157,7 @@ def _publish(
         seen = _write(even, path, parts, [*metrics, folders], keys)
         written = set(seen.pop("folders"))
         if redefine:
-            _redefine(df, name, parts)
+            _redefine(df, name)
         held = _held_folders(spark, name)
         for folder in sorted(written & held):
             spark.sql(f"ALTER TABLE {name} {_spec(folder)} SET LOCATION '{path}/{folder}'")
@@ -136,27 +169,46 @@ def _publish(
     return seen
 
 
-def _redefine(df: DataFrame, name: str, parts: Sequence[str]) -> None:
+def _redefine(df: DataFrame, name: str) -> None:
     """Define the table anew with the columns of a frame; no file is deleted."""
     spark = df.sparkSession
-    root = _properties(spark, name)[_ROOT]
-    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    root, parts = _properties(spark, name)[_ROOT], partition_columns(spark, name)
+    buckets, keys = _bucketing(spark, name)
+    columns = ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != KEY_BUCKET or not buckets
+    )
     spark.sql(f"DROP TABLE {name}")
-    ensure_table(spark, name, columns, parts, root)
+    own = parts[:-1] if buckets else parts
+    ensure_table(spark, name, columns, own, root, buckets=buckets, bucket_by=keys)
 
 
-def _conform(df: DataFrame, table: DataFrame, *others: str | None) -> DataFrame:
-    """The columns of a table, matched by name and cast to its types."""
-    columns = [F.col(field.name).cast(field.dataType).alias(field.name) for field in table.schema]
+def _conform(df: DataFrame, name: str, *others: str | None) -> DataFrame:
+    """The columns of a table, matched by name and cast to its types; its bucket is computed."""
+    spark = df.sparkSession
+    buckets, keys = _bucketing(spark, name)
+    types = {f.name: f.dataType for f in spark.table(name).schema}
+    if buckets:
+        del types[KEY_BUCKET]
+    columns = [F.col(c).cast(kind).alias(c) for c, kind in types.items()]
+    if buckets:
+        columns.append(bucket_of(buckets, *[F.col(key).cast(types[key]) for key in keys]))
     return df.select(*columns, *filter(None, others))
 
 
+def bucket_of(buckets: int, *keys: Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias(KEY_BUCKET)
+
+
 def _write(df: DataFrame, path: str, parts, metrics, keys) -> dict:
     seen = Observation()
     df = df.observe(seen, *metrics) if metrics else df
     # The writer sorts by partition anyway; adding the keys makes it one sort for both.
     df = df.sortWithinPartitions(*parts, *keys) if keys else df
     writer = df.drop(ACTION).write
+    if KEY_BUCKET in parts:
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+        for key in keys:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
     (writer.partitionBy(*parts) if parts else writer).parquet(path)
     return seen.get if metrics else {}
 
@@ -198,15 +250,10 @@ def in_partitions(df: DataFrame, parts: Sequence[str], folders: set[str]) -> Col
     if len(parts) < 2 or not folders:
         return inside
     # Values of each column alone would also name combinations that nobody asked for.
-    def one(value: dict[str, str]) -> Column:
-        same = [
-            F.col(p).isNull() if value[p] == _NULL_FOLDER
-            else F.col(p) == F.lit(value[p]).cast(df.schema[p].dataType)
-            for p in parts
-        ]
-        return reduce(Column.__and__, same)
-
-    return inside & reduce(Column.__or__, map(one, values))
+    pieces = [
+        F.concat(F.lit(f"{part}="), F.coalesce(F.col(part).cast("string"), F.lit(_NULL_FOLDER))) for part in parts
+    ]
+    return inside & F.concat_ws("/", *pieces).isin(sorted(folders))
 
 
 def _held_folders(spark: SparkSession, name: str) -> set[str]:
@@ -244,15 +291,17 @@ def overwrite_table(df: DataFrame, name: str, replace_schema: bool = False) -> N
         else:
             df.writeTo(name).option("mergeSchema", "true").overwrite(F.lit(True))
         return
-    if replace_schema and _types(df) != _types(spark.table(name)):
-        _publish(df, name, partition_columns(spark, name), set(), redefine=True)
+    parts, (buckets, keys) = partition_columns(spark, name), _bucketing(spark, name)
+    if replace_schema and _types(df) != {k: v for k, v in _types(spark.table(name)).items() if k != KEY_BUCKET}:
+        if buckets:
+            df = df.withColumn(KEY_BUCKET, bucket_of(buckets, *map(F.col, keys)))
+        _publish(df, name, parts, set(), keys=keys, redefine=True)
         return
     stored = set(spark.table(name).columns)
     added = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in stored]
     if added:
         spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(added)})")
-    parts = partition_columns(spark, name)
-    _publish(df, name, parts, _held_folders(spark, name) if parts else set())
+    _publish(df, name, parts, _held_folders(spark, name) if parts else set(), keys=keys)
 
 
 def _types(df: DataFrame) -> dict[str, str]:
@@ -265,12 +314,23 @@ def _provider(spark: SparkSession, name: str) -> str:
 
 
 def replace_partitions(df: DataFrame, name: str, folders: set[str]) -> None:
-    """Replace the content of some partitions by the frame, which holds rows of no others."""
+    """Replace the content of some partitions by the frame, which holds rows of no others.
+
+    Of a bucketed table whole partitions are named, without a bucket.
+    """
     spark = df.sparkSession
     if not _is_ours(spark, name):
         df.writeTo(name).overwrite(in_partitions(spark.table(name), _part_names(folders), folders))
         return
-    _publish(df, name, partition_columns(spark, name), folders)
+    buckets, keys = _bucketing(spark, name)
+    if buckets:
+        folders = {f for f in _held_folders(spark, name) if f.rpartition("/")[0] in folders}
+    _publish(df, name, partition_columns(spark, name), folders, keys=keys)
+
+
+def replace_buckets(df: DataFrame, name: str, buckets: set[int]) -> None:
+    """Replace some buckets of a table that is cut by nothing else."""
+    _publish(df, name, [KEY_BUCKET], {f"{KEY_BUCKET}={b}" for b in buckets})
 
 
 def truncate_table(spark: SparkSession, name: str) -> None:
@@ -295,6 +355,21 @@ def merge_statement(
     )
 
 
+class Changes(NamedTuple):
+    """What an upsert does to a table, found but not written."""
+
+    name: str
+    keys: list[str]
+    #: Source rows that are new or win over a stored row.
+    rows: DataFrame
+    #: Stored rows that they replace; the columns asked for.
+    replaced: DataFrame
+    touched: set[str]
+    small: bool
+    n_rows: int
+    n_replaced: int
+
+
 def upsert_table(
     name: str,
     source: DataFrame,
@@ -304,51 +379,131 @@ def upsert_table(
     on_duplicates: str = "raise",
     latest_by: Sequence[str] = (),
     small_source: bool | None = None,
+    stored_source: bool = False,
 ) -> dict[str, int]:
     """Upsert into a table and report the rows inserted, updated and left in place.
 
-    Of a partitioned table only the partitions that lose or gain a row are rewritten;
-    finding them reads the key and partition columns and those of the condition, or all
-    columns within the key range of the source if there is none: a source row equal to the
-    stored one changes nothing. Rows left in place are counted in those partitions. A batch
-    that changes nothing writes nothing, so running one again is cheap and harmless. A format
-    with MERGE reports what it counts itself. A source measured to be small
-    is broadcast, which spares the target its shuffle; pass ``small_source`` to skip
-    the measuring.
+    Of a partitioned table only the partitions (and of a bucketed one the buckets) that lose or
+    gain a row are rewritten; see :func:`upsert_changes` for how they are found. Rows left in
+    place are counted in those. A batch that changes nothing writes nothing, so running one
+    again is cheap and harmless. A format with MERGE reports what it counts itself.
     """
     spark = source.sparkSession
-    source = prepare_source(source, keys, on_duplicates, latest_by)
     if not _is_ours(spark, name):
+        source = prepare_source(source, keys, on_duplicates, latest_by)
         source.createOrReplaceTempView("upsert_source")
         return merge_counts(spark.sql(merge_statement(name, "upsert_source", keys, when_matched)))
-    target = spark.table(name)
-    parts = partition_columns(spark, name)
-    source = _conform(source, target)
-    if small_source is None:
-        small_source = is_small(source)
-    touched = set()
-    source, left = _changes(target, source, keys, when_matched, small_source)
-    if parts:
-        touched = folder_names(parts, left, source)
-        target = target.filter(in_partitions(target, parts, touched))
-    if not touched if parts else source.isEmpty():
+    with upsert_changes(
+        name, source, keys, when_matched, on_duplicates=on_duplicates, latest_by=latest_by,
+        small_source=small_source, stored_source=stored_source,
+    ) as changes:
+        return write_changes(changes)
+
+
+@contextmanager
+def upsert_changes(
+    name: str,
+    source: DataFrame,
+    keys: Sequence[str],
+    when_matched: str | None = None,
+    *,
+    on_duplicates: str = "raise",
+    latest_by: Sequence[str] = (),
+    replaced_columns: Sequence[str] = (),
+    small_source: bool | None = None,
+    stored_source: bool = False,
+) -> Iterator[Changes]:
+    """Find the rows an upsert changes, in one look at the stored rows near the source.
+
+    The source is written once, unless the caller says that it is a stored table. Finding reads
+    the key and partition columns, those of the condition (all columns if there is
+    none: a source row equal to the stored one changes nothing) and ``replaced_columns``; of the
+    stored rows only the buckets and the key range of the source, and for a few keys only
+    row groups whose Bloom filters know them. A source measured to be small (or said to be by
+    ``small_source``) is broadcast, which spares the stored rows their shuffle.
+    """
+    spark = source.sparkSession
+    if on_duplicates == "latest":
+        source = prepare_source(source, keys, on_duplicates, latest_by)
+    source = _conform(source, name)
+    with nullcontext(source) if stored_source else staged(source, "upsert-source") as source:
+        if on_duplicates != "latest":
+            prepare_source(source, keys, on_duplicates)
+        target = spark.table(name)
+        parts = partition_columns(spark, name) if _is_ours(spark, name) else []
+        known = _profile(source, keys, parts)
+        small = known["n_rows"] <= MAX_BROADCAST_ROWS and known["n_bytes"] <= MAX_BROADCAST_BYTES
+        small = small if small_source is None else small_source
+        near = near_rows(target, source, keys, known)
+        hits = matched_rows(near, F.broadcast(source) if small else source, keys, when_matched)
+        if when_matched is None:
+            same = [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in target.columns]
+            hits = hits.withColumn("wins", ~reduce(Column.__and__, same))
+        shown = [F.struct(*[f"s.{key}" for key in keys]).alias("key"), "wins"]
+        shown += [F.struct(*[f"t.{c}" for c in dict.fromkeys([*parts, *replaced_columns, *keys[:1]])]).alias("stored")]
+        with staged(hits.select(*shown), "upsert-hits") as hits:
+            won = hits.filter("wins").select("stored.*")
+            counts = hits.agg(F.count_if("wins"), F.count_if(~F.col("wins"))).first()
+            rows = source
+            if counts[1]:
+                lost = hits.filter("NOT wins").select("key.*")
+                # At most one per source row, so as small as the source.
+                rows = new_rows(F.broadcast(lost) if small else lost, source, keys)
+            n_rows = rows.count() if counts[1] else known["n_rows"]
+            touched = folder_names(parts, won, rows) if parts and n_rows else set()
+            yield Changes(name, list(keys), rows, won, touched, small, n_rows, counts[0])
+
+
+def write_changes(changes: Changes) -> dict[str, int]:
+    """Write what :func:`upsert_changes` found: stored rows of other keys stay, changed ones come in."""
+    if not changes.n_rows:
         return {"n_inserted": 0, "n_updated": 0, "n_unchanged": 0}
-    merged = upsert_actions(
-        target, source, keys, when_matched, on_duplicates="trusted", small_source=small_source
-    )
-    action = F.col(ACTION)
-    return _publish(
-        merged,
-        name,
-        parts,
-        touched,
-        [
-            F.count_if(action == INSERT).alias("n_inserted"),
-            F.count_if(action == UPDATE).alias("n_updated"),
-            F.count_if(action == KEEP).alias("n_unchanged"),
-        ],
-        keys,
+    spark = changes.rows.sparkSession
+    if not _is_ours(spark, changes.name):
+        changes.rows.createOrReplaceTempView("upsert_source")
+        return merge_counts(spark.sql(merge_statement(changes.name, "upsert_source", changes.keys)))
+    parts, target = partition_columns(spark, changes.name), spark.table(changes.name)
+    if parts:
+        target = target.filter(in_partitions(target, parts, changes.touched))
+    gone = changes.rows.select(*changes.keys)
+    if changes.small:
+        kept = target.join(F.broadcast(gone), changes.keys, "left_anti")
+    else:
+        kept = in_lanes(target, changes.keys).join(in_lanes(gone, changes.keys), [*changes.keys, LANE], "left_anti")
+    merged = kept.select(*target.columns, F.lit(KEEP).alias(ACTION)).unionByName(
+        changes.rows.withColumn(ACTION, F.lit(INSERT))
     )
+    left = F.count_if(F.col(ACTION) == KEEP).alias("n_unchanged")
+    seen = _publish(merged, changes.name, parts, changes.touched, [left], changes.keys)
+    return {"n_inserted": changes.n_rows - changes.n_replaced, "n_updated": changes.n_replaced, **seen}
+
+
+def _profile(source: DataFrame, keys: Sequence[str], parts: Sequence[str]) -> dict:
+    """Size, key bounds and buckets of an upsert source, from one look at it."""
+    # A value for each bucket at most.
+    buckets = [F.collect_set(KEY_BUCKET).alias("buckets")] if KEY_BUCKET in parts else []
+    return source.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(row_bytes(source)), F.lit(0)).alias("n_bytes"),
+        *key_bounds(keys), *buckets,
+    ).first().asDict()
+
+
+def near_rows(target: DataFrame, source: DataFrame, keys: Sequence[str], known: dict) -> DataFrame:
+    """Stored rows that can match the source: of its buckets, and between its least and greatest key.
+
+    The bounds reach the scan as plain comparisons, so of files kept in key order only the row
+    groups near the source are read; a few keys are compared one by one, which Bloom filters answer.
+    """
+    if "buckets" in known:
+        target = target.filter(F.col(KEY_BUCKET).isin(known["buckets"]))
+    inside = in_bounds(target, keys, known)
+    if 0 < known["n_rows"] <= POINT_KEYS:
+        kind = target.schema[keys[0]].dataType
+        points = source.filter(F.col(keys[0]).isNotNull()).select(keys[0]).distinct().collect()
+        # Spelled out, as a long list would reach the files as a range only.
+        same = [F.col(keys[0]) == F.lit(row[0]).cast(kind) for row in points]
+        inside = inside & (reduce(Column.__or__, same) if same else F.lit(False))
+    return target.filter(inside)
 
 
 def merge_counts(result: DataFrame) -> dict[str, int]:
@@ -358,23 +513,6 @@ def merge_counts(result: DataFrame) -> dict[str, int]:
     return {names[c]: n for c, n in row.asDict().items()} if row else {}
 
 
-def _changes(target, source, keys, when_matched, small) -> tuple[DataFrame, DataFrame]:
-    """Source rows that change the table, and the stored rows they replace.
-
-    A source row that loses to a stored one is left out here already, or it would look
-    new once the partition of its match is not read.
-    """
-    near = within_key_range(target, source, keys)
-    hits = matched_rows(near, F.broadcast(source) if small else source, keys, when_matched)
-    if when_matched is None:
-        same = [F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in target.columns]
-        hits = hits.withColumn("wins", ~reduce(Column.__and__, same))
-    lost = hits.filter("NOT wins").select("s.*").select(*keys)
-    # At most one per source row, so as small as the source.
-    changed = new_rows(F.broadcast(lost) if small else lost, source, keys)
-    return changed, hits.filter("wins").select("t.*")
-
-
 def folder_names(parts: Sequence[str], *frames: DataFrame) -> set[str]:
     """Names of all partitions the frames have rows in: one per partition, never rows."""
     named = [df.select(partition_folder(parts).alias("folder")) for df in frames]

@@ -44,8 +44,7 @@ def ingest_stream(
             if rejects:
                 store_rejects(entries, rejects)
             with staged(accepted_articles(entries), f"batch-{batch_id}") as ready:
-                if not ready.isEmpty():
-                    upsert_bronze(ready, table, FIRST_FETCHED_WINS)
+                upsert_bronze(ready, table, FIRST_FETCHED_WINS, stored=True)
 
     return _available_now(pages, checkpoint, merge)
 
