@@ -15,9 +15,9 @@ are ordinary text. A vocabulary without one of the 256 bytes is refused.
 from __future__ import annotations
 
 import base64
-import sys
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import re
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +26,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces, and pairs of tokens, that a task remembers before it starts anew.
-REMEMBERED = 1 << 18
+#: Pieces and units of text, and pairs of tokens, that a task remembers before it forgets some.
+REMEMBERED = 1 << 17
 
 #: Longer pieces are rare and large: not remembered.
 LONG = 64
 
+#: White space as Unicode has it: fixed values.
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+#: White space with the word behind it. A pattern that starts a match at white space, if it
+#: has any, and looks no farther than the next character, cuts such a unit by itself.
+WORDS = f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+"
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Tokens and ids of a file with a token in base 64 and its id on every line."""
@@ -39,66 +46,79 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-@dataclass
+def check_bytes(ranks: dict[bytes, int]) -> None:
+    missing = [b for b in range(256) if bytes([b]) not in ranks]
+    if missing:
+        raise ValueError(f"no token for bytes {missing}")
+
+
 class Vocabulary:
-    ranks: dict[bytes, int]
-    tokens: dict[int, bytes] = field(init=False)
-    longest: int = field(init=False)
-
-    def __post_init__(self):
-        missing = [b for b in range(256) if bytes([b]) not in self.ranks]
-        if missing:
-            raise ValueError(f"no token for bytes {missing}")
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.longest = max(map(len, self.ranks))
-        self._endings = {token[i:] for token in self.ranks for i in range(len(token))}
-        self._pairs: dict[tuple[int, int], bool] = {}
+    """Tokens by their bytes, and which of them may follow each other."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        check_bytes(ranks)
+        self.ranks = ranks
+        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.lengths = {rank: len(token) for token, rank in ranks.items()}
+        self.longest = max(self.lengths.values())
+        # Every ending of a token, with the token that it is itself, if any, else -1.
+        self._endings = {token[i:]: -1 for token in ranks for i in range(len(token))} | ranks
+        self._pairs: dict[int, bool] = {}
         self._reached: dict[int, bool] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Tokens of a short piece by the definition: always join the pair of least rank."""
+        ranks = self.ranks
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            ranked = [(self.ranks.get(a + b, sys.maxsize), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
-            rank, i = min(ranked)
-            if rank == sys.maxsize:
-                break
+        while True:
+            joined = [(ranks[both], i) for i, both in enumerate(map(bytes.__add__, parts, parts[1:])) if both in ranks]
+            if not joined:
+                return [ranks[part] for part in parts]
+            _, i = min(joined)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[part] for part in parts]
 
-    def _alone(self, token: int) -> bool:
+    def alone(self, token: int) -> bool:
         """Whether joining the bytes of a token ever gives it."""
         if token not in self._reached:
             self._reached[token] = self.merge(self.tokens[token]) == [token]
         return self._reached[token]
 
-    def stands(self, left: int, right: int) -> bool:
-        """Whether two tokens in a row encode to themselves."""
-        pair = (left, right)
-        if pair not in self._pairs:
-            if len(self._pairs) >= REMEMBERED:
-                self._pairs.clear()
-            self._pairs[pair] = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
-        return self._pairs[pair]
+    def _learnt(self, pair: int, left: int, right: int) -> bool:
+        if len(self._pairs) >= REMEMBERED:
+            self._pairs.clear()
+        self._pairs[pair] = stands = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
+        return stands
 
-    def last_token(self, text: bytes, end: int, last: list[int]) -> int:
-        """The last token of ``text[:end]``, given those of all shorter prefixes.
+    def extend(self, text: bytes, last: list[int], upto: int) -> None:
+        """Add the last tokens of the prefixes of ``text`` up to a length.
 
-        ``last[i]`` belongs to the prefix of ``i + 1`` bytes.
+        ``last[i]`` belongs to the prefix of ``i + 1`` bytes. A token fits if it ends the prefix and
+        stands behind the last token of what comes before: the two encode to themselves.
         """
-        ranks, endings = self.ranks, self._endings
-        fits = []
-        for start in range(end - 1, max(end - self.longest, 0) - 1, -1):
-            ending = text[start:end]
-            if ending not in endings:
-                break
-            token = ranks.get(ending)
-            if token is not None:
-                fits.append((start, token))
-        for start, token in reversed(fits):
-            if self._alone(token) if start == 0 else self.stands(last[start - 1], token):
-                return token
-        raise AssertionError("every prefix has an encoding")
+        ending, lengths, pair_known = self._endings.get, self.lengths, self._pairs.get
+        for end in range(len(last) + 1, upto + 1):
+            fits, start = [], end - 1
+            while start >= 0:
+                token = ending(text[start:end])
+                if token is None:
+                    break
+                if token >= 0:
+                    fits.append(token)
+                start -= 1
+            # The longest first: it is the right one most of the time.
+            while True:
+                token = fits.pop()
+                before = end - lengths[token]
+                if before:
+                    pair = last[before - 1] << 32 | token
+                    stands = pair_known(pair)
+                    if stands is None:
+                        stands = self._learnt(pair, last[before - 1], token)
+                else:
+                    stands = self.alone(token)
+                if stands:
+                    break
+            last.append(token)
 
 
 class Prefixes:
@@ -111,9 +131,7 @@ class Prefixes:
     def append(self, more: bytes) -> None:
         """Add bytes at the end; nothing stored changes."""
         self.text += more
-        step, text, last = self.vocabulary.last_token, self.text, self.last
-        for end in range(len(last) + 1, len(text) + 1):
-            last.append(step(text, end, last))
+        self.vocabulary.extend(self.text, self.last, len(self.text))
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Put bytes in the place of ``text[start:end]``; returns how many prefixes were computed.
@@ -127,7 +145,7 @@ class Prefixes:
         shift = len(new) - (end - start)
         agreed, at = 0, start
         while at < len(self.text) and agreed < self.vocabulary.longest:
-            last.append(self.vocabulary.last_token(self.text, at + 1, last))
+            self.vocabulary.extend(self.text, last, at + 1)
             behind = at >= start + len(new)
             agreed = agreed + 1 if behind and last[at] == old[at - shift] else 0
             at += 1
@@ -135,54 +153,84 @@ class Prefixes:
         return at - start
 
     def tokens(self) -> list[int]:
-        out, end = [], len(self.text)
-        while end:
-            out.append(self.last[end - 1])
-            end -= len(self.vocabulary.tokens[out[-1]])
-        return out[::-1]
+        return backwards(self.vocabulary, self.last)
+
+
+def backwards(vocabulary: Vocabulary, last: list[int]) -> list[int]:
+    """The tokens of a whole piece, from the last tokens of its prefixes."""
+    out, end = [], len(last)
+    while end:
+        out.append(last[end - 1])
+        end -= vocabulary.lengths[out[-1]]
+    return out[::-1]
 
 
 def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
     """Ids of one piece. A piece that is a token is that token, as in the tokenizer's definition."""
     whole = vocabulary.ranks.get(piece)
-    return Prefixes(vocabulary, piece).tokens() if whole is None else [whole]
+    if whole is not None:
+        return [whole]
+    last: list[int] = []
+    vocabulary.extend(piece, last, len(piece))
+    return backwards(vocabulary, last)
 
 
-def encode_text(vocabulary: Vocabulary, pattern: regex.Pattern, text: str, known: dict) -> list[int]:
-    """Ids of a whole text, every match of the pattern by itself."""
-    out: list[int] = []
-    for piece in pattern.findall(text):
-        ids = known.get(piece)
-        if ids is None:
-            ids = encode_piece(vocabulary, piece.encode())
-            if len(piece) <= LONG:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[piece] = ids
-        out.extend(ids)
-    return out
+class Remembered(dict):
+    """Packed ids by text, worked out when first asked for.
 
+    When the memory is full, what was not asked for since it last was is forgotten. Long texts are
+    rare and large and are not kept.
+    """
+
+    def __init__(self, work_out: Callable[[str], bytes]):
+        super().__init__()
+        self.work_out = work_out
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, text: str) -> bytes:
+        packed = self.older.get(text)
+        if packed is None:
+            packed = self.work_out(text)
+        if len(text) <= LONG:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[text] = packed
+        return packed
 
-def _sent(df: DataFrame, ranks: dict[bytes, int]):
-    """The ranks on their way to the tasks: a vocabulary is bounded by its file."""
-    return df.sparkSession.sparkContext.broadcast(ranks)
 
+class Encoder:
+    """Encodes whole texts: by pieces as the pattern cuts them, and by units.
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> Column:
-    """Token ids of a text column of the frame."""
-    Vocabulary(ranks)
+    A unit is a stretch of text that the pattern cuts the same whatever stands around it.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, pattern: str, units: str | None = None):
+        cut = regex.compile(pattern).findall
+        self.pieces = Remembered(lambda piece: array("i", encode_piece(vocabulary, piece.encode())).tobytes())
+        self.units = Remembered(lambda unit: b"".join(map(self.pieces.__getitem__, cut(unit))))
+        self.parts = re.compile(units).findall if units else lambda text: [text]
+
+    def __call__(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.units.__getitem__, self.parts(text))), dtype=np.int32)
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", units: str | None = None) -> Column:
+    """Token ids of a text column of the frame, every match of the pattern by itself.
+
+    ``units`` may name an expression whose matches make up the text and which the pattern never
+    goes across nor looks beyond; most texts then consist of units met before.
+    """
+    check_bytes(ranks)
     sent = _sent(df, ranks)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary, compiled, known = Vocabulary(sent.value), regex.compile(pattern), {}
+        encoder = Encoder(Vocabulary(sent.value), pattern, units)
         for batch in batches:
-            offsets, flat = [0], []
-            for one in batch:
-                flat.append(np.array(encode_text(vocabulary, compiled, one.as_py() or "", known), dtype=np.int32))
-                offsets.append(offsets[-1] + len(flat[-1]))
-            values = np.concatenate(flat) if flat else np.empty(0, dtype=np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+            coded = [encoder(one.as_py() or "") for one in batch]
+            offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *coded])))
 
     return ids(F.col(text))
 
@@ -195,8 +243,13 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> Column:
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = {rank: token for token, rank in sent.value.items()}
         for batch in batches:
-            flat, offsets = batch.flatten().to_numpy().tolist(), batch.offsets.to_numpy() - batch.offsets[0].as_py()
-            out = [b"".join([tokens[i] for i in flat[a:b]]) for a, b in zip(offsets, offsets[1:])]
+            flat, offsets = batch.flatten().to_numpy(), batch.offsets.to_numpy() - batch.offsets[0].as_py()
+            out = [b"".join(map(tokens.__getitem__, flat[a:b].tolist())) for a, b in zip(offsets, offsets[1:])]
             yield pa.array(out, pa.binary())
 
     return text(F.col(ids))
+
+
+def _sent(df: DataFrame, ranks: dict[bytes, int]):
+    """The ranks on their way to the tasks: a vocabulary is bounded by its file."""
+    return df.sparkSession.sparkContext.broadcast(ranks)

@@ -84,7 +84,8 @@ def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = prefix_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = docs.select("doc_id", prefix_bpe.encode(docs, ranks, public_tokenizers.PATTERN).alias("ids"))
+    ids = prefix_bpe.encode(docs, ranks, public_tokenizers.PATTERN, units=prefix_bpe.WORDS)
+    encoded = docs.select("doc_id", ids.alias("ids"))
     decoded = encoded.select("doc_id", "ids", prefix_bpe.decode(encoded, ranks).alias("bytes"))
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),

@@ -7,7 +7,6 @@ import time
 import numpy as np
 import public_tokenizers
 import pytest
-import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -125,7 +124,7 @@ def test_tokens_equal_the_library(spark, odd, ranks, reference):
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
     more = odd.unionByName(odd.limit(1).withColumn("text", F.lit("<|endoftext|>\x00\x1c  　 é́ﬀ 한국어 ١٢٣ 'S'll\n\n x")))
-    coded = more.select("text", prefix_bpe.encode(more, ranks, public_tokenizers.PATTERN).alias("ids"))
+    coded = more.select("text", prefix_bpe.encode(more, ranks, public_tokenizers.PATTERN, units=prefix_bpe.WORDS).alias("ids"))
     whole = coded.select("text", "ids", prefix_bpe.decode(coded, ranks).alias("bytes")).collect()
     assert len(whole) == more.count()
     for r in whole:
@@ -144,11 +143,23 @@ def test_pieces_of_all_kinds(ranks, reference):
             assert prefix_bpe.encode_piece(vocabulary, piece) == reference._encode_single_piece(piece)
 
 
+def test_units_are_cut_like_whole_texts(ranks, reference):
+    vocabulary, pattern = prefix_bpe.Vocabulary(ranks), public_tokenizers.PATTERN
+    plain, by_unit = prefix_bpe.Encoder(vocabulary, pattern), prefix_bpe.Encoder(vocabulary, pattern, prefix_bpe.WORDS)
+    rng = np.random.default_rng(8)
+    letters = list("ab1' \n\t\r\x0b\x1c\x85\xa0\u1680\u2003\u2028\u3000\u180e\u200b\ufeff-.é한") + ["'s", "  ", "\n\n", "'LL", "'ll"]
+    for _ in range(3000):
+        text = "".join(rng.choice(letters, int(rng.integers(0, 25))))
+        assert "".join(by_unit.parts(text)) == text
+        want = reference.encode_ordinary(text)
+        assert by_unit(text).tolist() == want and plain(text).tolist() == want
+
+
 def test_a_long_piece_takes_linear_time(ranks, reference):
     vocabulary = prefix_bpe.Vocabulary(ranks)
     text = "".join(np.random.default_rng(2).choice(list("abcdefgh"), 1_000_000))
     begun = time.process_time()
-    ids = prefix_bpe.encode_text(vocabulary, regex.compile(public_tokenizers.PATTERN), text, {})
+    ids = prefix_bpe.Encoder(vocabulary, public_tokenizers.PATTERN)(text).tolist()
     assert time.process_time() - begun < 60
     assert b"".join(vocabulary.tokens[i] for i in ids).decode() == text
     assert ids[:2000] == reference.encode_ordinary(text[:20_000])[:2000]
