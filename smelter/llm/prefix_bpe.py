@@ -26,12 +26,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces and units of text, and pairs of tokens, that a task remembers before it forgets some.
-REMEMBERED = 1 << 17
+#: Units of text, and pairs of tokens of long pieces, that a task remembers before it forgets some.
+REMEMBERED = 1 << 18
 
 #: Longer pieces are rare and large: not remembered.
 LONG = 64
 
+#: Longest piece encoded together with others, pieces and texts that are.
+WIDEST, TOGETHER, TEXTS = 32, 20_000, 1_000
+
+#: Pairs of tokens that are remembered at once when pieces go together.
+PAIRS = 1 << 20
+
+#: Odd factor of the running sums that name longer stretches; matches are compared byte by byte.
+MIXING = 0x9E3779B97F4A7C15
+
 #: White space as Unicode has it: fixed values.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -77,6 +86,16 @@ class Vocabulary:
             _, i = min(joined)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
+    def halves(self, token: int) -> tuple[int, int]:
+        """The two tokens that the last merge of a token joins."""
+        whole = self.tokens[token]
+        parts = [whole[i : i + 1] for i in range(len(whole))]
+        while len(parts) > 2:
+            joined = [(self.ranks[both], i) for i, both in enumerate(map(bytes.__add__, parts, parts[1:])) if both in self.ranks]
+            _, i = min(joined)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return self.ranks[parts[0]], self.ranks[parts[1]]
+
     def alone(self, token: int) -> bool:
         """Whether joining the bytes of a token ever gives it."""
         if token not in self._reached:
@@ -175,44 +194,232 @@ def encode_piece(vocabulary: Vocabulary, piece: bytes) -> list[int]:
     return backwards(vocabulary, last)
 
 
-class Remembered(dict):
-    """Packed ids by text, worked out when first asked for.
+class Tables:
+    """A vocabulary as arrays: the same step for many pieces at once.
 
-    When the memory is full, what was not asked for since it last was is forgotten. Long texts are
-    rare and large and are not kept.
+    Whether two tokens stand in a row is told from how they are built. The tokens along the right
+    edge of the left one and along the left edge of the right one meet at the seam, each from the
+    merge that makes it to the merge that takes it up. The pair falls apart if two of them meet
+    whose join would come before either is taken up, ranks being the order of merges. At equal
+    ranks the merge farther left comes first.
     """
 
-    def __init__(self, work_out: Callable[[str], bytes]):
-        super().__init__()
-        self.work_out = work_out
-        self.older: dict[str, bytes] = {}
+    def __init__(self, vocabulary: Vocabulary):
+        tokens = {rank: token for rank, token in vocabulary.tokens.items() if vocabulary.alone(rank)}
+        size = max(vocabulary.tokens) + 1
+        self.length = np.zeros(size, dtype=np.int64)
+        self.bytes = np.zeros((size, WIDEST), dtype=np.uint8)
+        self.born = np.full(size, -1, dtype=np.int64)
+        by_length: dict[int, list[int]] = {}
+        for rank, token in tokens.items():
+            self.length[rank] = len(token)
+            if len(token) <= WIDEST:
+                by_length.setdefault(len(token), []).append(rank)
+                self.bytes[rank, : len(token)] = np.frombuffer(token, dtype=np.uint8)
+            if len(token) > 1:
+                self.born[rank] = rank
+        self.known = {n: self._sorted(np.array(ranks), n) for n, ranks in by_length.items()}
+        ranks = vocabulary.ranks
+        joined = {
+            (ranks[token[:i]], ranks[token[i:]]): rank
+            for rank, token in tokens.items() for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks
+        }
+        pairs = np.array([left << 32 | right for left, right in joined], dtype=np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.joined = pairs[order], np.array(list(joined.values()), dtype=np.int64)[order]
+        halves = {rank: vocabulary.halves(rank) for rank, token in tokens.items() if len(token) > 1}
+        self.right, self.left = (self._edges(size, halves, side) for side in (1, 0))
+        self._forget()
+
+    def _forget(self) -> None:
+        # A direct-mapped memory of pairs: a newer pair takes the slot of an older one.
+        self.slot_pair, self.slot_stands = np.full(PAIRS, -1, dtype=np.int64), np.zeros(PAIRS, dtype=bool)
+
+    def packed(self) -> dict:
+        """All that was worked out, as plain arrays to send to the tasks."""
+        return {name: value for name, value in vars(self).items() if not name.startswith("slot_")}
+
+    @classmethod
+    def unpacked(cls, packed: dict) -> Tables:
+        tables = cls.__new__(cls)
+        vars(tables).update(packed)
+        tables._forget()
+        return tables
+
+    def _sorted(self, ranks: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        keys = self._keys(self._sums(self.bytes[ranks, :n], n), 0, n)
+        order = np.argsort(keys)
+        return keys[order], ranks[order]
+
+    @staticmethod
+    def _sums(rows: np.ndarray, n: int) -> dict[int, np.ndarray]:
+        """Running sums in two bases: base 256 names up to eight bytes exactly."""
+        sums = {base: np.zeros((len(rows), n + 1), dtype=np.uint64) for base in (256, MIXING)}
+        for base, own in sums.items():
+            for i in range(n):
+                own[:, i + 1] = own[:, i] * np.uint64(base) + rows[:, i]
+        return sums
+
+    @staticmethod
+    def _keys(sums: dict[int, np.ndarray], start: int, end: int, rows: slice | np.ndarray = slice(None)) -> np.ndarray:
+        base = 256 if end - start <= 8 else MIXING
+        power = np.uint64(pow(base, end - start, 2**64))
+        return sums[base][rows, end] - sums[base][rows, start] * power
+
+    @staticmethod
+    def _edges(size: int, halves: dict[int, tuple[int, int]], side: int) -> np.ndarray:
+        edges = []
+        for rank in range(size):
+            own = [rank]
+            while own[-1] in halves:
+                own.append(halves[own[-1]][side])
+            edges.append(own)
+        out = np.full((size, max(map(len, edges))), -1, dtype=np.int32)
+        for rank, own in enumerate(edges):
+            out[rank, : len(own)] = own
+        return out
+
+    def _join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token that two make together, or -1."""
+        pair = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, self.joined[at], -1) if len(self.pairs) else np.full(len(pair), -1)
+
+    def seams(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether two tokens in a row stay as they are."""
+        never = np.iinfo(np.int64).max
+        stands = np.ones(len(left), dtype=bool)
+        for i in range(self.right.shape[1]):
+            here = np.flatnonzero(stands & (self.right[left, i] >= 0))
+            if not len(here):
+                break
+            x = self.right[left[here], i].astype(np.int64)
+            x_end = self.right[left[here], i - 1] if i else np.full(len(here), never)
+            for j in range(self.left.shape[1]):
+                y = self.left[right[here], j].astype(np.int64)
+                there = y >= 0
+                if not there.any():
+                    break
+                y_end = self.left[right[here], j - 1] if j else np.full(len(here), never)
+                meet = there & (np.maximum(self.born[x], self.born[y]) < np.minimum(x_end, y_end))
+                made = np.full(len(here), -1)
+                made[meet] = self._join(x[meet], y[meet])
+                stands[here[(made >= 0) & (made < x_end) & (made <= y_end)]] = False
+        return stands
 
-    def __missing__(self, text: str) -> bytes:
-        packed = self.older.get(text)
-        if packed is None:
-            packed = self.work_out(text)
-        if len(text) <= LONG:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[text] = packed
-        return packed
+    def stand(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left.astype(np.int64) << 32 | right
+        slot = ((pair.astype(np.uint64) * np.uint64(MIXING)) >> np.uint64(20)).astype(np.int64) % len(self.slot_pair)
+        new = self.slot_pair[slot] != pair
+        out = self.slot_stands[slot]
+        if new.any():
+            unknown, back = np.unique(pair[new], return_inverse=True)
+            found = self.seams(unknown >> 32, unknown & 0xFFFFFFFF)
+            out[new] = found[back]
+            self.slot_pair[slot[new]], self.slot_stands[slot[new]] = pair[new], found[back]
+        return out
+
+    def last_tokens(self, pieces: list[bytes], width: int) -> np.ndarray:
+        """The last token of every prefix of pieces of at most ``width`` bytes, longest piece first."""
+        rows = np.frombuffer(b"".join([piece.ljust(width, b"\0") for piece in pieces]), dtype=np.uint8).reshape(-1, width)
+        lengths = np.array([len(piece) for piece in pieces])
+        sums = self._sums(rows, width)
+        last = np.full((len(pieces), width), -1, dtype=np.int64)
+        for end in range(1, width + 1):
+            open_ = np.arange(np.searchsorted(-lengths, -end, side="right"))
+            # The longest first: it is the right one most of the time.
+            for n in range(end, 0, -1):
+                if n not in self.known or not len(open_):
+                    continue
+                keys, ranks = self.known[n]
+                wanted = self._keys(sums, end - n, end, open_)
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                hit = np.flatnonzero(keys[at] == wanted)
+                here, token = open_[hit], ranks[at[hit]]
+                if n > 8 and len(here):
+                    same = (rows[here, end - n : end] == self.bytes[token, :n]).all(axis=1)
+                    hit, here, token = hit[same], here[same], token[same]
+                if not len(here):
+                    continue
+                if n < end:
+                    right = self.stand(last[here, end - n - 1], token)
+                    hit, here, token = hit[right], here[right], token[right]
+                last[here, end - 1] = token
+                open_ = np.delete(open_, hit)
+        return last
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces of at most ``WIDEST`` bytes, longest first."""
+        if not pieces:
+            return []
+        last = self.last_tokens(pieces, len(pieces[0]))
+        end = np.array([len(piece) for piece in pieces])
+        out, counts, all_rows = [], np.zeros(len(pieces), dtype=np.int64), np.arange(len(pieces))
+        while True:
+            rows = all_rows[end > 0]
+            if not len(rows):
+                break
+            token = last[rows, end[rows] - 1]
+            column = np.zeros(len(pieces), dtype=np.int32)
+            column[rows] = token
+            out.append(column)
+            counts[rows] += 1
+            end[rows] -= self.length[token]
+        backward = np.stack(out, axis=1)
+        return [row[:n][::-1].tobytes() for row, n in zip(backward, counts.tolist())]
 
 
 class Encoder:
-    """Encodes whole texts: by pieces as the pattern cuts them, and by units.
+    """Encodes whole texts, remembering units of them.
 
-    A unit is a stretch of text that the pattern cuts the same whatever stands around it.
+    A unit is a stretch of text that the pattern cuts the same whatever stands around it. Units not
+    met before are cut into pieces, and the pieces of a batch are encoded together; a piece longer than
+    ``WIDEST`` goes by itself. When the memory is full, what was not asked for since it last was
+    is forgotten. Long units are rare and large and are not kept.
     """
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, units: str | None = None):
-        cut = regex.compile(pattern).findall
-        self.pieces = Remembered(lambda piece: array("i", encode_piece(vocabulary, piece.encode())).tobytes())
-        self.units = Remembered(lambda unit: b"".join(map(self.pieces.__getitem__, cut(unit))))
+    def __init__(self, vocabulary: Vocabulary, tables: Tables, pattern: str, units: str | None = None):
+        self.vocabulary, self.tables, self.cut = vocabulary, tables, regex.compile(pattern).findall
         self.parts = re.compile(units).findall if units else lambda text: [text]
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def __call__(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.units.__getitem__, self.parts(text))), dtype=np.int32)
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        split = [self.parts(text) for text in texts]
+        units = set().union(*split)
+        self._learn(units - self.recent.keys())
+        coded = [np.frombuffer(b"".join(map(self.recent.__getitem__, own)), dtype=np.int32) for own in split]
+        for unit in [unit for unit in units if len(unit) > LONG]:
+            del self.recent[unit]
+        if len(self.recent) > REMEMBERED:
+            self.older, self.recent = self.recent, {}
+        return coded
+
+    def _learn(self, missing: set[str]) -> None:
+        """Packed ids of units that were not asked for lately."""
+        older = missing & self.older.keys()
+        self.recent |= {unit: self.older[unit] for unit in older}
+        pieces = [(unit, self.cut(unit)) for unit in missing - older]
+        coded = self._pieces(list(set().union(*[own for _, own in pieces])))
+        self.recent |= {unit: b"".join(map(coded.__getitem__, own)) for unit, own in pieces}
+
+    def _pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        ranks = self.vocabulary.ranks
+        out, short = {}, []
+        for piece in pieces:
+            plain = piece.encode()
+            whole = ranks.get(plain)
+            if whole is not None:
+                out[piece] = array("i", [whole]).tobytes()
+            elif len(plain) <= WIDEST:
+                short.append((plain, piece))
+            else:
+                out[piece] = array("i", encode_piece(self.vocabulary, plain)).tobytes()
+        short.sort(key=lambda both: -len(both[0]))
+        for at in range(0, len(short), TOGETHER):
+            some = short[at : at + TOGETHER]
+            out |= zip([piece for _, piece in some], self.tables.encode([plain for plain, _ in some]))
+        return out
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", units: str | None = None) -> Column:
@@ -221,14 +428,16 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     ``units`` may name an expression whose matches make up the text and which the pattern never
     goes across nor looks beyond; most texts then consist of units met before.
     """
-    check_bytes(ranks)
-    sent = _sent(df, ranks)
+    sent = _sent(df, (ranks, Tables(Vocabulary(ranks)).packed()))
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(Vocabulary(sent.value), pattern, units)
+        ranks, tables = sent.value
+        encoder = Encoder(Vocabulary(ranks), Tables.unpacked(tables), pattern, units)
         for batch in batches:
-            coded = [encoder(one.as_py() or "") for one in batch]
+            # A few texts at a time: what is held beside them stays small.
+            texts = [one.as_py() or "" for one in batch]
+            coded = [ids for at in range(0, len(texts), TEXTS) for ids in encoder(texts[at : at + TEXTS])]
             offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *coded])))
 
@@ -250,6 +459,6 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> Column:
     return text(F.col(ids))
 
 
-def _sent(df: DataFrame, ranks: dict[bytes, int]):
-    """The ranks on their way to the tasks: a vocabulary is bounded by its file."""
-    return df.sparkSession.sparkContext.broadcast(ranks)
+def _sent(df: DataFrame, known):
+    """A vocabulary on its way to the tasks; it is bounded by its file."""
+    return df.sparkSession.sparkContext.broadcast(known)

@@ -145,21 +145,52 @@ def test_pieces_of_all_kinds(ranks, reference):
 
 def test_units_are_cut_like_whole_texts(ranks, reference):
     vocabulary, pattern = prefix_bpe.Vocabulary(ranks), public_tokenizers.PATTERN
-    plain, by_unit = prefix_bpe.Encoder(vocabulary, pattern), prefix_bpe.Encoder(vocabulary, pattern, prefix_bpe.WORDS)
+    tables = prefix_bpe.Tables.unpacked(prefix_bpe.Tables(vocabulary).packed())
+    plain, by_unit = (prefix_bpe.Encoder(vocabulary, tables, pattern, units) for units in (None, prefix_bpe.WORDS))
     rng = np.random.default_rng(8)
     letters = list("ab1' \n\t\r\x0b\x1c\x85\xa0\u1680\u2003\u2028\u3000\u180e\u200b\ufeff-.é한") + ["'s", "  ", "\n\n", "'LL", "'ll"]
-    for _ in range(3000):
-        text = "".join(rng.choice(letters, int(rng.integers(0, 25))))
-        assert "".join(by_unit.parts(text)) == text
-        want = reference.encode_ordinary(text)
-        assert by_unit(text).tolist() == want and plain(text).tolist() == want
+    texts = ["".join(rng.choice(letters, int(rng.integers(0, 25)))) for _ in range(3000)]
+    want = [reference.encode_ordinary(text) for text in texts]
+    assert ["".join(by_unit.parts(text)) for text in texts] == texts
+    assert [found.tolist() for found in by_unit(texts)] == want and [found.tolist() for found in plain(texts)] == want
+
+
+def test_seams_agree_with_merging(ranks):
+    vocabulary, rng = prefix_bpe.Vocabulary(ranks), np.random.default_rng(9)
+    tables = prefix_bpe.Tables(vocabulary)
+    short = np.array([rank for token, rank in ranks.items() if len(token) <= 4])
+    left, right = rng.integers(0, 50_000, 60_000), rng.integers(0, 50_000, 60_000)
+    left[::2], right[::3] = rng.choice(short, 30_000), rng.choice(short, 20_000)
+    usable = np.array([vocabulary.alone(a) and vocabulary.alone(b) for a, b in zip(left.tolist(), right.tolist())])
+    left, right = left[usable], right[usable]
+    want = [vocabulary.merge(vocabulary.tokens[a] + vocabulary.tokens[b]) == [a, b] for a, b in zip(left.tolist(), right.tolist())]
+    assert len(want) > 59_000 and 0 < sum(want) < len(want)
+    assert tables.seams(left, right).tolist() == want and tables.stand(left, right).tolist() == want
+
+
+def test_pieces_together_are_like_pieces_alone(ranks, reference, monkeypatch):
+    vocabulary, rng = prefix_bpe.Vocabulary(ranks), np.random.default_rng(10)
+    tables = prefix_bpe.Tables(vocabulary)
+    made = [bytes(rng.choice(list(a), int(rng.integers(1, 33))).tolist()) for a in (b"ab", b"etaoins ", bytes(range(256)), "äöüß한국".encode()) for _ in range(1500)]
+    made.sort(key=len, reverse=True)
+    got = [np.frombuffer(packed, dtype=np.int32).tolist() for packed in tables.encode(made)]
+    assert got == [reference._encode_single_piece(piece) if piece not in ranks else [ranks[piece]] for piece in made]
+    last = tables.last_tokens(made, 32)
+    for piece, own in list(zip(made, last.tolist()))[::50]:
+        assert own[: len(piece)] == prefix_bpe.Prefixes(vocabulary, piece).last
+    # A memory too small for a batch forgets, and says the same.
+    monkeypatch.setattr(prefix_bpe, "REMEMBERED", 50)
+    encoder = prefix_bpe.Encoder(vocabulary, tables, public_tokenizers.PATTERN, prefix_bpe.WORDS)
+    texts = [" ".join(f"w{rng.integers(0, 300)}" for _ in range(40)) for _ in range(30)]
+    for _ in range(3):
+        assert [ids.tolist() for ids in encoder(texts)] == [reference.encode_ordinary(text) for text in texts]
 
 
 def test_a_long_piece_takes_linear_time(ranks, reference):
     vocabulary = prefix_bpe.Vocabulary(ranks)
     text = "".join(np.random.default_rng(2).choice(list("abcdefgh"), 1_000_000))
     begun = time.process_time()
-    ids = prefix_bpe.Encoder(vocabulary, public_tokenizers.PATTERN)(text).tolist()
+    (ids,) = (found.tolist() for found in prefix_bpe.Encoder(vocabulary, prefix_bpe.Tables(vocabulary), public_tokenizers.PATTERN)([text]))
     assert time.process_time() - begun < 60
     assert b"".join(vocabulary.tokens[i] for i in ids).decode() == text
     assert ids[:2000] == reference.encode_ordinary(text[:20_000])[:2000]
