@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Units of text, and pairs of tokens of long pieces, that a task remembers before it forgets some.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 
 #: Longer pieces are rare and large: not remembered.
 LONG = 64
@@ -436,14 +436,19 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
         encoder = Encoder(Vocabulary(ranks), Tables.unpacked(tables), pattern, units)
         for batch in batches:
             # A few texts at a time: what is held beside them stays small.
-            texts = [one.as_py() or "" for one in batch]
-            coded = [ids for at in range(0, len(texts), TEXTS) for ids in encoder(texts[at : at + TEXTS])]
-            offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *coded])))
+            parts = [_lists(encoder([])), *(
+                _lists(encoder([one or "" for one in batch.slice(at, TEXTS).to_pylist()])) for at in range(0, len(batch), TEXTS)
+            )]
+            yield pa.concat_arrays(parts)
 
     return ids(F.col(text))
 
 
+def _lists(coded: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(ids) for ids in coded])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *coded])))
+
+
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> Column:
     """Bytes of a column of token ids; none for null."""
     sent = _sent(df, ranks)
