@@ -77,12 +77,17 @@ def validate(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame
     return valid_rows(df, rules), rejected_rows(df, rules)
 
 
+def broken_rules(rules: Sequence[Rule]) -> list[Column]:
+    """Rows per broken rule, as aggregates to observe where rows pass anyway."""
+    return [F.count_if(~_holds(rule)).alias(rule.name) for rule in rules]
+
+
 def reject_counts(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Rows per broken rule, from one scan and one map-side combined count per rule.
 
     Wide enough to count all rules at once instead of exploding a row per reason.
     """
-    counts = df.agg(*[F.count_if(~_holds(rule)).alias(rule.name) for rule in rules])
+    counts = df.agg(*broken_rules(rules))
     pairs = [
         F.struct(F.lit(rule.name).alias("rule"), F.col(rule.name).alias("n_rows"))
         for rule in rules

@@ -35,13 +35,21 @@ def feed_rules() -> list[Rule]:
 
 
 def page_rules() -> list[Rule]:
-    """The same for landed pages, whose place in fetch order has to be known."""
-    return [Rule("page_start_present", F.col("page_start").isNotNull()), *feed_rules()]
+    """The same for landed pages: their place in fetch order has to be known.
+
+    A page whose category is not on the list is not read. It has this one reason.
+    """
+    unlisted = F.col("category_ordinal").isNull()
+    rules = [Rule("page_start_present", F.col("page_start").isNotNull()), *feed_rules()]
+    return [Rule("category_listed", ~unlisted), *[Rule(rule.name, unlisted | rule.holds) for rule in rules]]
 
 
 def fetched_entries(pages: DataFrame, codes: Sequence[str] = CATEGORY_CODES) -> DataFrame:
-    """All entries of the pages of the listed categories, not yet validated."""
-    return parse_pages(with_ordinal(pages, codes))
+    """All entries of the pages of the listed categories, not yet validated.
+
+    A page of an unlisted or null category gives one row, which :func:`page_rules` rejects.
+    """
+    return parse_pages(with_ordinal(pages, codes, keep_unlisted=True))
 
 
 def accepted_articles(entries: DataFrame, budget_bytes: int | None = None) -> DataFrame:

@@ -39,25 +39,37 @@ def silver_papers(articles: DataFrame) -> DataFrame:
     )
 
 
-def silver_papers_merged(articles: DataFrame) -> DataFrame:
-    """The same, with papers equal in everything but categories merged into one row.
+def silver_papers_counted(articles: DataFrame) -> DataFrame:
+    """Papers equal in everything but categories as one row, with a count for each category.
 
-    The merged list holds the categories of all copies, repeats included. Copies are
-    counted before they travel, so a paper that is there a billion times is one row per
-    task in the shuffle. With unique ids there is nothing to merge: use
-    :func:`silver_papers` and save the shuffles.
+    ``category_counts`` says how often each category stands in the copies. Copies are counted before
+    they travel, and stay counts: a paper that is there a billion times is one row per task in the
+    shuffle, and a counter per category after it.
     """
     others = [c for c in SILVER_COLUMNS if c != "categories"]
-    lists = silver_papers(articles).groupBy(*others, "categories").agg(
-        F.count(F.lit(1)).cast("int").alias("n_copies")
-    )
-    merged = lists.groupBy(*others).agg(
-        F.collect_list(F.struct("categories", "n_copies")).alias("_lists")
-    )
+    lists = silver_papers(articles).groupBy(*others, "categories").agg(F.count(F.lit(1)).alias("n_copies"))
+    merged = lists.groupBy(*others).agg(F.collect_list(F.struct("categories", "n_copies")).alias("_lists"))
+    codes = F.array_distinct(F.flatten(F.transform("_lists", lambda one: one["categories"])))
+
+    def counted(code: Column) -> Column:
+        def own(total: Column, one: Column) -> Column:
+            return total + one["n_copies"] * F.size(F.filter(one["categories"], lambda c: c == code))
+
+        return F.struct(code.alias("category_code"), F.aggregate("_lists", F.lit(0).cast("bigint"), own).alias("n"))
+
+    return merged.select(*others, F.transform(codes, counted).alias("category_counts"))
+
+
+def silver_papers_merged(articles: DataFrame) -> DataFrame:
+    """The same with the categories of all copies in one list, repeats included, as grouping gives it.
+
+    The list is as long as it has to be, and made from the counts in the last step. With unique ids
+    there is nothing to merge: use :func:`silver_papers` and save the shuffles.
+    """
     repeated = F.transform(
-        "_lists", lambda one: F.flatten(F.array_repeat(one["categories"], one["n_copies"]))
+        "category_counts", lambda one: F.array_repeat(one["category_code"], one["n"].cast("int"))
     )
-    return merged.withColumn("categories", F.flatten(repeated)).select(SILVER_COLUMNS)
+    return silver_papers_counted(articles).withColumn("categories", F.flatten(repeated)).select(SILVER_COLUMNS)
 
 
 def ensure_silver(

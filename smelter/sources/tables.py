@@ -33,6 +33,9 @@ _ROOT, _PARTS, _BUCKETS = "smelter.root", "smelter.partitions", "smelter.buckets
 # Partitions named in one catalog statement.
 _PER_STATEMENT = 200
 
+# Properties that say something of the content, and end with the next write.
+INVALIDATED = ("smelter.profiled",)
+
 # Partition column of a bucketed table.
 KEY_BUCKET = "key_bucket"
 
@@ -147,6 +150,7 @@ def _publish(
         df = _conform(df, name, ACTION if metrics else None)
     if not parts:
         seen = _write(df, path, parts, metrics, keys)
+        _invalidate(spark, name)
         if redefine:
             _redefine(df, name)
         spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
@@ -156,6 +160,7 @@ def _publish(
         even = df.hint("rebalance", *parts)
         seen = _write(even, path, parts, [*metrics, folders], keys)
         written = set(seen.pop("folders"))
+        _invalidate(spark, name)
         if redefine:
             _redefine(df, name)
         held = _held_folders(spark, name)
@@ -169,6 +174,13 @@ def _publish(
     return seen
 
 
+def _invalidate(spark: SparkSession, name: str) -> None:
+    """Take away what was said of the old content, before the new one is seen."""
+    held = [f"'{p}'" for p in INVALIDATED if p in _properties(spark, name)]
+    if held:
+        spark.sql(f"ALTER TABLE {name} UNSET TBLPROPERTIES IF EXISTS ({', '.join(held)})")
+
+
 def _redefine(df: DataFrame, name: str) -> None:
     """Define the table anew with the columns of a frame; no file is deleted."""
     spark = df.sparkSession
@@ -335,6 +347,7 @@ def replace_buckets(df: DataFrame, name: str, buckets: set[int]) -> None:
 
 def truncate_table(spark: SparkSession, name: str) -> None:
     """Empty the table. It keeps its definition; files being read are left alone."""
+    _invalidate(spark, name)
     if not _is_ours(spark, name):
         spark.sql(f"TRUNCATE TABLE {name}")
     elif partition_columns(spark, name):

@@ -1,20 +1,37 @@
-"""Landing folder to bronze, or to all layers, as a stream of bounded micro-batches."""
+"""Landing folder to bronze, or to all layers, as a stream of bounded micro-batches.
+
+There are two ways into bronze. :func:`ingest_stream` merges each micro-batch into the table, for
+readers that wait for it. :func:`collect_stream` only appends what comes in to a folder, and
+:func:`settle` merges all of it at once: partitions are rewritten once per settlement, not
+once per batch, and a size budget can be applied to the whole stream.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from smelter.operators.budget import article_bytes, bytes_before, page_sizes
+from smelter.operators.contract import VIOLATIONS, broken_rules, valid_rows, with_violations
+from smelter.operators.dedupe import keep_first
 from smelter.plans.bronze import (
-    FIRST_FETCHED_WINS, accepted_articles, ensure_bronze, fetched_entries, upsert_bronze,
+    FETCHED, FETCHED_TYPE, FIRST_FETCHED_WINS, accepted_articles, ensure_bronze, fetched_entries, page_rules,
+    upsert_bronze,
 )
 from smelter.plans.medallion import (
-    Layout, ensure_layers, ensure_rejects, load_increment, store_rejects,
+    NOTHING_DONE, Layout, ensure_layers, ensure_rejects, load_increment, store_rejects,
 )
-from smelter.schemas import CATEGORY_CODES, CATEGORY_NAMES
-from smelter.session import staged
+from smelter.schemas import BRONZE_COLUMNS, CATEGORY_CODES, CATEGORY_NAMES
+from smelter.session import remove, staged
+from smelter.sources.feed import FETCH_ORDER, LANDED
+from smelter.sources.tables import ensure_table, overwrite_table
+from smelter.streaming.state import BROKEN, first_copies, keep_state_on_disk
+
+#: Pages that a budget left out, with their size and that of all pages before them.
+LEFT_OUT = "category_ordinal int, page_start bigint, page_bytes bigint, page_rows bigint, bytes_before bigint"
 
 
 def ingest_stream(
@@ -49,6 +66,138 @@ def ingest_stream(
     return _available_now(pages, checkpoint, merge)
 
 
+def ingest_first_copies(
+    pages: DataFrame,
+    table: str,
+    checkpoint: str,
+    codes: Sequence[str] = CATEGORY_CODES,
+    location: str | None = None,
+    rejects: str | None = None,
+    wait: str = "1 day",
+) -> StreamingQuery:
+    """The same with keyed state: of an article only copies fetched before all earlier ones reach the table.
+
+    State remembers the first copy of each article for as long as ``wait`` after it came in;
+    a copy that comes later is compared with the table, as every copy is by :func:`ingest_stream`. Rows
+    per broken rule are reported with each batch, for a listener like
+    :class:`smelter.streaming.state.BrokenRules`.
+    """
+    spark = pages.sparkSession
+    ensure_bronze(spark, table, location)
+    if rejects:
+        ensure_rejects(spark, rejects)
+    keep_state_on_disk(spark)
+    rules = page_rules()
+    entries = with_violations(fetched_entries(pages, codes), rules).observe(BROKEN, *broken_rules(rules))
+    broken = F.size(VIOLATIONS) > 0
+    # A reject has no copies: its place is its key.
+    keyed = entries.withColumns(
+        {"_id": F.when(~broken, F.col("id")), "_place": F.when(broken, F.struct("category", "page_start", "entry_pos"))}
+    )
+    keyed = keyed.withColumn(_AGE, _age())
+    firsts = first_copies(keyed, ["_id", "_place"], [_AGE, *FETCH_ORDER], LANDED, wait)
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        with staged(batch, f"firsts-{batch_id}") as rows:
+            if rejects:
+                store_rejects(rows.drop(VIOLATIONS), rejects)
+            good = rows.filter(F.size(VIOLATIONS) == 0).select(*BRONZE_COLUMNS, _fetched())
+            upsert_bronze(_newest(good), table, FIRST_FETCHED_WINS)
+
+    return _available_now(firsts, checkpoint, merge, "update")
+
+
+# Sorts newer versions first.
+_AGE = "_age"
+
+
+def _age() -> Column:
+    return -F.unix_micros("updated_date")
+
+
+def _newest(articles: DataFrame) -> DataFrame:
+    """One row per article: its newest version, and of copies of that the one fetched first."""
+    return keep_first(articles.withColumn(_AGE, _age()), ["id"], [_AGE, FETCHED]).drop(_AGE)
+
+
+def _fetched() -> Column:
+    return F.struct(*FETCH_ORDER).cast(FETCHED_TYPE).alias(FETCHED)
+
+
+def collect_stream(
+    pages: DataFrame,
+    folder: str,
+    checkpoint: str,
+    codes: Sequence[str] = CATEGORY_CODES,
+    rejects: str | None = None,
+) -> StreamingQuery:
+    """Append the valid articles of all pages landed so far to a folder, then stop.
+
+    Of each micro-batch the first copy of an article is kept, with the sizes of its pages. A batch
+    that is repeated after a failure replaces its own part.
+    """
+    if rejects:
+        ensure_rejects(pages.sparkSession, rejects)
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        with staged(fetched_entries(batch, codes), f"entries-{batch_id}") as entries:
+            if rejects:
+                store_rejects(entries, rejects)
+            sizes = page_sizes(valid_rows(entries, page_rules()), article_bytes())
+            sizes.coalesce(1).write.mode("overwrite").parquet(f"{folder}/sizes/batch={batch_id}")
+            accepted_articles(entries).write.mode("overwrite").parquet(f"{folder}/articles/batch={batch_id}")
+
+    return _available_now(pages, checkpoint, append)
+
+
+def settle(
+    spark: SparkSession,
+    folder: str,
+    table: str,
+    location: str | None = None,
+    budget_bytes: int | None = None,
+    left_out: str | None = None,
+    keep: bool = False,
+) -> dict[str, int]:
+    """Merge everything collected in a folder into bronze, within a size budget if one is given.
+
+    The budget is that of one pass over all pages: which pages are admitted is decided on the
+    sizes of all of them, in fetch order, whatever batches they came in. Pages beyond it are
+    listed in the table ``left_out``. What was settled is removed from the folder (unless ``keep``)
+    after it is in the table; a settlement that broke off is simply run again.
+    """
+    ensure_bronze(spark, table, location)
+    if left_out:
+        ensure_table(spark, left_out, LEFT_OUT)
+    try:
+        sizes = spark.read.parquet(f"{folder}/sizes").drop("batch")
+    except Exception as missing:  # nothing was ever collected
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return dict(NOTHING_DONE)
+    articles = spark.read.parquet(f"{folder}/articles").drop("batch")
+    # A page that came in twice is one page.
+    sizes = sizes.groupBy("category_ordinal", "page_start").agg(
+        F.max("page_bytes").alias("page_bytes"), F.max("page_rows").alias("page_rows")
+    )
+    if budget_bytes is not None:
+        with staged(bytes_before(sizes), "sizes") as running:
+            beyond = running.filter(F.col("bytes_before") >= budget_bytes)
+            if left_out:
+                overwrite_table(beyond, left_out)
+            first = beyond.agg(F.min(F.struct("category_ordinal", "page_start")).alias("page")).first()["page"]
+        if first is not None:
+            # Admitted pages come before all others in fetch order: one comparison, no join.
+            place = F.struct(f"{FETCHED}.category_ordinal", f"{FETCHED}.page_start")
+            end = F.struct(F.lit(first["category_ordinal"]), F.lit(first["page_start"]).cast("bigint"))
+            articles = articles.filter(place < end)
+    done = upsert_bronze(_newest(articles), table, FIRST_FETCHED_WINS)
+    if not keep:
+        remove(spark, f"{folder}/articles")
+        remove(spark, f"{folder}/sizes")
+    return done
+
+
 def layers_stream(
     pages: DataFrame,
     layout: Layout,
@@ -68,9 +217,10 @@ def layers_stream(
     return _available_now(pages, checkpoint, advance)
 
 
-def _available_now(pages: DataFrame, checkpoint: str, each_batch) -> StreamingQuery:
+def _available_now(rows: DataFrame, checkpoint: str, each_batch, mode: str = "append") -> StreamingQuery:
     return (
-        pages.writeStream.foreachBatch(each_batch)
+        rows.writeStream.foreachBatch(each_batch)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -213,6 +213,19 @@ _ACCEPTED = f"""{_ENTRIES},
         QUALIFY row_number() OVER (PARTITION BY id
             ORDER BY list_position({_list(FEED_CODES)}, category), page_start, entry_pos) = 1)"""
 
+_FEED_SIZES = f"""
+    feed_sizes AS (
+        SELECT CAST(list_position({_list(FEED_CODES)}, category) AS INTEGER) AS category_ordinal, page_start,
+            CAST(sum(strlen(id) + strlen(title) + strlen(summary) + strlen(pdf_url)
+                + strlen(array_to_string(authors, '')) + strlen(array_to_string(categories, ''))
+                + 16) AS BIGINT) AS page_bytes,
+            count(*) AS page_rows
+        FROM entries WHERE {_VALID} GROUP BY ALL),
+    feed_running AS (
+        SELECT *, CAST(coalesce(sum(page_bytes) OVER (ORDER BY category_ordinal, page_start
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS bytes_before
+        FROM feed_sizes)"""
+
 _LAYER_SILVER = f"""{_ACCEPTED},
     silver AS (
         SELECT id, title, summary, authors, {_clean("categories")} AS categories,
@@ -261,6 +274,9 @@ ORACLES = {
         doubled AS (SELECT * REPLACE (list_sort(list_concat(categories, categories)) AS categories)
             FROM silver)
         SELECT {_SILVER_SHOWN} FROM doubled""",
+    "silver_grouped_counts": f"""WITH {_SILVER},
+        listed AS (SELECT id, unnest(categories) AS category_code FROM silver)
+        SELECT id, category_code, 3 * count(*) AS n FROM listed GROUP BY ALL""",
     "category_normalize": f"""
         SELECT p_partkey, {_joined(_clean(_PART_CATEGORIES), "codes")} FROM part""",
     "category_dim": f"""WITH {_ARTICLES},
@@ -335,6 +351,13 @@ ORACLES = {
     "page_beyond_top_k": f"""WITH {_ARTICLES}
         SELECT {_ARTICLE_SHOWN} FROM (
             SELECT * FROM articles ORDER BY published_date, id DESC LIMIT 500)""",
+    "page_null_keys": f"""WITH {_ARTICLES}
+        SELECT {_ARTICLE_SHOWN} FROM (
+            SELECT * REPLACE (nullif(id, '1') AS id) FROM articles ORDER BY id NULLS FIRST LIMIT 50)""",
+    "page_seek": f"""WITH {_ARTICLES},
+        placed AS (SELECT *, row_number() OVER (ORDER BY articles.published_date DESC, id) AS place
+            FROM articles WHERE list_contains(categories, 'cs.AI'))
+        SELECT {_ARTICLE_SHOWN} FROM placed WHERE place BETWEEN 26 AND 125 OR place BETWEEN 201 AND 300""",
     "page_order_numbers": f"""WITH {_ARTICLES}
         SELECT id, {_time("published_date")},
             row_number() OVER (ORDER BY articles.published_date DESC, id) AS position
@@ -376,6 +399,21 @@ ORACLES = {
     "bronze_batch": f"WITH {_ACCEPTED} SELECT {_ARTICLE_SHOWN} FROM accepted",
     "stream_upsert": f"WITH {_ACCEPTED} SELECT {_ARTICLE_SHOWN} FROM accepted",
     "stream_upsert_many_batches": f"WITH {_ACCEPTED} SELECT {_ARTICLE_SHOWN} FROM accepted",
+    "stream_within_budget": f"""WITH {_ENTRIES}, {_FEED_SIZES}
+        SELECT {_ARTICLE_SHOWN} FROM (
+            SELECT entries.* FROM entries JOIN feed_running f ON entries.page_start = f.page_start
+                AND list_position({_list(FEED_CODES)}, category) = f.category_ordinal AND bytes_before < {BUDGET}
+            WHERE {_VALID}
+            QUALIFY row_number() OVER (PARTITION BY id ORDER BY category_ordinal, entries.page_start, entry_pos) = 1)""",
+    "stream_left_out": f"WITH {_ENTRIES}, {_FEED_SIZES} SELECT * FROM feed_running WHERE bytes_before >= {BUDGET}",
+    "stream_first_copies": f"WITH {_ACCEPTED} SELECT {_ARTICLE_SHOWN} FROM accepted",
+    "stored_rejects": f"""WITH {_ENTRIES}
+        SELECT category, page_start, entry_pos, id, {_BROKEN} AS violations FROM entries
+        WHERE NOT ({_VALID}) AND category <> 'de'""",
+    "upsert_buckets": f"""
+        WITH t AS ({_ORDERS_BY_YEAR.format(shift=0, extra=0)}),
+        s AS ({_ORDERS_BY_YEAR.format(shift=1000, extra=1)})
+        SELECT * FROM {_merged("s.amount > t.amount", "id, amount, status, order_year")}""",
     "overwrite_new_schema": """SELECT o_orderkey + 10000000000 AS k, 'o' AS kind,
         CAST(year(o_orderdate) AS INTEGER) AS year FROM orders""",
     "upsert_noop_counts": """SELECT CAST(0 AS INTEGER) AS run,
@@ -388,5 +426,8 @@ ORACLES = {
     "layers_increment": f"""WITH {_LAYER_FACT.replace("2015-01-01' +", f"2015-01-01' + to_days({LATER}) +")}
         SELECT publication_year, category_name, paper_count FROM fact""",
     "layers_silver": f"WITH {_LAYER_SILVER} SELECT {_SILVER_SHOWN} FROM silver",
-    "layers_quality": f"WITH {_LAYER_FACT} {_CHECKS}",
+    "layers_quality": f"""WITH {_LAYER_FACT.replace("2015-01-01' +", f"2015-01-01' + to_days({LATER}) +")} {_CHECKS}
+        UNION ALL
+        SELECT CAST(i AS INTEGER), 'table_exists:workload_scratch.' || name, true, 1.0, 1.0
+        FROM (VALUES (-3, 'dim'), (-2, 'silver'), (-1, 'fact')) tables(i, name)""",
 }

@@ -20,21 +20,23 @@ from smelter.operators.numbering import number_rows
 from smelter.operators.upsert import new_rows, upsert, upsert_actions, upsert_counts
 from smelter.plans.bronze import NEWER_WINS, accepted_articles, feed_rules, fetched_entries
 from smelter.plans.gold import category_dim, named_codes, publication_trends, trend_counts
-from smelter.plans.medallion import Layout, load_increment, run_medallion
-from smelter.plans.quality import fact_profile, null_rate, quality_report, year_totals
-from smelter.plans.silver import silver_papers, silver_papers_merged
+from smelter.plans.medallion import (
+    Layout, ensure_rejects, load_increment, run_medallion, store_rejects,
+)
+from smelter.plans.quality import fact_profile, null_rate, quality_report, table_quality, year_totals
+from smelter.plans.silver import silver_papers, silver_papers_counted, silver_papers_merged
 from smelter.schemas import BRONZE_COLUMNS, CATEGORY_NAMES, SILVER_COLUMNS
-from smelter.session import scratch_path, shared_folder
+from smelter.session import scratch_path, shared_folder, staged
 from smelter.sources.feed import (
     parse_pages, read_page_stream, read_page_table, read_pages, scan_entries,
 )
 from smelter.sources.paging import (
-    NEWEST_FIRST, TOP_K_ROWS, in_category, page, sort_columns,
+    NEWEST_FIRST, TOP_K_ROWS, build_page_index, in_category, page, seek_page, sort_columns,
 )
 from smelter.sources.tables import (
-    ensure_schema, ensure_table, overwrite_table, scan, truncate_table, upsert_table,
+    KEY_BUCKET, ensure_schema, ensure_table, overwrite_table, scan, truncate_table, upsert_table,
 )
-from smelter.streaming.ingest import ingest_stream
+from smelter.streaming.ingest import collect_stream, ingest_first_copies, ingest_stream, settle
 from workload.inputs import (
     FEED_CODES, defective_articles, feed_pages, land_files, order_articles, part_articles,
     part_categories, table,
@@ -92,6 +94,13 @@ def silver_transform_grouped(spark, sf_dir):
     return shown(merged.withColumn("categories", F.sort_array("categories")))
 
 
+def silver_grouped_counts(spark, sf_dir):
+    """Categories of merged papers as counts, over three copies of every article."""
+    articles = order_articles(spark, sf_dir)
+    counted = silver_papers_counted(articles.unionByName(articles).unionByName(articles))
+    return counted.select("id", F.inline("category_counts"))
+
+
 def category_normalize(spark, sf_dir):
     codes = normalize_categories(F.array(*part_categories()))
     return shown(table(spark, sf_dir, "part").select("p_partkey", codes.alias("codes")))
@@ -266,6 +275,20 @@ def page_beyond_top_k(spark, sf_dir):
     return shown(page(articles, F.lit(True), last - 500, TOP_K_ROWS + 1))
 
 
+def page_null_keys(spark, sf_dir):
+    """The first articles by id, one of which has none."""
+    articles = order_articles(spark, sf_dir).withColumn("id", F.expr("nullif(id, '1')"))
+    return shown(page(articles, F.lit(True), 0, 50, ["id"]))
+
+
+def page_seek(spark, sf_dir):
+    """Two deep pages of a category from a stored index."""
+    path = scratch_path(spark, "page-index")
+    build_page_index(order_articles(spark, sf_dir), path, F.col("categories"), fence_rows=1000)
+    pages = [seek_page(spark, path, start, 100, "cs.AI") for start in (25, 200)]
+    return shown(pages[0].unionByName(pages[1]))
+
+
 def page_order_numbers(spark, sf_dir):
     articles = order_articles(spark, sf_dir).select("id", "published_date")
     return shown(number_rows(articles, sort_columns(NEWEST_FIRST), "position"))
@@ -358,6 +381,18 @@ def upsert_moves_partitions(spark, sf_dir):
     return spark.table(name)
 
 
+def upsert_buckets(spark, sf_dir):
+    """The same upsert into years that are cut by a hash of the key, in two batches."""
+    name = f"{scratch_schema(spark)}.bucketed_{uuid.uuid4().hex}"
+    location = scratch_path(spark, "bucketed")
+    ensure_table(spark, name, ORDERS, ["order_year"], location, buckets=8, bucket_by=["id"])
+    overwrite_table(yearly_orders(spark, sf_dir), name)
+    changes = yearly_orders(spark, sf_dir, 1000, 1)
+    for half in (0, 1):
+        upsert_table(name, changes.filter(F.col("id") % 2 == half), ["id"], "s.amount > t.amount")
+    return spark.table(name).drop(KEY_BUCKET)
+
+
 def scan_by_view_name(spark, sf_dir):
     yearly_orders(spark, sf_dir).createOrReplaceGlobalTempView("workload_orders")
     return scan(spark, "global_temp.workload_orders").groupBy("order_year", "status").agg(
@@ -407,9 +442,62 @@ def stream_upsert(spark, sf_dir, **limits):
     return shown(spark.table(name).select(BRONZE_COLUMNS))
 
 
+def settled(spark, sf_dir, budget_bytes=None, **limits):
+    """The feed collected in small batches and settled once: the bronze table, and pages left out."""
+    pages = read_page_stream(spark, landed_feed(spark, sf_dir), **limits)
+    run, schema, folder = uuid.uuid4().hex, scratch_schema(spark), scratch_path(spark, "collected")
+    collect_stream(pages, folder, scratch_path(spark, "stream-state"), FEED_CODES).awaitTermination()
+    names = [f"{schema}.settled_{run}", f"{schema}.left_out_{run}"]
+    settle(spark, folder, names[0], scratch_path(spark, "settled"), budget_bytes, names[1])
+    return [spark.table(name) for name in names]
+
+
 def stream_upsert_many_batches(spark, sf_dir):
     """The same stream in small batches: the limit must not decide which copies stay."""
-    return stream_upsert(spark, sf_dir, max_files=12)
+    return shown(settled(spark, sf_dir, max_files=12)[0].select(BRONZE_COLUMNS))
+
+
+def stream_within_budget(spark, sf_dir):
+    """A budget over a whole stream: the articles of the pages that one pass would admit."""
+    return shown(settled(spark, sf_dir, BUDGET, max_files=24)[0].select(BRONZE_COLUMNS))
+
+
+def stream_left_out(spark, sf_dir):
+    """The pages that the same budget leaves out."""
+    return settled(spark, sf_dir, BUDGET, max_files=40)[1]
+
+
+def stream_first_copies(spark, sf_dir):
+    """The stream through keyed state, and what its batches report of broken rules."""
+    pages = read_page_stream(spark, landed_feed(spark, sf_dir), max_files=60)
+    run, schema = uuid.uuid4().hex, scratch_schema(spark)
+    name, rejects = f"{schema}.firsts_{run}", f"{schema}.firsts_rejects_{run}"
+    state, location = scratch_path(spark, "stream-state"), scratch_path(spark, "firsts")
+    ingest_first_copies(pages, name, state, FEED_CODES, location, rejects).awaitTermination()
+    return shown(spark.table(name).select(BRONZE_COLUMNS))
+
+
+def stored_rejects(spark, sf_dir):
+    """Rejects after two fetches: all pages, then those of one language again, without defects."""
+    name = f"{scratch_schema(spark)}.rejects_{uuid.uuid4().hex}"
+    ensure_rejects(spark, name, scratch_path(spark, "rejects"))
+    pages = feed_pages(spark, sf_dir)
+    with staged(fetched_entries(pages, FEED_CODES), "entries") as entries:
+        store_rejects(entries, name)
+        again = entries.filter(F.col("category") == "de")
+        store_rejects(mended(again), name)
+    rejects = spark.table(name).withColumn("violations", F.col(VIOLATIONS))
+    return shown(rejects.select("category", "page_start", "entry_pos", "id", "violations"))
+
+
+def mended(entries):
+    """Entries whose missing fields are filled in."""
+    filled = {"title": "t", "summary": "s", "pdf_url": "u"}
+    authors = F.when(F.size("authors") > 0, F.col("authors")).otherwise(F.array(F.lit("a")))
+    return entries.withColumns(
+        {c: F.coalesce(F.when(F.length(c) > 0, F.col(c)), F.lit(v)) for c, v in filled.items()}
+        | {"authors": authors, "published_date": F.coalesce("published_date", "updated_date")}
+    )
 
 
 def overwrite_new_schema(spark, sf_dir):
@@ -470,8 +558,11 @@ def layers_silver(spark, sf_dir):
 
 
 def layers_quality(spark, sf_dir):
-    _, report = all_layers(spark, sf_dir)
-    return report.filter("check_no > 0")
+    """The whole report after two fetches; names of tables without the number of the run."""
+    layout, _ = all_layers(spark, sf_dir)
+    load_increment(feed_pages(spark, sf_dir, LATER), layout, FEED_CODES, CATEGORY_NAMES)
+    report = table_quality(spark, layout.dim, layout.silver, layout.fact)
+    return report.withColumn("check", F.regexp_replace("check", "_[0-9a-f]{32}$", ""))
 
 
 QUERIES = {
@@ -479,6 +570,7 @@ QUERIES = {
     "part_type_trends": part_type_trends,
     "silver_transform": silver_transform,
     "silver_transform_grouped": silver_transform_grouped,
+    "silver_grouped_counts": silver_grouped_counts,
     "category_normalize": category_normalize,
     "category_dim": category_dimension,
     "left_join_fallback": left_join_fallback,
@@ -501,6 +593,8 @@ QUERIES = {
     "admit_by_budget": admit_by_budget,
     "page_by_category": page_by_category,
     "page_beyond_top_k": page_beyond_top_k,
+    "page_null_keys": page_null_keys,
+    "page_seek": page_seek,
     "page_order_numbers": page_order_numbers,
     "latest_path_segment": latest_path_segment,
     "strip_text": strip_text,
@@ -509,6 +603,7 @@ QUERIES = {
     "overwrite_twice": overwrite_twice,
     "truncate_then_upsert": truncate_then_upsert,
     "upsert_moves_partitions": upsert_moves_partitions,
+    "upsert_buckets": upsert_buckets,
     "scan_by_view_name": scan_by_view_name,
     "atom_feed_parse": atom_feed_parse,
     "atom_entry_scan": atom_entry_scan,
@@ -518,6 +613,10 @@ QUERIES = {
     "stream_upsert": stream_upsert,
     "layers_fact": layers_fact,
     "stream_upsert_many_batches": stream_upsert_many_batches,
+    "stream_within_budget": stream_within_budget,
+    "stream_left_out": stream_left_out,
+    "stream_first_copies": stream_first_copies,
+    "stored_rejects": stored_rejects,
     "overwrite_new_schema": overwrite_new_schema,
     "upsert_noop_counts": upsert_noop_counts,
     "layers_increment": layers_increment,
