@@ -79,6 +79,46 @@ def test_prefixed_and_cdata_feeds(spark):
     assert (row["id"], row["title"]) == ("7", "a < b")
 
 
+SCOPES = [
+    # (page, ids and titles found)
+    (feed('<entry><title xmlns="urn:x">no</title><id>x/1</id><title>T</title></entry>'), [("1", "T")]),
+    (feed('<x xmlns="urn:x"><entry><id>x/0</id></entry></x>', entry(id="x/1", title="T")), [("1", "T")]),
+    (f'<a:feed xmlns:a="{ATOM}"><entry><id>x/0</id></entry><a:entry><a:id>x/1</a:id><a:title>T&amp;\r\nU</a:title></a:entry></a:feed>', [("1", "T&\nU")]),
+    (f'<a:feed xmlns:a="{ATOM}" xmlns="urn:x"><a:entry><a:id>x/1</a:id><title>no</title><a:title>T</a:title></a:entry></a:feed>', [("1", "T")]),
+    (f'<r:feed xmlns:r="{ATOM}"><r:entry xmlns:r="urn:x"><r:id>x/0</r:id></r:entry><q:entry xmlns:q="{ATOM}"><q:id>x/1</q:id><q:title>T</q:title></q:entry></r:feed>', [("1", "T")]),
+    (f'<feed xmlns="{ATOM}"><entry xmlns="urn:x"><id>x/0</id></entry><b:entry xmlns:b="{ATOM}"><id>x/1</id><title>T</title></b:entry></feed>', [("1", "T")]),
+]
+
+
+@pytest.mark.parametrize("page, found", SCOPES)
+def test_names_are_resolved_by_scope(spark, page, found):
+    rows = parse_pages(page_frame(spark, page)).collect()
+    assert [(r["id"], r["title"]) for r in rows] == found
+
+
+def test_broken_pages_with_scopes_are_rejects(spark):
+    broken = feed('<entry><title xmlns="urn:x">no</title>', entry())
+    rows = parse_pages(page_frame(spark, broken, broken.replace("urn:x", "&nbsp;"))).collect()
+    assert [r[MALFORMED] for r in rows] == [True, True]
+
+
+def test_dumps_are_read_as_they_declare(spark, tmp_path):
+    text = feed(entry(id="x/1", title="Caf\u00e9 \u00fc"), entry(id="x/2", title="\u00e9"))
+    files = {"latin": ("ISO-8859-1", "latin-1"), "utf8": ("UTF-8", "utf-8"), "wide": ("UTF-16", "latin-1"), "false": ("UTF-8", "latin-1")}
+    for name, (declared, used) in files.items():
+        (tmp_path / f"{name}.xml").write_bytes(text.replace("UTF-8", declared).encode(used))
+    for name in files:
+        rows = scan_entries(spark, str(tmp_path / f"{name}.xml")).collect()
+        if name in ("latin", "utf8"):
+            assert sorted((r["id"], r["title"]) for r in rows) == [("1", "Caf\u00e9 \u00fc"), ("2", "\u00e9")]
+        else:
+            assert rows and all(r[MALFORMED] for r in rows)
+    both = scan_entries(spark, f"{tmp_path}/[lu]*.xml").filter(~F.col(MALFORMED))
+    assert both.count() == 4
+    told = scan_entries(spark, str(tmp_path / "latin.xml"), encoding="iso-8859-1")
+    assert {r["title"] for r in told.collect()} == {"Caf\u00e9 \u00fc", "\u00e9"}
+
+
 def test_attributes_foreign_elements_and_byte_order_marks(spark):
     rich = (
         '<entry xmlns:f="http://f"><id>x/1</id><title type="html">T</title><summary>S</summary>'

@@ -114,10 +114,13 @@ def part_categories() -> list[Column]:
     ]
 
 
-def feed_pages(spark: SparkSession, sf_dir: str, days_later: int = 0) -> DataFrame:
+def feed_pages(
+    spark: SparkSession, sf_dir: str, days_later: int = 0, foreign: bool = False, encoding: str = "UTF-8"
+) -> DataFrame:
     """Documents as Atom pages: each document under its language and under ``mixed``.
 
-    ``days_later`` moves all times, as in a later fetch of newer versions.
+    ``days_later`` moves all times, as in a later fetch of newer versions. ``foreign`` puts titles of
+    another namespace, without a prefix, before those of some documents. Pages declare ``encoding``.
 
     A page holds a fixed range of document ids, so however large a category is, no
     page collects more than ``PAGE_DOCUMENTS`` entries.
@@ -129,8 +132,8 @@ def feed_pages(spark: SparkSession, sf_dir: str, days_later: int = 0) -> DataFra
     )
     entries = documents.withColumn(
         "category", F.explode(F.array(F.col("lang"), F.lit("mixed")))
-    ).select("category", start.alias("start"), "doc_id", _entry(key, days_later).alias("entry"))
-    head = '<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom">'
+    ).select("category", start.alias("start"), "doc_id", _entry(key, days_later, foreign).alias("entry"))
+    head = f'<?xml version="1.0" encoding="{encoding}"?><feed xmlns="http://www.w3.org/2005/Atom">'
     body = F.array_join(F.transform("entries", lambda e: e["entry"]), "")
     return (
         entries.groupBy("category", "start")
@@ -143,7 +146,7 @@ def feed_pages(spark: SparkSession, sf_dir: str, days_later: int = 0) -> DataFra
     )
 
 
-def _entry(key: Column, days_later: int) -> Column:
+def _entry(key: Column, days_later: int, foreign: bool = False) -> Column:
     """One entry, well formed but with a broken field in some documents."""
     text = key.cast("string")
     case = F.pmod(key, F.lit(50))
@@ -155,8 +158,9 @@ def _entry(key: Column, days_later: int) -> Column:
     iso = F.concat(F.date_format(stamp, "yyyy-MM-dd"), F.lit("T06:30:00Z"))
     later = F.concat(F.date_format(stamp, "yyyy-MM-dd"), F.lit("T18:30:00+01:00"))
     pdf = F.concat(F.lit('<link title="pdf" href="http://x/pdf/'), text, F.lit('"/>'))
+    other = '<title xmlns="urn:other">no title</title>' if foreign else ""
     pieces = [
-        F.lit("<entry><id>http://x/abs/"), text, F.lit("v1</id>"),
+        F.lit("<entry><id>http://x/abs/"), text, F.lit("v1</id>"), F.when(case == 21, other).otherwise(""),
         F.when(case == 9, "<title/>").otherwise(
             F.concat(F.lit("<title> Document "), text, F.lit(" via "), "category", F.lit("</title>"))
         ),
@@ -190,6 +194,15 @@ def _escaped(text: Column) -> Column:
     return plain
 
 
+def land_in_latin1(pages: DataFrame, latin1_pages: DataFrame, path: str) -> str:
+    """The same, with pages that Latin-1 can hold in that encoding, as they then declare."""
+    bytes_ = F.encode("payload", "ISO-8859-1")
+    fits = F.decode(bytes_, "ISO-8859-1") == F.col("payload")
+    place = ["category", "page_start"]
+    latin1 = latin1_pages.filter(fits).withColumn("payload", bytes_.cast("string"))
+    return land_files(latin1.unionByName(pages.join(latin1.select(*place), place, "left_anti")), path)
+
+
 def land_files(pages: DataFrame, path: str) -> str:
     """Write pages as files, one per category and start, as a crawler would land them."""
     pages.select("category", F.col("page_start").alias("start"), "payload").write.partitionBy(

@@ -38,7 +38,7 @@ from smelter.sources.tables import (
 )
 from smelter.streaming.ingest import collect_stream, ingest_first_copies, ingest_stream, settle
 from workload.inputs import (
-    FEED_CODES, defective_articles, feed_pages, land_files, order_articles, part_articles,
+    FEED_CODES, defective_articles, feed_pages, land_files, land_in_latin1, order_articles, part_articles,
     part_categories, table,
 )
 
@@ -408,12 +408,17 @@ def landed_feed(spark, sf_dir):
 
 
 def atom_feed_parse(spark, sf_dir):
-    entries = parse_pages(read_pages(spark, landed_feed(spark, sf_dir)))
+    """All entries of landed pages, in which other vocabularies use plain names, too."""
+    landed = land_files(feed_pages(spark, sf_dir, foreign=True), scratch_path(spark, "landed"))
+    entries = parse_pages(read_pages(spark, landed))
     return shown(entries.drop("_malformed_page"))
 
 
 def atom_entry_scan(spark, sf_dir):
-    entries = scan_entries(spark, f"{landed_feed(spark, sf_dir)}/*/*/*.txt")
+    """All entries of dumps, of which those that can be are in Latin-1."""
+    pages = [feed_pages(spark, sf_dir, encoding=encoding) for encoding in ("UTF-8", "ISO-8859-1")]
+    landed = land_in_latin1(*pages, scratch_path(spark, "landed"))
+    entries = scan_entries(spark, f"{landed}/*/*/*.txt")
     return shown(entries.drop("_malformed_page"))
 
 
