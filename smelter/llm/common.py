@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from smelter.operators.bounds import is_small
-from smelter.session import scratch_path
+from smelter.session import remove, scratch_path
 
 # Words stand between ASCII white space (space, tab, line feed to carriage return). Splitting
 # at separators takes a sixth of the time that extracting every match does.
@@ -32,6 +32,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a written table. Nothing that reads it may run later."""
+    files = df.inputFiles()
+    if files:
+        remove(df.sparkSession, files[0].rpartition("/")[0])
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """A written table, hinted for broadcast if it is measured to be small.
 

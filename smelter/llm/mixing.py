@@ -6,13 +6,15 @@ of words by source and hash bucket: the running total names the bucket that the
 ends in, only that bucket is split into finer ones, and so on; nothing is sorted.
 
 Defined cases: null and blank texts have size 0 and are taken 0 words; null is a source of
-its own, the last one; rows equal in id and text share a hash and are taken alike; an
+its own, the last one; rows equal in id and text share a hash, and if the budget ends among
+them a second hash, of the row, cuts between them in the same way; an
 empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,15 +34,26 @@ def hash_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Colu
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, size in words and a 60-bit hash of id and text."""
+    """doc_id, source, size in words, a 60-bit hash of id and text and one of the row (copy)."""
+    copy = COPY if COPY in docs.columns else copy_hash()
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("source"),
         F.size(words(text)).cast("long").alias("size"),
         hash_of(docs, doc_id, text).alias("hash"),
+        F.col(copy).alias("copy") if isinstance(copy, str) else copy.alias("copy"),
     )
 
 
+#: Column by which rows that were given a hash of their own bring it along.
+COPY = "_copy"
+
+
+def copy_hash() -> Column:
+    """A hash of the row's place; to be written before it is used twice."""
+    return F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - HASH_BITS)
+
+
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """source, source_size and target, one row a source.
 
@@ -69,22 +82,23 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 
 def _bucket(depth: int) -> Column:
-    return F.shiftrightunsigned(F.col("hash"), HASH_BITS - STEP_BITS * depth)
+    return F.shiftrightunsigned(F.col("_key"), HASH_BITS - STEP_BITS * depth)
 
 
-def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
-    """source and the hash up to which (inclusive) documents are taken once more.
+def _search(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Where the budget of each source ends among its rows (source, size, _key): one round a histogram.
 
-    ``plan`` has source and budget: the words beyond the whole copies. The document that
-    the budget ends in is taken if that comes nearer to the budget.
+    ``plan`` has source, budget and the words below all rows (_low). Returns source, threshold (the key
+    up to which rows are taken; the row that the budget ends in is, if that comes nearer), and for
+    rows that share the key it ends in: that key (edge), budget and the words below (_low).
     """
     parts = []
-    # _low: words below the open bucket; _prefix: that bucket, by its leading bits.
-    open_ = plan.filter("budget > 0").select("source", "budget", F.lit(0.0).alias("_low"), F.lit(0).cast("long").alias("_prefix"))
-    for depth in range(1, HASH_BITS // STEP_BITS + 1):
+    rounds = HASH_BITS // STEP_BITS
+    open_ = plan.select("source", "budget", F.col("_low").cast("double").alias("_low"), F.lit(0).cast("long").alias("_prefix"))
+    for depth in range(1, rounds + 1):
         open_ = written(open_, "mix-open")
         state = small_side(open_.withColumnRenamed("source", "_source"))
-        inside = sizes.join(
+        inside = rows.join(
             state,
             F.col("source").eqNullSafe(F.col("_source")) & (_bucket(depth - 1) == F.col("_prefix")),
         )
@@ -99,47 +113,96 @@ def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
             ),
             "mix-bucket",
         )
-        last = depth == HASH_BITS // STEP_BITS
-        done = hit if last else hit.filter("_rows = 1")
         over = F.col("_until") - F.col("budget")
         under = F.col("budget") - (F.col("_until") - F.col("_words"))
         shift = HASH_BITS - STEP_BITS * depth
         first = F.shiftleft(F.col("_bucket"), shift)
+        one, below = F.col("_rows") == 1, (F.col("_until") - F.col("_words")).cast("double").alias("_low")
+        threshold = F.when(one & (over < under), first + F.lit((1 << shift) - 1)).otherwise(first - 1)
+        done = hit if depth == rounds else hit.filter(one)
         parts.append(done.select(
-            "source",
-            F.when(over < under, first + F.lit((1 << shift) - 1)).otherwise(first - 1).alias("threshold"),
+            "source", threshold.alias("threshold"), F.when(~one, first).alias("edge"), "budget", below
         ))
-        if last:
+        if depth == rounds:
             break
-        rest = hit.filter("_rows > 1")
+        rest = hit.filter(~one)
         if rest.isEmpty():
             break
-        open_ = rest.select("source", "budget", (F.col("_until") - F.col("_words")).cast("double").alias("_low"), F.col("_bucket").alias("_prefix"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+        open_ = rest.select("source", "budget", below, F.col("_bucket").alias("_prefix"))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def mix_sizes(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """Rows of :func:`sized` with source_size, target and copies (0, 1, 2, ...)."""
+def thresholds(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """source, the hash up to which (inclusive) documents are taken once more, and edge and copy_threshold.
+
+    ``plan`` has source and budget: the words beyond the whole copies. Of rows that share the hash
+    ``edge`` those with a copy hash up to ``copy_threshold`` are taken, too.
+    """
+    open_ = plan.filter("budget > 0").select("source", "budget", F.lit(0.0).alias("_low"))
+    found = written(_search(sizes.select("source", "size", F.col("hash").alias("_key")), open_), "mix-found")
+    tied = found.filter("edge IS NOT NULL")
+    ends = found.select("source", "threshold", "edge")
+    if tied.isEmpty():
+        return ends.withColumn("copy_threshold", F.lit(None).cast("long"))
+    at = tied.select(F.col("source").alias("_at"), "edge")
+    copies = sizes.join(small_side(written(at, "mix-tied")), F.col("source").eqNullSafe(F.col("_at")) & (F.col("hash") == F.col("edge")))
+    cut = _search(copies.select("source", "size", F.col("copy").alias("_key")), tied.select("source", "budget", "_low"))
+    cut = cut.select(F.col("source").alias("_at"), F.col("threshold").alias("copy_threshold"))
+    return ends.join(cut, F.col("source").eqNullSafe(F.col("_at")), "left").drop("_at")
+
+
+def mix_plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """What to take of each source: a row a source, with target, whole copies and thresholds."""
     goal = written(targets(sizes, weights, share, most), "mix-targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = goal.withColumn("_whole", whole).withColumn(
         "budget", F.col("target") - F.col("_whole") * F.col("source_size")
     )
     cut = thresholds(sizes, plan).withColumnRenamed("source", "_cut_source")
-    full = written(
+    return written(
         plan.join(cut, F.col("source").eqNullSafe(F.col("_cut_source")), "left")
         .select(F.col("source").alias("_source"), "source_size", "target", "_whole",
-                F.coalesce("threshold", F.lit(-1)).cast("long").alias("_threshold")),
+                F.coalesce("threshold", F.lit(-1)).cast("long").alias("_threshold"), "edge", "copy_threshold"),
         "mix-plan",
     )
+
+
+def copies_of(hash_: Column, copy: Column) -> Column:
+    """How often a row is taken, beside the plan of its source."""
+    once_more = (hash_ <= F.col("_threshold")) | F.coalesce(
+        (hash_ == F.col("edge")) & (copy <= F.col("copy_threshold")), F.lit(False)
+    )
+    return F.col("_whole") + once_more.cast("long")
+
+
+def mix_sizes(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """Rows of :func:`sized` with source_size, target and copies (0, 1, 2, ...)."""
+    full = mix_plan(sizes, weights, share, most)
     joined = sizes.join(small_side(full), F.col("source").eqNullSafe(F.col("_source")))
-    copies = F.col("_whole") + (F.col("hash") <= F.col("_threshold")).cast("long")
+    copies = copies_of(F.col("hash"), F.col("copy"))
     return joined.select("doc_id", "source", "size", "hash", "source_size", "target", copies.alias("copies"))
 
 
+def take(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST,
+         doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: every row as often as it is taken."""
+    sizes = written(sized(docs, doc_id, text, source), "mix-sizes")
+    plan = mix_plan(sizes, weights, share, most)
+    rows = docs
+    if not plan.filter("copy_threshold IS NOT NULL").isEmpty():
+        # The budget ends among equal rows: their hashes must be the same when they are taken.
+        rows = written(docs.withColumn(COPY, copy_hash()), "mix-rows")
+        plan = mix_plan(written(sized(rows, doc_id, text, source), "mix-sizes"), weights, share, most)
+    copy = F.col(COPY) if COPY in rows.columns else F.lit(0)
+    keyed = rows.select(
+        F.struct(*docs.columns).alias("_row"), F.col(source).alias("_from"), hash_of(rows, doc_id, text).alias("_of"), copy.alias("_nth")
+    )
+    joined = keyed.join(small_side(plan), F.col("_from").eqNullSafe(F.col("_source")))
+    times = copies_of(F.col("_of"), F.col("_nth")).cast("int")
+    taken = joined.select("_row", times.alias("_times")).filter("_times > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST,
         doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """How many words of each document the mix takes; texts are read once."""

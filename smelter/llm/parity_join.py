@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from smelter.llm.common import small_side, written
+from smelter.llm.common import discard, small_side, written
 
 SHINGLE, PERCENT = 4, 85
 #: Growth of size bands.
@@ -158,20 +158,33 @@ def _named(values: np.ndarray) -> int | None:
 def sketches_of(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
-    """doc_id, name of the set (null if empty), its size n, signatures (values) and dense sketch (bits)."""
+    """doc_id, hash of id and text, name of the set (null if empty), its size n, signatures (values), dense sketch (bits).
+
+    A set that a task has met before has its signatures there already, and none again.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int | None] = set()
+        none = np.empty(0, np.int64)
         for batch in batches:
             sets = [shingles(t, shingle) for t in batch["_text"]]
+            names = [_named(s) for s in sets]
+            new = []
+            for name in names:
+                new.append(name not in seen)
+                seen.add(name)
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].astype("Int64"),
-                "name": pd.array([_named(s) for s in sets], "Int64"),
+                "hash": batch["hash"],
+                "name": pd.array(names, "Int64"),
                 "n": np.array([len(s) for s in sets], np.int64),
-                "values": [signatures(s, percent).view(np.int64) for s in sets],
-                "bits": [dense_sketch(s) for s in sets],
+                "values": [signatures(s, percent).view(np.int64) if own else none for s, own in zip(sets, new)],
+                "bits": [dense_sketch(s) if own else none for s, own in zip(sets, new)],
             })
 
-    return _narrow(docs, doc_id, text).mapInPandas(read, "doc_id long, name long, n long, values array<long>, bits array<long>")
+    return _narrow(docs, doc_id, text).mapInPandas(
+        read, "doc_id long, hash long, name long, n long, values array<long>, bits array<long>"
+    )
 
 
 def sets_of(
@@ -198,7 +211,15 @@ def sets_of(
 
 
 def _narrow(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    return docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"),
+        row_hash(doc_id, text).alias("hash"),
+    )
+
+
+def row_hash(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """Tells rows of one id with different texts apart."""
+    return F.xxhash64(F.col(doc_id), F.col(text))
 
 
 def met(keys: DataFrame) -> DataFrame:
@@ -337,16 +358,18 @@ def rare_keys(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 def link(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (doc_id, name, n), links between names (a, b) and roots of linked names.
+    """Members (doc_id, hash, name, n), links between names (a, b) and roots of linked names.
 
     A link is recorded where it is needed to close a component; pairs inside one component
     are not all compared.
     """
     read = written(sketches_of(docs, doc_id, text, shingle, percent), "sketches")
-    members = read.select("doc_id", "name", "n")
+    members = written(read.select("doc_id", "hash", "name", "n"), "members")
     rows = written(met(by_key(read)), "met")
     wanted = written(rows.select("name").distinct(), "met-names")
-    bits = written(read.select("name", "bits").join(small_side(wanted), "name", "left_semi").dropDuplicates(["name"]), "bits")
+    sketched = read.filter(F.size("bits") > 0).select("name", "bits")
+    bits = written(sketched.join(small_side(wanted), "name", "left_semi").dropDuplicates(["name"]), "bits")
+    discard(read)
 
     def links_among(pairs: DataFrame) -> DataFrame:
         names = pairs.select(F.explode(F.array("a", "b")).alias("name"))
@@ -380,14 +403,52 @@ def rooted(links: DataFrame) -> DataFrame | None:
     return None if links.isEmpty() else written(components(links), "roots")
 
 
-def join(
+def place(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+    """doc_id, hash, n and root (names the component; null without words) of every document."""
     members, _, roots = link(docs, doc_id, text, shingle, percent)
     tops = roots.withColumnRenamed("name", "_name")
     placed = members.join(tops, F.col("name") == F.col("_name"), "left").withColumn("root", F.coalesce("root", "name"))
-    placed = written(placed.select("doc_id", "n", "root"), "placed")
+    return written(placed.select("doc_id", "hash", "n", "root"), "placed")
+
+
+def representatives(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """The rows without their near copies: of each component the one with the smallest id, then hash.
+
+    A null id comes last. Rows equal in id and text are copies, of which one stays; rows of one
+    id and different texts are told apart. Rows without words have no copies and all stay. Texts
+    are not shuffled, but for those that several rows of one id share.
+    """
+    placed = place(docs, doc_id, text, shingle, percent).filter("root IS NOT NULL")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "hash")
+    best = placed.groupBy(F.col("root").alias("_root")).agg(F.min(first).alias("_first"))
+    other = ~F.col("_first").eqNullSafe(first)
+    lost = written(
+        placed.join(best, F.col("root") == F.col("_root")).filter(other).select(
+            F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")
+        ).distinct(), "copies",
+    )
+    twice = written(
+        placed.groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).count().filter("count > 1").drop("count"), "repeated"
+    )
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).cast("long").alias("_own"), row_hash(doc_id, text).alias("_of"))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_hash"))
+    kept = keyed.join(small_side(lost), same, "left_anti")
+    if twice.isEmpty():
+        return kept.select("_row.*")
+    several = small_side(twice)
+    once = kept.join(several, same, "left_semi").dropDuplicates(["_own", "_of"])
+    return kept.join(several, same, "left_anti").unionByName(once).select("_row.*")
+
+
+def join(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    placed = place(docs, doc_id, text, shingle, percent)
     least = placed.filter("root IS NOT NULL").groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("_least"))
     return placed.join(least, F.col("root") == F.col("_root"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("_least", "doc_id").alias("component_id")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Units of text, and pairs of tokens of long pieces, that a task remembers before it forgets some.
-REMEMBERED = 1 << 16
+REMEMBERED = 1 << 17
 
 #: Longer pieces are rare and large: not remembered.
 LONG = 64
@@ -48,6 +48,9 @@ _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: has any, and looks no farther than the next character, cuts such a unit by itself.
 WORDS = f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+"
 
+#: Units that a pattern which takes letters with a space before them leaves whole.
+LETTERS = " ?[A-Za-z]+"
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Tokens and ids of a file with a token in base 64 and its id on every line."""
@@ -378,8 +381,11 @@ class Encoder:
     is forgotten. Long units are rare and large and are not kept.
     """
 
-    def __init__(self, vocabulary: Vocabulary, tables: Tables, pattern: str, units: str | None = None):
+    def __init__(
+        self, vocabulary: Vocabulary, tables: Tables, pattern: str, units: str | None = None, whole: str | None = None
+    ):
         self.vocabulary, self.tables, self.cut = vocabulary, tables, regex.compile(pattern).findall
+        self.is_piece = re.compile(whole).fullmatch if whole else lambda unit: None
         self.parts = re.compile(units).findall if units else lambda text: [text]
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -399,7 +405,7 @@ class Encoder:
         """Packed ids of units that were not asked for lately."""
         older = missing & self.older.keys()
         self.recent |= {unit: self.older[unit] for unit in older}
-        pieces = [(unit, self.cut(unit)) for unit in missing - older]
+        pieces = [(unit, [unit] if self.is_piece(unit) else self.cut(unit)) for unit in missing - older]
         coded = self._pieces(list(set().union(*[own for _, own in pieces])))
         self.recent |= {unit: b"".join(map(coded.__getitem__, own)) for unit, own in pieces}
 
@@ -422,18 +428,22 @@ class Encoder:
         return out
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", units: str | None = None) -> Column:
+def encode(
+    df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", units: str | None = None,
+    whole: str | None = None,
+) -> Column:
     """Token ids of a text column of the frame, every match of the pattern by itself.
 
     ``units`` may name an expression whose matches make up the text and which the pattern never
-    goes across nor looks beyond; most texts then consist of units met before.
+    goes across nor looks beyond; most texts then consist of units met before. ``whole`` may
+    name units that are a single match of the pattern, which spares the look.
     """
     sent = _sent(df, (ranks, Tables(Vocabulary(ranks)).packed()))
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ranks, tables = sent.value
-        encoder = Encoder(Vocabulary(ranks), Tables.unpacked(tables), pattern, units)
+        encoder = Encoder(Vocabulary(ranks), Tables.unpacked(tables), pattern, units, whole)
         for batch in batches:
             # A few texts at a time: what is held beside them stays small.
             parts = [_lists(encoder([])), *(

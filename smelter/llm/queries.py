@@ -84,7 +84,8 @@ def op12_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = prefix_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = prefix_bpe.encode(docs, ranks, public_tokenizers.PATTERN, units=prefix_bpe.WORDS)
+    own = {"units": prefix_bpe.WORDS, "whole": prefix_bpe.LETTERS}
+    ids = prefix_bpe.encode(docs, ranks, public_tokenizers.PATTERN, **own)
     encoded = docs.select("doc_id", ids.alias("ids"))
     decoded = encoded.select("doc_id", "ids", prefix_bpe.decode(encoded, ranks).alias("bytes"))
     return decoded.select(

@@ -8,7 +8,9 @@ from typing import NamedTuple
 
 _SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 _EDGE = ".,;:!?\"'()[]{}#*$%&|<>-_"
-_UPPER_WORD = re.compile(r"(?<!\S)[^\sa-zß-öø-ÿ]*[A-ZÀ-ÖØ-Þ]{2}[^\sa-zß-öø-ÿ]*(?!\S)")
+# Words without a small letter; each is read twice at most, however long it is.
+_NO_SMALL = re.compile(r"(?<!\S)[^\sa-zß-öø-ÿ]+(?!\S)")
+_TWO_CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]{2}")
 
 #: Text statistics that rules and the classifier may ask about, as shares where a share makes sense.
 STATISTICS = (
@@ -58,6 +60,11 @@ def dup_lines(text: str) -> int:
     return again
 
 
+def upper_words(text: str) -> int:
+    """Words with two capitals in a row and no small letter."""
+    return sum(1 for word in _NO_SMALL.findall(text) if _TWO_CAPITALS.search(word))
+
+
 def base_of(text: str, words: list[str]) -> Base:
     return Base(
         len(words), sum(map(len, words)), len(text) - len(text.translate(_SYMBOLS)),
@@ -70,7 +77,7 @@ def statistics(text: str, words: list[str], base: Base, marked: float) -> tuple[
     n = max(len(words), 1)
     return (
         float(len(words)), base.word_chars / n, base.n_symbols / n, text.count("|") / n, text.count("!") / n,
-        len(_UPPER_WORD.findall(text)) / n, base.n_dup_lines / max(text.count("\n") + 1, 1),
+        upper_words(text) / n, base.n_dup_lines / max(text.count("\n") + 1, 1),
         base.n_repeat_words / n, sum(map(str.__eq__, words, words[1:])) / n, len(set(words)) / n, marked,
     )
 

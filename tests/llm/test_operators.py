@@ -493,3 +493,54 @@ def test_join_on_odd_rows(odd, none):
     assert len(got) == odd.count()
     assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (None, 1), (6, 1), (7, 7)}
     assert parity_join.join(none).count() == 0
+
+
+# Long tokens, equal rows, ids that several texts share
+
+
+def test_a_token_of_a_megabyte_is_read_in_linear_time():
+    import time
+
+    pattern = re.compile(r"(?<!\S)[^\sa-zß-öø-ÿ]*[A-ZÀ-ÖØ-Þ]{2}[^\sa-zß-öø-ÿ]*(?!\S)")
+    for text in ("AB ab Ab ABc X1Y XY1 ÀÉ é\u2003ÉÉ AB", "", "A B", "AAa AA", "1AB2 -AB-", "ß AB\x1cCD"):
+        assert textstats.upper_words(text) == len(pattern.findall(text))
+    for text in ("A" * 1_000_000 + "a", "aB" * 500_000, "AB1" * 300_000, "\u4e00AB" * 300_000 + "x"):
+        begun = time.process_time()
+        words = textstats.split_words(text)
+        base = textstats.base_of(text, words)
+        textstats.statistics(text, words, base, 0.0)
+        textstats.lexical_features(text)
+        assert time.process_time() - begun < 3
+
+
+def test_mixing_takes_some_of_equal_rows(spark):
+    equal = spark.range(0, 1000, 1, 7).select(F.lit(1).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    got = mixing.mix(equal).collect()
+    assert sum(r["taken"] for r in got) == 4500 and {r["taken"] for r in got} == {3, 6}
+    assert mixing.take(equal).count() == 1500
+    other = spark.createDataFrame([(2, "x " * 500, "t"), (3, "y", "t"), (4, None, None)], "doc_id long, text string, source string")
+    both = equal.unionByName(other)
+    got = mixing.mix(both).collect()
+    targets = {r["source_size"]: r["target"] for r in got if r["size"]}
+    for size, target in targets.items():
+        own = [r for r in got if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in own) - target) <= max(r["size"] for r in own)
+    taken = mixing.take(both)
+    assert taken.columns == both.columns and taken.filter("doc_id = 1").count() * 3 == sum(r["taken"] for r in got if r["doc_id"] == 1)
+
+
+def test_one_row_of_each_group_of_near_copies_stays(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    near, other = base + " x", " ".join(f"v{i}" for i in range(40))
+    third = " ".join(f"u{i}" for i in range(40))
+    rows = [
+        (1, base), (2, near), (2, other), (5, third), (5, "q " + third + " r s t u v w x y z a b"), (7, "l m n o p"), (7, "l m n o p"),
+        (None, base), (None, "only here in all the rows"), (None, "only here in all the rows"), (8, None), (8, None), (9, ""), (10, third + " z"),
+    ]
+    docs = spark.createDataFrame([(*r, "n", 1) for r in rows], "doc_id long, text string, name string, hash int")
+    kept = parity_join.representatives(docs, shingle=5, percent=80)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    want = [(1, base), (2, other), (5, third), (5, rows[4][1]), (7, "l m n o p"), (None, "only here in all the rows"), (8, None), (8, None), (9, "")]
+    assert got == sorted(want, key=str)
+    assert parity_join.representatives(docs.limit(0)).count() == 0

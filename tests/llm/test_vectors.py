@@ -124,7 +124,7 @@ def test_tokens_equal_the_library(spark, odd, ranks, reference):
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
     more = odd.unionByName(odd.limit(1).withColumn("text", F.lit("<|endoftext|>\x00\x1c  　 é́ﬀ 한국어 ١٢٣ 'S'll\n\n x")))
-    coded = more.select("text", prefix_bpe.encode(more, ranks, public_tokenizers.PATTERN, units=prefix_bpe.WORDS).alias("ids"))
+    coded = more.select("text", prefix_bpe.encode(more, ranks, public_tokenizers.PATTERN, units=prefix_bpe.WORDS, whole=prefix_bpe.LETTERS).alias("ids"))
     whole = coded.select("text", "ids", prefix_bpe.decode(coded, ranks).alias("bytes")).collect()
     assert len(whole) == more.count()
     for r in whole:
@@ -146,7 +146,8 @@ def test_pieces_of_all_kinds(ranks, reference):
 def test_units_are_cut_like_whole_texts(ranks, reference):
     vocabulary, pattern = prefix_bpe.Vocabulary(ranks), public_tokenizers.PATTERN
     tables = prefix_bpe.Tables.unpacked(prefix_bpe.Tables(vocabulary).packed())
-    plain, by_unit = (prefix_bpe.Encoder(vocabulary, tables, pattern, units) for units in (None, prefix_bpe.WORDS))
+    plain = prefix_bpe.Encoder(vocabulary, tables, pattern)
+    by_unit = prefix_bpe.Encoder(vocabulary, tables, pattern, prefix_bpe.WORDS, prefix_bpe.LETTERS)
     rng = np.random.default_rng(8)
     letters = list("ab1' \n\t\r\x0b\x1c\x85\xa0\u1680\u2003\u2028\u3000\u180e\u200b\ufeff-.é한") + ["'s", "  ", "\n\n", "'LL", "'ll"]
     texts = ["".join(rng.choice(letters, int(rng.integers(0, 25)))) for _ in range(3000)]
