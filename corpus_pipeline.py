@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from smelter.llm import decontam, mixing, parity_join, quality_eb, sharding
-from smelter.llm.common import read_table, small_side, written
+from smelter.llm.common import read_table, written
 
 #: Words of a shingle, and percent of shingles in common from which documents are near copies.
 SHINGLE, PERCENT = 5, 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the hierarchical classifier keeps."""
+    """Documents that the hierarchical classifier keeps.
+
+    Null and empty texts are judged by their host and path alone; equal rows are judged alike and
+    keep their number; null hosts and paths are values of their own; an empty table stays empty.
+    """
     judged = quality_eb.judge(docs, read_table(spark, sf_dir, "labels"))
     return judged.filter("kept").select("row.*")
 
@@ -21,37 +24,38 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones: the one with the smallest id.
 
-    Of rows that share that id, one stays. Documents with a null id have no group to stand
-    for and stay.
+    Rows of one id with different texts are different documents, and rows equal in id and text
+    copies, of which one stays. A null id counts as the largest. Rows without words have no
+    copies and all stay; an empty table stays empty.
     """
-    groups = parity_join.join(docs.select("doc_id", "text"), shingle=SHINGLE, percent=PERCENT)
-    gone = written(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
-    kept = docs.join(small_side(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    nameless = kept.filter("doc_id IS NULL")
-    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(nameless)
+    return parity_join.representatives(docs, shingle=SHINGLE, percent=PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
+    """Documents without a benchmark window.
+
+    Null and empty texts have none and stay; equal rows stay or go together, whatever their
+    ids; an empty table stays empty.
+    """
     found = decontam.contaminated(docs, read_table(spark, sf_dir, "benchmark"), carry=docs.columns)
     return found.filter("NOT contaminated").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many rows of each document as the mix takes."""
-    sizes = written(mixing.sized(docs), "mix-sizes")
-    taken = mixing.mix_sizes(sizes).select(F.col("hash").alias("_hash"), F.col("doc_id").alias("_id"), "copies")
-    # Rows that are equal in id and text are taken alike, so one of them speaks for all.
-    chosen = written(taken.filter("copies > 0").dropDuplicates(["_id", "_hash"]), "mix-copies")
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), mixing.hash_of(docs).alias("_of"))
-    joined = keyed.join(
-        small_side(chosen), F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_hash"))
-    )
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    """As many rows of each document as the mix takes.
+
+    Null and blank texts have no words: they go with the hashes of their source and count nothing.
+    A null source is one of its own. Of equal rows as many are taken as come nearest to the
+    target, whichever they are; an empty table stays empty.
+    """
+    return mixing.take(docs)
 
 
 def shard_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of every row of the mix."""
+    """Shard and slot of every row of the mix.
+
+    Null texts have a size of one byte; equal rows get slots of their own; an empty table gives none.
+    """
     return sharding.shard(docs)
 
 
@@ -63,7 +67,8 @@ STAGES = [
     ("sharding", shard_rows),
 ]
 
-#: Learned weights and hashes decide what stays: SQL cannot express it. Tests compare brute force.
+#: Learned weights and hashes decide what stays: SQL cannot express it. Tests compare each stage with
+#: a plain version of it on what its predecessor kept.
 ORACLE_SQL = None
 
 
