@@ -50,6 +50,7 @@ _TITLE = re.compile(r"</title\s*>", re.I)
 _SELECT = re.compile(r"<select(?=[\s/>])", re.I)
 _NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
+_STATE = re.compile(r"^(?:has|no|is|with|without)-|-(?:open|closed|enabled|disabled|active|visible|hidden)$")
 
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp "
@@ -75,6 +76,8 @@ FAMILIES = {
     "body": "content article post entry story text body main",
 }
 _FAMILY = {word: family for family, words in FAMILIES.items() for word in words.split()}
+#: Tags of what stands apart from a main text.
+APART_TAGS = frozenset({"nav", "aside", "footer", "form"})
 NOT_MAIN = frozenset({"advert", "menu", "side", "foot", "head", "notice", "comment", "social", "form"})
 
 
@@ -87,10 +90,11 @@ class Block(NamedTuple):
 
 
 def families_of(attributes: str) -> frozenset[str]:
+    """Families of the names of an element. Names of states (has-sidebar, comments-open) say what a page can do."""
     if "=" not in attributes:
         return frozenset()
-    names = " ".join(m.group(1) for m in _NAME.finditer(attributes)).lower()
-    return frozenset(_FAMILY[w] for w in _WORD.findall(names) if w in _FAMILY)
+    names = " ".join(m.group(1).strip("\"'") for m in _NAME.finditer(attributes)).lower().split()
+    return frozenset(_FAMILY[w] for name in names if not _STATE.search(name) for w in _WORD.findall(name) if w in _FAMILY)
 
 
 def head_end(page: str, begin: int) -> int:
@@ -117,9 +121,15 @@ def head_end(page: str, begin: int) -> int:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order."""
-    blocks: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    """Leaf blocks with text, in page order.
+
+    What holds the page, or most of it with its article, says nothing of what stands apart: such a
+    wrapper's names and tag count as evidence for a main text only.
+    """
+    found: list[tuple[str, tuple[int, ...], float]] = []
+    elements: list[tuple[str, frozenset[str]]] = []
+    stack: list[tuple[str, int]] = []
+    around: frozenset[int] = frozenset()  # the first article and what it stands in
     pieces: list[str] = []
     in_link, linked, at = 0, 0, 0
     headed, unclosed = False, set()
@@ -129,10 +139,7 @@ def blocks_of(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(pieces)).split())
         pieces.clear()
         if text:
-            blocks.append(Block(
-                text, frozenset(t for t, _ in stack if t in TAGS), frozenset().union(*(f for _, f in stack)),
-                stack[-1][0] if stack else "", linked / len(text),
-            ))
+            found.append((text, tuple(i for _, i in stack), linked / len(text)))
         linked = 0
 
     while m := _PART.search(page, at):
@@ -183,10 +190,47 @@ def blocks_of(page: str) -> list[Block]:
                         break
                     if stack[i][0] not in ALONE:
                         break
-            stack.append((tag, families_of(m.group(4))))
+            stack.append((tag, len(elements)))
+            elements.append((tag, families_of(m.group(4))))
+            named_apart = elements[-1][1] & NOT_MAIN or {t for t, _ in stack} & {"nav", "aside", "footer"}
+            if tag in ("article", "main") and not around and not named_apart:
+                around = frozenset(i for _, i in stack)
     pieces.append(page[at:])
     close()
-    return blocks
+    return evidence(found, elements, around)
+
+
+#: Share of a page's text from which an element is a wrapper: with the first article in it, and in any case.
+MOST_WITH_ARTICLE, MOST = 0.5, 0.9
+
+
+def evidence(
+    found: list[tuple[str, tuple[int, ...], float]], elements: list[tuple[str, frozenset[str]]], around: frozenset[int]
+) -> list[Block]:
+    """Blocks with what their containers say, wrappers taken for what they are."""
+    held = [0] * len(elements)
+    for text, chain, _ in found:
+        for i in chain:
+            held[i] += len(text)
+    total = sum(len(text) for text, _, _ in found)
+
+    def wraps(i: int) -> bool:
+        return elements[i][0] in ("html", "body") or held[i] >= (MOST_WITH_ARTICLE if i in around else MOST) * total
+
+    said = {}
+    for i in set().union(*(chain for _, chain, _ in found)):
+        tag, families = elements[i]
+        if wraps(i):
+            families = frozenset() if tag in ("html", "body") else families - NOT_MAIN
+            tag = "" if tag in APART_TAGS else tag
+        said[i] = (tag, families)
+    return [
+        Block(
+            text, frozenset(said[i][0] for i in chain if said[i][0] in TAGS), frozenset().union(*(said[i][1] for i in chain)),
+            elements[chain[-1]][0] if chain else "", linked,
+        )
+        for text, chain, linked in found
+    ]
 
 
 def features(block: Block) -> list[str]:
@@ -203,7 +247,7 @@ def features(block: Block) -> list[str]:
         found.append("copyright")
     if not block.tags & {"article", "main"} and "body" not in block.families:
         found.append("outside")
-    if block.families & NOT_MAIN or block.tags & {"nav", "aside", "footer", "form"}:
+    if block.families & NOT_MAIN or block.tags & APART_TAGS:
         found.append("apart")
     return found
 
@@ -211,7 +255,7 @@ def features(block: Block) -> list[str]:
 def labelled(page: str) -> list[tuple[Block, int]]:
     """Blocks with 1 for text that stands in an article and in nothing that stands apart."""
     return [
-        (b, int(bool(b.tags & {"article", "main"}) and not b.families & NOT_MAIN and not b.tags & {"nav", "aside", "footer", "form"}))
+        (b, int(bool(b.tags & {"article", "main"}) and not b.families & NOT_MAIN and not b.tags & APART_TAGS))
         for b in blocks_of(page)
     ]
 
@@ -385,20 +429,28 @@ def main_text(field: Field, page: str) -> str:
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES, page_id: str = "page_id", page: str = "html") -> Field:
     """A field trained on a bounded sample of pages, labelled by their containers."""
     full = pages.select(F.col(page).alias("html"), F.xxhash64(F.col(page_id), F.length(page)).alias("_h")).filter(F.length("html") > 0)
-    chosen = full.filter(F.length("html") <= FIT_CHARS).orderBy("_h", "html").limit(fit_pages)
-    sample = [r["html"] for r in chosen.select("html").collect()]
+    short = full.filter(F.length("html") <= FIT_CHARS)
+    # Hashes are ordered without their pages; pages come to the driver for the chosen ones only.
+    last = short.select("_h").orderBy("_h").limit(fit_pages).agg(F.max("_h")).first()[0]
+    sample = []
+    if last is not None:
+        chosen = short.filter(F.col("_h") <= last).orderBy("_h", "html").limit(fit_pages)
+        sample = [r["html"] for r in chosen.select("html").collect()]
     if not sample:
         sizes = [r["n"] for r in full.select(F.length("html").alias("n")).orderBy("n").limit(fit_pages).collect()]
         room = max(1, int(np.searchsorted(np.cumsum(sizes), FIT_TOTAL, "right")))
         sample = [r["html"] for r in full.orderBy(F.length("html"), "_h", "html").limit(room).select("html").collect()]
     others = [b.text for p in sample for b in blocks_of(p)] or [""]
-    own = [labelled(p) for p in sample]
-    if sample and not any(label for chain in own for _, label in chain):
+    # A page without an article says nothing of what a main text is.
+    telling = [p for p in sample if any(label for _, label in labelled(p))]
+    if not telling:
         # Without labels the sample says nothing of its own; the last container is none at all.
         return train([
             changed(KNOWN_PAGES[i % len(KNOWN_PAGES)], list(KNOWN_OTHERS), i, (*CONTAINERS, "%s")) for i in range(84)
         ])
-    return train(own + [changed(p, others, i) for i, p in enumerate(sample)])
+    # Where other pages of the table do without articles, some are shown without.
+    containers = CONTAINERS if len(telling) == len(sample) else (*CONTAINERS, '<div class="wrap">%s</div>', "%s")
+    return train([labelled(p) for p in telling] + [changed(p, others, i, containers) for i, p in enumerate(telling)])
 
 
 def extract(pages: DataFrame, field: Field | None = None, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -544,3 +544,44 @@ def test_one_row_of_each_group_of_near_copies_stays(spark):
     want = [(1, base), (2, other), (5, third), (5, rows[4][1]), (7, "l m n o p"), (None, "only here in all the rows"), (8, None), (8, None), (9, "")]
     assert got == sorted(want, key=str)
     assert parity_join.representatives(docs.limit(0)).count() == 0
+
+
+ARTICLE = (
+    "<article{0}><h1>On rivers</h1><p>Rivers carry sand, silt and gravel towards the sea, and drop them where they slow down.</p>"
+    "<p>In spring the water rises, and towns along it watch their dams by night.</p></article>"
+)
+SHAPES = {
+    "plain": ("<html><body>{}</body></html>", ""),
+    "state of the body": ('<html><body class="single has-sidebar">{}</body></html>', ""),
+    "consent on the body": ('<html><body class="page cookie-consent-open">{}</body></html>', ""),
+    "state of the page": ('<html class="header-fixed"><body>{}</body></html>', ""),
+    "wrapper": ('<html><body><div id="search-and-content">{}</div></body></html>', ""),
+    "form around the page": ('<html><body><form id="aspnetForm">{}</form></body></html>', ""),
+    "state of the article": ("<html><body>{}</body></html>", ' class="post comments-open"'),
+}
+
+
+@pytest.fixture(scope="module")
+def field_of_pages(spark):
+    return html_crf.fit(spark.read.parquet(f"{FOLDER}/pages.parquet"))
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_wrappers_do_not_hide_articles(field_of_pages, shape):
+    page, names = SHAPES[shape]
+    around = '<div class="menu"><a href="/">Home</a> <a href="/x">News</a></div>' + ARTICLE.format(names) + '<div id="footer"><p>© 2020 all rights</p></div>'
+    text = html_crf.main_text(field_of_pages, page.format(around))
+    assert "Rivers carry sand" in text and "watch their dams by night." in text
+    assert "Home" not in text and "rights" not in text
+
+
+def test_pages_without_articles_do_not_teach_that_there_is_no_text(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet").filter("html IS NOT NULL")
+    half = F.col("page_id") % 2 == 0
+    bare = F.regexp_replace(F.regexp_replace("html", "<article[^>]*>", '<div class="wrap">'), "</article>", "</div>")
+    mixed_pages = pages.withColumn("html", F.when(half, bare).otherwise(F.col("html")))
+    want = {r["page_id"]: r["text"] for r in html_crf.extract(pages).collect()}
+    got = {r["page_id"]: r["text"] for r in html_crf.extract(mixed_pages).collect()}
+    empty = [i for i in got if want[i] and not got[i]]
+    same = sum(got[i] == want[i] for i in got)
+    assert not empty and same >= 0.95 * len(got)
