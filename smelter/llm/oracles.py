@@ -32,18 +32,36 @@ SELECT conv_id::BIGINT AS conv_id, count(*) AS n_turns,
   sum(CASE WHEN reply OR place = n THEN prefix ELSE 0 END)::BIGINT AS formatted_chars
 FROM upto GROUP BY conv_id"""
 
-_HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1))"
-_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1)"
+def _rest(url: str) -> str:
+    return f"regexp_replace(regexp_replace({url}, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '[?#].*$', '', 's')"
+
+
+def _host(url: str) -> str:
+    bare = f"regexp_replace(split_part({_rest(url)}, '/', 1), '^.*@', '', 's')"
+    return f"lower(regexp_replace(regexp_replace({bare}, ':[0-9]*$', ''), '\\.+$', ''))"
+
+
+def _segments(url: str) -> str:
+    return f"list_filter(string_split({_rest(url)}, '/')[2:], lambda s: s <> '')"
+
 
 _OP2 = f"""
 WITH captures AS (
-  SELECT page_id, page_id % 365 AS day, {_HOST} AS host,
-    list_filter(string_split({_PATH}, '/'), lambda s: s <> '') AS segments, string_split({_PATH}, '/')[2] AS first
+  SELECT page_id, page_id % 365 AS day, {_host('url')} AS host, {_segments('url')} AS segments,
+    '/' || array_to_string(string_split({_rest('url')}, '/')[2:], '/') AS path
   FROM pages),
-entries AS (
-  SELECT host AS pattern, day, 'host' AS label, page_id % 3 = 0 AS listed FROM captures
+spelled AS (
+  SELECT CASE page_id % 4 WHEN 1 THEN upper(host) || '.' WHEN 2 THEN 'http://u@' || host || ':80/' ELSE host END AS entry,
+    day, 'host' AS label, page_id % 3 = 0 AS listed FROM captures
   UNION ALL
-  SELECT host || '/' || first, day + 7, 'path', page_id % 10 = 0 FROM captures WHERE page_id % 5 = 0),
+  SELECT CASE WHEN page_id % 2 = 0 THEN host || '/' || string_split(path, '/')[2]
+    ELSE 'HTTPS://' || host || '//' || path[2:] || '//?q#f' END, day + 7, 'path', page_id % 3 <> 0
+  FROM captures WHERE page_id % 5 = 0
+  UNION ALL
+  SELECT regexp_replace(host, '^[^.]*\\.', ''), day + 100, 'domain', page_id % 2 = 0 FROM captures WHERE page_id % 7 = 0),
+entries AS (
+  SELECT CASE WHEN {_host('entry')} <> '' THEN array_to_string(list_concat([{_host('entry')}], {_segments('entry')}), '/') END AS pattern,
+    day, label, listed FROM spelled),
 daily AS (
   SELECT pattern, label, day, bool_or(listed) AS listed FROM entries
   WHERE pattern IS NOT NULL AND day IS NOT NULL GROUP BY ALL),
@@ -51,9 +69,9 @@ held AS (
   SELECT pattern, label, listed, day AS since, lead(day) OVER (PARTITION BY pattern, label ORDER BY day) AS until FROM daily),
 asked AS (
   SELECT DISTINCT page_id, day, unnest(list_concat(
-    list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1),
+    list_transform(range(1, len(string_split(host, '.')) + 1),
                    lambda i: array_to_string(string_split(host, '.')[i:], '.')),
-    list_transform(range(1, least(2, len(segments)) + 1), lambda k: host || '/' || array_to_string(segments[1:k], '/')))) AS pattern
+    list_transform(range(1, len(segments) + 1), lambda k: host || '/' || array_to_string(segments[1:k], '/')))) AS pattern
   FROM captures WHERE host <> ''),
 found AS (
   SELECT DISTINCT a.page_id, a.pattern, h.label FROM asked a JOIN held h

@@ -23,19 +23,30 @@ def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as captures, one a day in turn; the list is a log made of their own hosts and paths.
 
     A page lists its host on its day (if its id divides by 3) or takes it off again; a page
-    with an id that divides by 5 lists its first path segment, under another label.
+    with an id that divides by 5 lists its first path segment or its whole path, and one that divides by 7
+    the domain above its host, under labels of their own. Entries are spelled in several ways.
     """
     pages = read_table(spark, sf_dir, "pages")
+    key = F.col("capture")
     captures = pages.select(F.col("page_id").alias("capture"), "url", (F.col("page_id") % 365).cast("int").alias("day"))
-    hosts = captures.select(
-        url_lists.host_of("url").alias("pattern"), F.col("day"), F.lit("host").alias("label"),
-        (F.col("capture") % 3 == 0).alias("listed"),
+    host, path = url_lists.host_of("url"), url_lists.path_of("url")
+    spelled = (
+        F.when(key % 4 == 1, F.concat(F.upper(host), F.lit(".")))
+        .when(key % 4 == 2, F.concat(F.lit("http://u@"), host, F.lit(":80/"))).otherwise(host)
     )
+    hosts = captures.select(spelled.alias("pattern"), F.col("day"), F.lit("host").alias("label"), (key % 3 == 0).alias("listed"))
+    first = F.concat(host, F.lit("/"), F.split(path, "/")[1])
+    whole = F.concat(F.lit("HTTPS://"), host, F.lit("//"), F.substring(path, 2, 1_000_000), F.lit("//?q#f"))
     paths = captures.filter("capture % 5 = 0").select(
-        F.concat(url_lists.host_of("url"), F.lit("/"), F.split(url_lists.path_of("url"), "/")[1]).alias("pattern"),
-        (F.col("day") + 7).alias("day"), F.lit("path").alias("label"), (F.col("capture") % 10 == 0).alias("listed"),
+        F.when(key % 2 == 0, first).otherwise(whole).alias("pattern"),
+        (F.col("day") + 7).alias("day"), F.lit("path").alias("label"), (key % 3 != 0).alias("listed"),
     )
-    return url_lists.judge(captures, hosts.unionByName(paths)).withColumnRenamed("capture", "page_id")
+    domains = captures.filter("capture % 7 = 0").select(
+        F.regexp_replace(host, r"^[^.]*\.", "").alias("pattern"), (F.col("day") + 100).alias("day"),
+        F.lit("domain").alias("label"), (key % 2 == 0).alias("listed"),
+    )
+    listed = hosts.unionByName(paths).unionByName(domains)
+    return url_lists.judge(captures, listed).withColumnRenamed("capture", "page_id")
 
 
 def op3_quality_eb(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,15 +7,21 @@ domains above it, its path prefixes down to the deepest of the list), and an as-
 it was fetched: an equality join on pattern and block, with the time as a condition, which
 adaptive execution can split where one host holds a third of all rows.
 
+Entries and captures have one normal form: scheme, user, port, query and fragment are off, the
+host is in lower case without dots at its end, empty path segments do not count, and paths are
+otherwise as they are spelled. A host means itself and all below it, down from a bare top-level domain.
+
 Defined cases: null or empty URLs and null times match nothing and pass; entries without
-pattern, date or action are ignored; of entries of one pattern and time the one that lists
-wins; hosts are compared in lower case, those of captures without port; paths as they are; repeated captures each get their row;
+host, date or action list nothing and are returned by :func:`unreadable`; of entries of one pattern and time the one that lists
+wins; repeated captures each get their row;
 without entries every capture passes; an empty table gives an empty result; other
 columns play no part.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,22 +31,38 @@ from smelter.llm.common import small_side, written
 BLOCK_DAYS = 32
 
 
+def rest_of(url: Column | str) -> Column:
+    """Host and path: scheme, query and fragment off."""
+    url = F.col(url) if isinstance(url, str) else url
+    plain = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    return F.regexp_replace(plain, r"(?s)[?#].*$", "")
+
+
 def host_of(url: Column | str) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+    """The host in lower case, without user, port and dots at its end; empty if there is none."""
+    host = F.regexp_replace(F.substring_index(rest_of(url), "/", 1), r"(?s)^.*@", "")
+    return F.lower(F.regexp_replace(F.regexp_replace(host, r":[0-9]*$", ""), r"\.+$", ""))
 
 
 def path_of(url: Column | str) -> Column:
-    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
+    return F.regexp_extract(rest_of(url), r"(?s)^[^/]*(/.*)$", 1)
+
+
+def segments_of(url: Column | str) -> Column:
+    """Path segments as they are spelled; empty ones do not count."""
+    return F.array_remove(F.split(path_of(url), "/"), "")
 
 
-def segments_in(pattern: Column | str) -> Column:
-    """Path segments of a pattern of a list."""
-    return F.size(F.filter(F.split(pattern, "/"), lambda s: s != "")) - 1
+def normal(pattern: Column | str) -> Column:
+    """The one spelling of a host or of a host with a path; null if there is no host."""
+    host = host_of(pattern)
+    return F.when(host != "", F.array_join(F.concat(F.array(host), segments_of(pattern)), "/"))
 
 
-def with_lower_host(pattern: Column) -> Column:
-    """A pattern with its host, which ends at the first slash, in lower case; its path is kept as it is."""
-    return F.concat(F.lower(F.substring_index(pattern, "/", 1)), F.regexp_extract(pattern, r"(?s)^[^/]*(/.*)$", 1))
+def unreadable(entries: DataFrame) -> DataFrame:
+    """Entries of a list that can name nothing, and so would pass unseen: for the owner of the list."""
+    lacks = reduce(Column.__or__, (F.col(c).isNull() for c in ("day", "label", "listed")))
+    return entries.filter(lacks | normal("pattern").isNull())
 
 
 def patterns_of(url: Column | str, deepest: int) -> Column:
@@ -48,11 +70,10 @@ def patterns_of(url: Column | str, deepest: int) -> Column:
 
     Prefixes go down to ``deepest`` segments, the most that any pattern of the list has.
     """
-    host, segments = host_of(url), F.filter(F.split(path_of(url), "/"), lambda s: s != "")
+    host, segments = host_of(url), segments_of(url)
     labels = F.split(host, r"\.")
     domains = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
+        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
     depth = F.least(F.size(segments), F.lit(deepest))
     prefixes = F.transform(
@@ -69,7 +90,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     by a window, which holds no more of them than there are days.
     """
     sound = entries.filter("pattern IS NOT NULL AND day IS NOT NULL AND label IS NOT NULL AND listed IS NOT NULL")
-    sound = sound.withColumn("pattern", with_lower_host(F.col("pattern")))
+    sound = sound.withColumn("pattern", normal("pattern")).filter("pattern IS NOT NULL")
     daily = sound.groupBy("pattern", "label", "day").agg(F.max("listed").alias("listed"))
     w = Window.partitionBy("pattern", "label").orderBy("day")
     return (
@@ -90,7 +111,7 @@ def active(captures: DataFrame, entries: DataFrame, last_day: int) -> DataFrame:
     cut = held.filter("since < until").withColumn(
         "_block", F.explode(F.sequence(block("since"), F.floor((F.col("until") - 1) / F.lit(BLOCK_DAYS))))
     )
-    deepest = entries.agg(F.max(segments_in("pattern"))).first()[0] or 0
+    deepest = entries.agg(F.max(F.size(segments_of("pattern")))).first()[0] or 0
     asked = captures.select("capture", "day", F.explode(patterns_of("url", deepest)).alias("_pattern")).withColumn("_at", block("day"))
     return asked.join(
         small_side(written(cut, "intervals")),

@@ -84,6 +84,24 @@ def test_url_lists_take_deep_paths_and_hosts_in_any_case(spark):
     assert got == [(1, "deep", False), (2, "", True), (3, "case", False), (4, "host", False), (5, "", True), (6, "", True)]
 
 
+def test_spellings_of_entries_and_captures(spark):
+    listed = {
+        "a.com/x/": "http://a.com/x/y", "e.com/": "http://e.com/z", "d.com//y": "http://d.com//y", "d2.com/p//q/": "http://d2.com/p/q?z",
+        "b.com:8080/x": "http://b.com/x", "http://c.com/": "https://c.com:443/any", "f.com.": "http://F.com./", "gov": "http://x.y.gov/z",
+        "https://u:p@G.com/A?q#f": "http://g.com/A/b", "[::1]:80/x": "http://[::1]/x/y", "[2001:db8::1]": "http://u@[2001:DB8::1]:8080/", "h.com": "h.com/no/scheme",
+        "k.com/a%2Fb": "http://k.com/a%2Fb/c",
+    }
+    unlisted = ["http://a.com/xy", "http://a.com/X/y", "http://x.com/gov", "http://notc.org/", "http://[::2]/x", "http://k.com/a/b", "http:///x", "://", "/x"]
+    bad = [("", 1, "l", True), ("/x", 1, "l", True), ("http://:80/x", 1, "l", True), (None, 1, "l", True), ("z.com", None, "l", True), ("z.com", 1, "l", None)]
+    rows = [(e, 1, f"{i:02}", True) for i, e in enumerate(listed)]
+    entries = spark.createDataFrame(rows + bad, "pattern string, day int, label string, listed boolean")
+    urls = [*listed.values(), *unlisted]
+    captures = spark.createDataFrame([(i, u, 2) for i, u in enumerate(urls)], "capture int, url string, day int")
+    got = {r["capture"]: r["labels"] for r in url_lists.judge(captures, entries).collect()}
+    assert got == {i: f"{i:02}" if i < len(listed) else "" for i in range(len(urls))}
+    assert sorted(map(tuple, url_lists.unreadable(entries).collect()), key=str) == sorted(bad, key=str)
+
+
 # Quality
 
 def test_classifier_learns_and_shrinks(spark):
