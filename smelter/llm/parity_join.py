@@ -345,8 +345,10 @@ def rare_keys(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     n - percent of n + 1 in whatever order all keep. Rare ones first, so that what sets of a
     crowd have in common comes last; those that no other set has lead nowhere.
     """
-    often = F.count("*").over(Window.partitionBy("key"))
-    ranked = by_key(sets).withColumn("often", often).filter("often > 1")
+    # Counted where they stand before anything travels: a shingle that a crowd shares is a row a task.
+    counts = by_key(sets).groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    shared = written(counts.select(F.col("key").alias("_shared"), "often"), "shared")
+    ranked = by_key(sets).join(small_side(shared), F.col("key") == F.col("_shared")).drop("_shared")
     mine = Window.partitionBy("name")
     lonely = F.col("n") - F.count("*").over(mine)
     need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
