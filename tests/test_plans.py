@@ -27,9 +27,9 @@ def articles(spark, rows):
 
 def test_silver(spark):
     df = articles(spark, [
-        ("A", ["cs.SE (Software Engineering)"], "2024-01-01T10:00:00Z"),
-        ("B", ["cs.AI - something", "cs.CL"], "2024-02-01T10:00:00Z"),
-        ("C", ["ml"], "2023-05-05T10:00:00Z"),
+        ("A", ["cs.NI (Networking)"], "2019-07-30T23:59:59Z"),
+        ("B", ["cs.GR - rendering", "cs.OS"], "2021-12-31T08:15:00Z"),
+        ("C", ["optics"], "2018-03-03T03:03:03Z"),
         ("D", None, "2023-05-05T10:00:00Z"), ("E", [], "2023-05-05T10:00:00Z"),
         ("F", [" (junk)", ""], "2023-05-05T10:00:00Z"), ("G", ["cs.DB"], "garbage"),
     ])
@@ -37,7 +37,7 @@ def test_silver(spark):
     assert out.columns == SILVER_COLUMNS
     got = {r["id"]: (r["categories"], r["publication_year"]) for r in out.collect()}
     assert got == {
-        "A": (["cs.se"], 2024), "B": (["cs.ai", "cs.cl"], 2024), "C": (["ml.gen"], 2023),
+        "A": (["cs.ni"], 2019), "B": (["cs.gr", "cs.os"], 2021), "C": (["optics.gen"], 2018),
         "G": (["cs.db"], None),
     }
     assert dict(out.dtypes)["published_date"] == "date"
@@ -61,17 +61,17 @@ def papers(spark, rows):
 
 def test_trends(spark):
     df = papers(spark, [
-        ("1", 2024, ["cs.se", "cs.ai"]), ("2", 2024, ["cs.ai"]), ("3", 2023, ["cs.cl"]),
-        ("4", 2023, ["cs.cl", "cs.cl", "math.co"]), (None, 2022, ["cs.ai"]), ("6", None, ["cs.ai"]),
+        ("a7", 2019, ["cs.ni", "cs.gr"]), ("b8", 2019, ["cs.gr"]), ("c9", 2011, ["cs.os"]),
+        ("d0", 2011, ["cs.os", "cs.os", "math.nt"]), (None, 2008, ["cs.gr"]), ("e1", None, ["cs.gr"]),
     ])
     dim = spark.createDataFrame(
-        [("cs.SE", "Software Engineering"), ("cs.AI", "Artificial Intelligence"), ("cs.CL", "C and L")], DIM
+        [("cs.NI", "Networks"), ("cs.GR", "Graphics"), ("cs.OS", "Systems")], DIM
     )
     got = [tuple(r) for r in publication_trends(df, dim).collect()]
     assert got == [
-        (2024, "Artificial Intelligence", 2), (2024, "Software Engineering", 1),
-        (2023, "C and L", 3), (2023, "math.co", 1),
-        (2022, "Artificial Intelligence", 0), (None, "Artificial Intelligence", 1),
+        (2019, "Graphics", 2), (2019, "Networks", 1),
+        (2011, "Systems", 3), (2011, "math.nt", 1),
+        (2008, "Graphics", 0), (None, "Graphics", 1),
     ]
 
 
