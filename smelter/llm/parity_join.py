@@ -378,8 +378,14 @@ def link(
         return written(verified(pairs, sets_of(docs, members, names, doc_id, text, shingle), percent), "links")
 
     done = written(pairs_of(rows, bits, percent), "pairs")
-    links = links_among(done)
+    # Verifying moves whole sets. A class goes to its first partner; of the other pairs those that this
+    # left apart are verified, too.
+    links = links_among(done.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     roots = rooted(links)
+    apart = written(between_components(done, roots), "apart")
+    if not apart.isEmpty():
+        links = written(links.unionByName(links_among(apart)), "links")
+        roots = rooted(links)
     left = written(open_groups(rows, roots), "open")
     many = left.filter(F.col("size") > SPLIT_ABOVE)
     more = cross_pairs(left.filter(F.col("size") <= SPLIT_ABOVE), bits, percent)
@@ -401,6 +407,16 @@ def link(
     return members, links, roots if roots is not None else wanted.limit(0).withColumn("root", F.col("name"))
 
 
+def between_components(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Pairs whose ends are not linked yet, by whatever way."""
+    if roots is None:
+        return pairs
+    a = roots.select(F.col("name").alias("a"), F.col("root").alias("_a"))
+    b = roots.select(F.col("name").alias("b"), F.col("root").alias("_b"))
+    named = pairs.join(a, "a", "left").join(b, "b", "left")
+    return named.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
 def rooted(links: DataFrame) -> DataFrame | None:
     return None if links.isEmpty() else written(components(links), "roots")
 
