@@ -29,6 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -151,6 +152,21 @@ def dense_sketch(values: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(values: np.ndarray) -> bytes:
+    """Parity sketch of at least four bits an element, so that it tells large sets apart, too."""
+    bits = 1 << max(10, (4 * len(values) - 1).bit_length())
+    at = (mixed(values ^ _WORD[1]) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two wide sketches differ; the wider one is folded until both are alike."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _named(values: np.ndarray) -> int | None:
     return xxhash.xxh3_64_intdigest(values.tobytes()) - (1 << 63) if len(values) else None
 
@@ -190,7 +206,7 @@ def sketches_of(
 def sets_of(
     docs: DataFrame, members: DataFrame, names: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE
 ) -> DataFrame:
-    """name, n and values of the named sets, each read from one of the documents that have it."""
+    """name, n, values and wide sketch of the named sets, each read from one of the documents that have it."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -199,13 +215,14 @@ def sets_of(
                 "name": pd.array([_named(s) for s in sets], "Int64"),
                 "n": np.array([len(s) for s in sets], np.int64),
                 "values": [s.view(np.int64) for s in sets],
+                "wide": [wide_sketch(s) for s in sets],
             })
 
     asked = small_side(written(names.distinct(), "names"))
     holders = members.join(asked, "name").groupBy("name").agg(F.min("doc_id").alias("_holder"))
     held = small_side(written(holders.select("_holder").distinct(), "holders"))
     texts = _narrow(docs, doc_id, text).join(held, F.col("doc_id").eqNullSafe(F.col("_holder")), "left_semi")
-    found = texts.mapInPandas(read, "name long, n long, values array<long>")
+    found = texts.mapInPandas(read, "name long, n long, values array<long>, wide binary")
     # Rows that share an id may have other texts.
     return written(found.join(asked, "name", "left_semi").dropDuplicates(["name"]), "sets")
 
@@ -268,8 +285,23 @@ def pairs_of(met_rows: DataFrame, bits: DataFrame, percent: int = PERCENT) -> Da
     return both.filter(possible(percent)).select("a", "b")
 
 
+def near(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs that wide sketches do not rule out: far fewer bytes travel than with the sets."""
+
+    @F.arrow_udf("long")
+    def apart(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(map(wide_distance, a.to_pylist(), b.to_pylist()), pa.int64())
+
+    a = sets.select(F.col("name").alias("a"), F.col("n").alias("a_n"), F.col("wide").alias("a_wide"))
+    b = sets.select(F.col("name").alias("b"), F.col("n").alias("b_n"), F.col("wide").alias("b_wide"))
+    both = small_side(pairs).join(a, "a").join(b, "b").withColumn("_apart", apart("a_wide", "b_wide"))
+    allowed = (F.col("a_n") + F.col("b_n")) * (100 - percent)
+    return written(both.filter(F.col("_apart") * (100 + percent) <= allowed).select("a", "b"), "near")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose sets are similar: 100 * common >= percent * all."""
+    pairs = small_side(near(pairs, sets, percent))
     a = sets.select(F.col("name").alias("a"), F.col("values").alias("a_values"))
     b = sets.select(F.col("name").alias("b"), F.col("values").alias("b_values"))
     common = F.size(F.array_intersect("a_values", "b_values"))
@@ -375,12 +407,15 @@ def link(
 
     def links_among(pairs: DataFrame) -> DataFrame:
         names = pairs.select(F.explode(F.array("a", "b")).alias("name"))
-        return written(verified(pairs, sets_of(docs, members, names, doc_id, text, shingle), percent), "links")
+        sets = sets_of(docs, members, names, doc_id, text, shingle)
+        found = written(verified(pairs, sets, percent), "links")
+        discard(sets)
+        return found
 
     done = written(pairs_of(rows, bits, percent), "pairs")
     # Verifying moves whole sets. A class goes to its first partner; of the other pairs those that this
     # left apart are verified, too.
-    links = links_among(done.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = links_among(written(done.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs"))
     roots = rooted(links)
     apart = written(between_components(done, roots), "apart")
     if not apart.isEmpty():
