@@ -29,7 +29,6 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +40,8 @@ SHINGLE, PERCENT = 4, 85
 BAND_GROWTH = 1.5
 #: In a group of more classes than this, rare shingles choose the pairs to compare.
 SPLIT_ABOVE = 256
+#: Texts whose sets a task holds at once.
+TEXTS = 500
 #: 64-bit words of the dense sketch that rules pairs out.
 SKETCH_WORDS = 16
 
@@ -152,19 +153,17 @@ def dense_sketch(values: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)).view(np.int64)
 
 
-def wide_sketch(values: np.ndarray) -> bytes:
-    """Parity sketch of at least four bits an element, so that it tells large sets apart, too."""
-    bits = 1 << max(10, (4 * len(values) - 1).bit_length())
+def wide_sketch(values: np.ndarray) -> np.ndarray:
+    """Parity sketch of at least two bits an element, so that it tells large sets apart, too."""
+    bits = 1 << max(10, (2 * len(values) - 1).bit_length())
     at = (mixed(values ^ _WORD[1]) & np.uint64(bits - 1)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def wide_distance(a: bytes, b: bytes) -> int:
-    """Bits in which two wide sketches differ; the wider one is folded until both are alike."""
-    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A few texts at a time."""
+    for batch in batches:
+        yield from (batch.iloc[at:at + TEXTS] for at in range(0, len(batch), TEXTS))
 
 
 def _named(values: np.ndarray) -> int | None:
@@ -182,7 +181,7 @@ def sketches_of(
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int | None] = set()
         none = np.empty(0, np.int64)
-        for batch in batches:
+        for batch in _parts(batches):
             sets = [shingles(t, shingle) for t in batch["_text"]]
             names = [_named(s) for s in sets]
             new = []
@@ -209,7 +208,7 @@ def sets_of(
     """name, n, values and wide sketch of the named sets, each read from one of the documents that have it."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _parts(batches):
             sets = [shingles(t, shingle) for t in batch["_text"]]
             yield pd.DataFrame({
                 "name": pd.array([_named(s) for s in sets], "Int64"),
@@ -222,7 +221,7 @@ def sets_of(
     holders = members.join(asked, "name").groupBy("name").agg(F.min("doc_id").alias("_holder"))
     held = small_side(written(holders.select("_holder").distinct(), "holders"))
     texts = _narrow(docs, doc_id, text).join(held, F.col("doc_id").eqNullSafe(F.col("_holder")), "left_semi")
-    found = texts.mapInPandas(read, "name long, n long, values array<long>, wide binary")
+    found = texts.mapInPandas(read, "name long, n long, values array<long>, wide array<long>")
     # Rows that share an id may have other texts.
     return written(found.join(asked, "name", "left_semi").dropDuplicates(["name"]), "sets")
 
@@ -285,18 +284,28 @@ def pairs_of(met_rows: DataFrame, bits: DataFrame, percent: int = PERCENT) -> Da
     return both.filter(possible(percent)).select("a", "b")
 
 
-def near(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs that wide sketches do not rule out: far fewer bytes travel than with the sets."""
+def folded(words: Column, to: Column) -> Column:
+    """A wide sketch as the sketch of fewer words that it contains."""
+    return F.transform(F.sequence(F.lit(1), to), lambda i: F.aggregate(
+        F.sequence(i, F.size(words), to), F.lit(0).cast("long"), lambda word, j: word.bitwiseXOR(F.element_at(words, j))
+    ))
+
+
+def wide_distance(a: str = "a_wide", b: str = "b_wide") -> Column:
+    """Bits in which two wide sketches differ, in the width of the narrower one."""
+    width = F.least(F.size(a), F.size(b))
+    x, y = (F.when(F.size(own) > width, folded(F.col(own), width)).otherwise(F.col(own)) for own in (a, b))
+    differ = F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    return F.aggregate(differ, F.lit(0), lambda bits, more: bits + more)
 
-    @F.arrow_udf("long")
-    def apart(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(map(wide_distance, a.to_pylist(), b.to_pylist()), pa.int64())
 
+def near(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs that wide sketches do not rule out: far fewer bytes travel than with the sets."""
     a = sets.select(F.col("name").alias("a"), F.col("n").alias("a_n"), F.col("wide").alias("a_wide"))
     b = sets.select(F.col("name").alias("b"), F.col("n").alias("b_n"), F.col("wide").alias("b_wide"))
-    both = small_side(pairs).join(a, "a").join(b, "b").withColumn("_apart", apart("a_wide", "b_wide"))
+    both = small_side(pairs).join(a, "a").join(b, "b")
     allowed = (F.col("a_n") + F.col("b_n")) * (100 - percent)
-    return written(both.filter(F.col("_apart") * (100 + percent) <= allowed).select("a", "b"), "near")
+    return written(both.filter(wide_distance() * (100 + percent) <= allowed).select("a", "b"), "near")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -343,10 +352,18 @@ def relabelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def open_groups(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Rows of groups that hold more than one component, with the group's number of classes."""
+    """Rows of groups that hold more than one component, with the group's number of classes.
+
+    Groups of the same classes stand for each other, and one of them is left: classes that have much in
+    common meet under many keys.
+    """
     labelled = relabelled(rows.select("key", "name", "n"), roots)
-    groups = labelled.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("size"))
-    return labelled.join(groups.filter("_lo <> _hi").select(F.col("key").alias("_key"), "size"), F.col("key") == F.col("_key")).drop("_key")
+    groups = labelled.groupBy("key").agg(
+        F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("size"),
+        F.bit_xor("name").alias("_all"), F.bit_xor(F.xxhash64("name")).alias("_again"),
+    )
+    alike = groups.filter("_lo <> _hi").groupBy("size", "_all", "_again").agg(F.min("key").alias("_key"))
+    return labelled.join(alike.select("_key", "size"), F.col("key") == F.col("_key")).drop("_key")
 
 
 def cross_pairs(groups: DataFrame, bits: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -506,6 +506,31 @@ def test_sketch_bounds():
                 assert np.intersect1d(parity_join.signatures(a), parity_join.signatures(b)).size
 
 
+def test_wide_sketches_never_differ_in_more_than_their_sets(spark):
+    random = np.random.default_rng(5)
+    rows, differ = [], []
+    for i, n in enumerate((1, 40, 511, 513, 3000, 40_000)):
+        a = random.integers(0, 1 << 63, n, dtype=np.uint64)
+        for lost, new in ((0, 0), (n // 10, n // 20), (0, n // 4), (n // 2, 3 * n)):
+            b = np.concatenate([a[lost:], random.integers(0, 1 << 63, new, dtype=np.uint64)])
+            rows.append((len(rows), parity_join.wide_sketch(a).tolist(), parity_join.wide_sketch(b).tolist()))
+            differ.append(lost + new)
+    wide = spark.createDataFrame(rows, "i int, a_wide array<long>, b_wide array<long>")
+    got = [r["d"] for r in wide.select("i", parity_join.wide_distance().alias("d")).orderBy("i").collect()]
+    assert all(bits <= own and (own - bits) % 2 == 0 for bits, own in zip(got, differ))
+    # Beyond what collisions hide, distances show.
+    assert all(bits >= own * 0.6 for bits, own, n in zip(got, differ, np.repeat((1, 40, 511, 513, 3000, 40_000), 4)) if own <= n)
+
+
+def test_groups_of_the_same_classes_are_compared_once(spark):
+    rows = spark.createDataFrame(
+        [(k, n, 9) for k, names in ((1, (5, 6)), (2, (5, 6)), (3, (5, 6, 7)), (4, (8, 9))) for n in names], "key long, name long, n long"
+    )
+    roots = spark.createDataFrame([(8, 8), (9, 8)], "name long, root long")
+    got = {(r["key"], r["name"], r["size"]) for r in parity_join.open_groups(rows, roots).collect()}
+    assert got == {(1, 5, 2), (1, 6, 2), (3, 5, 3), (3, 6, 3), (3, 7, 3)}
+
+
 def test_join_on_odd_rows(odd, none):
     got = parity_join.join(odd).collect()
     assert len(got) == odd.count()
