@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -160,10 +160,17 @@ def wide_sketch(values: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A few texts at a time."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few texts at a time; what a task held goes back when it ends."""
     for batch in batches:
-        yield from (batch.iloc[at:at + TEXTS] for at in range(0, len(batch), TEXTS))
+        yield from (batch.slice(at, TEXTS) for at in range(0, batch.num_rows, TEXTS))
+    pa.default_memory_pool().release_unused()
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(own) for own in values])]).astype(np.int32)
+    flat = np.concatenate([np.empty(0, np.int64), *(own.view(np.int64) for own in values)])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
 def _named(values: np.ndarray) -> int | None:
@@ -178,26 +185,26 @@ def sketches_of(
     A set that a task has met before has its signatures there already, and none again.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int | None] = set()
         none = np.empty(0, np.int64)
         for batch in _parts(batches):
-            sets = [shingles(t, shingle) for t in batch["_text"]]
+            sets = [shingles(t, shingle) for t in batch["_text"].to_pylist()]
             names = [_named(s) for s in sets]
             new = []
             for name in names:
                 new.append(name not in seen)
                 seen.add(name)
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].astype("Int64"),
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch["doc_id"],
                 "hash": batch["hash"],
-                "name": pd.array(names, "Int64"),
-                "n": np.array([len(s) for s in sets], np.int64),
-                "values": [signatures(s, percent).view(np.int64) if own else none for s, own in zip(sets, new)],
-                "bits": [dense_sketch(s) if own else none for s, own in zip(sets, new)],
+                "name": pa.array(names, pa.int64()),
+                "n": pa.array([len(s) for s in sets], pa.int64()),
+                "values": _lists([signatures(s, percent) if own else none for s, own in zip(sets, new)]),
+                "bits": _lists([dense_sketch(s) if own else none for s, own in zip(sets, new)]),
             })
 
-    return _narrow(docs, doc_id, text).mapInPandas(
+    return _narrow(docs, doc_id, text).mapInArrow(
         read, "doc_id long, hash long, name long, n long, values array<long>, bits array<long>"
     )
 
@@ -207,21 +214,21 @@ def sets_of(
 ) -> DataFrame:
     """name, n, values and wide sketch of the named sets, each read from one of the documents that have it."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            sets = [shingles(t, shingle) for t in batch["_text"]]
-            yield pd.DataFrame({
-                "name": pd.array([_named(s) for s in sets], "Int64"),
-                "n": np.array([len(s) for s in sets], np.int64),
-                "values": [s.view(np.int64) for s in sets],
-                "wide": [wide_sketch(s) for s in sets],
+            sets = [shingles(t, shingle) for t in batch["_text"].to_pylist()]
+            yield pa.RecordBatch.from_pydict({
+                "name": pa.array([_named(s) for s in sets], pa.int64()),
+                "n": pa.array([len(s) for s in sets], pa.int64()),
+                "values": _lists(sets),
+                "wide": _lists([wide_sketch(s) for s in sets]),
             })
 
     asked = small_side(written(names.distinct(), "names"))
     holders = members.join(asked, "name").groupBy("name").agg(F.min("doc_id").alias("_holder"))
     held = small_side(written(holders.select("_holder").distinct(), "holders"))
     texts = _narrow(docs, doc_id, text).join(held, F.col("doc_id").eqNullSafe(F.col("_holder")), "left_semi")
-    found = texts.mapInPandas(read, "name long, n long, values array<long>, wide array<long>")
+    found = texts.mapInArrow(read, "name long, n long, values array<long>, wide array<long>")
     # Rows that share an id may have other texts.
     return written(found.join(asked, "name", "left_semi").dropDuplicates(["name"]), "sets")
 
