@@ -317,6 +317,22 @@ def test_a_budget_over_a_stream_is_that_of_one_pass(spark, tmp_path, files):
     assert settle(spark, folder, names[0])["n_inserted"] == 0
 
 
+@pytest.mark.parametrize("files", [1, 5])
+def test_collecting_a_batch_is_one_job_and_chooses_no_copy(spark, tmp_path, files):
+    source = landed(tmp_path)
+    land(tmp_path, "cs.CL", 2000, feed(entry(id="x/1", title="newer", updated="2030-01-01T00:00:00Z")))
+    spark.sql("CREATE SCHEMA IF NOT EXISTS streamed")
+    folder, name = str(tmp_path / "collected"), f"streamed.collected_{files}"
+    query = collect_stream(read_page_stream(spark, source, max_files=files), folder, str(tmp_path / "state"))
+    query.awaitTermination()
+    batches = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(batches) == (4 if files == 1 else 1)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(query.runId))) == len(batches)
+    settle(spark, folder, name, str(tmp_path / "t"))
+    titles = dict(tuple(r) for r in spark.table(name).select("id", "title").collect())
+    assert titles == {"1": "newer", "2": "CL", "3": "AI second page", "4": "AI"}
+
+
 # Pages from an index, copies as counts
 
 
