@@ -26,7 +26,7 @@ from smelter.plans.medallion import (
 )
 from smelter.schemas import BRONZE, BRONZE_COLUMNS, CATEGORY_CODES, CATEGORY_NAMES
 from smelter.session import remove, staged
-from smelter.sources.feed import FETCH_ORDER, LANDED
+from smelter.sources.feed import FETCH_ORDER, LANDED, MALFORMED
 from smelter.sources.tables import ensure_table, overwrite_table
 from smelter.streaming.state import BROKEN, first_copies, keep_state_on_disk
 
@@ -74,6 +74,7 @@ def ingest_first_copies(
     location: str | None = None,
     rejects: str | None = None,
     wait: str = "1 day",
+    collected: str | None = None,
 ) -> StreamingQuery:
     """The same with keyed state: of an article only copies fetched before all earlier ones reach the table.
 
@@ -81,6 +82,10 @@ def ingest_first_copies(
     a copy that comes later is compared with the table, as every copy is by :func:`ingest_stream`. Rows
     per broken rule are reported with each batch, for a listener like
     :class:`smelter.streaming.state.BrokenRules`.
+
+    With a folder ``collected`` the copies of a batch, rejects included, are only appended there, in the
+    one job that moves the state, and :func:`settle` merges all of them at once. A batch then costs
+    what comes in with it, however large the table is.
     """
     spark = pages.sparkSession
     ensure_bronze(spark, table, location)
@@ -97,6 +102,11 @@ def ingest_first_copies(
     keyed = keyed.withColumn(_AGE, _age())
     firsts = first_copies(keyed, ["_id", "_place"], [_AGE, *FETCH_ORDER], LANDED, wait)
 
+    if collected:
+        return _available_now(
+            firsts, checkpoint, lambda batch, batch_id: _append(_sized(batch), collected, batch_id), "update"
+        )
+
     def merge(batch: DataFrame, batch_id: int) -> None:
         with staged(batch, f"firsts-{batch_id}") as rows:
             if rejects:
@@ -155,12 +165,32 @@ def collect_stream(
 
 # Size of a collected article.
 _BYTES = "_bytes"
-COLLECTED = f"{BRONZE}, {FETCHED} {FETCHED_TYPE}, {_BYTES} bigint, batch bigint"
+# Rejects may be collected along with the articles; these say what they break.
+COLLECTED = (
+    f"{BRONZE}, {FETCHED} {FETCHED_TYPE}, {_BYTES} bigint, category string, {MALFORMED} boolean, "
+    f"{VIOLATIONS} array<string>, batch bigint"
+)
 
 
 def _valid_articles(entries: DataFrame) -> DataFrame:
-    good = valid_rows(entries, page_rules())
-    return good.select(*BRONZE_COLUMNS, _fetched(), article_bytes().alias(_BYTES))
+    return _sized(valid_rows(entries, page_rules())).select(*BRONZE_COLUMNS, FETCHED, _BYTES)
+
+
+def _sized(entries: DataFrame) -> DataFrame:
+    kept = [c for c in ("category", MALFORMED, VIOLATIONS) if c in entries.columns]
+    return entries.select(*BRONZE_COLUMNS, _fetched(), article_bytes().alias(_BYTES), *kept)
+
+
+def _collected_entries(collected: DataFrame) -> DataFrame:
+    """What was collected with its violations, as entries: of a page that came in twice, the later ones."""
+    entries = collected.filter(F.col(VIOLATIONS).isNotNull()).select(
+        "category", f"{FETCHED}.*", *BRONZE_COLUMNS, MALFORMED, "batch"
+    )
+    last = entries.groupBy("category", "page_start").agg(F.max("batch").alias("_last"))
+    last = last.select(F.col("category").alias("_c"), F.col("page_start").alias("_p"), "_last")
+    # Read again, only a page's own rows can be news: nothing is compared but places.
+    same = F.col("category").eqNullSafe(F.col("_c")) & F.col("page_start").eqNullSafe(F.col("_p"))
+    return entries.join(last, same & (F.col("batch") == F.col("_last")), "left_semi").drop("batch")
 
 
 def _append(articles: DataFrame, folder: str, batch_id: int) -> None:
@@ -186,12 +216,14 @@ def settle(
     budget_bytes: int | None = None,
     left_out: str | None = None,
     keep: bool = False,
+    rejects: str | None = None,
 ) -> dict[str, int]:
     """Merge everything collected in a folder into bronze, within a size budget if one is given.
 
     The budget is that of one pass over all pages: which pages are admitted is decided on the
     sizes of all of them, in fetch order, whatever batches they came in. Pages beyond it are
-    listed in the table ``left_out``. What was settled is removed from the folder (unless ``keep``)
+    listed in the table ``left_out``. Rejects that were collected go to the table ``rejects``, by page.
+    What was settled is removed from the folder (unless ``keep``)
     after it is in the table; a settlement that broke off is simply run again.
     """
     ensure_bronze(spark, table, location)
@@ -204,6 +236,12 @@ def settle(
         if "PATH_NOT_FOUND" not in str(missing):
             raise
         return dict(NOTHING_DONE)
+    if rejects:
+        ensure_rejects(spark, rejects)
+        with staged(_collected_entries(articles), "entries") as entries:
+            store_rejects(entries, rejects)
+    broken = F.col(VIOLATIONS)
+    articles = articles.filter(broken.isNull() | (F.size(broken) == 0)).drop("category", MALFORMED, VIOLATIONS)
     if budget_bytes is not None:
         with staged(bytes_before(_collected_sizes(articles)), "sizes") as running:
             beyond = running.filter(F.col("bytes_before") >= budget_bytes)

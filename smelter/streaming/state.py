@@ -14,13 +14,17 @@ BROKEN = "broken_rules"
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 
 
 def keep_state_on_disk(spark: SparkSession) -> None:
     """Let streams that start from now on keep their state in RocksDB, unless the session names a store.
 
-    State then lies on the executors' disks and in the checkpoint, not in their memory.
+    State then lies on the executors' disks and in the checkpoint, not in their memory. A batch commits
+    the keys it changed; whole snapshots are taken in the background.
     """
+    if _CHANGELOG not in spark.conf.getAll:
+        spark.conf.set(_CHANGELOG, "true")
     if spark.conf.get(_PROVIDER, "").endswith("HDFSBackedStateStoreProvider") or not spark.conf.get(_PROVIDER, ""):
         spark.conf.set(_PROVIDER, _ROCKS)
 

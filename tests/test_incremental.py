@@ -333,6 +333,32 @@ def test_collecting_a_batch_is_one_job_and_chooses_no_copy(spark, tmp_path, file
     assert titles == {"1": "newer", "2": "CL", "3": "AI second page", "4": "AI"}
 
 
+def test_collected_first_copies_and_rejects_are_settled_once(spark, tmp_path):
+    source, folder = landed(tmp_path), str(tmp_path / "collected")
+    spark.sql("CREATE SCHEMA IF NOT EXISTS streamed")
+    names = ["streamed.collected_firsts", "streamed.collected_rejects"]
+
+    def run():
+        pages = read_page_stream(spark, source, max_files=1)
+        query = ingest_first_copies(
+            pages, names[0], str(tmp_path / "state"), location=str(tmp_path / "t"), rejects=names[1], collected=folder
+        )
+        query.awaitTermination()
+        batches = [p["batchId"] for p in query.recentProgress]
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(query.runId))) <= len(batches)
+        done = settle(spark, folder, names[0], str(tmp_path / "t"), rejects=names[1])
+        rows = sorted(tuple(r) for r in spark.table(names[0]).select("id", "title").collect())
+        left = sorted(((r["id"], r["_violations"], r["page_start"]) for r in spark.table(names[1]).collect()), key=str)
+        return done["n_inserted"], rows, left
+
+    want = [("1", "AI"), ("2", "CL"), ("3", "AI second page"), ("4", "AI")]
+    assert run() == (4, want, [("8", ["title_required"], 0)])
+    # A worse copy, landed later, and a page without a category on the list.
+    land(tmp_path, "cs.CL", 1000, feed(entry(id="x/1", title="late"), entry(id="x/5", title="late")))
+    land(tmp_path, "no.NO", 0, feed(entry(id="x/9")))
+    assert run() == (1, [*want, ("5", "late")], sorted([(None, ["category_listed"], 0), ("8", ["title_required"], 0)], key=str))
+
+
 # Pages from an index, copies as counts
 
 

@@ -478,7 +478,11 @@ def stream_first_copies(spark, sf_dir):
     run, schema = uuid.uuid4().hex, scratch_schema(spark)
     name, rejects = f"{schema}.firsts_{run}", f"{schema}.firsts_rejects_{run}"
     state, location = scratch_path(spark, "stream-state"), scratch_path(spark, "firsts")
-    ingest_first_copies(pages, name, state, FEED_CODES, location, rejects).awaitTermination()
+    folder = scratch_path(spark, "collected")
+    ingest_first_copies(
+        pages, name, state, FEED_CODES, location, rejects, collected=folder
+    ).awaitTermination()
+    settle(spark, folder, name, location, rejects=rejects)
     return shown(spark.table(name).select(BRONZE_COLUMNS))
 
 
