@@ -78,6 +78,10 @@ def ensure_silver(
     ensure_table(spark, name, SILVER, ["publication_year"], location, using, buckets, ["id"])
 
 
-def upsert_silver(papers: DataFrame, name: str, stored: bool = False) -> dict[str, int]:
+def upsert_silver(
+    papers: DataFrame, name: str, stored: bool = False, gathered: bool = False
+) -> dict[str, int]:
     """Replace stored papers by id. The papers come from a table with unique ids, or are one."""
-    return upsert_table(name, papers, ["id"], on_duplicates="trusted", stored_source=stored)
+    return upsert_table(
+        name, papers, ["id"], on_duplicates="trusted", stored_source=stored, gathered=gathered
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from smelter.operators.budget import admitted_pages, article_bytes, page_sizes
 from smelter.operators.contract import valid_rows
-from smelter.plans import medallion, quality as qa
+from smelter.plans import bronze, medallion, quality as qa
 from smelter.plans.bronze import accepted_articles, fetched_entries, page_rules
 from smelter.plans.gold import moved_counts, trend_counts, trend_deltas
 from smelter.plans.medallion import Layout, ensure_layers, ensure_rejects, load_increment, store_rejects
@@ -253,6 +253,58 @@ def test_checks_read_profiles_until_the_fact_changes(spark, tmp_path):
     assert result() == scan and spark.table("inc.pfact_profile").count() == 3
 
 
+# What travels
+
+
+def test_first_articles_are_found_without_their_texts(spark):
+    names = ["cs.CL", "cs.AI"]
+    pages = [
+        (names[p % 2], p, feed(*[entry(id=f"x/{(p * 7 + i) % 900}", title=f"{p}-{i}") for i in range(300)]))
+        for p in range(12)
+    ]
+    frame = page_frame(spark, pages)
+    with staged(fetched_entries(frame, names), "entries") as entries:
+        want = sorted((r["id"], r["title"], tuple(r["fetched"])) for r in accepted_articles(entries).collect())
+        with bronze.first_articles(entries) as articles:
+            assert "SortAggregate" not in scanned(articles) and not shuffled_rows(articles)
+            assert sorted((r["id"], r["title"], tuple(r["fetched"])) for r in articles.collect()) == want
+    # Two pages in one place: places do not tell their entries apart.
+    with staged(fetched_entries(frame.unionByName(frame), names), "entries") as twice:
+        with bronze.first_articles(twice) as articles:
+            assert sorted((r["id"], r["title"], tuple(r["fetched"])) for r in articles.collect()) == want
+
+
+def test_long_texts_are_compared_by_digests(spark, tmp_path):
+    spark.sql("CREATE SCHEMA IF NOT EXISTS inc")
+    tb.ensure_table(spark, "inc.texts", "id bigint, body string, year int", ["year"], str(tmp_path / "texts"))
+    long = "t" * 500
+    rows = [(0, None, 1), (1, "", 1), (2, long, 1), (3, "short", 2), (4, long, 2)]
+    columns = "id bigint, body string, year int"
+    tb.upsert_table("inc.texts", spark.createDataFrame(rows, columns), ["id"])
+    new = [(0, "", 1), (1, None, 1), (2, long, 1), (3, "short", 2), (4, long + "t", 2), (5, None, 3)]
+    with tb.upsert_changes("inc.texts", spark.createDataFrame(new, columns), ["id"], small_source=False) as changes:
+        assert sorted(r["id"] for r in changes.rows.collect()) == [0, 1, 4, 5] and changes.n_replaced == 3
+        done = tb.write_changes(changes)
+    assert done == {"n_inserted": 1, "n_updated": 3, "n_unchanged": 2}
+    assert sorted(map(tuple, spark.table("inc.texts").collect())) == new
+
+
+def test_partitions_that_keep_nothing_are_not_read(spark, tmp_path):
+    spark.sql("CREATE SCHEMA IF NOT EXISTS inc")
+    tb.ensure_table(spark, "inc.full", "id bigint, n int, year int", ["year"], str(tmp_path / "full"))
+    rows = spark.range(90).select("id", F.lit(0).alias("n"), (F.col("id") % 3).cast("int").alias("year"))
+    tb.upsert_table("inc.full", rows, ["id"])
+    # One year is replaced whole, one in part, one moves away; one is left alone.
+    newer = rows.filter("year = 0 OR (year = 1 AND id < 10)").withColumn("n", F.lit(1))
+    newer = newer.unionByName(rows.filter("year = 2").select("id", F.lit(1).alias("n"), F.lit(7).alias("year")))
+    with tb.upsert_changes("inc.full", newer, ["id"], small_source=False) as changes:
+        target = spark.table("inc.full")
+        assert tb._emptied(changes, target, ["year"]) == {"year=0", "year=2"}
+        assert tb.write_changes(changes, gathered=True) == {"n_inserted": 0, "n_updated": 63, "n_unchanged": 27}
+    got = {tuple(r) for r in spark.table("inc.full").collect()}
+    assert got == {(i, int(i % 3 != 1 or i < 10), 7 if i % 3 == 2 else i % 3) for i in range(90)}
+
+
 # Streams
 
 
