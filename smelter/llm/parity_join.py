@@ -13,8 +13,10 @@ components.
 No group is expanded into its pairs. Equal sets are one class from the start. In a group of
 equal blocks every class meets the first one and its neighbour; links are closed; only
 classes of the same group that are still in different components are compared further.
-In large groups (a crowd of copies that are almost similar enough) even these are too many;
-there classes meet again under their rarest shingles only, which is exact, too.
+In large groups (a crowd of copies that are almost similar enough) even these are too many, and
+so they are in groups of sets too large for a dense sketch to tell apart, which meet by what
+is common in the language; there classes meet again under their rarest shingles only, which is
+exact, too.
 
 Defined cases: without words or text the set is empty and links with nothing, its component
 is its own id; fewer words than a shingle has make one shingle; repeated rows are one class; a null
@@ -210,9 +212,14 @@ def sketches_of(
 
 
 def sets_of(
-    docs: DataFrame, members: DataFrame, names: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE
+    docs: DataFrame, members: DataFrame, names: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+    wide: bool = True,
 ) -> DataFrame:
-    """name, n, values and wide sketch of the named sets, each read from one of the documents that have it."""
+    """name, n, values and (if asked for) wide sketch of the named sets, each read from one of the documents that have it.
+
+    Sets are written where they are read; only those of rows that occur several times travel.
+    """
+    kinds = "name long, n long, values array<long>" + (", wide array<long>" if wide else "")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
@@ -221,16 +228,23 @@ def sets_of(
                 "name": pa.array([_named(s) for s in sets], pa.int64()),
                 "n": pa.array([len(s) for s in sets], pa.int64()),
                 "values": _lists(sets),
-                "wide": _lists([wide_sketch(s) for s in sets]),
+                **({"wide": _lists([wide_sketch(s) for s in sets])} if wide else {}),
             })
 
     asked = small_side(written(names.distinct(), "names"))
-    holders = members.join(asked, "name").groupBy("name").agg(F.min("doc_id").alias("_holder"))
-    held = small_side(written(holders.select("_holder").distinct(), "holders"))
-    texts = _narrow(docs, doc_id, text).join(held, F.col("doc_id").eqNullSafe(F.col("_holder")), "left_semi")
-    found = texts.mapInArrow(read, "name long, n long, values array<long>, wide array<long>")
-    # Rows that share an id may have other texts.
-    return written(found.join(asked, "name", "left_semi").dropDuplicates(["name"]), "sets")
+    # Rows that share an id may have other texts, so a holder is named by both.
+    row = F.struct("doc_id", "hash")
+    rows = members.join(asked, "name").groupBy("name", "doc_id", "hash").agg(F.count(F.lit(1)).alias("times"))
+    holders = rows.groupBy("name").agg(F.min_by("times", row).alias("times"), F.min(row).alias("_holder"))
+    held = written(holders.select(F.col("_holder.doc_id").alias("_id"), F.col("_holder.hash").alias("_hash"), "times"), "holders")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    texts, several = _narrow(docs, doc_id, text), held.filter("times > 1")
+    found = texts.join(small_side(held), same, "left_semi")
+    if not several.isEmpty():
+        several = small_side(several)
+        once = texts.join(several, same, "left_semi").dropDuplicates(["doc_id", "hash"])
+        found = found.join(several, same, "left_anti").unionByName(once)
+    return written(found.mapInArrow(read, kinds), "sets")
 
 
 def _narrow(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -275,8 +289,20 @@ def possible(percent: int = PERCENT) -> Column:
     )
 
 
+def untold(percent: int = PERCENT) -> int:
+    """The set size from which dense sketches rule next to nothing out.
+
+    Sketches of sets without anything in common differ in half their bits; here similar sets may
+    differ in three quarters of these.
+    """
+    return 3 * 64 * SKETCH_WORDS * (100 + percent) // (8 * 2 * (100 - percent))
+
+
 def pairs_of(met_rows: DataFrame, bits: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Each class with the first of its groups and with the one before it, if a link is possible."""
+    """Each class with the first of its groups and with the one before it, if a link is possible.
+
+    ``untold`` says that the sketches were too short for the larger set.
+    """
     stars = met_rows.filter("before IS NOT NULL").select(
         F.explode(F.array(
             F.struct(F.col("first").alias("a"), F.col("first_n").alias("a_n")),
@@ -288,7 +314,7 @@ def pairs_of(met_rows: DataFrame, bits: DataFrame, percent: int = PERCENT) -> Da
     both = once.join(bits.select(F.col("name").alias("a"), F.col("bits").alias("a_bits")), "a").join(
         bits.select(F.col("name").alias("b"), F.col("bits").alias("b_bits")), "b"
     )
-    return both.filter(possible(percent)).select("a", "b")
+    return both.filter(possible(percent)).select("a", "b", (large >= untold(percent)).alias("untold"))
 
 
 def folded(words: Column, to: Column) -> Column:
@@ -359,18 +385,18 @@ def relabelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def open_groups(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Rows of groups that hold more than one component, with the group's number of classes.
+    """Rows of groups that hold more than one component, with the group's number of classes and largest set.
 
     Groups of the same classes stand for each other, and one of them is left: classes that have much in
     common meet under many keys.
     """
     labelled = relabelled(rows.select("key", "name", "n"), roots)
     groups = labelled.groupBy("key").agg(
-        F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("size"),
+        F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count("*").alias("size"), F.max("n").alias("largest"),
         F.bit_xor("name").alias("_all"), F.bit_xor(F.xxhash64("name")).alias("_again"),
     )
-    alike = groups.filter("_lo <> _hi").groupBy("size", "_all", "_again").agg(F.min("key").alias("_key"))
-    return labelled.join(alike.select("_key", "size"), F.col("key") == F.col("_key")).drop("_key")
+    alike = groups.filter("_lo <> _hi").groupBy("size", "largest", "_all", "_again").agg(F.min("key").alias("_key"))
+    return labelled.join(alike.select("_key", "size", "largest"), F.col("key") == F.col("_key")).drop("_key")
 
 
 def cross_pairs(groups: DataFrame, bits: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -404,7 +430,7 @@ def rare_keys(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     # Counted where they stand before anything travels: a shingle that a crowd shares is a row a task.
     counts = by_key(sets).groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     shared = written(counts.select(F.col("key").alias("_shared"), "often"), "shared")
-    ranked = by_key(sets).join(small_side(shared), F.col("key") == F.col("_shared")).drop("_shared")
+    ranked = by_key(sets).join(shared, F.col("key") == F.col("_shared")).drop("_shared")
     mine = Window.partitionBy("name")
     lonely = F.col("n") - F.count("*").over(mine)
     need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -438,28 +464,32 @@ def link(
 
     done = written(pairs_of(rows, bits, percent), "pairs")
     # Verifying moves whole sets. A class goes to its first partner; of the other pairs those that this
-    # left apart are verified, too.
+    # left apart are verified, too, but for those that sketches do not tell apart: they grow with the square
+    # of a group, and meet under rare shingles.
     links = links_among(written(done.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs"))
     roots = rooted(links)
-    apart = written(between_components(done, roots), "apart")
+    told = done.filter("NOT untold").select("a", "b")
+    apart = written(between_components(told, roots), "apart")
     if not apart.isEmpty():
         links = written(links.unionByName(links_among(apart)), "links")
         roots = rooted(links)
     left = written(open_groups(rows, roots), "open")
-    many = left.filter(F.col("size") > SPLIT_ABOVE)
-    more = cross_pairs(left.filter(F.col("size") <= SPLIT_ABOVE), bits, percent)
+    crowded = (F.col("size") > SPLIT_ABOVE) | (F.col("largest") >= untold(percent))
+    many = left.filter(crowded)
+    more = cross_pairs(left.filter(~crowded), bits, percent)
     rare = None
     if not many.isEmpty():
-        crowd = sets_of(docs, members, many.select("name"), doc_id, text, shingle)
+        crowd = sets_of(docs, members, many.select("name"), doc_id, text, shingle, wide=False)
         rare = written(met(rare_keys(crowd, percent)), "rare")
-        more = more.unionByName(pairs_of(rare, bits, percent)).distinct()
-    more = written(more.join(done, ["a", "b"], "left_anti"), "pairs")
+        discard(crowd)
+        more = more.unionByName(pairs_of(rare, bits, percent).select("a", "b")).distinct()
+    more = written(more.join(told, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         links = written(links.unionByName(links_among(more)), "links")
         roots = rooted(links)
     if rare is not None:
         last = cross_pairs(open_groups(rare, roots), bits, percent)
-        last = written(last.join(done.unionByName(more), ["a", "b"], "left_anti"), "pairs")
+        last = written(last.join(told.unionByName(more), ["a", "b"], "left_anti"), "pairs")
         if not last.isEmpty():
             links = written(links.unionByName(links_among(last)), "links")
             roots = rooted(links)

@@ -27,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ MARKED_DOCS, MARKED_RATIO = 6, 3.0
 STEPS = (0.01, 0.03, 0.06, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
 STEPPED = ("symbols", "pipes", "exclamations", "upper_words", "dup_lines", "repeat_words", "twin_words", "distinct_words")
 THRESHOLD = 0.5
+#: Words whose evidence a task remembers, and texts that it holds at once.
+KNOWN, TEXTS = 100_000, 500
 
 
 class Evidence(NamedTuple):
@@ -68,7 +71,7 @@ def strongest(marked: dict[str, float], words: list[str], known: dict[str, float
         value = known.get(word)
         if value is None:
             value = max((marked.get(f, 0.0) for f in lexical_features(word)), default=0.0)
-            if len(known) > 500_000:
+            if len(known) > KNOWN:
                 known.clear()
             known[word] = value
         if value > most:
@@ -244,13 +247,16 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     priors = written(priors, "path-priors")
     evidence = fit_evidence(written(sampled(marks, docs, fit_rows, doc_id, text), "fit-texts"))
 
-    @F.pandas_udf("struct<e_low double, e_toxic double, marked double>")
-    def say(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<e_low double, e_toxic double, marked double>")
+    def say(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, float] = {}
         for batch in texts:
-            stats = np.array([_stats_of(t, evidence.marked, known) for t in batch]).reshape(-1, len(STATISTICS))
+            # A few texts at a time: what is held beside the batch stays small.
+            parts = (batch.slice(at, TEXTS).to_pylist() for at in range(0, len(batch), TEXTS))
+            stats = np.array([_stats_of(t, evidence.marked, known) for part in parts for t in part]).reshape(-1, len(STATISTICS))
             marked = stats[:, STATISTICS.index("marked")]
-            yield pd.DataFrame({"e_low": evidence.low(stats), "e_toxic": evidence.toxic(marked), "marked": marked})
+            said = {"e_low": evidence.low(stats), "e_toxic": evidence.toxic(marked), "marked": marked}
+            yield pa.StructArray.from_arrays([pa.array(v, pa.float64()) for v in said.values()], list(said))
 
     judged = docs.select(
         F.struct(*docs.columns).alias("row"), say(F.coalesce(F.col(text), F.lit(""))).alias("_said")

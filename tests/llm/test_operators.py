@@ -491,6 +491,25 @@ def test_join_loses_no_link(spark, monkeypatch, crowd):
     assert got == brute_components(texts)
 
 
+def test_pairs_of_long_texts_grow_with_the_texts(spark, monkeypatch):
+    """What long texts have in common is no reason to compare each with each."""
+    import random
+
+    rng = random.Random(5)
+    common = " ".join(f"c{i}" for i in range(1500))
+    texts = {i: common + " " + " ".join(f"t{rng.randrange(10**8)}" for _ in range(rng.randrange(2300, 2500))) for i in range(60)}
+    for i in (60, 61):  # near copies, by way of each other
+        words = texts[i - 60].split()
+        texts[i] = " ".join(words[:2200] + ["x"] + words[2230:])
+    texts[62] = " ".join(texts[60].split()[:-70])
+    compared, near = [], parity_join.near
+    monkeypatch.setattr(parity_join, "near", lambda pairs, *rest: compared.append(pairs.count()) or near(pairs, *rest))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in parity_join.join(docs).collect()}
+    assert got == brute_components(texts) and got[62][1] == 0
+    assert 0 < sum(compared) < 3 * len(texts)
+
+
 def test_sketch_bounds():
     rng = np.random.default_rng(0)
     for n in (6, 7, 20, 90, 400, 3000):
