@@ -17,17 +17,19 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Units of text, and pairs of tokens of long pieces, that a task remembers before it forgets some.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 16
 
 #: Longer pieces are rare and large: not remembered.
 LONG = 64
@@ -70,14 +72,27 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         check_bytes(ranks)
         self.ranks = ranks
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.lengths = {rank: len(token) for token, rank in ranks.items()}
-        self.longest = max(self.lengths.values())
-        # Every ending of a token, with the token that it is itself, if any, else -1.
-        self._endings = {token[i:]: -1 for token in ranks for i in range(len(token))} | ranks
         self._pairs: dict[int, bool] = {}
         self._reached: dict[int, bool] = {}
 
+    # Most tasks meet no piece that is encoded by itself, and need none of these.
+    @cached_property
+    def tokens(self) -> dict[int, bytes]:
+        return {rank: token for token, rank in self.ranks.items()}
+
+    @cached_property
+    def lengths(self) -> dict[int, int]:
+        return {rank: len(token) for token, rank in self.ranks.items()}
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.ranks))
+
+    @cached_property
+    def _endings(self) -> dict[bytes, int]:
+        """Every ending of a token, with the token that it is itself, if any, else -1."""
+        return {token[i:]: -1 for token in self.ranks for i in range(len(token))} | self.ranks
+
     def merge(self, piece: bytes) -> list[int]:
         """Tokens of a short piece by the definition: always join the pair of least rank."""
         ranks = self.ranks
@@ -465,15 +480,35 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> Column:
 
     @F.arrow_udf(T.BinaryType())
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = {rank: token for token, rank in sent.value.items()}
+        tokens = by_rank(sent.value)
         for batch in batches:
-            flat, offsets = batch.flatten().to_numpy(), batch.offsets.to_numpy() - batch.offsets[0].as_py()
-            out = [b"".join(map(tokens.__getitem__, flat[a:b].tolist())) for a, b in zip(offsets, offsets[1:])]
-            yield pa.array(out, pa.binary())
+            yield pa.concat_arrays([joined(tokens, batch.slice(0, 0)), *(
+                joined(tokens, batch.slice(at, TEXTS)) for at in range(0, len(batch), TEXTS)
+            )])
 
     return text(F.col(ids))
 
 
+def by_rank(ranks: dict[bytes, int]) -> pa.BinaryArray:
+    """The bytes of every token at the place of its id; ids without one are null."""
+    tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return pa.array(tokens, pa.binary())
+
+
+def joined(tokens: pa.BinaryArray, ids: pa.ListArray) -> pa.BinaryArray:
+    """The tokens of each row in one; they stand in a row already where they are taken."""
+    flat = tokens.take(ids.flatten())
+    if flat.null_count:
+        raise ValueError("an id without a token")
+    sizes = pc.coalesce(pc.list_value_length(ids), 0).to_numpy()
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    starts = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset:flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
+    data = flat.buffers()[2] if len(flat) else pa.py_buffer(b"")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(starts[bounds].astype(np.int32)), data])
+
+
 def _sent(df: DataFrame, known):
     """A vocabulary on its way to the tasks; it is bounded by its file."""
     return df.sparkSession.sparkContext.broadcast(known)

@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -304,3 +305,14 @@ def test_file_of_ranks(tmp_path):
     path = tmp_path / "ranks"
     path.write_bytes(b"\n".join(base64.b64encode(bytes([i])) + b" %d" % i for i in range(256)))
     assert prefix_bpe.Vocabulary(prefix_bpe.read_ranks(str(path))).merge(b"ab") == [97, 98]
+
+
+def test_short_pieces_need_no_table_of_endings(ranks):
+    vocabulary = prefix_bpe.Vocabulary(ranks)
+    encoder = prefix_bpe.Encoder(vocabulary, prefix_bpe.Tables(prefix_bpe.Vocabulary(ranks)), public_tokenizers.PATTERN)
+    ids, none = encoder(["some short words", ""])
+    assert "_endings" not in vars(vocabulary) and not len(none)
+    coded = pa.array([[1], ids.tolist(), None, [], ids.tolist() * 2, [2]], pa.list_(pa.int32())).slice(1, 4)
+    text = b"some short words"
+    assert prefix_bpe.joined(prefix_bpe.by_rank(ranks), coded).to_pylist() == [text, b"", b"", text * 2]
+    assert prefix_bpe.joined(prefix_bpe.by_rank(ranks), coded.slice(0, 0)).to_pylist() == []
