@@ -15,6 +15,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
+#: Bytes that travel to a Python worker at once. A batch stands there, and beside the heap of its executor.
+BATCH_BYTES = 2 * 1024**2
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,6 +35,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean_batches(df: DataFrame) -> DataFrame:
+    """The frame; its session hands rows to Python a few MB at a time from now on.
+
+    Batches are else bounded by their rows, ten thousand texts of whatever length. What is
+    computed does not depend on where batches end.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def discard(df: DataFrame) -> None:
     """Remove a written table. Nothing that reads it may run later."""
     files = df.inputFiles()

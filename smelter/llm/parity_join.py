@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from smelter.llm.common import discard, small_side, written
+from smelter.llm.common import discard, lean_batches, small_side, written
 
 SHINGLE, PERCENT = 4, 85
 #: Growth of size bands.
@@ -248,7 +248,7 @@ def sets_of(
 
 
 def _narrow(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(
+    return lean_batches(docs).select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"),
         row_hash(doc_id, text).alias("hash"),
     )
@@ -427,10 +427,12 @@ def rare_keys(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     n - percent of n + 1 in whatever order all keep. Rare ones first, so that what sets of a
     crowd have in common comes last; those that no other set has lead nowhere.
     """
-    # Counted where they stand before anything travels: a shingle that a crowd shares is a row a task.
-    counts = by_key(sets).groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    shared = written(counts.select(F.col("key").alias("_shared"), "often"), "shared")
-    ranked = by_key(sets).join(shared, F.col("key") == F.col("_shared")).drop("_shared")
+    # One shuffle, in which a row looks at its neighbours: nearly all shingles are in one set alone, and end there.
+    same = Window.partitionBy("key")
+    beside = same.orderBy("name")
+    met_ = by_key(sets).withColumns({"_before": F.lag("name").over(beside), "_after": F.lead("name").over(beside)})
+    shared = met_.filter("_before IS NOT NULL OR _after IS NOT NULL").drop("_before", "_after")
+    ranked = shared.withColumn("often", F.count("*").over(same))
     mine = Window.partitionBy("name")
     lonely = F.col("n") - F.count("*").over(mine)
     need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from smelter.llm.common import small_side, written
+from smelter.llm.common import lean_batches, small_side, written
 from smelter.llm.textstats import STATISTICS, base_of, lexical_features, split_words, statistics
 
 #: Bound of the labelled documents that evidence is fitted on, and of the marked words kept.
@@ -240,6 +240,7 @@ def _logit(p: Column) -> Column:
 def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang",
           fit_rows: int = FIT_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with p_low, p_toxic and kept; all their own columns stand in ``row``."""
+    docs = lean_batches(docs)
     marks = written(worst_labels(labels, doc_id), "worst-labels")
     places = docs.select(F.col(doc_id).alias("_id"), F.col(host).alias("_host"), F.col(path).alias("_path"))
     labelled = places.join(marks, "_id")

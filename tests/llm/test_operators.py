@@ -7,12 +7,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from smelter.llm import (
     chat, decontam, html_crf, mixing, parity_join, ppm, quality_eb, rules, sharding, textstats, url_lists,
 )
+from smelter.llm.common import BATCH_BYTES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -510,6 +512,37 @@ def test_pairs_of_long_texts_grow_with_the_texts(spark, monkeypatch):
     assert 0 < sum(compared) < 3 * len(texts)
 
 
+def test_rare_keys_travel_once(spark):
+    """Of each set the rarest shingles, told by one shuffle of all shingles and one of those that sets share."""
+    rng = np.random.default_rng(3)
+    sets = {name: np.unique(np.concatenate([np.arange(30), rng.integers(30, 400, 40), rng.integers(10**6, 10**9, 5)])) for name in range(25)}
+    often = Counter(k for values in sets.values() for k in values.tolist())
+    expected = {
+        (key, name, len(values)) for name, values in sets.items()
+        for key in sorted(values.tolist(), key=lambda k: (often[k], k))[:len(values) - -(-len(values) * 80 // 100) + 1] if often[key] > 1
+    }
+    assert expected
+    rows = spark.createDataFrame([(name, len(v), v.tolist()) for name, v in sets.items()], "name long, n long, values array<long>")
+    keys = parity_join.rare_keys(rows, 80)
+    assert {tuple(r) for r in keys.select("key", "name", "n").collect()} == expected
+    # Above the last thing that is read there is all the work: nothing is written and read again.
+    plan = keys._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate explode" in plan and plan.count("Generate explode") == 1 and "Scan parquet" not in plan
+
+
+def test_few_bytes_go_to_python_at_once(spark):
+    """Long texts come in short batches: beside the heap an executor has little room."""
+
+    def count(batches):
+        for batch in batches:
+            yield pa.record_batch({"rows": pa.array([batch.num_rows], pa.int64())})
+
+    docs = spark.range(0, 120, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 20000) AS text")
+    for texts in (parity_join._narrow(docs, "doc_id", "text"), quality_eb.lean_batches(docs)):
+        rows = [r["rows"] for r in texts.mapInArrow(count, "rows long").collect()]
+        assert sum(rows) == 120 and max(rows) * 100_000 <= 2 * BATCH_BYTES
+
+
 def test_sketch_bounds():
     rng = np.random.default_rng(0)
     for n in (6, 7, 20, 90, 400, 3000):
