@@ -101,10 +101,10 @@ def accepted_articles(entries: DataFrame, budget_bytes: int | None = None) -> Da
 
 
 def ensure_bronze(
-    spark, name: str, location: str | None = None, using: str = "parquet", buckets: int = 0
+    spark, name: str, location: str | None = None, using: str = "parquet", buckets: int = 0, loads: bool = False
 ) -> None:
     columns = f"{BRONZE}, {FETCHED} {FETCHED_TYPE}, {MONTH} string"
-    ensure_table(spark, name, columns, [MONTH], location, using, buckets, ["id"])
+    ensure_table(spark, name, columns, [MONTH], location, using, buckets, ["id"], loads)
     if FETCHED not in spark.table(name).columns:
         spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({FETCHED} {FETCHED_TYPE})")
 

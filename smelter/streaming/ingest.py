@@ -1,7 +1,7 @@
 """Landing folder to bronze, or to all layers, as a stream of bounded micro-batches.
 
 There are two ways into bronze. :func:`ingest_stream` merges each micro-batch into the table, for
-readers that wait for it. :func:`collect_stream` only appends what comes in to a folder, and
+readers that wait for it. New rows go beside the stored ones. :func:`collect_stream` only appends what comes in to a folder, and
 :func:`settle` merges all of it at once: partitions are rewritten once per settlement, not
 once per batch, and a size budget can be applied to the whole stream.
 """
@@ -50,8 +50,11 @@ def ingest_stream(
     nothing, and a late older version never replaces a newer one, whatever the order
     in which the files arrive. Of copies with one date the first in fetch order stays, so
     the limits do not decide what is stored.
+
+    The table is cut by its loads, too, so a batch writes its own rows and the partitions that lose a
+    row to it, not the months that it falls into. A table that was made without loads stays as it is.
     """
-    ensure_bronze(pages.sparkSession, table, location)
+    ensure_bronze(pages.sparkSession, table, location, loads=True)
     if rejects:
         ensure_rejects(pages.sparkSession, rejects)
 

@@ -411,6 +411,51 @@ def test_collected_first_copies_and_rejects_are_settled_once(spark, tmp_path):
     assert run() == (1, [*want, ("5", "late")], sorted([(None, ["category_listed"], 0), ("8", ["title_required"], 0)], key=str))
 
 
+def test_a_micro_batch_writes_its_own_rows_only(spark, tmp_path):
+    """Batches of new articles of one month leave the rows of earlier ones where they are."""
+    from smelter.streaming.ingest import ingest_stream
+
+    for i in range(6):
+        land(tmp_path, "cs.AI", i, feed(*[entry(id=f"x/{10 * i + k}") for k in range(10)]))
+    spark.sql("CREATE SCHEMA IF NOT EXISTS streamed")
+    pages = read_page_stream(spark, str(tmp_path / "landed"), max_files=1)
+    ingest_stream(pages, "streamed.own_rows", str(tmp_path / "state"), location=str(tmp_path / "t")).awaitTermination()
+    assert spark.table("streamed.own_rows").select("id").distinct().count() == 60
+    # Every snapshot that was ever written is still there.
+    assert spark.read.parquet(f"{tmp_path}/t/_snapshots/*/*/*").count() == 60
+
+
+def test_loads_lose_rows_and_are_merged_in_steps(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tb, "LOADS", 3)
+    spark.sql("CREATE SCHEMA IF NOT EXISTS inc")
+    tb.ensure_table(spark, "inc.loads", "k int, v int, p int", ["p"], str(tmp_path / "t"), loads=True)
+    held, rng, seen = {}, random.Random(1), []
+    for i in range(14):
+        rows = {k: (k, i, k % 2) for k in rng.sample(range(1000), 5)} | {1000 + i: (1000 + i, i, 0)}
+        # Older rows lose; k moves to another partition now and then.
+        rows |= {k: (k, rng.choice([-1, i]), rng.randrange(3)) for k in rng.sample(sorted(held), min(3, len(held)))}
+        won = {k: r for k, r in rows.items() if k not in held or r[1] > held[k][1]}
+        source = spark.createDataFrame(list(rows.values()), "k int, v int, p int")
+        done = tb.upsert_table("inc.loads", source, ["k"], "s.v > t.v")
+        assert done["n_inserted"] == len(won.keys() - held.keys()) and done["n_updated"] == len(won.keys() & held.keys())
+        held |= won
+        assert sorted(tuple(r) for r in spark.table("inc.loads").select("k", "v", "p").collect()) == sorted(held.values())
+        folders = tb._held_folders(spark, "inc.loads")
+        seen += [f.partition(f"{tb.LOAD}=")[2].partition("-")[0] for f in folders]
+        assert len(folders) <= 3 * 3 * 3
+    assert set(seen) >= {"0", "1"}
+    assert tb.upsert_table("inc.loads", source, ["k"], "s.v > t.v")["n_unchanged"] == 0
+    # Equal rows change nothing; whole partitions are replaced and truncated with all of their loads.
+    assert tb.upsert_table("inc.loads", spark.table("inc.loads").drop(tb.LOAD), ["k"])["n_updated"] == 0
+    tb.replace_partitions(spark.createDataFrame([(7, 7, 2)], "k int, v int, p int"), "inc.loads", {"p=2"})
+    assert [tuple(r)[:3] for r in spark.table("inc.loads").filter("p = 2").select("k", "v", "p").collect()] == [(7, 7, 2)]
+    tb.overwrite_table(spark.createDataFrame([(1, "a", 2)], "k int, w string, p int"), "inc.loads", replace_schema=True)
+    assert [tuple(r) for r in spark.table("inc.loads").select("k", "w", "p").collect()] == [(1, "a", 2)]
+    assert tb.partition_columns(spark, "inc.loads") == ["p", tb.LOAD]
+    tb.truncate_table(spark, "inc.loads")
+    assert spark.table("inc.loads").count() == 0
+
+
 # Pages from an index, copies as counts
 
 
