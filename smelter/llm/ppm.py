@@ -14,14 +14,15 @@ The longest context is the whole word before (the start of text counts as one).
 left for the spelling by its escape, the words that it knows are excluded. All pairs of a word
 and the next are counted over all training texts.
 
-Word counts are summed over all training documents. The trie is a table: a row for each node
-and byte after it, summed from all words; a node is named by a 64-bit hash of its bytes, a word
-and a pair likewise. Steps join back to the words, so no task holds a branch of the trie. Where
-a word leaves the trie, the successors of the last four and three bytes are joined to that step.
-Tables that go to every task are those after two bytes and after the beginning of a word, which
-cannot pass 257 * 257 * 256 entries, and two caches: the ``HEAD_WORDS`` most frequent words (of
-at most 64 bytes) and the most frequent pairs, as many levels of frequency as ``HEAD_PAIRS`` has
-room for. Words and pairs beyond the caches are joined by document.
+Word counts are summed over all training documents. All words, in their order, are cut into blocks by a sample of them,
+and a block makes its part of the trie. A node that reaches over a cut is a beginning of it, and what follows such
+beginnings is counted over all blocks and goes to each. Where a word leaves the trie, the successors of the last
+four and three bytes are joined to that step. Tables that go to every task are those after two bytes and after the beginning
+of a word, which cannot pass 257 * 257 * 256 entries, and the ``HEAD_WORDS`` most frequent words (of at most 64
+bytes), by which words are numbered; others are named by a 64-bit hash.
+
+Pairs are shuffled once, packed, with the texts they stand in: a bucket counts its pairs and adds up what they
+are worth to each text. Words without a number, and what is left after a word, are joined to those sums.
 
 Defined cases: null or empty texts are one end of text; a null id counts as training;
 repeated rows each count and each get their row; without training documents every byte
@@ -31,24 +32,25 @@ costs 8 bits; an empty table gives an empty result; other columns play no part.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from smelter.llm.common import written
+from smelter.llm.common import lean_batches, written
 from smelter.llm.parity_join import mixed
 
 #: Folds of the ids, and the one that is held out.
 FOLDS, HELD_OUT = 5, 1
 HEAD_WORDS, HEAD_BYTES = 100_000, 64
-#: Pairs kept in the cache; taken off every count of a pair.
-HEAD_PAIRS, DISCOUNT = 2_000_000, 0.7
+#: Pairs in a row held before they are packed; taken off every count of a pair.
+HEAD_PAIRS, DISCOUNT = 1_000_000, 0.7
 #: Beginning of a word as a context; the byte that ends a word, the one that ends a text.
 START, SPACE, END = 256, 0x20, 0x0A
 ANCHOR = 3
@@ -56,10 +58,14 @@ ANCHOR = 3
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: A context is a number in base 257; these are four bytes before a word, and the first beyond all of four.
 UNBEGUN, LONGEST = sum(START * 257 ** i for i in range(4)), 257 ** 4
-#: Distinct words kept before counts are handed on, and bytes of words spelled at once.
-FLUSH, PIECE = 1_000_000, 1 << 18
-#: Pairs in a row held before they are counted.
-PAIR_FLUSH = 4_000_000
+#: Distinct words kept before counts are handed on.
+FLUSH = 1_000_000
+#: Bytes of words in a block, words of the sample in each, and bytes of a cut at most.
+BLOCK_BYTES, CUT_SAMPLE, CUT_BYTES = 1 << 20, 20, 64
+#: Training tokens for each bucket of pairs, and texts whose sums a task holds.
+BUCKET_TOKENS, TEXT_FLUSH = 1_500_000, 1_000_000
+#: Marks the name of a word that has no number.
+FAR = np.int64(-2 ** 63)
 
 
 def texts_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,21 +167,6 @@ def turned(x: np.ndarray) -> np.ndarray:
     return (x << 1) | ((x >> 63) & 1)
 
 
-def pair_name() -> Column:
-    after = F.col("after")
-    return F.col("before").bitwiseXOR(F.shiftleft(after, 1).bitwiseOR(F.shiftrightunsigned(after, 63)))
-
-
-def most_frequent(table: DataFrame, room: int) -> tuple[DataFrame, bool]:
-    """The rows of highest ``c``, whole levels of it as far as there is room, and whether these are all."""
-    level, least = F.floor(F.log2("c") * 16), None
-    for r in sorted(table.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
-        if r["n"] > room:
-            return table.filter(level >= least) if least is not None else table.limit(0), False
-        room, least = room - r["n"], r["level"]
-    return table, True
-
-
 def escape(total: int, once: int) -> float:
     """Chance that a node of the trie is left for a shorter context."""
     return (once + 0.3) / (total + once + 1) if total > 1 else 0.2
@@ -293,79 +284,221 @@ class Spelling:
         return costs
 
 
-def steps_of(counts: DataFrame) -> DataFrame:
-    """name of a word, c, node (the word so far), the byte s after it, and the four bytes before.
-
-    A row for every byte of a word after its first ``ANCHOR``, its end included.
+def common(a: bytes, b: bytes) -> int:
+    """Length of the common beginning."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low = 0
+    while n - low > 1:
+        middle = (low + n) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            n = middle
+    return low
+
+
+def cuts_of(counts: DataFrame, block_bytes: int) -> list[bytes]:
+    """Where the words, in order, are cut into blocks of about ``block_bytes``: some words or beginnings of words."""
+    size, n = counts.agg(F.sum(F.length("word") + 1), F.count("*")).first()
+    blocks = -(-(size or 0) // block_bytes)
+    if blocks < 2:
+        return []
+    rate = max(1, n // (blocks * CUT_SAMPLE))
+    rows = counts.filter(F.pmod(F.xxhash64("word"), F.lit(rate)) == 0).select(
+        F.substring("word", 1, CUT_BYTES).alias("cut"), F.length("word").alias("n")
+    ).collect()
+    rows = sorted((bytes(r["cut"]), r["n"] + 1) for r in rows)
+    if not rows:
+        return []
+    run = np.cumsum([n for _, n in rows])
+    at = np.searchsorted(run, run[-1] * np.arange(1, blocks) / blocks)
+    return sorted({rows[k][0] for k in at.tolist()})
+
+
+class Trie:
+    """Trained words of a block, from ``ANCHOR`` bytes on; what only one word goes through is its tail."""
+
+    def __init__(self):
+        self.roots: dict[bytes, int] = {}
+        self.child: dict[int, int] = {}
+        self.c: list[int] = []
+        self.parent: list[int] = []
+        self.after: dict[int, bytearray] = {}
+        self.owner: dict[int, tuple[bytes, int, int]] = {}
+
+    def root(self, start: bytes) -> int:
+        node = self.roots.get(start)
+        if node is None:
+            node = self.roots[start] = len(self.c)
+            self.c.append(0)
+            self.parent.append(-1)
+        return node
+
+    def step(self, node: int, s: int) -> int:
+        key = node << 8 | s
+        found = self.child.get(key)
+        if found is None:
+            found = self.child[key] = len(self.c)
+            self.c.append(0)
+            self.parent.append(node)
+            self.after.setdefault(node, bytearray()).append(s)
+        return found
+
+    def add(self, spelled: bytes, c: int, depth: int) -> int:
+        """The last node of a word that is told from all others by its first ``depth`` bytes."""
+        node = self.root(spelled[:ANCHOR])
+        self.c[node] += c
+        for s in spelled[ANCHOR:depth]:
+            node = self.step(node, s)
+            self.c[node] += c
+        self.owner[node] = (spelled, depth, c)
+        return node
+
+    def share(self, cut: bytes, shared: dict[bytes, dict[int, int]]) -> None:
+        """Nodes that reach into other blocks, with what all blocks count after them."""
+        if cut[:ANCHOR] not in shared:
+            return
+        node = self.root(cut[:ANCHOR])
+        self.c[node] = sum(shared[cut[:ANCHOR]].values())
+        for k in range(ANCHOR, len(cut) + 1):
+            after = shared.get(cut[:k])
+            if after is None:
+                return
+            for s, c in after.items():
+                self.c[self.step(node, s)] = c
+            if k == len(cut) or cut[k] not in after:
+                return
+            node = self.child[node << 8 | cut[k]]
+
+    def close(self) -> None:
+        """Costs of all nodes from their roots, and of leaving them."""
+        c, parent = np.array(self.c, np.float64), np.array(self.parent, np.int64)
+        below = parent >= 0
+        once = np.bincount(parent[below & (c == 1)], minlength=len(c))[:len(c)] if len(c) else c
+        self.away = np.where(c > 1, (once + 0.3) / (c + once + 1), 0.2)
+        step = np.zeros(len(c))
+        step[below] = np.log(c[below] / c[parent[below]] * (1 - self.away[parent[below]]))
+        self.cost = cost = step.tolist()
+        # A node stands behind the one before it.
+        for node, before in enumerate(self.parent):
+            if before >= 0:
+                cost[node] += cost[before]
+
+    def tail(self, c: int) -> float:
+        return escape(c, c == 1)
+
+    def trained(self, node: int) -> float:
+        spelled, depth, c = self.owner[node]
+        return self.cost[node] + (len(spelled) - depth) * math.log(1 - self.tail(c))
+
+    def walk(self, spelled: bytes) -> tuple[float, int, bytes]:
+        """Of a new word: the cost up to where it leaves the trie, that place, and the bytes that are known there."""
+        node, at = self.roots.get(spelled[:ANCHOR]), ANCHOR
+        if node is None:
+            return 0.0, at, b""
+        while at < len(spelled):
+            found = self.child.get(node << 8 | spelled[at])
+            if found is None:
+                break
+            node, at = found, at + 1
+        if node not in self.after:
+            word, depth, c = self.owner[node]
+            more = common(word[depth:], spelled[depth:])
+            away = self.tail(c)
+            return self.cost[node] + more * math.log(1 - away) + math.log(away), depth + more, word[depth + more:depth + more + 1]
+        return self.cost[node] + math.log(self.away[node]), at, bytes(sorted(self.after[node]))
+
+
+def spelled_words(counts: DataFrame, two: dict, first: dict, block_bytes: int) -> DataFrame:
+    """word, name, c, cost (natural logarithm) and the steps that are left: four bytes before, byte, bytes known there.
+
+    Words are cut, in their order, into blocks. A node of the trie that reaches over a cut begins the cut, so what is
+    counted after the beginnings of cuts in all blocks makes each block complete.
     """
+    cuts = cuts_of(counts, block_bytes)
 
-    def spelled(words: list[bytes], cs: list[int]) -> pa.RecordBatch:
-        sizes = np.array([len(word) + 1 for word in words])
-        text = np.frombuffer(b" ".join([*words, b""]), np.uint8)
-        begins = np.cumsum(sizes) - sizes
-        nodes, sofar = np.zeros(len(text), np.uint64), np.zeros(len(words), np.uint64)
-        order = np.argsort(-sizes, kind="stable")
-        # Words by falling length: those that have a byte at a place come first.
-        ends = np.searchsorted(-sizes[order], -np.arange(sizes.max()), "left")
-        for i, live in enumerate(ends.tolist()):
-            at = begins[order[:live]] + i
-            nodes[at] = sofar[:live]
-            sofar[:live] = mixed(sofar[:live] + (text[at].astype(np.uint64) + np.uint64(1)) * STEP)
-        place = np.arange(len(text)) - np.repeat(begins, sizes)
-        four = np.zeros(len(text), np.int64)
-        for k in range(4, 0, -1):
-            # Only places behind the fourth byte look that far, or the word has not begun there.
-            four = four * 257 + np.where(place >= k, text[np.arange(len(text)) - k], START)
-        late = place >= ANCHOR
-        of = np.repeat(np.arange(len(words)), sizes)[late]
-        return pa.record_batch({
-            "name": pa.array(names_of(words)[of]), "c": pa.array(np.array(cs, np.int64)[of]),
-            "node": pa.array(nodes.view(np.int64)[late]), "s": pa.array(text[late].astype(np.int16)), "four": pa.array(four[late]),
-        })
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [bisect_right(cuts, word) for word in batch.column("word").to_pylist()]
+            yield pa.record_batch({"block": pa.array(at, pa.int64()), "word": batch.column("word"), "c": batch.column("c")})
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
         for batch in batches:
-            words, cs, held = [], [], 0
             for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
-                words.append(word)
-                cs.append(c)
-                held += len(word)
-                if held > PIECE:
-                    yield spelled(words, cs)
-                    words, cs, held = [], [], 0
-            if words:
-                yield spelled(words, cs)
+                at = bisect_right(cuts, word)
+                far = max((common(word, cut) for cut in cuts[max(at - 1, 0):at + 1] if cut[:ANCHOR] == word[:ANCHOR]), default=0)
+                for k in range(ANCHOR, far + 1):
+                    found[word[:k], word[k] if k < len(word) else SPACE] += c
+        yield pa.record_batch({
+            "node": pa.array([node for node, _ in found], pa.binary()), "s": pa.array([s for _, s in found], pa.int64()),
+            "c": pa.array(list(found.values()), pa.int64()),
+        })
+
+    shared: dict[bytes, dict[int, int]] = {}
+    if cuts:
+        long = counts.filter((F.col("c") > 0) & (F.length("word") >= ANCHOR)).select("word", "c")
+        for r in long.mapInArrow(reach, "node binary, s long, c long").groupBy("node", "s").agg(F.sum("c").alias("c")).collect():
+            shared.setdefault(bytes(r["node"]), {})[r["s"]] = r["c"]
+    models: list[Spelling] = []
+
+    def spell(table: pa.Table) -> pa.Table:
+        if not models:
+            models.append(Spelling(two, first))
+        model = models[0]
+        words, cs = table["word"].to_pylist(), table["c"].to_pylist()
+        order = sorted(range(len(words)), key=words.__getitem__)
+        at = table["block"][0].as_py()
+        near = cuts[max(at - 1, 0):at + 1]
+        trie, ends = Trie(), {}
+        known = [k for k in order if cs[k] and len(words[k]) >= ANCHOR]
+        alike = [0, *[common(words[a], words[b]) for a, b in zip(known, known[1:])], 0]
+        for k, before, after in zip(known, alike, alike[1:]):
+            spelled = words[k] + b" "
+            depth = max(before, after, *[common(words[k], cut) for cut in near], ANCHOR) + 1
+            ends[k] = trie.add(spelled, cs[k], min(depth, len(spelled)))
+        for cut in near:
+            trie.share(cut, shared)
+        trie.close()
+        cost, offsets, fours, symbols, excluded = [], [0], [], [], []
+        for k, word in enumerate(words):
+            total = model.opening(word)
+            if k in ends:
+                total += trie.trained(ends[k])
+            elif len(word) >= ANCHOR:
+                spelled = word + b" "
+                seen, place, bytes_there = trie.walk(spelled)
+                total += seen
+                padded = (START,) * 4 + tuple(spelled)
+                four = ((padded[place] * 257 + padded[place + 1]) * 257 + padded[place + 2]) * 257 + padded[place + 3]
+                for i in range(place, len(spelled)):
+                    fours.append(four)
+                    symbols.append(spelled[i])
+                    excluded.append(bytes_there if i == place else b"")
+                    four = four * 257 % LONGEST + spelled[i]
+            cost.append(total)
+            offsets.append(len(fours))
+        left = pa.StructArray.from_arrays(
+            [pa.array(fours, pa.int64()), pa.array(symbols, pa.int16()), pa.array(excluded, pa.binary())], ["four", "s", "excluded"]
+        )
+        return pa.table({
+            "word": table["word"], "name": pa.array(names_of(words), pa.int64()), "c": table["c"], "cost": pa.array(cost, pa.float64()),
+            "left": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), left),
+        })
 
-    long = counts.filter(F.length("word") >= ANCHOR).select("word", "c")
-    return long.mapInArrow(read, "name long, c long, node long, s short, four long")
+    kinds = "word binary, name long, c long, cost double, left array<struct<four: long, s: short, excluded: binary>>"
+    blocks = counts.select("word", "c").mapInArrow(block, "block long, word binary, c long")
+    return blocks.groupBy("block").applyInArrow(spell, kinds)
 
 
-def word_costs(counts: DataFrame) -> DataFrame:
+def word_costs(counts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """word, its name, c and cost: the log10 probability of its spelling."""
     two, first, longer = successors(counts)
-    # Each node with each byte after it; no node has more than 256.
-    trie = written(
-        steps_of(counts.filter("c > 0")).groupBy("node", "s").agg(F.sum("c").alias("c")), "trie"
-    )
-    total, once = F.sum("c"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0))
-    away = F.when(F.col("total") > 1, (F.col("once") + 0.3) / (F.col("total") + F.col("once") + 1)).otherwise(0.2)
-    w = Window.partitionBy("node")
-    steps = trie.select("node", "s", "c", total.over(w).alias("total"), once.over(w).alias("once")).select(
-        F.col("node").alias("_node"), F.col("s").alias("_s"), F.log(F.col("c") / F.col("total") * (1 - away)).alias("step")
-    )
-    on = (F.col("node") == F.col("_node")) & (F.col("s") == F.col("_s"))
-    seen = steps_of(counts.filter("c > 0")).select("name", "node", "s").join(steps, on).select("name", "step")
-    new = written(
-        steps_of(counts.filter("c = 0")).drop("c").join(steps, on, "left").drop("_node", "_s"), "new-steps"
-    )
-    # Where a word leaves the trie: the node is known, the byte after it is not.
-    left = new.filter("step IS NULL").select("name", "node", "s", "four")
-    asked = left.select("node").distinct()
-    nodes = written(trie.join(asked, "node").groupBy("node").agg(
-        total.alias("total"), once.alias("once"), F.collect_list("s").alias("excluded")
-    ).select(F.col("node").alias("known"), F.log(away).alias("away"), "excluded"), "left-nodes")
-    left = written(left.join(nodes.select("known"), F.col("node") == F.col("known"), "left").drop("node"), "left-steps")
-    kinds = left.select("known", "four", "s").distinct()
+    words = written(spelled_words(counts, two, first, block_bytes), "spelled")
+    left = words.filter("size(left) > 0").select("name", F.explode("left").alias("t")).select("name", "t.*")
+    kinds = left.select("four", "s", "excluded").distinct()
 
     def after(n: int, name: str) -> DataFrame:
         """Successors of the last n bytes, where they are asked for."""
@@ -376,9 +509,8 @@ def word_costs(counts: DataFrame) -> DataFrame:
         )
 
     kinds = kinds.join(after(3, "after_three"), F.col("four") % 257 ** 3 == F.col("_after_three"), "left")
-    kinds = kinds.join(after(4, "after_four"), F.col("four") == F.col("_after_four"), "left")
-    kinds = kinds.join(nodes.withColumnRenamed("known", "_known"), F.col("known") == F.col("_known"), "left").select(
-        "known", "four", "s", "after_three", "after_four", "away", "excluded"
+    kinds = kinds.join(after(4, "after_four"), F.col("four") == F.col("_after_four"), "left").select(
+        "four", "s", "excluded", "after_three", "after_four"
     )
 
     def leave(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,29 +521,12 @@ def word_costs(counts: DataFrame) -> DataFrame:
                 four, three = r["four"], r["four"] % 257 ** 3
                 tables = [{k & 255: k >> 8 for k in r[name] or ()} for name in ("after_four", "after_three")]
                 contexts = [*tables, *model.contexts(three // 257 % 257, four % 257)]
-                cost.append((r["away"] or 0.0) + model.chain(contexts, r["s"], frozenset(r["excluded"] or ())))
-            yield pa.record_batch({**{k: batch.column(k) for k in ("known", "four", "s")}, "step": pa.array(cost, pa.float64())})
-
-    priced = written(kinds.mapInArrow(leave, "known long, four long, s short, step double"), "left-costs").select(
-        F.col("known").alias("_known"), F.col("four").alias("_four"), F.col("s").alias("_s"), "step"
-    )
-    away_steps = left.join(
-        priced, F.col("known").eqNullSafe(F.col("_known")) & (F.col("four") == F.col("_four")) & (F.col("s") == F.col("_s"))
-    ).select("name", "step")
-    each = seen.unionByName(new.filter("step IS NOT NULL").select("name", "step")).unionByName(away_steps)
-    spelled = each.groupBy(F.col("name").alias("_name")).agg(F.sum("step").alias("steps"))
-
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Spelling(two, first)
-        for batch in batches:
-            words = batch.column("word").to_pylist()
-            yield pa.record_batch({
-                "word": batch.column("word"), "name": pa.array(names_of(words), pa.int64()), "c": batch.column("c"),
-                "cost": pa.array([model.opening(word) for word in words], pa.float64()),
-            })
+                cost.append(model.chain(contexts, r["s"], frozenset(r["excluded"])))
+            yield pa.record_batch({**{k: batch.column(k) for k in ("four", "s", "excluded")}, "step": pa.array(cost, pa.float64())})
 
-    opened = counts.select("word", "c").mapInArrow(begin, "word binary, name long, c long, cost double")
-    return opened.join(spelled, F.col("name") == F.col("_name"), "left").select(
+    priced = kinds.mapInArrow(leave, "four long, s short, excluded binary, step double")
+    spelled = left.join(priced, ["four", "s", "excluded"]).groupBy(F.col("name").alias("_name")).agg(F.sum("step").alias("steps"))
+    return words.drop("left").join(spelled, F.col("name") == F.col("_name"), "left").select(
         "word", "name", "c", ((F.col("cost") + F.coalesce("steps", F.lit(0.0))) / math.log(10)).alias("cost")
     )
 
@@ -425,51 +540,85 @@ def line_of(texts: list[list[bytes]]) -> list[bytes]:
     return flat
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """before and after (names of a word and the next) and c, over all training texts."""
+def packed(column: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side, which pack well where numbers are small."""
+    planes = np.ascontiguousarray(column.view(np.uint8).reshape(len(column), -1).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
+
+
+def pair_name(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """64-bit names of pairs of numbered or named words."""
+    return mixed(mixed(before.view(np.uint64) * STEP) ^ turned(after).view(np.uint64) * STEP)
 
-    def counted(befores: list[np.ndarray], afters: list[np.ndarray]) -> pa.RecordBatch:
+
+def pair_lists(texts: DataFrame, ids: dict[bytes, int], buckets: int, room: int) -> DataFrame:
+    """Pairs of a word and the next with the text they stand in, packed, by buckets.
+
+    A frequent word is its number, another one its name, which is below zero. Pairs after a frequent word are
+    spread by their names; those after another one stand together.
+    """
+
+    def packed_pairs(befores, afters, rows, keys, held) -> Iterator[pa.RecordBatch]:
         before, after = np.concatenate(befores), np.concatenate(afters)
-        _, at, c = np.unique(before ^ turned(after), return_index=True, return_counts=True)
-        return pa.record_batch({"before": pa.array(before[at]), "after": pa.array(after[at]), "c": pa.array(c, pa.int64())})
+        row = np.repeat(np.arange(len(rows), dtype=np.uint32), rows)
+        spread = np.where(before < 0, mixed(before.view(np.uint64) * STEP), pair_name(before, after))
+        bucket = (spread >> np.uint64(16)) % np.uint64(buckets)
+        # One number to sort by, the place in its last bits: equal pairs of a text meet, as far as bits go.
+        last, least = len(before).bit_length(), 18
+        rest = 63 - last - least - buckets.bit_length()
+        key = bucket.astype(np.int64) << least | np.where(before < 0, 1 << 17 | before & 0x1FFFF, before & 0x1FFFF)
+        order = np.sort((key << rest | after & ((1 << rest) - 1)) << last | np.arange(len(before))) & ((1 << last) - 1)
+        before, after, row, bucket = before[order], after[order], row[order], bucket[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (before[1:] != before[:-1]) | (after[1:] != after[:-1]) | (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])
+        at = np.flatnonzero(new)
+        times = np.diff(np.append(at, len(order))).astype(np.uint32)
+        before, after, row, bucket = before[at], after[at], row[at], bucket[at]
+        keys, held = np.array(keys, np.int64), np.array(held, bool)
+        found = np.unique(bucket)
+        low, high = np.searchsorted(bucket, found), np.searchsorted(bucket, found, "right")
+        for b, i, k in zip(found.tolist(), low.tolist(), high.tolist()):
+            own, local = np.unique(row[i:k], return_inverse=True)
+            step = np.diff(before[i:k], prepend=np.int64(0))
+            columns = (step, after[i:k], local.astype(np.uint32), times[i:k], keys[own], held[own].astype(np.uint8))
+            yield pa.record_batch({
+                "bucket": pa.array([b], pa.int64()), "n": pa.array([k - i], pa.int64()), "n_texts": pa.array([len(own)], pa.int64()),
+                "columns": pa.array([[packed(c) for c in columns]], pa.list_(pa.binary())),
+            })
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        befores, afters, held = [], [], 0
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        befores, afters, rows, keys, held, size = [], [], [], [], [], 0
         for batch in batches:
-            line = names_of(line_of([_words(text) for text in batch.column("text").to_pylist()]))
+            if not batch.num_rows:
+                continue
+            texts = [_words(text) for text in batch.column("text").to_pylist()]
+            flat = line_of(texts)
+            line = np.fromiter(map(ids.get, flat, repeat(-1)), np.int64, len(flat))
+            absent = np.flatnonzero(line < 0)
+            line[absent] = names_of([flat[k] for k in absent.tolist()]) | FAR
             befores.append(line[:-1])
             afters.append(line[1:])
-            held += len(line)
-            if held > PAIR_FLUSH:
-                yield counted(befores, afters)
-                befores, afters, held = [], [], 0
-        if held:
-            yield counted(befores, afters)
+            rows += [len(words) + 1 for words in texts]
+            keys += batch.column("key").to_pylist()
+            held += batch.column("held_out").to_pylist()
+            size += len(line)
+            if size > room:
+                yield from packed_pairs(befores, afters, rows, keys, held)
+                befores, afters, rows, keys, held, size = [], [], [], [], [], 0
+        if size:
+            yield from packed_pairs(befores, afters, rows, keys, held)
 
-    parts = texts.filter("NOT held_out").select("text").mapInArrow(count, "before long, after long, c long")
-    return parts.groupBy("before", "after").agg(F.sum("c").alias("c"))
+    return texts.select("key", "held_out", "text").mapInArrow(read, "bucket long, n long, n_texts long, columns array<binary>")
 
 
-def following(texts: DataFrame, costs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What the word before changes, in log10: the costs with leave, and pair, c and gain.
-
-    ``leave`` is what any word adds after this one: its escape, less what its known words held
-    of the spelling. ``gain`` is added on top for a pair that was seen.
-    """
-    known = costs.filter("c > 0")
-    after = known.select(F.col("name").alias("after"), F.col("cost").alias("_cost"))
-    pairs = written(pair_counts(texts).join(after, "after"), "pair-counts")
-    parts = pairs.groupBy(F.col("before").alias("_before")).agg(
-        F.count("*").alias("_kinds"), F.sum(F.pow(F.lit(10.0), F.col("_cost"))).alias("_excluded")
-    )
-    # Every word is followed by another or by the end, so its count is that of its pairs.
-    leave = F.log10(F.lit(DISCOUNT) * F.col("_kinds") / F.col("c")) - F.log10(F.greatest(1 - F.col("_excluded"), F.lit(1e-9)))
-    costs = written(costs.join(parts, F.col("name") == F.col("_before"), "left").select(
-        "word", "name", "c", "cost", F.coalesce(leave, F.lit(0.0)).alias("leave")
-    ), "word-leaves")
-    before = costs.filter("c > 0").select(F.col("name").alias("before"), F.col("c").alias("_c"), "leave")
-    gain = F.log10((F.col("c") - DISCOUNT) / F.col("_c")) - F.col("_cost") - F.col("leave")
-    return costs, written(pairs.join(before, "before").select(pair_name().alias("pair"), "c", gain.alias("gain")), "pair-gains")
+#: What a bucket of pairs tells: sums of a text, words and contexts to be looked up for it, known words after a word.
+TEXT, WORD, LEAVE, KNOWN, AFTER = range(5)
 
 
 def score(
@@ -477,101 +626,149 @@ def score(
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
-    ``head_pairs`` is the room of the cache; 0 leaves the word before out of account.
+    ``head_words`` frequent words are numbered, ``head_pairs`` is the room for pairs in a row; 0 leaves the word
+    before out of account.
     """
-    texts = texts_of(docs, doc_id, text)
+    # Rows of one id and text share a key, and their score.
+    texts = texts_of(lean_batches(docs), doc_id, text).withColumn("key", F.xxhash64("doc_id", "text"))
     counts = written(word_counts(texts), "word-counts")
     n, v = counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first()
     n, v = n or 0, v or 0
     costs = written(word_costs(counts), "word-costs")
-    pairs, whole = None, True
-    if head_pairs:
-        costs, pairs = following(texts, costs)
-        head, whole = most_frequent(pairs, head_pairs)
-        head = head.select("pair", "gain").toArrow()
-        order = np.argsort(head["pair"].to_numpy())
-        head, gain = head["pair"].to_numpy()[order], head["gain"].to_numpy()[order]
-    else:
-        costs = costs.withColumn("leave", F.lit(0.0))
-        head, gain = np.empty(0, np.int64), np.empty(0)
     sound = costs.filter((F.col("c") > 0) & (F.length("word") <= HEAD_BYTES))
     # Every text has an end, so its cost always goes along.
-    common = sound.orderBy((F.length("word") > 0), F.desc("c"), "word").limit(head_words + 1)
-    over = n + 0.5 * (v + 1)
-    rows = common.collect()
+    common_words = sound.orderBy((F.length("word") > 0), F.desc("c"), "word").limit(head_words + 1).select("word", "c", "cost").toArrow()
     # The end of one text is numbered 0 and stands before the next; without training it has a cost all the same.
-    ids = {bytes(r["word"]): i for i, r in enumerate(rows)} or {b"": 0}
-    known = [(r["c"], r["cost"], r["leave"]) for r in rows] or [(0, -math.log10(256), 0.0)]
-    c, cost, leave = (np.array(column, float) for column in zip(*known))
-    # The last place is for words that do not go along.
-    base = np.append(np.log10((c + 0.5) / over), 0.0)
-    cost, leave = np.append(cost, 0.0), np.append(leave, 0.0)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = [_words(text) for text in batch.column("text").to_pylist()]
-            flat = line_of(texts)
-            line = np.fromiter(map(ids.get, flat, repeat(-1)), np.int64, len(flat))
-            sizes = np.array([len(words) + 1 for words in texts])
-            begins = np.cumsum(sizes) - sizes
-            # A word belongs to the text it stands in, an end to the text that it ends.
-            each, change = line[1:], leave[line[:-1]]
-            here = each >= 0
-            rare, times = [], []
-            absent = np.flatnonzero(~here)
-            cuts = np.searchsorted(absent, np.append(begins, len(each))).tolist()
-            absent = absent.tolist()
-            for words, begin, low, high in zip(texts, begins.tolist(), cuts, cuts[1:]):
-                seen = Counter([words[at - begin] for at in absent[low:high]])
-                rare.append(list(seen))
-                times.append(list(seen.values()))
-            unpaired = wanted = np.empty(0, np.int64)
-            if pairs_counted:
-                names = names_of(flat)
-                wanted = names[:-1] ^ turned(names[1:])
-                # In order the search stays within the caches of the processor.
-                order = np.argsort(wanted)
-                at = np.minimum(np.searchsorted(head, wanted[order]), max(len(head) - 1, 0))
-                found = head[at] == wanted[order] if len(head) else np.zeros(len(order), bool)
-                change[order[found]] += gain[at[found]]
-                if not whole:
-                    unpaired = np.sort(order[~found])
-            open_pairs = np.searchsorted(unpaired, np.append(begins, len(each)))
-            known = here if n else np.zeros(len(each), bool)
-            yield pa.record_batch({
-                "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
-                "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(np.add.reduceat(known, begins, dtype=np.int64)),
-                "base": pa.array(np.add.reduceat(base[each], begins)),
-                "cost": pa.array(np.add.reduceat(cost[each] + change, begins)),
-                "words": pa.array(rare, pa.list_(pa.binary())), "times": pa.array(times, pa.list_(pa.int64())),
-                "pairs": pa.ListArray.from_arrays(pa.array(open_pairs, pa.int32()), pa.array(wanted[unpaired], pa.int64())),
-            })
-
-    pairs_counted = pairs is not None
-    kinds = ("doc_id long, held_out boolean, n_tokens long, n_known long, base double, cost double, "
-             "words array<binary>, times array<long>, pairs array<long>")
-    parts = written(texts.mapInArrow(read, kinds).withColumn("_row", F.monotonically_increasing_id()), "common-part")
-    rare = parts.select("_row", F.explode(F.arrays_zip("words", "times")).alias("t")).select("_row", "t.words", "t.times")
-    base_cost = F.log10((F.col("c") + 0.5) / F.lit(over))
-    # A word is the context of the next one as often as it stands in the text.
-    late = rare.join(costs, F.col("words") == F.col("word")).select(
-        F.col("_row").alias("_of"), (F.col("times") * (F.col("cost") + F.col("leave"))).alias("cost"),
-        (F.col("times") * base_cost).alias("base"), F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("known"),
-    )
-    if not whole:
-        paired = parts.select("_row", F.explode("pairs").alias("_pair")).join(pairs, F.col("_pair") == F.col("pair"))
-        late = late.unionByName(paired.select(
-            F.col("_row").alias("_of"), F.col("gain").alias("cost"), F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known")
-        ))
-    joined = late.groupBy("_of").agg(
-        F.sum("cost").alias("_cost"), F.sum("base").alias("_base"), F.sum("known").alias("_known")
+    ids = {word: i for i, word in enumerate(common_words["word"].to_pylist())} or {b"": 0}
+    c = common_words["c"].to_numpy().astype(float) if common_words.num_rows else np.zeros(1)
+    cost = common_words["cost"].to_numpy() if common_words.num_rows else np.full(1, -math.log10(256))
+    over, paired = n + 0.5 * (v + 1), head_pairs > 0
+    size = n or texts.agg(F.sum(F.length("text"))).first()[0] or 0
+
+    def tell_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Buckets one after another; the sums of a text over all buckets of a task are one row."""
+        sums: list[pa.Table] = []
+        lists = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in ("bucket", "n", "n_texts", "columns"))))
+        for _, bucket in groupby(lists, lambda row: row[0]):
+            first, *others = tell([row[1:] for row in bucket])
+            sums.append(first)
+            for told in others:
+                yield from told.to_batches()
+            if sum(map(len, sums)) > 4 * TEXT_FLUSH:
+                sums = [summed(sums)]
+                if len(sums[0]) > TEXT_FLUSH:
+                    yield from sums.pop().to_batches()
+        if sums:
+            yield from summed(sums).to_batches()
+
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        table = pa.concat_tables(tables)
+        own, same = np.unique(table["a"].to_numpy(), return_inverse=True)
+        return lines(TEXT, own, **{k: np.bincount(same, table[k].to_numpy(), len(own)) for k in ("x", "y", "n", "known", "tokens")})
+
+    def lines(kind, a, b=None, x=None, y=None, n=None, known=None, tokens=None) -> pa.Table:
+        given = dict(a=a, b=b, x=x, y=y, n=n, known=known, tokens=tokens)
+        columns = {"kind": pa.array(np.full(len(a), kind, np.int16))}
+        for name, values in given.items():
+            sort = pa.float64() if name in "xy" else pa.int64()
+            columns[name] = pa.nulls(len(a), sort) if values is None else pa.array(values).cast(sort)
+        return pa.table(columns)
+
+    def tell(lists: list[tuple]) -> list[pa.Table]:
+        parts, first_text = [], 0
+        for size, n_texts, columns in lists:
+            kinds = (np.int64, np.int64, np.uint32, np.uint32, np.int64, np.uint8)
+            step, after, row, times, key, held = (
+                unpacked(data, k, kind) for data, k, kind in zip(columns, (size,) * 4 + (n_texts,) * 2, kinds)
+            )
+            parts.append((np.cumsum(step), after, row.astype(np.int64) + first_text, times, key, held))
+            first_text += n_texts
+        before, after, row, times, key, held = (np.concatenate(column) for column in zip(*parts))
+        parts.clear()
+        times = times.astype(np.float64)
+        key, same = np.unique(key, return_inverse=True)
+        text_held = np.zeros(len(key), bool)
+        text_held[same] = held > 0
+        row = same[row]
+        own = ~text_held[row]
+        _, at, pair = np.unique(pair_name(before, after), return_index=True, return_inverse=True)
+        count = np.bincount(pair, times * own, len(at))
+        # All pairs after a word without a number are here, so its count is theirs.
+        named, number = np.unique(before[before < 0], return_inverse=True)
+        far = before < 0
+        place = np.where(far, 0, before)
+        place[far] = len(c) + number
+        counted = np.append(c, np.bincount(number, (times * own)[far], len(named)))
+        names = np.append(np.arange(len(c)), named)
+        numbered = np.maximum(after, 0)
+        seen = (count[pair] > 0) & paired
+        there = np.zeros(len(row))
+        there[seen] = np.log10((count[pair[seen]] - DISCOUNT) / counted[place[seen]])
+        plain = ~seen & (after >= 0)
+        there[plain] = cost[numbered[plain]]
+        base = np.log10((counted + 0.5) / over)[place]
+
+        def total(x: np.ndarray) -> np.ndarray:
+            return np.bincount(row, times * x, len(key))
+
+        def whole(x):
+            return np.rint(x).astype(np.int64)
+
+        told = [lines(
+            TEXT, key, x=total(there), y=total(base), n=whole(total(before == 0)), known=whole(total(counted[place] > 0)),
+            tokens=whole(total(np.ones(len(row)))),
+        )]
+        ask = ~seen & (after < 0)
+        told.append(lines(WORD, key[row[ask]], after[ask], n=whole(times[ask])))
+        if paired:
+            # A word in front leaves only where it was trained.
+            ask = ~seen & (counted[place] > 0)
+            told.append(lines(LEAVE, key[row[ask]], before[ask], n=whole(times[ask])))
+            # Of words without a number all askers are here.
+            asked = np.ones(len(names), bool)
+            asked[len(c):] = False
+            asked[place[ask]] = True
+            known = at[(count > 0) & asked[place[at]]]
+            kinds = np.bincount(place[known], minlength=len(names))
+            near = known[after[known] >= 0]
+            excluded = np.bincount(place[near], np.power(10.0, cost[after[near]]), len(names))
+            some = np.flatnonzero(kinds)
+            told.append(lines(KNOWN, names[some], x=excluded[some], n=kinds[some], known=whole(counted[some])))
+            away = known[after[known] < 0]
+            told.append(lines(AFTER, before[away], after[away]))
+        return told
+
+    buckets = 1 + size // BUCKET_TOKENS
+    told = written(
+        pair_lists(texts, ids, buckets, head_pairs or HEAD_PAIRS).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+            tell_all, "kind short, a long, b long, x double, y double, n long, known long, tokens long"
+        ), "told-pairs"
     )
-    return parts.drop("words", "times", "pairs").join(joined, F.col("_row") == F.col("_of"), "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("n_known") + F.coalesce("_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"),
-        (F.col("cost") + F.coalesce("_cost", F.lit(0.0))).alias("score"),
+
+    def kind(k: int) -> DataFrame:
+        return told.filter(F.col("kind") == k)
+
+    spelled = costs.select(F.col("name").bitwiseOR(F.lit(int(FAR))).alias("b"), "cost")
+    sums = kind(TEXT).select("a", "x", "y", "n", "known", "tokens")
+
+    def more(df: DataFrame, x: Column) -> DataFrame:
+        return df.select("a", x.alias("x"), F.lit(0.0).alias("y"), *[F.lit(0).cast("long").alias(k) for k in ("n", "known", "tokens")])
+
+    sums = sums.unionByName(more(kind(WORD).select("a", "b", "n").join(spelled, "b"), F.col("n") * F.col("cost")))
+    if paired:
+        known = kind(KNOWN).select(F.col("a").alias("b"), "x", "n", F.col("known").alias("c")).unionByName(
+            kind(AFTER).select("a", "b").join(spelled, "b").select(
+                F.col("a").alias("b"), F.pow(F.lit(10.0), F.col("cost")).alias("x"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("c")
+            )
+        ).groupBy("b").agg(F.sum("x").alias("_excluded"), F.sum("n").alias("_kinds"), F.max("c").alias("_c"))
+        # What any word adds after this one: its escape, less what its known words held of the spelling.
+        leave = F.log10(F.lit(DISCOUNT) * F.col("_kinds") / F.col("_c")) - F.log10(F.greatest(1 - F.col("_excluded"), F.lit(1e-9)))
+        leaves = known.select("b", leave.alias("leave"))
+        sums = sums.unionByName(more(kind(LEAVE).select("a", "b", "n").join(leaves, "b"), F.col("n") * F.col("leave")))
+    sums = sums.groupBy(F.col("a").alias("_of")).agg(*[F.sum(k).alias(f"_{k}") for k in ("x", "y", "n", "known", "tokens")])
+    # Each row of a key added to the sums.
+    return texts.drop("text").join(sums, F.col("key") == F.col("_of")).select(
+        "doc_id", "held_out", (F.col("_tokens") / F.col("_n")).cast("long").alias("n_tokens"),
+        (F.col("_known") / F.col("_n")).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("_y") / F.col("_n")).alias("base_score"), (F.col("_x") / F.col("_n")).alias("score"),
     )

@@ -285,6 +285,30 @@ def test_ppm_spells_by_joins_as_in_one_place(spark):
     assert got[b"abc" * 20_000] < -5_000
 
 
+def test_ppm_spells_the_same_in_any_blocks_without_a_row_per_byte(spark, monkeypatch):
+    rng, rows = np.random.default_rng(3), []
+    words = {bytes(rng.choice([97, 98, 99, 5, 200], rng.integers(1, 12)).tolist()) for _ in range(600)} | {b"", b"ab" * 3_000}
+    table = spark.createDataFrame([(bytearray(w), int(rng.integers(0, 4))) for w in sorted(words)], "word binary, c long")
+    keep = ppm.written
+    monkeypatch.setattr(ppm, "written", lambda df, label: rows.append((label, keep(df, label))) or rows[-1][1])
+    one = {bytes(r["word"]): r["cost"] for r in ppm.word_costs(table).collect()}
+    # Bytes of words are not rows: the tables that are kept have one for each word or context.
+    assert {label: df.count() for label, df in rows}["spelled"] == len(words)
+    assert "trie" not in dict(rows)
+    for size in (40, 700):
+        assert {bytes(r["word"]): r["cost"] for r in ppm.word_costs(table, size).collect()} == pytest.approx(one, rel=1e-9)
+
+
+def test_ppm_buckets_and_equal_rows_change_nothing(docs, monkeypatch):
+    twice = docs.unionByName(docs.limit(7))
+    whole = sorted(map(tuple, ppm.score(twice).collect()))
+    assert len(whole) == docs.count() + 7
+    monkeypatch.setattr(ppm, "BUCKET_TOKENS", 500)
+    monkeypatch.setattr(ppm, "TEXT_FLUSH", 5)
+    for a, b in zip(whole, sorted(map(tuple, ppm.score(twice, head_words=5, head_pairs=40).collect()))):
+        assert a[:5] == b[:5] and b[5:] == pytest.approx(a[5:], rel=1e-9)
+
+
 def test_ppm_beats_its_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = ppm.score(docs).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
