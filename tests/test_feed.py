@@ -5,7 +5,7 @@ from smelter.operators.contract import VIOLATIONS, rejected_rows, valid_rows
 from smelter.plans.bronze import accepted_articles, feed_rules, fetched_entries, page_rules
 from smelter.schemas import PAGE
 from smelter.sources.feed import (
-    MALFORMED, parse_pages, read_page_table, read_pages, scan_entries, with_ordinal,
+    MALFORMED, needs_scopes, parse_pages, read_page_table, read_pages, scan_entries, with_ordinal,
 )
 
 ATOM = "http://www.w3.org/2005/Atom"
@@ -96,6 +96,22 @@ def test_names_are_resolved_by_scope(spark, page, found):
     assert [(r["id"], r["title"]) for r in rows] == found
 
 
+def test_pages_are_held_by_the_same_rule_without_python(spark):
+    root = f'<feed xmlns="{ATOM}">'
+    pages = [
+        (f"{root}</feed>", False), ("<feed></feed>", False), (None, False), (f"{root}<title>xmlns</title></feed>", False),
+        (f"{root}<title>a xmlns= b</title></feed>", True), (f'<feed xmlns{" " * 200}="{ATOM}"></feed>', False),
+        (f'<feed xmlns:a="{ATOM}"></feed>', True), ('<feed xmlns="urn:x"></feed>', True), ("<feed> xmlns </feed>", False),
+        (f'<feed><x xmlns="{ATOM}"/></feed>', True), (f'<feed xmlns:b="urn:x" xmlns="{ATOM}"></feed>', False),
+    ]
+    df = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(pages)], "page_start bigint, payload string")
+    assert [r[1] for r in sorted(df.select("page_start", needs_scopes(F.col("payload"))).collect())] == [w for _, w in pages]
+    rows = parse_pages(df, held="_held")
+    got = {r["page_start"]: r["_held"] for r in rows.collect() if r["_held"] is not None}
+    assert got == {i: p for i, (p, w) in enumerate(pages) if w}
+    assert "EvalPython" not in rows._jdf.queryExecution().toString()
+
+
 def test_broken_pages_with_scopes_are_rejects(spark):
     broken = feed('<entry><title xmlns="urn:x">no</title>', entry())
     rows = parse_pages(page_frame(spark, broken, broken.replace("urn:x", "&nbsp;"))).collect()

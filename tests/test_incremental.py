@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import time
 
 import pytest
@@ -18,7 +19,7 @@ from smelter.schemas import DIM, FACT
 from smelter.session import staged
 from smelter.sources import paging, tables as tb
 from smelter.sources.feed import read_page_stream
-from smelter.streaming.ingest import collect_stream, ingest_first_copies, settle
+from smelter.streaming.ingest import collect_categories, collect_stream, ingest_first_copies, settle
 from smelter.streaming.state import BrokenRules
 from tests.test_feed import entry, feed, land, page_frame
 from tests.test_skew import shuffled_rows
@@ -411,6 +412,52 @@ def test_collected_first_copies_and_rejects_are_settled_once(spark, tmp_path):
     assert run() == (1, [*want, ("5", "late")], sorted([(None, ["category_listed"], 0), ("8", ["title_required"], 0)], key=str))
 
 
+def test_state_is_cut_by_cores_and_batches_share_their_code(spark, tmp_path):
+    source, folder = landed(tmp_path), str(tmp_path / "collected")
+    spark.sql("CREATE SCHEMA IF NOT EXISTS streamed")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        pages = read_page_stream(spark, source, max_files=1)
+        query = ingest_first_copies(
+            pages, "streamed.by_cores", str(tmp_path / "state"), location=str(tmp_path / "t"), collected=folder
+        )
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "9"
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    state = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    assert state and {s["numShufflePartitions"] for s in state} == {spark.sparkContext.defaultParallelism}
+    plan = query._jsq.streamingQuery().lastExecution().executedPlan()
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    code = debug.codegenString(plan)
+    assert "Generated code" in code and not re.search(r"\b1[78]\d{14}L", code)
+
+
+@pytest.mark.parametrize("budget", [None, 400])
+def test_categories_are_collected_side_by_side(spark, tmp_path, budget):
+    """With pages that are read for their scopes, among them a broken one, and one of no listed category."""
+    from smelter.sources.feed import read_pages
+
+    source, atom = landed(tmp_path), "http://www.w3.org/2005/Atom"
+    inner = entry(id="x/6", title="by scope").replace("<", "<a:").replace("<a:/", "</a:")
+    land(tmp_path, "cs.CV", 0, f'<a:feed xmlns:a="{atom}">{inner}</a:feed>')
+    land(tmp_path, "cs.CV", 1000, f'<a:feed xmlns:a="{atom}"><a:entry></a:feed>')
+    land(tmp_path, "no.NO", 0, feed(entry(id="x/9")))
+    entries = fetched_entries(read_pages(spark, source))
+    want = {(r["id"], r["title"]) for r in accepted_articles(entries, budget).collect()}
+    assert budget or ("6", "by scope") in want
+    spark.sql("CREATE SCHEMA IF NOT EXISTS streamed")
+    folder, name = str(tmp_path / "collected"), f"streamed.side_by_side_{budget}"
+    for again in (False, True):
+        collect_categories(spark, source, folder, str(tmp_path / "state"), max_files=1, side_by_side=2)
+        done = settle(spark, folder, name, str(tmp_path / "t"), budget)
+        assert done["n_inserted"] == (0 if again else len(want))
+        assert {(r["id"], r["title"]) for r in spark.table(name).collect()} == want
+    lanes = {p.name for p in (tmp_path / "state").iterdir()}
+    assert lanes == {"category=cs.AI", "category=cs.CL", "category=cs.CV", "category=no.NO"}
+
+
 def test_a_micro_batch_writes_its_own_rows_only(spark, tmp_path):
     """Batches of new articles of one month leave the rows of earlier ones where they are."""
     from smelter.streaming.ingest import ingest_stream
